@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
+        "op2_toxicity": toxicity.op2_toxicity,
     }
 
 
