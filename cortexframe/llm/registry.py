@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, toxicity
+from . import media, mixing, packing, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
         "op2_toxicity": toxicity.op2_toxicity,
+        "op3_media_columns": media.op3_media_columns,
+        "op9_best_fit_packing": packing.op9_best_fit_packing,
     }
 
 
