@@ -17,7 +17,7 @@ pass over whole texts without a shuffle.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,8 +37,13 @@ def words_of(text: str | None) -> set[str]:
     return set(WORDS.findall(text.lower())) if text else set()
 
 
-def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def subwords(words: list[str], chunk: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all n-grams of ``words``, one word after the other, and how many each has (1 at least)."""
+    parts = [_subwords(words[i : i + chunk]) for i in range(0, len(words), chunk)] or [(np.zeros(0, np.int32), np.zeros(0, np.int64))]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def _subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     joined = "".join(f"<{w}>" for w in words)
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     lengths = np.fromiter((len(w) + 2 for w in words), dtype=np.int64, count=len(words))
@@ -65,7 +70,7 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         owners.append(np.arange(len(words)))
         h, o = np.concatenate(found), np.concatenate(owners)
         order = np.argsort(o, kind="stable")
-        return ((h[order] * PRIME) >> np.uint64(64 - BITS)).astype(np.int64), np.bincount(o, minlength=len(words))
+        return ((h[order] * PRIME) >> np.uint64(64 - BITS)).astype(np.int32), np.bincount(o, minlength=len(words))
 
 
 def _means(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -99,22 +104,24 @@ class ToxicityModel:
             return np.where(np.isneginf(top), 0.0, 1.0 / (1.0 + np.exp(-z))).tolist()
 
 
-def train(sets: list[set[str]], toxic: np.ndarray, prior: float = 0.1, dim: int = 8, warm: int = 12, rounds: int = 60, seed: int = 7) -> ToxicityModel:
-    """Fit on documents given as sets of words; ``prior`` is the share of toxic documents where scores are used.
+def train(pairs: Iterable[tuple[set[str], int]], prior: float = 0.1, dim: int = 8, warm: int = 12, rounds: int = 60, seed: int = 7) -> ToxicityModel:
+    """Fit on (set of words, label) of documents; ``prior`` is the share of toxic documents where scores are used.
 
     Without both classes the model scores everything by ``prior``.
     """
-    toxic = np.asarray(toxic, dtype=np.int64)
-    keep = np.array([i for i, s in enumerate(sets) if s], dtype=np.int64)
-    sets, toxic = [sets[i] for i in keep], toxic[keep]
+    at: dict[str, int] = {}
+    ids, marks = [], []
+    for s, label in pairs:
+        if s:
+            ids.append(np.fromiter((at.setdefault(w, len(at)) for w in sorted(s)), dtype=np.int32, count=len(s)))
+            marks.append(label)
+    toxic = np.array(marks, dtype=np.int64)
     flat = np.zeros(1 << BITS, dtype=np.float32)
     if len(set(toxic.tolist())) < 2:
         return ToxicityModel(flat, 0.0, 0.0, float(np.log(prior / (1 - prior))))
     rng = np.random.default_rng(seed)
-    held = rng.random(len(sets)) < 0.25
-    vocab = sorted(set().union(*sets))
-    at = {w: i for i, w in enumerate(vocab)}
-    ids = [np.fromiter((at[w] for w in s), dtype=np.int64, count=len(s)) for s in sets]
+    held = rng.random(len(ids)) < 0.25
+    vocab = list(at)
     buckets, counts = subwords(vocab)
     starts = np.cumsum(counts) - counts
     e = rng.normal(0, 0.1, (1 << BITS, dim)).astype(np.float32)
@@ -146,8 +153,8 @@ def train(sets: list[set[str]], toxic: np.ndarray, prior: float = 0.1, dim: int
         b -= rate * gb / np.sqrt(seen_b)
 
     fit = np.flatnonzero(~held)
-    bad = np.bincount(np.concatenate([ids[i] for i in fit if toxic[i]] or [np.zeros(0, np.int64)]), minlength=len(vocab)).astype(float)
-    good = np.bincount(np.concatenate([ids[i] for i in fit if not toxic[i]] or [np.zeros(0, np.int64)]), minlength=len(vocab)).astype(float)
+    bad = np.bincount(np.concatenate([ids[i] for i in fit if toxic[i]] or [np.zeros(0, np.int32)]), minlength=len(vocab)).astype(float)
+    good = np.bincount(np.concatenate([ids[i] for i in fit if not toxic[i]] or [np.zeros(0, np.int32)]), minlength=len(vocab)).astype(float)
     types = np.flatnonzero(bad + good >= 2)
     for _ in range(warm if len(types) else 0):
         step(types, good[types], bad[types], 0.3)
@@ -173,7 +180,7 @@ def train(sets: list[set[str]], toxic: np.ndarray, prior: float = 0.1, dim: int
         step(types, g[types], t[types], 0.3)
     row = (e @ (w[:, 1] - w[:, 0])).astype(np.float32)
     top = tops()[1]
-    on = held if len(set(toxic[held].tolist())) == 2 else np.ones(len(sets), bool)
+    on = held if len(set(toxic[held].tolist())) == 2 else np.ones(len(ids), bool)
     share = np.where(toxic[on] == 1, prior / max(1, (toxic[on] == 1).sum()), (1 - prior) / max(1, (toxic[on] == 0).sum()))
     slope, offset = _platt(top[on], toxic[on], share)
     return ToxicityModel(row, float(b[1] - b[0]), slope, offset)
@@ -195,7 +202,7 @@ def _platt(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4
     return a / scale, float(c) - a * mean / scale
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out: int | None = 2, max_docs: int = 8000) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out: int | None = 2, max_docs: int = 5000) -> ToxicityModel:
     """Train on at most ``max_docs`` labelled documents of ``docs(doc_id, text)``.
 
     Rows of ``labels(doc_id, toxic)`` whose crc32(doc_id) mod 4 is ``held_out`` are not
@@ -212,9 +219,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out: int | None = 2, m
         some = known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(max_docs // 2)
         picks = some if picks is None else picks.unionByName(some)
     # bounded by max_docs rows of two numbers
-    rows = docs.select("doc_id", "text").join(F.broadcast(picks), "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["doc_id"])
-    got = sorted(((r["doc_id"], words_of(r["text"]), r["toxic"]) for r in rows.toLocalIterator()), key=lambda x: x[0])
-    return train([g[1] for g in got], np.array([g[2] for g in got], dtype=np.int64), prior)
+    rows = docs.select("doc_id", "text").join(F.broadcast(picks), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
+    return train(((words_of(r["text"]), r["toxic"]) for r in rows.orderBy("doc_id").toLocalIterator()), prior)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
