@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import media, minhash, mixing, packing, toxicity
+from . import media, minhash, mixing, packing, suffixes, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_mix_sources": mixing.op1_mix_sources,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_media_columns": media.op3_media_columns,
+        "op4_suffix_dedup": suffixes.op4_suffix_dedup,
         "op8_order_minhash": minhash.op8_order_minhash,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
     }
