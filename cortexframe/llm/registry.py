@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import htmltext, langid, media, minhash, mixing, packing, suffixes, toxicity
+from . import htmltext, langid, media, minhash, mixing, neardup_vectors, packing, suffixes, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_media_columns": media.op3_media_columns,
         "op4_suffix_dedup": suffixes.op4_suffix_dedup,
+        "op5_collision_counting": neardup_vectors.op5_collision_counting,
         "op6_language_bitmask": langid.op6_language_bitmask,
         "op7_line_blocks": htmltext.op7_line_blocks,
         "op8_order_minhash": minhash.op8_order_minhash,
