@@ -17,9 +17,11 @@ that length, in three refinements that use bucket identifiers instead of text:
 
 Level 1 exchanges sorted, packed blocks of (bucket, document).  A bucket shared
 inside one task's block is settled there and sent on as one summary, so a line that
-a third of all documents share costs one entry a block.  Levels 2 and 3 are
-groupings and joins; buckets with very many sub-buckets are refined row by row
-over the cluster instead of within one task.  Documents' texts are shuffled once.
+a third of all documents share costs one entry a block; runs equal within a block of
+level 2 are settled likewise.  Levels 2 and 3 are groupings and joins; buckets with
+very many sub-buckets are refined row by row over the cluster instead of within one
+task.  Texts are compressed and shuffled once, by doc_id; every step that needs them
+reads that exchange, and whole copies leave before the first.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,25 +119,39 @@ def _bytes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
 
 
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """``doc_id, z``: texts as Zstandard frames; null stays null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                z = [None if t is None else squeeze(t.encode("utf-8", "surrogatepass")) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(z, pa.binary())], names=["doc_id", "z"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, z binary")
+
+
+def _unpacked(z: list[bytes | None]) -> list[np.ndarray]:
+    open_ = zstandard.ZstdDecompressor().decompress
+    return [np.frombuffer(b"" if x is None else open_(x), np.uint8) for x in z]
+
+
 def shared_names(base: DataFrame, length: int, total_bytes: int) -> DataFrame:
     """``doc_id, keys``: of each document the window names that another document has too.
 
-    Of equal texts met in one block only the least doc_id is looked at (see
-    :func:`repeated_passages`, which removes other copies whole).
+    ``base(doc_id, z)`` holds no two copies of a text.
     """
     q = gram(length)
     bits = max(8, math.ceil(math.log2(max(1, total_bytes / (length - q + 1) * 2 / 1_000_000))))  # about a million names in a part
     parts = 1 << bits
 
-    def emit(ids: list[int], texts: list[str]) -> Iterator[pa.RecordBatch]:
-        least: dict[str, int] = {}
-        for d, t in zip(ids, texts, strict=True):
-            if t is not None and (t not in least or d < least[t]):
-                least[t] = d
+    def emit(ids: list[int], texts: list[bytes | None]) -> Iterator[pa.RecordBatch]:
         keys, docs = [], []
         with np.errstate(over="ignore"):
-            for t, d in least.items():
-                names = window_names(_bytes(t), length)
+            for d, data in zip(ids, _unpacked(texts), strict=True):
+                names = window_names(data, length)
                 if len(names):
                     k = np.unique(names[np.append(True, names[1:] != names[:-1])] >> np.uint64(64 - KEY_BITS))
                     keys.append(k), docs.append(np.full(len(k), d, np.int64))
@@ -161,8 +178,8 @@ def shared_names(base: DataFrame, length: int, total_bytes: int) -> DataFrame:
         for batch in batches:
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids.append(d), texts.append(t)
-                held += len(t or "")
-                if held > 16_000_000:
+                held += len(t or b"")
+                if held > 8_000_000:
                     yield from emit(ids, texts)
                     ids, texts, held = [], [], 0
         if ids:
@@ -181,54 +198,76 @@ def shared_names(base: DataFrame, length: int, total_bytes: int) -> DataFrame:
             k, d = k[stay], d[stay]
         return pa.table({"doc_id": pa.array(d, pa.int64()), "key": pa.array(k.astype(np.int64))})
 
-    blocks = base.select("doc_id", "text").mapInArrow(run, "part long, block binary")
+    blocks = base.select("doc_id", "z").mapInArrow(run, "part long, block binary")
     return blocks.groupBy("part").applyInArrow(settle, "doc_id long, key long").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
 
-def segments(named: DataFrame, length: int, content: bool) -> DataFrame:
-    """Runs of windows with one shared name: ``key, ctx, doc_id, s, n`` and, if asked, the run's bytes."""
+def segments(named: DataFrame, length: int) -> DataFrame:
+    """Runs of windows with one shared name: ``key, ctx, doc_id, s, n, settled``.
+
+    ``settled`` runs are equal to one of a smaller document in the same block.
+    """
     w = length - gram(length) + 1
+    names = ["key", "ctx", "doc_id", "s", "n", "settled"]
+
+    def block(parts: list[tuple]) -> pa.RecordBatch:
+        key, ctx, d, s, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((d, ctx, key))
+        k, c, o = key[order], ctx[order], d[order]
+        first = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])))
+        settled = np.empty(len(k), bool)
+        settled[order] = o != np.repeat(o[first], np.diff(np.append(first, len(k))))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, ctx, d, s.astype(np.int32), n.astype(np.int32), settled)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple] = []
+        held = 0
         for batch in batches:
-            out: list[list] = [[] for _ in range(5 + content)]
-            held = 0
-            for d, t, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                data = _bytes(t)
-                if len(data) < length:
-                    continue
-                with np.errstate(over="ignore"):
-                    sums = prefix_sums(data)
-                    names = window_names(data, length, sums)
-                    edge = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
-                    sizes = np.diff(np.append(edge, len(names)))
-                    if sizes.max() > w:  # periodic text: cut long runs
-                        many = -(-sizes // w)
-                        inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                        edge = np.repeat(edge, many) + inner * w
-                        sizes = np.diff(np.append(edge, len(names)))
-                    key = (names[edge] >> np.uint64(64 - KEY_BITS)).astype(np.int64)
-                    stay = np.isin(key, wanted.values.to_numpy())
-                    s, n, key = edge[stay], sizes[stay], key[stay]
-                    ctx = range_hash(sums, s, s + n + length - 1).view(np.int64)
-                out[0].append(key), out[1].append(ctx), out[2].append(np.full(len(s), d, np.int64)), out[3].append(s.astype(np.int32)), out[4].append(n.astype(np.int32))
-                if content:
-                    raw = data.tobytes()
-                    out[5] += [raw[a : a + b + length - 1] for a, b in zip(s.tolist(), n.tolist(), strict=True)]
-                held += len(s)
-                if held > 50_000:
-                    yield pack(out)
-                    out, held = [[] for _ in range(5 + content)], 0
-            if held:
-                yield pack(out)
-
-    names = ["key", "ctx", "doc_id", "s", "n", *["bytes"] * content]
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                for d, data, wanted in zip(part.column(0).to_pylist(), _unpacked(part.column(1).to_pylist()), part.column(2), strict=True):
+                    if len(data) < length:
+                        continue
+                    with np.errstate(over="ignore"):
+                        sums = prefix_sums(data)
+                        named_ = window_names(data, length, sums)
+                        edge = np.flatnonzero(np.append(True, named_[1:] != named_[:-1]))
+                        sizes = np.diff(np.append(edge, len(named_)))
+                        if sizes.max() > w:  # periodic text: cut long runs
+                            many = -(-sizes // w)
+                            inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                            edge = np.repeat(edge, many) + inner * w
+                            sizes = np.diff(np.append(edge, len(named_)))
+                        key = (named_[edge] >> np.uint64(64 - KEY_BITS)).astype(np.int64)
+                        stay = np.isin(key, wanted.values.to_numpy())
+                        s, n, key = edge[stay], sizes[stay], key[stay]
+                        ctx = range_hash(sums, s, s + n + length - 1).view(np.int64)
+                    parts.append((key, ctx, np.full(len(s), d, np.int64), s, n))
+                    held += len(s)
+                if held > 300_000:
+                    yield block(parts)
+                    parts, held = [], 0
+        if held:
+            yield block(parts)
+
+    return named.select("doc_id", "z", "keys").mapInArrow(run, "key long, ctx long, doc_id long, s int, n int, settled boolean")
+
+
+def contents(wanted: DataFrame, length: int) -> DataFrame:
+    """``key, ctx, m, bytes`` of the runs listed in ``wanted(doc_id, z, runs)``."""
 
-    def pack(out: list[list]) -> pa.RecordBatch:
-        cols = [pa.array(np.concatenate(c)) for c in out[:5]]
-        return pa.RecordBatch.from_arrays([*cols, *([pa.array(out[5], pa.binary())] if content else [])], names=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                rows = []
+                for d, data, runs in zip(part.column(0).to_pylist(), _unpacked(part.column(1).to_pylist()), part.column(2).to_pylist(), strict=True):
+                    raw = data.tobytes()
+                    rows += [(r["key"], r["ctx"], d, raw[r["s"] : r["s"] + r["n"] + length - 1]) for r in runs]
+                cols = list(zip(*rows, strict=True)) or [[]] * 4
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.binary())], names=["key", "ctx", "m", "bytes"])
 
-    return named.mapInArrow(run, "key long, ctx long, doc_id long, s int, n int" + ", bytes binary" * content)
+    return wanted.select("doc_id", "z", "runs").mapInArrow(run, "key long, ctx long, m long, bytes binary")
 
 
 def _windows(blobs: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -367,33 +406,40 @@ def repeated_passages(docs: DataFrame, min_bytes: int = MIN_BYTES, hot_bucket: i
     ).where(F.octet_length("text") >= length)
     sizes = materialize(sizes, "suffix-sizes")
     total = sizes.agg(F.sum("n_bytes")).first()[0] or 0
-    shared = materialize(shared_names(known, length, total), "suffix-shared")
-    texts = known.repartition("doc_id")
-    named = texts.join(shared, "doc_id")
-    runs = segments(named, length, content=True)
-    subs = runs.groupBy("key", "ctx").agg(F.min("doc_id").alias("m"), F.first("bytes").alias("bytes"))
+    firsts = sizes.groupBy("sha").agg(F.min("doc_id").alias("first"))
+    copies = materialize(sizes.hint("merge").join(firsts, "sha").where("doc_id > first").select("doc_id", "n_bytes"), "suffix-copies")
+    # one exchange of all texts; the filters keep its plan the same wherever it is read
+    texts = packed_texts(known).where("doc_id is not null").repartition("doc_id")
+    shared = shared_names(texts.hint("merge").join(copies, "doc_id", "left_anti"), length, total)
+    runs = segments(texts.hint("merge").join(shared, "doc_id"), length)
+    open_ = runs.where("not settled").select("key", "ctx", "doc_id", "s", "n").repartition("key", "ctx")
+    subs = open_.groupBy("key", "ctx").agg(F.min(F.struct("doc_id", "s", "n")).alias("f"))
     counts = subs.groupBy("key").agg(F.count("*").alias("subs")).where("subs > 1")
-    mixed = subs.join(counts, "key")
-    plain = mixed.where(F.col("subs") <= hot_bucket).select("key", "ctx", "m", "bytes").repartition("key").sortWithinPartitions("key")
+    mixed = subs.hint("merge").join(counts, "key").select("key", "ctx", "subs", "f.doc_id", "f.s", "f.n")
+    lists = mixed.groupBy("doc_id").agg(F.collect_list(F.struct("key", "ctx", "s", "n")).alias("runs"))
+    hot = counts.where(F.col("subs") > hot_bucket).select("key", F.lit(True).alias("hot"))
+    blobs = contents(texts.hint("merge").join(lists, "doc_id"), length).join(hot, "key", "left")
+    plain = blobs.where("hot is null").select("key", "ctx", "m", "bytes").repartition("key").sortWithinPartitions("key")
     hits = plain.mapInArrow(refine_sorted(length), "key long, ctx long, hits binary")
-    hits = hits.unionByName(_refine_hot(mixed.where(F.col("subs") > hot_bucket), length))
-    settled = subs.select("key", "ctx", "m").join(hits, ["key", "ctx"], "left")
-    found = segments(named, length, content=False).join(settled, ["key", "ctx"])
-    found = found.where("doc_id > m or hits is not null").select("doc_id", "s", "n", F.when(F.col("doc_id") == F.col("m"), F.col("hits")).alias("hits"))
-    firsts = sizes.groupBy("sha").agg(F.min("doc_id").alias("first"))
-    copies = sizes.join(firsts, "sha").where("doc_id > first")
-    copies = copies.select("doc_id", F.lit(0).alias("s"), (F.col("n_bytes") - length + 1).cast("int").alias("n"), F.lit(None).cast("binary").alias("hits"))
-    spans = found.unionByName(copies).groupBy("doc_id").agg(F.collect_list(F.struct("s", "n", "hits")).alias("spans"))
-    empty = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), "text").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
-    joined = texts.join(spans, "doc_id", "left").unionByName(empty)
+    hits = hits.unionByName(_refine_hot(blobs.where("hot"), length))
+    settled = subs.select("key", "ctx", F.col("f.doc_id").alias("m")).hint("merge").join(hits, ["key", "ctx"], "left")
+    found = open_.hint("merge").join(settled, ["key", "ctx"]).where("doc_id > m or hits is not null")
+    found = found.select("doc_id", "s", "n", F.when(F.col("doc_id") == F.col("m"), F.col("hits")).alias("hits"))
+    none = F.lit(None).cast("binary").alias("hits")
+    found = found.unionByName(runs.where("settled").select("doc_id", "s", "n", none))
+    found = found.unionByName(copies.select("doc_id", F.lit(0).alias("s"), (F.col("n_bytes") - length + 1).cast("int").alias("n"), none))
+    spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("s", "n", "hits")).alias("spans"))
+    joined = texts.hint("merge").join(spans, "doc_id", "left").select("doc_id", "z", "spans")
+    nameless = packed_texts(docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), "text"))
+    joined = joined.unionByName(nameless.withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 rows = []
-                for t, spans in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    data = _bytes(t)
+                z = part.column(1).to_pylist()
+                for t, data, spans in zip(z, _unpacked(z), part.column(2).to_pylist(), strict=True):
                     gone = covered(len(data), spans, length)
                     rises = int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum())
                     rows.append((len(data), int(gone.sum()), rises, hashlib.sha256(data[~gone].tobytes()).hexdigest(), (None if t is None else kept_text(data, gone)) if with_text else None))
@@ -401,7 +447,7 @@ def repeated_passages(docs: DataFrame, min_bytes: int = MIN_BYTES, hot_bucket: i
                 made = [*[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string()), *([pa.array(cols[4], pa.string())] if with_text else [])]
                 yield pa.RecordBatch.from_arrays([part.column(0), *made], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * with_text])
 
-    return joined.select("doc_id", "text", "spans").mapInArrow(
+    return joined.mapInArrow(
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
     )
 
