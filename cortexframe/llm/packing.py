@@ -29,42 +29,144 @@ from .common import documents, materialize
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END = 2
-KNOWN_MAX = 800_000
-#: the tokenizer's pattern for the characters below, which the re module cuts alike and faster
-PLAIN = re.compile(r" ?[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+KNOWN_BITS = 21
+#: characters outside these are cut by the pattern itself
 OTHER = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u2010-\u2027]")
+SPACE, LETTER, DIGIT, REST = range(4)
+CLASS = np.array([SPACE if chr(i).isspace() else LETTER if chr(i).isalpha() else DIGIT if chr(i).isdecimal() else REST for i in range(0x2028)], np.uint8)
+PRIME = np.uint64(0x9E3779B97F4A7C15)
 _state: dict = {}
 
 
+def piece_starts(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where the pattern's pieces start in texts laid end to end.
+
+    ``first`` marks each text's first character.  Pieces are runs of letters, of digits
+    or of other signs, with a space before; contractions after an apostrophe that starts
+    a piece; white space but for its last character, and that one if it isn't a space.
+    """
+    n = len(codes)
+    kind = CLASS[codes]
+    start = first.copy()
+    start[1:] |= kind[1:] != kind[:-1]
+    last = np.append(first[1:], True)  # of a text
+    white = kind == SPACE
+    ends = white & ~last
+    ends[:-1] &= ~white[1:]  # a run's last white space, with something after it
+    start |= ends
+    glued = np.zeros(n, bool)
+    glued[1:] = (ends & (codes == 32))[:-1]
+    start &= ~glued
+    quote = np.flatnonzero(start & (codes == 39) & ~last)
+    if len(quote):
+        one = codes[quote + 1]
+        inside = quote + 2 < n
+        two = np.where(inside & ~last[quote + 1], codes[np.minimum(quote + 2, n - 1)], 0)
+        short = np.isin(one, [ord(c) for c in "stmd"])
+        long = ((one == ord("r")) & (two == ord("e"))) | ((one == ord("v")) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
+        for at, size in ((quote[short], 2), (quote[long & ~short], 3)):
+            start[at + 1] = False
+            after = at + size
+            after = after[after < n]
+            start[after] = True
+    return np.flatnonzero(start)
+
+
 class PieceTokenizer:
     """Ids as ``tokenizers`` gives them, asking it once for each distinct piece.
 
     A byte-level BPE never merges across the pieces its pattern cuts a text into, so
-    ids of pieces can be kept and put together; the store is emptied when it is full.
-    Strings of special tokens are ordinary text.
+    ids of pieces can be kept and put together.  Pieces are cut, hashed and looked up
+    as arrays; the store is emptied when it is half full.  Strings of special tokens
+    are ordinary text.
     """
 
     def __init__(self, path: str):
         self.inner = Tokenizer.from_file(path)
         self.inner.encode_special_tokens = True
         self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.known: dict[str, bytes] = {}
-
-    def cut(self, text: str) -> list[str]:
-        return self.pattern.findall(text) if OTHER.search(text) else PLAIN.findall(text)
+        self.clear()
+
+    def clear(self) -> None:
+        size = 1 << KNOWN_BITS
+        self.keys, self.at, self.size = np.zeros(size, np.uint64), np.zeros(size, np.int64), np.zeros(size, np.int64)
+        self.ids, self.used, self.entries = np.zeros(1 << 20, np.uint32), 0, 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Slot of each hash, or the negative of the free slot where its probe ended, less one."""
+        mask = (1 << KNOWN_BITS) - 1
+        slot = (h >> np.uint64(64 - KNOWN_BITS)).astype(np.int64)
+        open_ = np.arange(len(h))
+        while len(open_):
+            key = self.keys[slot[open_]]
+            free = key == 0
+            slot[open_[free]] = -slot[open_[free]] - 1
+            open_ = open_[~free & (key != h[open_])]
+            slot[open_] = (slot[open_] + 1) & mask
+        return slot
+
+    def add(self, hashes: list[int], pieces: list[str]) -> None:
+        mask = (1 << KNOWN_BITS) - 1
+        for h, got in zip(hashes, self.inner.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
+            ids = got.ids
+            slot = h >> (64 - KNOWN_BITS)
+            while self.keys[slot] and self.keys[slot] != h:
+                slot = (slot + 1) & mask
+            if self.used + len(ids) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + len(ids), np.uint32)])
+            self.ids[self.used : self.used + len(ids)] = ids
+            self.keys[slot], self.at[slot], self.size[slot] = h, self.used, len(ids)
+            self.used += len(ids)
+        self.entries += len(pieces)
+
+    def encode_plain(self, texts: list[str]) -> list[np.ndarray]:
+        whole = "".join(texts)
+        codes = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        ends = np.cumsum([len(t) for t in texts])
+        first = np.zeros(len(codes), bool)
+        first[(ends - [len(t) for t in texts])[[len(t) > 0 for t in texts]]] = True
+        start = piece_starts(codes, first)
+        stop = np.append(start[1:], len(codes))
+        with np.errstate(over="ignore"):
+            up, down = powers(len(codes) + 1)
+            sums = np.zeros(len(codes) + 1, np.uint64)
+            np.cumsum((codes + np.uint64(1)) * up[: len(codes)], out=sums[1:])
+            h = (sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64)
+            h = (h ^ (h >> np.uint64(31))) * PRIME
+            h = (h ^ (h >> np.uint64(29))) | np.uint64(1)
+        slot = self.find(h)
+        missing = np.flatnonzero(slot < 0)
+        if len(missing):
+            if self.entries + len(missing) > 1 << (KNOWN_BITS - 1):
+                self.clear()
+                missing = np.arange(len(h))
+            new, at = np.unique(h[missing], return_index=True)
+            at = missing[at]
+            self.add(new.tolist(), [whole[a:b] for a, b in zip(start[at].tolist(), stop[at].tolist(), strict=True)])
+            slot[missing] = self.find(h[missing])
+        size = self.size[slot]
+        out = np.repeat(self.at[slot] - (np.cumsum(size) - size), size)
+        ids = self.ids[out + np.arange(len(out))]
+        tokens = np.concatenate([[0], np.cumsum(size)])
+        cuts = tokens[np.searchsorted(start, ends)]
+        return np.split(ids, cuts[:-1])
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
-        pieces = [self.cut(t) for t in texts]
-        distinct = set().union(*pieces)
-        new = list(distinct.difference(self.known))
-        if len(self.known) + len(new) > KNOWN_MAX:
-            self.known, new = {}, list(distinct)
-        for piece, got in zip(new, self.inner.encode_batch_fast(new, add_special_tokens=False) if new else [], strict=True):
-            ids = got.ids
-            self.known[piece] = struct.pack(f"<{len(ids)}I", *ids)
-        find = self.known.__getitem__
-        return [b"".join(map(find, p)) for p in pieces]
+        plain = [not OTHER.search(t) for t in texts]
+        done = iter(self.encode_plain([t for t, p in zip(texts, plain, strict=True) if p]) if any(plain) else [])
+        other = iter(self.inner.encode_batch([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False) if not all(plain) else [])
+        return [(next(done) if p else np.array(next(other).ids, np.uint32)).astype("<u4").tobytes() for p in plain]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """PRIME**i and its inverse modulo 2**64; kept for the longest input so far."""
+    if len(_state.get("up", ())) < n:
+        for name, base in (("up", PRIME), ("down", np.uint64(pow(int(PRIME), -1, 1 << 64)))):
+            steps = np.full(n + n // 2, base)
+            steps[0] = 1
+            _state[name] = np.cumprod(steps)
+    return _state["up"], _state["down"]
 
 
 def tokenizer(path: str) -> PieceTokenizer:
