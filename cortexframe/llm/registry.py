@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import htmltext, langid, media, minhash, mixing, neardup_vectors, packing, suffixes, toxicity
+from . import htmltext, langid, media, minhash, mixing, neardup_vectors, packing, perplexity, suffixes, toxicity
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_line_blocks": htmltext.op7_line_blocks,
         "op8_order_minhash": minhash.op8_order_minhash,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
+        "op10_kneser_ney": perplexity.op10_kneser_ney,
     }
 
 
