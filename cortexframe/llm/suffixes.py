@@ -392,7 +392,10 @@ def kept_text(data: np.ndarray, gone: np.ndarray) -> str:
 
 
 def repeated_passages(docs: DataFrame, min_bytes: int = MIN_BYTES, hot_bucket: int = 5000, with_text: bool = False) -> DataFrame:
-    """Per row of ``docs(doc_id, text)``: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` (and ``kept_text``).
+    """Per row of ``docs(doc_id, text)``: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``.
+
+    ``with_text`` adds ``text_sha256`` of the input and ``kept_text``, whose characters are
+    whole: one of which some bytes are covered stays.
 
     Null and empty texts and texts under ``min_bytes`` lose nothing.  Rows with a null
     doc_id neither remove nor lose anything; rows repeating one doc_id do not remove from
@@ -442,13 +445,13 @@ def repeated_passages(docs: DataFrame, min_bytes: int = MIN_BYTES, hot_bucket: i
                 for t, data, spans in zip(z, _unpacked(z), part.column(2).to_pylist(), strict=True):
                     gone = covered(len(data), spans, length)
                     rises = int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum())
-                    rows.append((len(data), int(gone.sum()), rises, hashlib.sha256(data[~gone].tobytes()).hexdigest(), (None if t is None else kept_text(data, gone)) if with_text else None))
+                    rows.append((len(data), int(gone.sum()), rises, hashlib.sha256(data[~gone].tobytes()).hexdigest(), *((hashlib.sha256(data.tobytes()).hexdigest(), None if t is None else kept_text(data, gone)) if with_text else ())))
                 cols = list(zip(*rows, strict=True))
-                made = [*[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string()), *([pa.array(cols[4], pa.string())] if with_text else [])]
-                yield pa.RecordBatch.from_arrays([part.column(0), *made], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * with_text])
+                made = [*[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string()), *[pa.array(c, pa.string()) for c in cols[4:]]]
+                yield pa.RecordBatch.from_arrays([part.column(0), *made], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["text_sha256", "kept_text"] * with_text])
 
     return joined.mapInArrow(
-        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
+        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text_sha256 string, kept_text string" * with_text
     )
 
 
