@@ -205,7 +205,8 @@ def shared_names(base: DataFrame, length: int, total_bytes: int) -> DataFrame:
 def segments(named: DataFrame, length: int) -> DataFrame:
     """Runs of windows with one shared name: ``key, ctx, doc_id, s, n, settled``.
 
-    ``settled`` runs are equal to one of a smaller document in the same block.
+    ``settled`` runs are equal to one of a smaller document in the same block; those that
+    follow each other are one row.
     """
     w = length - gram(length) + 1
     names = ["key", "ctx", "doc_id", "s", "n", "settled"]
@@ -217,7 +218,11 @@ def segments(named: DataFrame, length: int) -> DataFrame:
         first = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])))
         settled = np.empty(len(k), bool)
         settled[order] = o != np.repeat(o[first], np.diff(np.append(first, len(k))))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, ctx, d, s.astype(np.int32), n.astype(np.int32), settled)], names=names)
+        # runs come in text order
+        follows = settled[1:] & settled[:-1] & (d[1:] == d[:-1]) & (s[1:] == s[:-1] + n[:-1])
+        head = np.flatnonzero(np.append(True, ~follows))
+        n = np.add.reduceat(n, head)
+        return pa.RecordBatch.from_arrays([pa.array(x[head]) for x in (key, ctx, d, s.astype(np.int32))] + [pa.array(n.astype(np.int32)), pa.array(settled[head])], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []
@@ -367,18 +372,16 @@ def _refine_hot(hot: DataFrame, length: int) -> DataFrame:
     return beaten.mapInArrow(bitmaps, "key long, ctx long, hits binary")
 
 
-def covered(n_bytes: int, spans: list[dict] | None, length: int) -> np.ndarray:
-    """Mask of removed bytes."""
+def covered(n_bytes: int, runs: pa.Array | None, hits: list[dict] | None, length: int) -> np.ndarray:
+    """Mask of removed bytes, from whole runs (start and number of windows in one long) and bitmaps of windows."""
     edge = np.zeros(n_bytes + 1, np.int64)
-    for s in spans or ():
-        if s["hits"] is None:
-            at = np.array([s["s"]])
-            stop = at + s["n"] + length - 1
-        else:
-            at = s["s"] + np.flatnonzero(np.unpackbits(np.frombuffer(s["hits"], np.uint8), bitorder="little"))
-            stop = at + length
-        np.add.at(edge, np.minimum(at, n_bytes), 1)
-        np.add.at(edge, np.minimum(stop, n_bytes), -1)
+    both = runs.to_numpy() if runs is not None else np.zeros(0, np.int64)
+    starts, stops = [both >> 32], [(both >> 32) + (both & 0xFFFFFFFF) + length - 1]
+    for h in hits or ():
+        at = h["s"] + np.flatnonzero(np.unpackbits(np.frombuffer(h["hits"], np.uint8), bitorder="little"))
+        starts.append(at), stops.append(at + length)
+    np.add.at(edge, np.minimum(np.concatenate(starts), n_bytes), 1)
+    np.add.at(edge, np.minimum(np.concatenate(stops), n_bytes), -1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -413,28 +416,38 @@ def repeated_passages(docs: DataFrame, min_bytes: int = MIN_BYTES, hot_bucket: i
     copies = materialize(sizes.hint("merge").join(firsts, "sha").where("doc_id > first").select("doc_id", "n_bytes"), "suffix-copies")
     # one exchange of all texts; the filters keep its plan the same wherever it is read
     texts = packed_texts(known).where("doc_id is not null").repartition("doc_id")
-    shared = shared_names(texts.hint("merge").join(copies, "doc_id", "left_anti"), length, total)
+    # not an anti-join, which would be pushed below the exchange and make it another one
+    marked = texts.hint("merge").join(copies.groupBy("doc_id").agg(F.lit(True).alias("copy")), "doc_id", "left")
+    shared = shared_names(marked.where("copy is null"), length, total)
     runs = segments(texts.hint("merge").join(shared, "doc_id"), length)
-    open_ = runs.where("not settled").select("key", "ctx", "doc_id", "s", "n").repartition("key", "ctx")
+    # the filters that later joins would push down are written here, so that all read one exchange
+    present = "key is not null and ctx is not null and doc_id is not null"
+    open_ = runs.where(f"not settled and {present}").select("key", "ctx", "doc_id", "s", "n").repartition("key", "ctx")
     subs = open_.groupBy("key", "ctx").agg(F.min(F.struct("doc_id", "s", "n")).alias("f"))
-    counts = subs.groupBy("key").agg(F.count("*").alias("subs")).where("subs > 1")
+    # counting f keeps all columns below, and with them one exchange of the runs
+    counts = subs.groupBy("key").agg(F.count("f").alias("subs")).where("subs > 1")
     mixed = subs.hint("merge").join(counts, "key").select("key", "ctx", "subs", "f.doc_id", "f.s", "f.n")
-    lists = mixed.groupBy("doc_id").agg(F.collect_list(F.struct("key", "ctx", "s", "n")).alias("runs"))
-    hot = counts.where(F.col("subs") > hot_bucket).select("key", F.lit(True).alias("hot"))
-    blobs = contents(texts.hint("merge").join(lists, "doc_id"), length).join(hot, "key", "left")
-    plain = blobs.where("hot is null").select("key", "ctx", "m", "bytes").repartition("key").sortWithinPartitions("key")
+
+    def bytes_of(part: DataFrame) -> DataFrame:
+        lists = part.groupBy("doc_id").agg(F.collect_list(F.struct("key", "ctx", "s", "n")).alias("runs"))
+        return contents(texts.hint("merge").join(lists, "doc_id"), length)
+
+    plain = bytes_of(mixed.where(F.col("subs") <= hot_bucket)).repartition("key").sortWithinPartitions("key")
     hits = plain.mapInArrow(refine_sorted(length), "key long, ctx long, hits binary")
-    hits = hits.unionByName(_refine_hot(blobs.where("hot"), length))
+    hits = hits.unionByName(_refine_hot(bytes_of(mixed.where(F.col("subs") > hot_bucket)), length))
     settled = subs.select("key", "ctx", F.col("f.doc_id").alias("m")).hint("merge").join(hits, ["key", "ctx"], "left")
     found = open_.hint("merge").join(settled, ["key", "ctx"]).where("doc_id > m or hits is not null")
-    found = found.select("doc_id", "s", "n", F.when(F.col("doc_id") == F.col("m"), F.col("hits")).alias("hits"))
-    none = F.lit(None).cast("binary").alias("hits")
-    found = found.unionByName(runs.where("settled").select("doc_id", "s", "n", none))
-    found = found.unionByName(copies.select("doc_id", F.lit(0).alias("s"), (F.col("n_bytes") - length + 1).cast("int").alias("n"), none))
-    spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("s", "n", "hits")).alias("spans"))
-    joined = texts.hint("merge").join(spans, "doc_id", "left").select("doc_id", "z", "spans")
+    whole = (F.col("s").cast("long") * F.lit(1 << 32) + F.col("n")).alias("run")
+    no_run, no_hits = F.lit(None).cast("long").alias("run"), F.lit(None).cast("struct<s:int,hits:binary>").alias("hit")
+    found = found.select(
+        "doc_id", F.when(F.col("doc_id") > F.col("m"), whole).alias("run"), F.when(F.col("doc_id") == F.col("m"), F.struct("s", "hits")).alias("hit")
+    )
+    found = found.unionByName(runs.where("settled").select("doc_id", whole, no_hits))
+    found = found.unionByName(copies.select("doc_id", (F.col("n_bytes") - length + 1).alias("run"), no_hits))
+    spans = found.groupBy("doc_id").agg(F.collect_list("run").alias("runs"), F.collect_list("hit").alias("hits"))
+    joined = texts.hint("merge").join(spans, "doc_id", "left").select("doc_id", "z", "runs", "hits")
     nameless = packed_texts(docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), "text"))
-    joined = joined.unionByName(nameless.withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)))
+    joined = joined.unionByName(nameless, allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -442,8 +455,8 @@ def repeated_passages(docs: DataFrame, min_bytes: int = MIN_BYTES, hot_bucket: i
                 part = batch.slice(at, 500)
                 rows = []
                 z = part.column(1).to_pylist()
-                for t, data, spans in zip(z, _unpacked(z), part.column(2).to_pylist(), strict=True):
-                    gone = covered(len(data), spans, length)
+                for t, data, whole_runs, hit_runs in zip(z, _unpacked(z), part.column(2), part.column(3).to_pylist(), strict=True):
+                    gone = covered(len(data), whole_runs.values, hit_runs, length)
                     rises = int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum())
                     rows.append((len(data), int(gone.sum()), rises, hashlib.sha256(data[~gone].tobytes()).hexdigest(), *((hashlib.sha256(data.tobytes()).hexdigest(), None if t is None else kept_text(data, gone)) if with_text else ())))
                 cols = list(zip(*rows, strict=True))
