@@ -1 +1 @@
-
+"""Operators of the engine."""

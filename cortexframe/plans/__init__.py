@@ -1 +1 @@
-
+"""Plans of the engine."""
