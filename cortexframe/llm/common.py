@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +46,27 @@ def crc_mod(col: str, mod: int):
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % mod
 
 
+def pack_texts(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` columns and ``z``: texts as Zstandard frames, to be shuffled; null stays null."""
+    narrow = docs.select(*keep, "text")
+    schema = StructType([narrow.schema[c] for c in keep]).add("z", BinaryType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                z = [None if t is None else squeeze(t.encode("utf-8", "surrogatepass")) for t in part.column(len(keep)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(z, pa.binary())], names=schema.names)
+
+    return narrow.mapInArrow(run, schema)
+
+
+def unpack_texts(z: list[bytes | None]) -> list[bytes | None]:
+    open_ = zstandard.ZstdDecompressor().decompress
+    return [None if x is None else open_(x) for x in z]
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)`` as ``(id, component)``.
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructType
 
-from .common import crc_mod, documents, materialize
+from .common import crc_mod, documents, materialize, pack_texts, unpack_texts
 
 ORDER = 5
 SYMBOL = 12  # bits of a character
@@ -54,19 +54,22 @@ def grams(text: str | None) -> np.ndarray:
 
 
 def corpus_grams(docs: DataFrame) -> DataFrame:
-    """``lang, g, c``: distinct 5-grams of ``docs(text, lang, trusted)`` and their count in trusted text."""
+    """``lang, g, c``: distinct 5-grams of ``docs(z, lang, trusted)``, whose texts are packed, and their count in trusted text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             by: dict[str | None, list] = {}
             held = 0
-            for t, lang, trusted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                g = grams(t)
-                by.setdefault(lang, []).append((g, bool(trusted)))
-                held += len(g)
-                if held > 4_000_000:
-                    yield from settle(by)
-                    by, held = {}, 0
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = unpack_texts(part.column(0).to_pylist())
+                for t, lang, trusted in zip(texts, part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    g = grams(None if t is None else t.decode("utf-8", "surrogatepass"))
+                    by.setdefault(lang, []).append((g, bool(trusted)))
+                    held += len(g)
+                    if held > 4_000_000:
+                        yield from settle(by)
+                        by, held = {}, 0
             yield from settle(by)
 
     def settle(by: dict) -> Iterator[pa.RecordBatch]:
@@ -77,7 +80,7 @@ def corpus_grams(docs: DataFrame) -> DataFrame:
             c = np.bincount(at, weight, minlength=len(seen)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(seen), pa.array(c)], names=["lang", "g", "c"])
 
-    raw = docs.select("text", "lang", "trusted").mapInArrow(run, "lang string, g long, c long")
+    raw = docs.select("z", "lang", "trusted").mapInArrow(run, "lang string, g long, c long")
     return raw.groupBy(F.coalesce("lang", F.lit("")).alias("lang"), "g").agg(F.sum("c").alias("c"))
 
 
@@ -184,7 +187,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE,
     base = docs.select("doc_id", "text", "lang")
     # labels are two numbers a row; texts meet them by doc_id without being collected
     ids = base.select("doc_id").distinct().join(marks, "doc_id").where("good = 1").select(F.col("doc_id").alias("_id"))
-    trusted = base.select("doc_id", "text", "lang").join(ids, F.col("doc_id") == F.col("_id"), "left")
+    trusted = pack_texts(base, ["doc_id", "lang"]).hint("merge").join(ids, F.col("doc_id") == F.col("_id"), "left")
     trusted = trusted.withColumn("trusted", F.col("_id").isNotNull() & (crc_mod("doc_id", 4) != 3))
     corpus = materialize(corpus_grams(trusted), "kn-corpus")
     model = kneser_ney(corpus)

@@ -32,11 +32,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize
+from .common import documents, materialize, pack_texts, unpack_texts
 
 MIN_BYTES = 50
 KEY_BITS = 48
@@ -115,27 +114,8 @@ def decode_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.cumsum(_unplanes(raw[: 6 * n], 6)), _unplanes(raw[6 * n : 14 * n], 8).astype(np.int64) + base, raw[14 * n :].astype(bool)
 
 
-def _bytes(text: str | None) -> np.ndarray:
-    return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-
-
-def packed_texts(docs: DataFrame) -> DataFrame:
-    """``doc_id, z``: texts as Zstandard frames; null stays null."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                z = [None if t is None else squeeze(t.encode("utf-8", "surrogatepass")) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(z, pa.binary())], names=["doc_id", "z"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, z binary")
-
-
 def _unpacked(z: list[bytes | None]) -> list[np.ndarray]:
-    open_ = zstandard.ZstdDecompressor().decompress
-    return [np.frombuffer(b"" if x is None else open_(x), np.uint8) for x in z]
+    return [np.frombuffer(x or b"", np.uint8) for x in unpack_texts(z)]
 
 
 def shared_names(base: DataFrame, length: int, total_bytes: int) -> DataFrame:
@@ -415,7 +395,7 @@ def repeated_passages(docs: DataFrame, min_bytes: int = MIN_BYTES, hot_bucket: i
     firsts = sizes.groupBy("sha").agg(F.min("doc_id").alias("first"))
     copies = materialize(sizes.hint("merge").join(firsts, "sha").where("doc_id > first").select("doc_id", "n_bytes"), "suffix-copies")
     # one exchange of all texts; the filters keep its plan the same wherever it is read
-    texts = packed_texts(known).where("doc_id is not null").repartition("doc_id")
+    texts = pack_texts(known, ["doc_id"]).where("doc_id is not null").repartition("doc_id")
     # not an anti-join, which would be pushed below the exchange and make it another one
     marked = texts.hint("merge").join(copies.groupBy("doc_id").agg(F.lit(True).alias("copy")), "doc_id", "left")
     shared = shared_names(marked.where("copy is null"), length, total)
@@ -446,7 +426,7 @@ def repeated_passages(docs: DataFrame, min_bytes: int = MIN_BYTES, hot_bucket: i
     found = found.unionByName(copies.select("doc_id", (F.col("n_bytes") - length + 1).alias("run"), no_hits))
     spans = found.groupBy("doc_id").agg(F.collect_list("run").alias("runs"), F.collect_list("hit").alias("hits"))
     joined = texts.hint("merge").join(spans, "doc_id", "left").select("doc_id", "z", "runs", "hits")
-    nameless = packed_texts(docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), "text"))
+    nameless = pack_texts(docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), "text"), ["doc_id"])
     joined = joined.unionByName(nameless, allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
