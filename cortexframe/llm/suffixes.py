@@ -159,7 +159,7 @@ def shared_names(base: DataFrame, length: int, total_bytes: int) -> DataFrame:
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids.append(d), texts.append(t)
                 held += len(t or b"")
-                if held > 8_000_000:
+                if held > 4_000_000:
                     yield from emit(ids, texts)
                     ids, texts, held = [], [], 0
         if ids:
@@ -229,7 +229,7 @@ def segments(named: DataFrame, length: int) -> DataFrame:
                         ctx = range_hash(sums, s, s + n + length - 1).view(np.int64)
                     parts.append((key, ctx, np.full(len(s), d, np.int64), s, n))
                     held += len(s)
-                if held > 300_000:
+                if held > 150_000:
                     yield block(parts)
                     parts, held = [], 0
         if held:

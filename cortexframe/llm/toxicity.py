@@ -54,7 +54,7 @@ def _subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         h = np.zeros(len(codes), dtype=np.uint64)
         for n in range(1, N_MAX + 1):
             shifted = np.zeros_like(codes)
-            shifted[: len(codes) - n + 1] = codes[n - 1 :]
+            shifted[: max(0, len(codes) - n + 1)] = codes[n - 1 :]
             h = (h ^ shifted) * PRIME
             h ^= h >> np.uint64(29)
             if n >= N_MIN:
