@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import documents, materialize
 
+#: a source table of at most so many rows is broadcast; a longer one is joined by shuffles
+FEW_SOURCES = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -99,9 +101,10 @@ def mix_sources(
     sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = materialize(source_targets(sizes, weights, share, cap), "mix-targets")
+    small = F.broadcast if targets.count() <= FEW_SOURCES else (lambda df: df)
     items = (
         sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("c"))
-        .join(targets.withColumnRenamed("source", "src"), F.col("source").eqNullSafe(F.col("src"))).drop("src")
+        .join(small(targets.withColumnRenamed("source", "src")), F.col("source").eqNullSafe(F.col("src"))).drop("src")
     )
     ratio = F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     # a ratio within rounding of a whole number is that number
@@ -114,7 +117,7 @@ def mix_sources(
     tops = counts.select(F.col("source").alias("src"), F.ceil(F.col("n") / F.lit(fan_in)).alias("buckets"))
     key = F.xxhash64("doc_id", "source", "size", F.lit(seed))
     level = (
-        open_.join(tops, F.col("source").eqNullSafe(F.col("src"))).drop("src")
+        open_.join(small(tops), F.col("source").eqNullSafe(F.col("src"))).drop("src")
         .select(
             "source",
             F.pmod(F.xxhash64(key), F.col("buckets")).alias("bucket"),
@@ -139,7 +142,7 @@ def mix_sources(
     per_source = targets.join(bases.withColumnRenamed("source", "b_source"), F.col("source").eqNullSafe(F.col("b_source")), "left").select(
         F.col("source").alias("src"), "source_size", "target", F.coalesce("base", F.lit(0)).alias("base")
     )
-    out = extra.unionByName(rest).join(per_source, F.col("source").eqNullSafe(F.col("src"))).drop("src")
+    out = extra.unionByName(rest).join(small(per_source), F.col("source").eqNullSafe(F.col("src"))).drop("src")
     copies = F.when(F.col("size") > 0, F.col("base") + F.col("extra")).otherwise(0).cast("int")
     return (
         out.withColumn("copies", copies)
