@@ -130,8 +130,11 @@ def fit_languages(docs: DataFrame, per_language: int = 300, chars: int = 20_000)
     ranked = docs.where("text is not null and lang is not null").select(
         "doc_id", "lang", F.substring("text", 1, chars).alias("text"), F.xxhash64("doc_id", F.lit(5)).alias("_h")
     )
-    ids = ranked.select("doc_id", "lang", "_h").withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id")))
-    picks = ids.where(F.col("_r") <= per_language).select("doc_id", "lang")
+    # the least of each language among the least of each of its 64 parts: no task ranks a whole language
+    ids = ranked.select("doc_id", "lang", "_h", F.pmod(F.xxhash64("_h"), F.lit(64)).alias("_part"))
+    for group in (["lang", "_part"], ["lang"]):
+        ids = ids.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy("_h", "doc_id"))).where(F.col("_r") <= per_language).drop("_r")
+    picks = ids.select("doc_id", "lang")
     rows = ranked.drop("_h").join(F.broadcast(picks), ["doc_id", "lang"])  # at most per_language rows a language
     texts: dict[str, list[tuple]] = {}
     for r in rows.toLocalIterator():
