@@ -121,14 +121,13 @@ def build(texts: dict[str, list[str]]) -> LanguageFilters:
     return LanguageFilters(languages, table, np.array(rates), np.array(hit))
 
 
-def fit_languages(docs: DataFrame, per_language: int = 300, chars: int = 20_000) -> LanguageFilters:
+def fit_languages(docs: DataFrame, per_language: int = 300) -> LanguageFilters:
     """Filters from at most ``per_language`` rows of each language of ``docs(doc_id, text, lang)``.
 
-    Rows are picked by hash of doc_id; of a picked text ``chars`` characters are learnt from.
-    Null texts and languages are left out.
+    Rows are picked by hash of doc_id and learnt from whole.  Null texts and languages are left out.
     """
     ranked = docs.where("text is not null and lang is not null").select(
-        "doc_id", "lang", F.substring("text", 1, chars).alias("text"), F.xxhash64("doc_id", F.lit(5)).alias("_h")
+        "doc_id", "lang", "text", F.xxhash64("doc_id", F.lit(5)).alias("_h")
     )
     # the least of each language among the least of each of its 64 parts: no task ranks a whole language
     ids = ranked.select("doc_id", "lang", "_h", F.pmod(F.xxhash64("_h"), F.lit(64)).alias("_part"))
