@@ -32,7 +32,7 @@ ORDER = 5
 SYMBOL = 12  # bits of a character
 CLASSES = 1 << SYMBOL
 BROADCAST_ROWS = 6_000_000
-QUANTILE, SPREAD = 0.99, 3.0
+QUANTILE, SPREAD = 0.99, 5.0
 _DIGIT, _SPACE = re.compile(r"\d"), re.compile(r"\s+")
 
 
