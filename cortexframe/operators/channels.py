@@ -180,6 +180,19 @@ def channel_type(name: Column, position_type: Column) -> Column:
     )
 
 
+def pick_channels(signal: DataFrame, picks: list[str] | list[int] | None) -> DataFrame:
+    """Rows of the channels named, or numbered from 1; None takes all.  Unknown ones are an error."""
+    if picks is None:
+        return signal
+    by = "ch_idx" if all(isinstance(p, int) for p in picks) else "channel"
+    chosen = signal.where(F.col(by).isin(list(picks)))
+    found = {r[0] for r in chosen.select(by).distinct().collect()}  # at most as many as picks
+    missing = [p for p in picks if p not in found]
+    if missing:
+        raise ValueError(f"no such channels: {missing}")
+    return chosen
+
+
 def classify_channels(channels: DataFrame, name: str = "channel") -> DataFrame:
     """``channels`` with ``channel_type``: eeg, external or status."""
     found = lookup_electrodes(channels, name)

@@ -23,6 +23,15 @@ def factor_for(sampling_rate: float, target: float) -> int:
     return factor
 
 
+def check_bands(bands: dict[str, tuple[float, float]], target: float, cutoff_ratio: float = 0.9) -> list[str]:
+    """Names of bands that a low-pass for ``target`` would cut; warns of them."""
+    limit = cutoff_ratio * target / 2
+    cut = [name for name, (_, high) in bands.items() if high > limit]
+    if cut:
+        warnings.warn(f"bands {cut} reach above {limit} Hz and will be weakened", stacklevel=2)
+    return cut
+
+
 def keep_every(signal: DataFrame, factor: int, sampling_rate: float) -> DataFrame:
     """Samples 1, 1 + factor, ... renumbered, with their new times."""
     kept = signal.where((F.col("sample_idx") - 1) % factor == 0)

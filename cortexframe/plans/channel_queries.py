@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import channels as C
+from ..operators import describe
 from ..operators import quality as Q
 from ..operators import reference as R
 from ..operators import resample as D
@@ -157,6 +158,14 @@ def _reref_sql(mean: str, change: str = "value - m", where: str = "true") -> str
 
 
 QUERIES = {
+    "channel_pick": (
+        lambda s, d: C.pick_channels(_L(s, d), ["Oz", "Pz"]).groupBy("recording_id", "channel").agg(F.count("*").alias("n")),
+        f"with {SIG_L} select recording_id, channel, count(*) n from sig where channel in ('Oz', 'Pz') group by 1, 2",
+    ),
+    "montage_overview": (
+        lambda s, d: describe.describe_montage(_montage(s, d)),
+        f"with {_CUST}, m as (select distinct channel, x, y, z from found where x is not null) select count(*) n_channels, min(x) min_x, max(x) max_x, min(y) min_y, max(y) max_y, min(z) min_z, max(z) max_z from m",
+    ),
     "channel_stats": (_stats, f"with {SIG_L} select recording_id, ch_idx, channel, round(min(value), 4) + 0.0 min, round(max(value), 4) + 0.0 max, round(avg(value), 4) + 0.0 mean, round(stddev_samp(value), 4) + 0.0 sd from sig group by 1, 2, 3"),
     "channel_pooled_sd": (lambda s, d: _r(Q.pooled_sd(_L(s, d)), "pooled_sd"), f"with {SIG_L} select recording_id, round(stddev_samp(value), 4) + 0.0 pooled_sd from sig group by 1"),
     "channel_flags": (

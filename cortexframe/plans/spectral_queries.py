@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import channels as C
-from ..operators import erp, filters, ica, spectra, topography, views
+from ..operators import describe, erp, filters, ica, spectra, topography, views
 from ..sources import adapters as A
 from .channel_queries import _CUST, _REGION_SQL, _r, customer_channels
 from .tables_sql import EMB, SIG_E, SIG_L, values
@@ -206,7 +206,16 @@ def _electrode_view(spark, sf):
     return views.electrode_view(C.create_montage(customer_channels(spark, sf)), ["Cz", "Pz"]).select("channel", "region", "highlighted")
 
 
+def _spectrum_overview(spark, sf):
+    out = describe.describe_spectrum(spectra.welch_psd(_E(spark, sf), KEYS, "rel_idx", A.EPOCH_RATE, N, 0.5), KEYS)
+    return _r(out, "low", "high", "peak_frequency", "peak_power", "resolution", digits=8)
+
+
 QUERIES = {
+    "spectrum_overview": (
+        _spectrum_overview,
+        f"with {_SEG} select epoch_id, count(*) n_bins, min(f) low, max(f) high, arg_max(f, p) peak_frequency, round(max(p), 8) + 0.0 peak_power, (max(f) - min(f)) / (count(*) - 1) resolution from psd group by 1",
+    ),
     "fft_power": (_fft(), _power_sql(_X, "epoch_id", 64)),
     "fft_zero_pad": (_fft(n_fft=128), _power_sql(_X, "epoch_id", 128)),
     "fft_no_window": (_fft(window="none", remove_dc=False), _power_sql(f"{EMB}, x as (select epoch_id, rel_idx, value v from emb)", "epoch_id", 64)),

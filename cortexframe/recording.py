@@ -38,6 +38,16 @@ class Recording:
         names = signal.select("recording_id", "ch_idx", "channel").distinct()
         return cls(signal, channels_.classify_channels(names), events, float(sampling_rate), **more)
 
+    @classmethod
+    def from_matrix(cls, spark: SparkSession, data, channels: list[str], sampling_rate: float, recording_id: str = "recording", **more) -> Recording:
+        """From an array of channels by samples, a row a channel."""
+        if len(data) != len(channels):
+            raise ValueError(f"{len(data)} rows of data for {len(channels)} channels")
+        rows = [(recording_id, i + 1, c, [float(v) for v in x]) for i, (c, x) in enumerate(zip(channels, data, strict=True))]
+        wide = spark.createDataFrame(rows, "recording_id string, ch_idx int, channel string, x array<double>")
+        laid = wide.select("recording_id", "ch_idx", "channel", F.posexplode("x").alias("_i", "value"))
+        return cls.from_signal(laid.select("recording_id", "ch_idx", "channel", (F.col("_i") + 1).cast("long").alias("sample_idx"), "value"), sampling_rate, **more)
+
     @classmethod
     def from_bdf(cls, spark: SparkSession, path: str, channels: list[str] | None = None) -> Recording:
         from .sources.bdf import read_bdf, read_bdf_header, status_of

@@ -173,6 +173,14 @@ def read_bdf_header(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("bdf_header").option("path", path).load()
 
 
+def scan_channels(spark: SparkSession, path: str) -> DataFrame:
+    """A file's channels and what they are: ``recording_id, ch_idx, channel, position_type, region, standard_system``."""
+    from ..operators.channels import lookup_electrodes
+
+    found = lookup_electrodes(read_bdf_header(spark, path))
+    return found.select("recording_id", "ch_idx", "channel", "sampling_rate", "position_type", "region", "standard_system")
+
+
 def status_of(signal: DataFrame) -> DataFrame:
     """The status line: the channel named so, else the last of each recording."""
     rank = F.struct((F.lower(F.trim("channel")) == "status").cast("int"), F.col("ch_idx"))

@@ -240,6 +240,27 @@ def test_recording_chain(spark):
         Recording.from_signal(s.drop("value"), 128.0)
 
 
+def test_small_helpers(spark, tmp_path):
+    from cortexframe.operators import describe
+    from cortexframe.sources import bdf
+
+    r = Recording.from_matrix(spark, [[1, 2, 3], [4, 5, 6]], ["Cz", "EXG1"], 10.0)
+    assert values_of(r.signal, "EXG1") == [4, 5, 6] and r.overview().first()["n_eeg"] == 1
+    with pytest.raises(ValueError):
+        Recording.from_matrix(spark, [[1]], ["Cz", "Pz"], 10.0)
+    assert channels.pick_channels(r.signal, [2]).count() == 3
+    with pytest.raises(ValueError):
+        channels.pick_channels(r.signal, ["Cz", "Fz"])
+    with pytest.warns(UserWarning):
+        assert resample.check_bands({"alpha": (8, 13), "gamma": (30, 100)}, 64) == ["gamma"]
+    assert describe.describe_ica(spark, ica.ICA(["Cz"])).first()["fitted"] is False
+    (tmp_path / "b.bdf").write_bytes(bdf_format.build_file(["Cz", "Status"], [[np.array([1, 2]), np.array([0, 0])]], [2, 2]))
+    got = {x["channel"]: x["position_type"] for x in bdf.scan_channels(spark, str(tmp_path / "b.bdf")).collect()}
+    assert got == {"Cz": "Central", "Status": "Status/Metadata"}
+    bdf.write_events_csv(events_of(spark, [1], [2], 10), str(tmp_path / "csv"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 1
+
+
 def test_stream_decodes_across_batches(spark, tmp_path):
     from cortexframe.streaming.triggers import decode_stream
 
