@@ -37,6 +37,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: rows of an Arrow batch, so that long texts don't add up
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches to ``BATCH_ROWS`` rows and ``BATCH_BYTES``, unless the session sets its own bounds."""
+    for key, bound in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(name, None) is None:  # not set by anyone
+            spark.conf.set(name, str(bound))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

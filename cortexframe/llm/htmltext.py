@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import LongType, StringType, StructType
 
+from .common import bounded_batches
+
 WINDOW = 2
 SHARE = 0.3
 
@@ -172,6 +174,7 @@ def extract_main_text(pages: DataFrame, html: str = "html") -> DataFrame:
 
     The text is never cut.  Input columns named ``text`` or ``n_chars`` are replaced.
     """
+    bounded_batches(pages.sparkSession)
     keep = [c for c in pages.columns if c not in (html, "text", "n_chars")]
     narrow = pages.select(*[f"`{c}`" for c in keep], f"`{html}`")
     schema = StructType([pages.schema[c] for c in keep]).add("text", StringType()).add("n_chars", LongType())

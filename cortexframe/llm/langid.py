@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from .common import crc_mod, documents
+from .common import bounded_batches, crc_mod, documents
 
 GRAMS = (2, 3, 4, 5)
 BITS = 22
@@ -146,6 +146,7 @@ def identify(docs: DataFrame, model: LanguageFilters) -> DataFrame:
 
     A null text and one without a letter give ``und`` and 0; ties go to the first language by name.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = StructType([*docs.schema.fields]).add("lang_pred", StringType()).add("lang_score", DoubleType())
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import bounded_batches, documents
 
 WIDTH = 24
 UNIT = 576  # bytes; a whole number of rows of WIDTH samples
@@ -173,6 +173,7 @@ def media_features(df: DataFrame, media: str, keep: list[str], side: int = 32) -
     the decoded samples and of the stored file, and ``error``.  A null or broken file
     gives nulls and says why in ``error``; equal files give equal values.
     """
+    bounded_batches(df.sparkSession)
     narrow = df.select(*keep, F.col(media).alias("_media"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import documents, materialize
+from .common import bounded_batches, documents, materialize
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END = 2
@@ -184,6 +184,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def token_pieces(docs: DataFrame, capacity: int = 1024, end: int = END, path: str = TOKENIZER) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of ``docs(doc_id, text)``; a null text is empty and still ends with ``end``."""
+    bounded_batches(docs.sparkSession)
     from pyspark.sql.types import IntegerType, LongType, StructType
 
     schema = StructType([docs.schema["doc_id"]]).add("piece", IntegerType()).add("start", LongType()).add("length", LongType()).add("ids_crc32", LongType())

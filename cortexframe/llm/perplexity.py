@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructType
 
-from .common import crc_mod, documents, materialize, pack_texts, unpack_texts
+from .common import bounded_batches, crc_mod, documents, materialize, pack_texts, unpack_texts
 
 ORDER = 5
 SYMBOL = 12  # bits of a character
@@ -183,6 +183,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE,
     have a null perplexity and are kept, as are languages (null is one) without trusted
     rows to set a threshold.  Empty tables give empty results.
     """
+    bounded_batches(docs.sparkSession)
     marks = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max((F.col("quality") == 1).cast("int")).alias("good"))
     base = docs.select("doc_id", "text", "lang")
     # labels are two numbers a row; texts meet them by doc_id without being collected

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, pack_texts, unpack_texts
+from .common import bounded_batches, documents, materialize, pack_texts, unpack_texts
 
 MIN_BYTES = 50
 KEY_BITS = 48
@@ -385,6 +385,7 @@ def repeated_passages(docs: DataFrame, min_bytes: int = MIN_BYTES, hot_bucket: i
     each other, and share what is removed if their texts are equal.  Whole texts that a
     smaller doc_id has too go whole.  An empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     length = min_bytes
     known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sizes = known.select(

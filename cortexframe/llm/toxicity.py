@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, documents
+from .common import bounded_batches, crc_mod, documents
 
 WORDS = re.compile(r"\w+")
 N_MIN, N_MAX = 3, 6
@@ -228,6 +228,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     The model has a fixed size (one float for each of 2^18 buckets) and is broadcast.
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
 
