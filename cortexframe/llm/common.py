@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -49,6 +51,20 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(name, str(bound))
 
 
+def frugal(run):
+    """A task that gives memory back to the system when it ends, as Python workers live on between tasks."""
+
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not on every platform
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return task
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -71,7 +87,7 @@ def pack_texts(docs: DataFrame, keep: list[str]) -> DataFrame:
                 z = [None if t is None else squeeze(t.encode("utf-8", "surrogatepass")) for t in part.column(len(keep)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(z, pa.binary())], names=schema.names)
 
-    return narrow.mapInArrow(run, schema)
+    return narrow.mapInArrow(frugal(run), schema)
 
 
 def unpack_texts(z: list[bytes | None]) -> list[bytes | None]:

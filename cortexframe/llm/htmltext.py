@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import LongType, StringType, StructType
 
-from .common import bounded_batches
+from .common import bounded_batches, frugal
 
 WINDOW = 2
 SHARE = 0.3
@@ -186,7 +186,7 @@ def extract_main_text(pages: DataFrame, html: str = "html") -> DataFrame:
                 got = [main_text(x) for x in part.column(len(keep)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(got, pa.string()), pa.array([len(g) for g in got], pa.int64())], names=schema.names)
 
-    return narrow.mapInArrow(run, schema)
+    return narrow.mapInArrow(frugal(run), schema)
 
 
 def op7_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from .common import bounded_batches, crc_mod, documents
+from .common import bounded_batches, crc_mod, documents, frugal
 
 GRAMS = (2, 3, 4, 5)
 BITS = 22
@@ -158,7 +158,7 @@ def identify(docs: DataFrame, model: LanguageFilters) -> DataFrame:
                 [*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=schema.names
             )
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)
 
 
 def op6_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:

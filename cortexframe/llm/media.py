@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, documents
+from .common import bounded_batches, documents, frugal
 
 WIDTH = 24
 UNIT = 576  # bytes; a whole number of rows of WIDTH samples
@@ -185,7 +185,7 @@ def media_features(df: DataFrame, media: str, keep: list[str], side: int = 32) -
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *made], names=[*keep, *[n for n, _ in FIELDS]])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[: len(keep)])
-    return narrow.mapInArrow(run, f"{kept}, {DDL}")
+    return narrow.mapInArrow(frugal(run), f"{kept}, {DDL}")
 
 
 def text_as_pgm(docs: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from .common import components, materialize
+from .common import components, frugal, materialize
 
 COSINE = 0.95
 DIRECTIONS = 24
@@ -120,7 +120,7 @@ def deal(vectors: DataFrame, plan: Plan, content: bool = True) -> DataFrame:
                 cols = [pa.array(np.full(n, g, np.int32)), pa.array(cell), pa.array(np.full(n, corner >= 0)), part.column(0), part.column(1)]
                 yield pa.RecordBatch.from_arrays([*cols, *([part.column(2)] if content else [])], names=["grp", "cell", "query", "id", "copies", *["v"] * content])
 
-    return vectors.select("id", "copies", "v").mapInArrow(run, "grp int, cell long, query boolean, id long, copies long" + f", v {kind}" * content)
+    return vectors.select("id", "copies", "v").mapInArrow(frugal(run), "grp int, cell long, query boolean, id long, copies long" + f", v {kind}" * content)
 
 
 def _links(table: pa.Table, plan: Plan) -> pa.Table:

@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import bounded_batches, documents, materialize
+from .common import bounded_batches, documents, frugal, materialize
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END = 2
-KNOWN_BITS = 21
+KNOWN_BITS = 20
 #: characters outside these are cut by the pattern itself
 OTHER = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u2010-\u2027]")
 SPACE, LETTER, DIGIT, REST = range(4)
@@ -160,13 +160,13 @@ class PieceTokenizer:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """PRIME**i and its inverse modulo 2**64; kept for the longest input so far."""
-    if len(_state.get("up", ())) < n:
-        for name, base in (("up", PRIME), ("down", np.uint64(pow(int(PRIME), -1, 1 << 64)))):
-            steps = np.full(n + n // 2, base)
-            steps[0] = 1
-            _state[name] = np.cumprod(steps)
-    return _state["up"], _state["down"]
+    """PRIME**i and its inverse modulo 2**64 for i < n."""
+    out = []
+    for base in (PRIME, np.uint64(pow(int(PRIME), -1, 1 << 64))):
+        steps = np.full(n, base)
+        steps[:1] = 1
+        out.append(np.cumprod(steps))
+    return out[0], out[1]
 
 
 def tokenizer(path: str) -> PieceTokenizer:
@@ -192,8 +192,8 @@ def token_pieces(docs: DataFrame, capacity: int = 1024, end: int = END, path: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 which, piece, start, length, crc = [], [], [], [], []
                 for i, ids in enumerate(tok.encode_batch(texts)):
@@ -204,7 +204,7 @@ def token_pieces(docs: DataFrame, capacity: int = 1024, end: int = END, path: st
                 arrays = [part.column(0).take(pa.array(which, pa.int64())), pa.array(piece, pa.int32()), *[pa.array(x, pa.int64()) for x in (start, length, crc)]]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), schema)
 
 
 def plan_patterns(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -314,7 +314,7 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
                 sequence, offset = place(table.value, batch.column(at_length).to_numpy(), batch.column(n).to_numpy())
                 yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(sequence), pa.array(offset)], names=schema.names)
 
-    return ranked.mapInArrow(run, schema)
+    return ranked.mapInArrow(frugal(run), schema)
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

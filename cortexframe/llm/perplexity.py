@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructType
 
-from .common import bounded_batches, crc_mod, documents, materialize, pack_texts, unpack_texts
+from .common import bounded_batches, crc_mod, documents, frugal, materialize, pack_texts, unpack_texts
 
 ORDER = 5
 SYMBOL = 12  # bits of a character
@@ -80,7 +80,7 @@ def corpus_grams(docs: DataFrame) -> DataFrame:
             c = np.bincount(at, weight, minlength=len(seen)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(seen), pa.array(c)], names=["lang", "g", "c"])
 
-    raw = docs.select("z", "lang", "trusted").mapInArrow(run, "lang string, g long, c long")
+    raw = docs.select("z", "lang", "trusted").mapInArrow(frugal(run), "lang string, g long, c long")
     return raw.groupBy(F.coalesce("lang", F.lit("")).alias("lang"), "g").agg(F.sum("c").alias("c"))
 
 
@@ -149,7 +149,7 @@ def score_by_lookup(docs: DataFrame, model: DataFrame) -> DataFrame:
                     sizes.append(int(times.sum()))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.float64()), pa.array(sizes, pa.int64())], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)
 
 
 def score_by_join(docs: DataFrame, model: DataFrame) -> DataFrame:
@@ -169,7 +169,7 @@ def score_by_join(docs: DataFrame, model: DataFrame) -> DataFrame:
                 if g:
                     yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(ls, pa.string()), pa.array(np.concatenate(g)), pa.array(np.concatenate(c))], names=["doc_id", "lang", "g", "c"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(run, "doc_id long, lang string, g long, c long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(frugal(run), "doc_id long, lang string, g long, c long")
     sums = rows.join(model, ["lang", "g"]).groupBy("doc_id").agg(F.sum(F.col("c") * F.col("logp")).alias("_logp"), F.sum("c").alias("_chars"))
     joined = docs.join(sums.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
     return joined.withColumn("_logp", F.coalesce("_logp", F.lit(0.0))).withColumn("_chars", F.coalesce("_chars", F.lit(0).cast("long")))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, documents, materialize, pack_texts, unpack_texts
+from .common import bounded_batches, documents, frugal, materialize, pack_texts, unpack_texts
 
 MIN_BYTES = 50
 KEY_BITS = 48
@@ -159,7 +159,7 @@ def shared_names(base: DataFrame, length: int, total_bytes: int) -> DataFrame:
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids.append(d), texts.append(t)
                 held += len(t or b"")
-                if held > 4_000_000:
+                if held > 2_000_000:
                     yield from emit(ids, texts)
                     ids, texts, held = [], [], 0
         if ids:
@@ -178,7 +178,7 @@ def shared_names(base: DataFrame, length: int, total_bytes: int) -> DataFrame:
             k, d = k[stay], d[stay]
         return pa.table({"doc_id": pa.array(d, pa.int64()), "key": pa.array(k.astype(np.int64))})
 
-    blocks = base.select("doc_id", "z").mapInArrow(run, "part long, block binary")
+    blocks = base.select("doc_id", "z").mapInArrow(frugal(run), "part long, block binary")
     return blocks.groupBy("part").applyInArrow(settle, "doc_id long, key long").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
 
@@ -235,7 +235,7 @@ def segments(named: DataFrame, length: int) -> DataFrame:
         if held:
             yield block(parts)
 
-    return named.select("doc_id", "z", "keys").mapInArrow(run, "key long, ctx long, doc_id long, s int, n int, settled boolean")
+    return named.select("doc_id", "z", "keys").mapInArrow(frugal(run), "key long, ctx long, doc_id long, s int, n int, settled boolean")
 
 
 def contents(wanted: DataFrame, length: int) -> DataFrame:
@@ -252,7 +252,7 @@ def contents(wanted: DataFrame, length: int) -> DataFrame:
                 cols = list(zip(*rows, strict=True)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.binary())], names=["key", "ctx", "m", "bytes"])
 
-    return wanted.select("doc_id", "z", "runs").mapInArrow(run, "key long, ctx long, m long, bytes binary")
+    return wanted.select("doc_id", "z", "runs").mapInArrow(frugal(run), "key long, ctx long, m long, bytes binary")
 
 
 def _windows(blobs: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -340,7 +340,7 @@ def _refine_hot(hot: DataFrame, length: int) -> DataFrame:
                     [*take, pa.array(place.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=["key", "ctx", "m", "place", "one", "two"]
                 )
 
-    rows = hot.select("key", "ctx", "m", "bytes").mapInArrow(explode, "key long, ctx long, m long, place int, one long, two long")
+    rows = hot.select("key", "ctx", "m", "bytes").mapInArrow(frugal(explode), "key long, ctx long, m long, place int, one long, two long")
     least = rows.groupBy("key", "one", "two").agg(F.min("m").alias("least"))
     beaten = rows.join(least, ["key", "one", "two"]).where("m > least").groupBy("key", "ctx").agg(F.collect_list("place").alias("places"))
 
@@ -349,7 +349,7 @@ def _refine_hot(hot: DataFrame, length: int) -> DataFrame:
             bits = [_bitmap(np.array(p)) for p in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary())], names=["key", "ctx", "hits"])
 
-    return beaten.mapInArrow(bitmaps, "key long, ctx long, hits binary")
+    return beaten.mapInArrow(frugal(bitmaps), "key long, ctx long, hits binary")
 
 
 def covered(n_bytes: int, runs: pa.Array | None, hits: list[dict] | None, length: int) -> np.ndarray:
@@ -414,7 +414,7 @@ def repeated_passages(docs: DataFrame, min_bytes: int = MIN_BYTES, hot_bucket: i
         return contents(texts.hint("merge").join(lists, "doc_id"), length)
 
     plain = bytes_of(mixed.where(F.col("subs") <= hot_bucket)).repartition("key").sortWithinPartitions("key")
-    hits = plain.mapInArrow(refine_sorted(length), "key long, ctx long, hits binary")
+    hits = plain.mapInArrow(frugal(refine_sorted(length)), "key long, ctx long, hits binary")
     hits = hits.unionByName(_refine_hot(bytes_of(mixed.where(F.col("subs") > hot_bucket)), length))
     settled = subs.select("key", "ctx", F.col("f.doc_id").alias("m")).hint("merge").join(hits, ["key", "ctx"], "left")
     found = open_.hint("merge").join(settled, ["key", "ctx"]).where("doc_id > m or hits is not null")
@@ -445,7 +445,7 @@ def repeated_passages(docs: DataFrame, min_bytes: int = MIN_BYTES, hot_bucket: i
                 yield pa.RecordBatch.from_arrays([part.column(0), *made], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["text_sha256", "kept_text"] * with_text])
 
     return joined.mapInArrow(
-        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text_sha256 string, kept_text string" * with_text
+        frugal(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text_sha256 string, kept_text string" * with_text
     )
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, crc_mod, documents
+from .common import bounded_batches, crc_mod, documents, frugal
 
 WORDS = re.compile(r"\w+")
 N_MIN, N_MAX = 3, 6
@@ -243,7 +243,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     from pyspark.sql.types import DoubleType, StructType
 
     schema = StructType([*docs.schema.fields]).add("_toxicity", DoubleType())
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
