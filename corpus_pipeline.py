@@ -8,11 +8,13 @@ them again, so a lost executor costs the stage it was working on.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cortexframe.llm import minhash, mixing, packing, suffixes, toxicity
-from cortexframe.llm.common import documents, materialize
+from cortexframe.llm.common import documents, frugal, materialize, pack_texts, unpack_texts
 
 TOXIC = 0.3
 
@@ -36,13 +38,24 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Texts without passages that a smaller doc_id has; documents of which nothing is left go."""
     found = suffixes.repeated_passages(docs.select("doc_id", "text"), with_text=True).where("n_removed > 0")
     found = found.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("kept_text").alias("_kept")).dropDuplicates(["_id", "_sha"])
-    same = (F.col("doc_id") == F.col("_id")) & (F.sha2(F.col("text"), 256) == F.col("_sha"))
-    joined = docs.hint("merge").join(found, same, "left").where("_kept is null or trim(_kept) <> ''")
-    text = F.coalesce("_kept", "text")
-    changed = {"text": text}
-    if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
-    return joined.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
+    rest = [c for c in docs.columns if c != "text"]
+    packed = pack_texts(docs.withColumn("_own", F.sha2("text", 256)), [*rest, "_own"], to="_z")
+    same = (F.col("doc_id") == F.col("_id")) & (F.col("_own") == F.col("_sha"))
+    joined = packed.hint("merge").join(found, same, "left").where("_kept is null or trim(_kept) <> ''")
+    if "n_chars" in rest:
+        size = F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept"))
+        joined = joined.withColumn("n_chars", size.cast(docs.schema["n_chars"].dataType))
+
+    def choose(batches):
+        for batch in batches:
+            whole = unpack_texts(batch.column(len(rest)).to_pylist())
+            kept = batch.column(len(rest) + 1).to_pylist()
+            texts = [k if k is not None else None if w is None else w.decode("utf-8", "surrogatepass") for w, k in zip(whole, kept, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(texts, pa.string())], names=[*rest, "text"])
+
+    schema = StructType([*(docs.schema[c] for c in rest), docs.schema["text"]])
+    narrow = joined.select(*[f"`{c}`" for c in rest], "_z", "_kept")
+    return narrow.mapInArrow(frugal(choose), schema).select(*[f"`{c}`" for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

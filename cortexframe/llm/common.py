@@ -74,10 +74,10 @@ def crc_mod(col: str, mod: int):
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % mod
 
 
-def pack_texts(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` columns and ``z``: texts as Zstandard frames, to be shuffled; null stays null."""
+def pack_texts(docs: DataFrame, keep: list[str], to: str = "z") -> DataFrame:
+    """``keep`` columns and ``to``: texts as Zstandard frames, to be shuffled; null stays null."""
     narrow = docs.select(*keep, "text")
-    schema = StructType([narrow.schema[c] for c in keep]).add("z", BinaryType())
+    schema = StructType([narrow.schema[c] for c in keep]).add(to, BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
