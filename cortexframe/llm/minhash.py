@@ -5,8 +5,10 @@ a shorter text is one shingle), each labelled with how often it occurred before.
 A sketch takes the two labelled shingles of least hash and keeps their order in
 the text, so it is sensitive to edit similarity and not to shared words alone.
 Bands of two sketches name buckets.  In a bucket each text is compared with the
-bucket's first and with its neighbour by length: rows stay linear in the bucket's
-size, and 16 bands give a pair many chances.  Candidates are verified exactly:
+bucket's first and with its neighbour by length, which links groups of copies with
+rows linear in the bucket's size.  Where a bucket then still holds several components,
+all pairs of its members from different components are compared, in pairs of blocks
+over the cluster.  Candidates are verified exactly:
 the longest common subsequence of the labelled shingle sequences, within the
 band of offsets that the threshold allows, over the length of their union.
 
@@ -16,6 +18,7 @@ copies cost one row each.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -26,11 +29,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
-from .common import bounded_batches, components, documents, frugal, materialize
+from .common import bounded_batches, components, documents, frugal, materialize, pack_texts, unpack_texts
 
 SHINGLE = 5
 BANDS, ROWS = 16, 2
 SIMILARITY = 0.8
+BLOCK = 256  # members of a bucket's block; a task compares two blocks
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -188,6 +192,103 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY)
     return both.mapInArrow(frugal(run), schema)
 
 
+def common_shingles(shingles: list[np.ndarray]) -> np.ndarray:
+    """Counts of labelled shingles that each two texts share, as a matrix."""
+    out = np.zeros((len(shingles), len(shingles)), np.float32)
+    owner = np.repeat(np.arange(len(shingles)), [len(s) for s in shingles])
+    _, at, times = np.unique(np.concatenate(shingles), return_inverse=True, return_counts=True)
+    shared = times[at] > 1
+    owner, at = owner[shared], (np.cumsum(times > 1) - 1)[at[shared]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    width = 2048
+    cuts = np.searchsorted(at, np.arange(0, int((times > 1).sum()) + width, width))
+    for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        rows, local = np.unique(owner[lo:hi], return_inverse=True)
+        has = np.zeros((len(rows), width), np.float32)
+        has[local, at[lo:hi] - k * width] = 1
+        out[np.ix_(rows, rows)] += has @ has.T
+    return out
+
+
+def block_links(ids: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray, bands: np.ndarray, band: int, z: list, similarity: float) -> list[tuple[int, int]]:
+    """Links among one block's members, or between two blocks' (``side`` 0 and 1), of different components.
+
+    Pairs that an earlier band holds too are left to that band's bucket.
+    """
+    ask = (comp[:, None] != comp) & (np.minimum(n[:, None], n) >= similarity * np.maximum(n[:, None], n))
+    ask &= (side[:, None] < side) if side.any() else np.triu(np.ones(ask.shape, bool), 1)
+    for j in range(int((bands[0] == band).argmax())):
+        ask &= bands[:, j, None] != bands[:, j]
+    used = np.flatnonzero(ask.any(0) | ask.any(1))
+    if not len(used):
+        return []
+    ask, n, ids = ask[np.ix_(used, used)], n[used], ids[used]
+    texts = [t.decode("utf-8", "surrogatepass") for t in unpack_texts([z[i] for i in used])]
+    known = [labelled_shingles(w) for w in word_hashes(texts)]
+    need = similarity * (n[:, None] + n) / (1 + similarity)
+    found = np.argwhere(ask & (common_shingles(known) >= need - 1e-3))  # sharing is necessary, order decides
+    return [(int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))) for i, j in found if aligned_similarity(known[i], known[j], similarity) > 0]
+
+
+def open_links(classes: DataFrame, groups: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, group: int = BLOCK) -> DataFrame:
+    """Links ``(a, b)`` between members of a bucket that ``groups(id, component)`` has in different components; all such pairs are compared.
+
+    Buckets of one component are done.  Others are cut into blocks of about ``group``
+    members: by hash, in large buckets also by length (only adjacent strata can be alike)
+    and with components of half a block or more apart, which don't meet themselves.
+    """
+    comp = F.coalesce("component", "rep").alias("comp")
+    members = materialize(classes.join(groups, F.col("rep") == F.col("id"), "left").select("rep", "n", comp, F.explode("bands").alias("band")), "minhash-named")
+    sizes = members.groupBy("band").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    width = 1e-6 - math.log(similarity)
+    stratum = F.when(F.col("size") > group, F.floor(F.log("n") / width)).otherwise(F.lit(0)).cast("long").alias("stratum")
+    left = materialize(members.join(sizes.select("band", "size"), "band").select("band", "rep", "n", "comp", "size", stratum), "minhash-open")
+    own = left.where(F.col("size") > group).groupBy("band", "stratum", "comp").agg(F.count("*").alias("c")).where(F.col("c") >= group // 2)
+    placed = left.join(own, ["band", "stratum", "comp"], "left").withColumn("pure", F.col("c").isNotNull()).withColumn("of", F.when(F.col("pure"), F.col("comp")).otherwise(F.lit(0).cast("long")))
+    cells = placed.groupBy("band", "stratum", "pure", "of").agg(F.count("*").alias("cell"))
+    part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("cell") / F.lit(group))).cast("long").alias("part")
+    placed = placed.join(cells, ["band", "stratum", "pure", "of"]).select("band", "rep", "n", "comp", F.struct("stratum", "pure", "of", part).alias("block"))
+    placed = materialize(placed, "minhash-placed")
+    blocks = placed.select("band", "block").distinct()
+    both = blocks.withColumnRenamed("block", "x").join(blocks.withColumnRenamed("block", "y"), "band").where("x <= y and abs(x.stratum - y.stratum) <= 1 and not (x.pure and y.pure and x.of = y.of)")
+    both = both.withColumn("task", F.xxhash64("x", "y"))
+    uses = both.select("band", "task", F.col("x").alias("block"), F.lit(0).alias("side")).unionByName(both.where("x <> y").select("band", "task", F.col("y").alias("block"), F.lit(1).alias("side")))
+    ids = placed.select(F.col("rep").alias("id")).distinct()
+    texts = pack_texts(docs, ["doc_id"]).withColumnRenamed("doc_id", "id").hint("merge").join(ids, "id", "left_semi").dropDuplicates(["id"])
+    texts = texts.hint("merge").join(classes.select(F.col("rep").alias("id"), "bands").dropDuplicates(["id"]), "id")
+    seats = placed.join(uses, ["band", "block"]).select("band", "task", "side", F.col("rep").alias("id"), "n", "comp").dropDuplicates(["band", "task", "id"])
+    names = ["id", "n", "comp", "side", "bands", "z"]
+    # the count of partitions is given, as small blocks can be much work
+    rows = seats.hint("merge").join(texts, "id").select("band", "task", *names)
+    rows = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "band", "task").sortWithinPartitions("band", "task")
+
+    def solve(key: tuple, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts)
+        ids, n, comp, side = (t.column(c).to_numpy() for c in names[:4])
+        got = block_links(ids, n, comp, side, np.array(t.column("bands").to_pylist(), np.int64), key[0], t.column("z").to_pylist(), similarity)
+        return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            band, task = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero((band[1:] != band[:-1]) | (task[1:] != task[:-1])) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                if lo == hi:
+                    continue
+                now = (int(band[lo]), int(task[lo]))
+                if held and now != key:
+                    yield solve(key, held)
+                    held = []
+                key = now
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield solve(key, held)
+
+    return rows.mapInArrow(frugal(run), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: ``doc_id, class_id, n_copies, kept``.
 
@@ -206,6 +307,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     pairs = materialize(candidate_pairs(classes, similarity), "minhash-pairs")
     links = materialize(verified(pairs, keyed, similarity), "minhash-links")
     groups = components(links.select("a", "b"))
+    more = materialize(open_links(classes, groups, keyed, similarity), "minhash-open-links")
+    groups = components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = classes.select("k1", "k2", "rep", "n_copies").join(groups, F.col("rep") == F.col("id"), "left")
     named = named.select("k1", "k2", "n_copies", F.coalesce("component", "rep").alias("class_id"))
     worded = marks.where("k1 is not null").select("doc_id", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "class_id", "n_copies")

@@ -1,6 +1,7 @@
 """Near duplicates, repeated passages and near vectors against brute force, and odd inputs."""
 
 import hashlib
+import itertools
 import random
 
 import numpy as np
@@ -65,6 +66,35 @@ def test_large_group_of_near_copies_is_one_class(spark):
     assert {r["class_id"] for r in out if r["doc_id"] < 700} == {0} and sum(r["kept"] for r in out) == 51
 
 
+def template_family(families: int) -> list[tuple[int, str]]:
+    """Two near copies a family, far apart by id; families are one template's six passages in different orders, alike by 0.7 at most."""
+    rng = random.Random(3)
+    passages = [[f"v{i}w{k}" for k in range(20)] for i in range(6)]
+    rows, later = [], rng.sample(range(families), families)
+    for i, order in enumerate(rng.sample(list(itertools.permutations(range(6))), families)):
+        words = [w for p in order for w in passages[p]]
+        rows.append((i, " ".join(words)))
+        words[rng.randrange(len(words))] = f"x{i}"
+        rows.append((families + later[i], " ".join(words)))
+    return rows
+
+
+def test_pairs_within_a_template_match_brute_force(spark):
+    """In large buckets most members are neither linked to the head nor to the neighbour by length."""
+    rows = template_family(550)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    buckets = minhash.sketches(docs).select(minhash.F.explode("bands").alias("band")).groupBy("band").count()
+    assert buckets.agg(minhash.F.max("count")).first()[0] > 500
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs).collect()}
+    assert got == classes_by_brute_force(rows) and len(set(got.values())) == 550
+
+
+def test_common_shingles_are_counted():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 9000, rng.integers(1, 4000)).astype(np.uint64)) for _ in range(12)]
+    assert (minhash.common_shingles(sets) == [[len(np.intersect1d(a, b)) if i != j else (np.isin(a, np.concatenate(sets[:i] + sets[i + 1 :]))).sum() for j, b in enumerate(sets)] for i, a in enumerate(sets)]).all()
+
+
 def test_near_duplicates_odd_inputs(spark):
     rows = [(None, "a b c d e f"), (1, None), (2, ""), (3, "  "), (4, "a b"), (5, "A  b"), (6, "x y z u v w " * 5000), (7, "x y z u v w " * 5000), (7, "x y z u v w " * 5000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", minhash.F.lit(1)).withColumn("band", minhash.F.lit(2))
