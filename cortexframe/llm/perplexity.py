@@ -128,7 +128,7 @@ def score_by_lookup(docs: DataFrame, model: DataFrame) -> DataFrame:
     tables: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     table = model.orderBy("lang", "g").toArrow()
     langs = table.column("lang").to_numpy(zero_copy_only=False)
-    g, logp = table.column("g").to_numpy(), table.column("logp").to_numpy().astype(np.float32)
+    g, logp = table.column("g").to_numpy(), table.column("logp").to_numpy()
     for lang in dict.fromkeys(langs.tolist()):
         at = langs == lang
         tables[lang] = (g[at], logp[at])
@@ -142,10 +142,10 @@ def score_by_lookup(docs: DataFrame, model: DataFrame) -> DataFrame:
                 texts = part.column(part.schema.get_field_index("text")).to_pylist()
                 got, sizes = [], []
                 for t, lang in zip(texts, part.column(part.schema.get_field_index("lang")).to_pylist(), strict=True):
-                    keys, values = shared.value.get(lang or "", (np.zeros(0, np.int64), np.zeros(0, np.float32)))
+                    keys, values = shared.value.get(lang or "", (np.zeros(0, np.int64), np.zeros(0)))
                     seen, times = np.unique(grams(t), return_counts=True)
                     at = np.searchsorted(keys, seen)
-                    got.append(float((values[at].astype(np.float64) * times).sum()) if len(seen) else 0.0)
+                    got.append(float((values[at] * times).sum()) if len(seen) else 0.0)
                     sizes.append(int(times.sum()))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.float64()), pa.array(sizes, pa.int64())], names=schema.names)
 
@@ -153,25 +153,33 @@ def score_by_lookup(docs: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def score_by_join(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """The same by a join of each document's 5-gram counts with the model's shards; doc_ids must be distinct."""
+    """The same by a join of each text's 5-gram counts with the model's shards.
+
+    Rows are keyed by hashes of doc_id, lang and text; equal rows are scored once.
+    """
+    parts = [F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), F.coalesce("lang", F.lit("")), F.coalesce("text", F.lit(""))]
+    keyed = docs.withColumn("_k1", F.xxhash64(*parts)).withColumn("_k2", F.xxhash64(F.lit(1), *parts))
+    once = pack_texts(keyed, ["_k1", "_k2", "lang"]).dropDuplicates(["_k1", "_k2"])
+    names = ["_k1", "_k2", "lang", "g", "c"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                ids, langs, texts = (part.column(i).to_pylist() for i in range(3))
-                d, ls, g, c = [], [], [], []
-                for i, lang, t in zip(ids, langs, texts, strict=True):
-                    seen, times = np.unique(grams(t), return_counts=True)
-                    d += [i] * len(seen)
-                    ls += [lang or ""] * len(seen)
+                k1, k2, langs, z = (part.column(i).to_pylist() for i in range(4))
+                g, c = [], []
+                for t in unpack_texts(z):
+                    seen, times = np.unique(grams(None if t is None else t.decode("utf-8", "surrogatepass")), return_counts=True)
                     g.append(seen), c.append(times.astype(np.int64))
                 if g:
-                    yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(ls, pa.string()), pa.array(np.concatenate(g)), pa.array(np.concatenate(c))], names=["doc_id", "lang", "g", "c"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(frugal(run), "doc_id long, lang string, g long, c long")
-    sums = rows.join(model, ["lang", "g"]).groupBy("doc_id").agg(F.sum(F.col("c") * F.col("logp")).alias("_logp"), F.sum("c").alias("_chars"))
-    joined = docs.join(sums.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+                    sizes = [len(x) for x in g]
+                    which = pa.array(np.repeat(np.arange(len(g)), sizes))
+                    cols = [pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array([x or "" for x in langs], pa.string())]
+                    yield pa.RecordBatch.from_arrays([*(x.take(which) for x in cols), pa.array(np.concatenate(g)), pa.array(np.concatenate(c))], names=names)
+
+    rows = once.mapInArrow(frugal(run), "_k1 long, _k2 long, lang string, g long, c long")
+    sums = rows.join(model, ["lang", "g"]).groupBy("_k1", "_k2").agg(F.sum(F.col("c") * F.col("logp")).alias("_logp"), F.sum("c").alias("_chars"))
+    joined = keyed.join(sums, ["_k1", "_k2"], "left").drop("_k1", "_k2")
     return joined.withColumn("_logp", F.coalesce("_logp", F.lit(0.0))).withColumn("_chars", F.coalesce("_chars", F.lit(0).cast("long")))
 
 

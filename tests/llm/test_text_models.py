@@ -139,6 +139,24 @@ def test_perplexity_odd_inputs(spark):
     assert perplexity.perplexities(odd(spark).limit(0), labels).count() == 0
 
 
+def test_perplexity_odd_inputs_by_the_join(spark):
+    """Nulls, repeats and one doc_id with several texts score as by the broadcast table."""
+    labels = spark.createDataFrame([(1, 1), (4, 1), (None, 1), (2, 0), (2, None)], "doc_id long, quality int")
+    more = [(None, "other text of no number", "en"), (None, "abab", "de"), (4, "quite different words", "en"), (4, "ab ab ab", "de"), (0, "some words here", "en")]
+    docs = odd(spark).select("doc_id", "text", "lang").unionByName(spark.createDataFrame(more, "doc_id long, text string, lang string"))
+
+    def rows(bound):
+        out = [r.asDict() for r in perplexity.perplexities(docs, labels, broadcast_rows=bound).collect()]
+        return sorted(out, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["n_scored"], r["lang"] or ""))
+
+    lookup, join = rows(10_000), rows(0)
+    assert len(join) == 12 and [r["n_scored"] for r in join if r["doc_id"] == 4] == [8, 21, 89_999, 89_999]
+    for x, y in zip(lookup, join, strict=True):
+        assert {k: v for k, v in x.items() if k not in ("perplexity", "threshold")} == {k: v for k, v in y.items() if k not in ("perplexity", "threshold")}
+        assert y["perplexity"] == (None if x["perplexity"] is None else pytest.approx(x["perplexity"], rel=1e-12))
+    assert perplexity.perplexities(docs.limit(0), labels, broadcast_rows=0).count() == 0
+
+
 def test_junk_scores_high(spark):
     out = perplexity.op10_kneser_ney(spark, DATA).toPandas().set_index("doc_id")
     labels = pq.read_table(f"{DATA}/labels.parquet").to_pandas().set_index("doc_id")
