@@ -111,7 +111,7 @@ def _sums(vectors: DataFrame, make, size: int) -> np.ndarray:
 
 def fit_ica(
     signal: DataFrame, channels: list[str], types: list[str] | None = None, n_components: int | float | None = None, fun: str = "logcosh", alpha: float = 1.0,
-    max_iter: int = 200, tol: float = 1e-4, w_init: np.ndarray | None = None, seed: int = 0,
+    max_iter: int = 1000, tol: float = 1e-4, w_init: np.ndarray | None = None, seed: int = 0,
 ) -> ICA:
     """Fit by pooled scaling, principal components, and the symmetric fixed point, each a pass over samples.
 

@@ -182,7 +182,7 @@ def _covariance(spark, sf):
 
 
 def _fitted(spark, sf):
-    model = ica.fit_ica(A.signal_from_lineitem(spark, sf), ["Cz", "Pz", "Oz", "EXG1"], ["eeg", "eeg", "eeg", "external"], max_iter=12, tol=1e-2)
+    model = ica.fit_ica(A.signal_from_lineitem(spark, sf), ["Cz", "Pz", "Oz", "EXG1"], ["eeg", "eeg", "eeg", "external"])
     return ica.topographies(spark, model)
 
 

@@ -181,6 +181,34 @@ def test_ica_recovers_sources(spark):
     assert (np.abs(np.corrcoef(np.vstack([src, found]))[:2, 2:]).max(1) > 0.9).all()
 
 
+def test_ica_fit_query_is_converged(spark, monkeypatch):
+    """The query's maps on a small mixture against a fixed point of numpy run to 1e-12."""
+    from cortexframe.plans import spectral_queries
+
+    names = ["Cz", "Pz", "Oz", "EXG1"]
+    rng = np.random.default_rng(6)  # noise slows the fixed point: a loose tolerance stops at 0.984
+    src = np.stack([rng.uniform(-1, 1, 3000) + 0.8 * rng.normal(size=3000), rng.laplace(size=3000), np.sin(np.arange(3000) / 7) + 0.8 * rng.normal(size=3000), rng.uniform(-1, 1, 3000) + 0.8 * rng.normal(size=3000)])
+    x = (rng.normal(size=(4, 4)) @ src).T
+    monkeypatch.setattr(spectral_queries.A, "signal_from_lineitem", lambda s, d: signal_of(spark, dict(zip(names, x.T.tolist(), strict=True))))
+    got = {(r["component"], r["channel"]): r["weight"] for r in spectral_queries.QUERIES["ica_fit"][0](spark, "").collect()}
+    maps = np.array([[got[f"IC{k}", c] for c in names] for k in range(1, 5)])
+    scale = np.array([x[:, :3].std()] * 3 + [x[:, 3].std()])
+    pw = x / scale
+    values, rows = np.linalg.eigh(np.cov(pw.T))
+    z = (pw - pw.mean(0)) @ rows / np.sqrt(values)
+    w = ica.decorrelate(rng.normal(size=(4, 4)))
+    for _ in range(5000):
+        g = np.tanh(z @ w.T)
+        new = ica.decorrelate(g.T @ z / len(z) - (1 - g**2).mean(0)[:, None] * w)
+        moved = np.abs(np.abs((new * w).sum(1)) - 1).max()
+        w = new
+        if moved < 1e-12:
+            break
+    want = (scale[:, None] * (rows * np.sqrt(values)) @ w.T).T
+    alike = np.abs(maps @ want.T) / np.linalg.norm(maps, axis=1)[:, None] / np.linalg.norm(want, axis=1)
+    assert moved < 1e-12 and (alike.max(1) > 0.999).all() and sorted(alike.argmax(1)) == [0, 1, 2, 3]
+
+
 def test_ica_round_trip(spark):
     _, s = mixed(spark)
     model = ica.fit_ica(s, ["Fp1", "Fp2", "Cz"], n_components=3, max_iter=3, tol=10.0)
