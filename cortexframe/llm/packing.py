@@ -2,12 +2,14 @@
 
 Documents become pieces of at most ``capacity`` tokens in one tokenizing pass,
 written once.  Only the number of pieces of each length (``capacity`` numbers)
-reaches the driver, which plans there: take the longest length left, look for
-one, two or three lengths whose sum fills the gap exactly under the counts
-available, else put in the longest that fits and look again.  A plan line says
-"this pattern of lengths, n times", so the work does not depend on how many pieces
-there are.  Each piece then finds its place from its rank among pieces of its
-length; ranks are taken within salted groups, so that a common length is spread.
+reaches the driver, which plans there: lengths, pairs and triples of lengths are
+indexed by their sum (:class:`SumIndex`), the longest length left is taken, and the
+index gives the combination that fills its gap exactly under the counts available;
+where there is none, the longest length that fits goes in and the rest is looked up
+again.  A plan line says "this pattern of lengths, n times", so the work does not
+depend on how many pieces there are.  Each piece then finds its place from its rank
+among pieces of its length; ranks are taken within salted groups, so that a common
+length is spread.
 """
 
 from __future__ import annotations
@@ -20,7 +22,6 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -73,29 +74,35 @@ def piece_starts(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 class PieceTokenizer:
-    """Ids as ``tokenizers`` gives them, asking it once for each distinct piece.
+    """Ids as ``tokenizers`` gives them by default, asking it once for each distinct piece.
 
     A byte-level BPE never merges across the pieces its pattern cuts a text into, so
     ids of pieces can be kept and put together.  Pieces are cut, hashed and looked up
-    as arrays; the store is emptied when it is half full.  Strings of special tokens
-    are ordinary text.
+    as arrays; a hit counts only if the kept piece has the same characters.  Texts
+    that the pattern cuts otherwise, that hold a special token's string, or of which
+    a piece shares its hash with another go to the library whole.  The store is
+    emptied when it is half full; texts with more distinct pieces than that are
+    taken in smaller groups, and one alone that has more goes to the library.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, known_bits: int = KNOWN_BITS):
         self.inner = Tokenizer.from_file(path)
-        self.inner.encode_special_tokens = True
-        self.pattern = regex.compile(public_tokenizers.PATTERN)
+        strings = [t.content for t in self.inner.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, strings))) if strings else None
+        self.known_bits = known_bits
         self.clear()
 
     def clear(self) -> None:
-        size = 1 << KNOWN_BITS
+        size = 1 << self.known_bits
         self.keys, self.at, self.size = np.zeros(size, np.uint64), np.zeros(size, np.int64), np.zeros(size, np.int64)
-        self.ids, self.used, self.entries = np.zeros(1 << 20, np.uint32), 0, 0
+        self.letters_at, self.n_letters = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        self.ids, self.used, self.entries = np.zeros(size, np.uint32), 0, 0
+        self.letters, self.letters_used = np.zeros(4 * size, np.uint32), 0
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Slot of each hash, or the negative of the free slot where its probe ended, less one."""
-        mask = (1 << KNOWN_BITS) - 1
-        slot = (h >> np.uint64(64 - KNOWN_BITS)).astype(np.int64)
+        mask = (1 << self.known_bits) - 1
+        slot = (h >> np.uint64(64 - self.known_bits)).astype(np.int64)
         open_ = np.arange(len(h))
         while len(open_):
             key = self.keys[slot[open_]]
@@ -106,17 +113,22 @@ class PieceTokenizer:
         return slot
 
     def add(self, hashes: list[int], pieces: list[str]) -> None:
-        mask = (1 << KNOWN_BITS) - 1
-        for h, got in zip(hashes, self.inner.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
+        """Keep new pieces, at most half as many as there are slots."""
+        mask = (1 << self.known_bits) - 1
+        letters = np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.letters = _room(self.letters, self.letters_used + len(letters))
+        self.letters[self.letters_used : self.letters_used + len(letters)] = letters
+        for h, piece, got in zip(hashes, pieces, self.inner.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
             ids = got.ids
-            slot = h >> (64 - KNOWN_BITS)
-            while self.keys[slot] and self.keys[slot] != h:
+            slot = h >> (64 - self.known_bits)
+            while self.keys[slot]:
                 slot = (slot + 1) & mask
-            if self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + len(ids), np.uint32)])
+            self.ids = _room(self.ids, self.used + len(ids))
             self.ids[self.used : self.used + len(ids)] = ids
             self.keys[slot], self.at[slot], self.size[slot] = h, self.used, len(ids)
+            self.letters_at[slot], self.n_letters[slot] = self.letters_used, len(piece)
             self.used += len(ids)
+            self.letters_used += len(piece)
         self.entries += len(pieces)
 
     def encode_plain(self, texts: list[str]) -> list[np.ndarray]:
@@ -137,26 +149,48 @@ class PieceTokenizer:
         slot = self.find(h)
         missing = np.flatnonzero(slot < 0)
         if len(missing):
-            if self.entries + len(missing) > 1 << (KNOWN_BITS - 1):
+            half = 1 << (self.known_bits - 1)
+            new, at = np.unique(h[missing], return_index=True)
+            if self.entries + len(new) > half:
                 self.clear()
                 missing = np.arange(len(h))
-            new, at = np.unique(h[missing], return_index=True)
+                new, at = np.unique(h, return_index=True)
+            if len(new) > half and len(texts) > 1:
+                middle = len(texts) // 2
+                return self.encode_plain(texts[:middle]) + self.encode_plain(texts[middle:])
+            if len(new) > half:
+                return self.encode_whole(texts)
             at = missing[at]
             self.add(new.tolist(), [whole[a:b] for a, b in zip(start[at].tolist(), stop[at].tolist(), strict=True)])
             slot[missing] = self.find(h[missing])
+        # the hash has found a piece; the characters decide
+        letters, length = self.letters_at[slot], stop - start
+        same = self.n_letters[slot] == length
+        kept = self.letters[np.repeat(np.where(same, letters, 0) - start, length) + np.arange(len(codes))]
+        wrong = np.flatnonzero(~same | ~np.logical_and.reduceat(kept == codes, start) if len(start) else ~same)
         size = self.size[slot]
         out = np.repeat(self.at[slot] - (np.cumsum(size) - size), size)
         ids = self.ids[out + np.arange(len(out))]
         tokens = np.concatenate([[0], np.cumsum(size)])
-        cuts = tokens[np.searchsorted(start, ends)]
-        return np.split(ids, cuts[:-1])
+        got = np.split(ids, tokens[np.searchsorted(start, ends)][:-1])
+        for i in np.unique(np.searchsorted(ends, start[wrong], side="right")).tolist():
+            got[i] = self.encode_whole(texts[i : i + 1])[0]
+        return got
+
+    def encode_whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.inner.encode_batch(texts, add_special_tokens=False)]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
-        plain = [not OTHER.search(t) for t in texts]
+        plain = [not OTHER.search(t) and not (self.special and self.special.search(t)) for t in texts]
         done = iter(self.encode_plain([t for t, p in zip(texts, plain, strict=True) if p]) if any(plain) else [])
-        other = iter(self.inner.encode_batch([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False) if not all(plain) else [])
-        return [(next(done) if p else np.array(next(other).ids, np.uint32)).astype("<u4").tobytes() for p in plain]
+        other = iter(self.encode_whole([t for t, p in zip(texts, plain, strict=True) if not p]))
+        return [next(done if p else other).astype("<u4").tobytes() for p in plain]
+
+
+def _room(array: np.ndarray, n: int) -> np.ndarray:
+    """``array``, or a copy of twice its length or more if it has no room for ``n`` values."""
+    return array if n <= len(array) else np.concatenate([array, np.zeros(max(len(array), n - len(array)), array.dtype)])
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +217,12 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def token_pieces(docs: DataFrame, capacity: int = 1024, end: int = END, path: str = TOKENIZER) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32`` of ``docs(doc_id, text)``; a null text is empty and still ends with ``end``."""
+    """``doc_id, piece, start, length, ids_crc32`` of ``docs(doc_id, text)``.
+
+    A null or empty text still ends with ``end``; a text of any length is tokenized whole; rows
+    with a null or repeated doc_id have pieces of their own; other columns are left out; an
+    empty table gives no rows.
+    """
     bounded_batches(docs.sparkSession)
     from pyspark.sql.types import IntegerType, LongType, StructType
 
@@ -207,44 +246,83 @@ def token_pieces(docs: DataFrame, capacity: int = 1024, end: int = END, path: st
     return docs.select("doc_id", "text").mapInArrow(frugal(run), schema)
 
 
-def plan_patterns(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
-    """``counts[length]`` pieces to ``[({length: uses}, times)]``, all consumed."""
-    left = counts.astype(np.int64).copy()
-    left[0] = 0
-    plan = []
+class SumIndex:
+    """Lengths, pairs and triples of lengths by their sum, longest first.
 
-    def exact(gap: int, free: np.ndarray) -> list[int] | None:
-        """One, two or three lengths that fill ``gap``, large ones first."""
+    Counts only fall while a plan is made, so a combination that lacks a piece lacks it
+    for good: each sum's list is built once, from the lengths that are left then, and
+    read on from the first entry that may still hold.
+    """
+
+    def __init__(self, left: np.ndarray, capacity: int):
+        self.left, self.capacity = left, capacity
+        have = np.flatnonzero(left)
+        high, low = np.meshgrid(have, have, indexing="ij")
+        ok = (high >= low) & (high + low <= capacity)
+        high, low = high[ok], low[ok]
+        order = np.lexsort((-high, high + low))
+        self.high, self.low = high[order].astype(np.int32), low[order].astype(np.int32)
+        self.edge = np.searchsorted(self.high + self.low, np.arange(capacity + 2))
+        self.lists: dict[tuple[int, int], np.ndarray] = {}
+        self.next: dict[tuple[int, int], int] = {}
+
+    def _entries(self, parts: int, total: int) -> np.ndarray:
+        if (parts, total) not in self.lists:
+            if parts == 2:
+                at = slice(self.edge[total], self.edge[total + 1])
+                self.lists[2, total] = np.stack([self.high[at], self.low[at]], 1)
+            else:
+                end = self.edge[total]  # pairs of smaller sums
+                first = total - self.high[:end] - self.low[:end]
+                ok = np.flatnonzero(first >= self.high[:end])
+                rows = np.stack([first[ok], self.high[ok], self.low[ok]], 1)
+                rows = rows[(self.left[rows] > 0).all(1)]
+                self.lists[3, total] = rows[np.lexsort((-rows[:, 1], -rows[:, 0]))].astype(np.int16)
+            self.next[parts, total] = 0
+        return self.lists[parts, total]
+
+    def fill(self, gap: int, free: np.ndarray) -> list[int] | None:
+        """The fewest lengths, three at most, that fill ``gap`` under the counts ``free``."""
         if free[gap]:
             return [gap]
-        have = np.flatnonzero(free[:gap])
-        for first in have[::-1]:
-            rest = gap - first
-            if rest > 0 and free[rest] > (rest == first):
-                return [int(first), int(rest)]
-            if rest > first:
-                break
-        for first in have[::-1]:
-            rest = gap - first
-            if 3 * first < gap:
-                break
-            small = have[(have <= first) & (have < rest)]
-            other = rest - small
-            need = 1 + (small == first) + (other == small) + (other == first)
-            ok = (other > 0) & (other <= small) & (free[np.clip(other, 0, capacity)] >= np.where(other == small, 1 + (other == small) + (other == first), 1 + (other == first))) & (free[small] >= 1 + (small == first) + (other == small))
-            hit = np.flatnonzero(ok & (need > 0))
-            if len(hit):
-                k = hit[-1]
-                return [int(first), int(small[k]), int(other[k])]
+        for parts in (2, 3):
+            rows = self._entries(parts, gap)
+            at = self.next[parts, gap]
+            dead = True  # all entries so far lack a piece for good
+            while at < len(rows):
+                some = rows[at : at + 4096].astype(np.int64)
+                holds = (free[some] >= self._times(some)).all(1)
+                if dead:
+                    alive = (self.left[some] >= self._times(some)).all(1)
+                    self.next[parts, gap] = at + (int(alive.argmax()) if alive.any() else len(some))
+                    dead = not alive.any()
+                if holds.any():
+                    return some[holds.argmax()].tolist()
+                at += len(some)
         return None
 
+    @staticmethod
+    def _times(rows: np.ndarray) -> np.ndarray:
+        """How often each entry of a row occurs in it."""
+        return (rows[:, :, None] == rows[:, None, :]).sum(2)
+
+
+def plan_patterns(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """``counts[length]`` pieces to ``[({length: uses}, times)]``, all consumed.
+
+    Gaps are filled by combinations of the index's exact sum; what is left is best fit.
+    """
+    left = counts.astype(np.int64).copy()
+    left[0] = 0
+    index = SumIndex(left, capacity)
+    plan = []
     for top in range(capacity, 0, -1):
         while left[top] > 0:
             free = left.copy()
             free[top] -= 1
             uses, gap = {top: 1}, capacity - top
             while gap > 0:
-                fill = exact(gap, free)
+                fill = index.fill(gap, free)
                 if fill is None:
                     fits = np.flatnonzero(free[: gap + 1])
                     if not len(fits):

@@ -1,6 +1,7 @@
 """Mixing, media, pages, packing and the pipeline."""
 
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -150,17 +151,61 @@ def test_pages_query(spark):
         assert got[r["page_id"]]["text"] == want and got[r["page_id"]]["n_chars"] == len(want)
 
 
-def test_tokenizer_gives_the_librarys_ids():
+def thue_morse(n: int) -> str:
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+@pytest.mark.parametrize("known_bits", [packing.KNOWN_BITS, 6, 2])
+def test_tokenizer_gives_the_librarys_ids(known_bits):
+    """Also where the store is full of a few pieces, on special tokens' strings, and on pieces with one hash."""
     rng = np.random.default_rng(2)
-    texts = ["".join(rng.choice(list("ab 's\n\t .'12é_—²日relvdtm"), rng.integers(0, 60))) for _ in range(1500)] + ["", " ", "'s", "don't  we'll\n\n x", "<|endoftext|>", "a" * 5000]
-    tok = packing.PieceTokenizer(packing.TOKENIZER)
-    plain = Tokenizer.from_file(packing.TOKENIZER)
-    plain.encode_special_tokens = True
-    want = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    texts = ["".join(rng.choice(list("ab 's\n\t .'12é_—²日relvdtm"), rng.integers(0, 60))) for _ in range(1500)] + ["", " ", "'s", "don't  we'll\n\n x", "a" * 5000]
+    one = thue_morse(4096)
+    texts += ["hello <|endoftext|> world", "<|endoftext|>", one, one.translate(str.maketrans("ab", "ba")), f"{one} {one.translate(str.maketrans('ab', 'ba'))}"]
+    tok = packing.PieceTokenizer(packing.TOKENIZER, known_bits)
+    want = [e.ids for e in Tokenizer.from_file(packing.TOKENIZER).encode_batch(texts, add_special_tokens=False)]
+    assert 50256 in want[-5]
     for _ in range(2):
         assert [np.frombuffer(x, "<u4").tolist() for x in tok.encode_batch(texts)] == want
 
 
+def test_tokenizer_ends_on_more_distinct_pieces_than_it_keeps():
+    rng = np.random.default_rng(4)
+    long = " ".join(f"{x:x}" for x in rng.integers(0, 1 << 40, 700_000).tolist())
+    tok = packing.PieceTokenizer(packing.TOKENIZER)
+    got = tok.encode_batch([long, "short"])
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [tok.inner.encode(t, add_special_tokens=False).ids for t in (long, "short")]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_sum_index_finds_what_fills_a_gap(seed):
+    """While counts fall, against trying all combinations."""
+    rng = np.random.default_rng(seed)
+    capacity = 40
+    left = rng.integers(0, 3, capacity + 1) * (rng.random(capacity + 1) < 0.4)
+    left[0] = 0
+    index = packing.SumIndex(left, capacity)
+    for _ in range(200):
+        free = left.copy()
+        here = np.flatnonzero(left)
+        if not len(here):
+            break
+        free[rng.choice(here)] -= 1
+        gap = int(rng.integers(1, capacity + 1))
+        pool = [x for x in here.tolist() for _ in range(free[x])]
+        want = min((k for k in (1, 2, 3) for c in itertools.combinations(pool, k) if sum(c) == gap), default=None)
+        got = index.fill(gap, free)
+        assert (got is None) == (want is None)
+        if got:
+            assert len(got) == want and sum(got) == gap and all(free[x] >= got.count(x) for x in got)
+            if rng.random() < 0.4:
+                for x in got:
+                    left[x] -= 1
+
+
 def check_packing(rows, capacity):
     by = {}
     for r in rows:
