@@ -1,12 +1,15 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one for each block of the page.  A line weighs what
-its text outside links has of characters, and nothing where the page's structure
-says that it isn't article text (menus, headers, footers, sidebars, notices,
-adverts, forms, comments).  Weights are summed over a sliding window of lines;
-where the sum rises from nothing a block of text surges, where it falls to nothing
-it dives, and lines between surge and dive are kept if their block is the page's
-article or heavy enough beside the heaviest.  One pass, a page at a time.
+Markup is stripped to lines, one for each block of the page, and lines belong to the
+container they stand in (the innermost ``div``, ``section`` or the like; an article
+as a whole).  A line weighs what its text outside links has of characters; where the
+page's structure says that it is a menu, header, footer, sidebar, notice, advert, form
+or comment it weighs nothing (by tags and roles) or little (by names), and outside the page's article, if there
+is one, a quarter.  Weights are summed over sliding windows of a container's lines.
+Text surges at the first container with a window of at least ``SHARE`` of the page's
+highest sum and dives after the last one; what lies between is kept, but for light
+containers that the structure marks or that are outside the page's article.
+One pass, a page at a time.
 """
 
 from __future__ import annotations
@@ -22,8 +25,10 @@ from pyspark.sql.types import LongType, StringType, StructType
 
 from .common import bounded_batches, frugal
 
-WINDOW = 2
+WINDOW = 3
 SHARE = 0.3
+#: what is left of the weight of lines that nothing, names or tags and roles mark as furniture, and of lines outside the article
+MARKED, OUTSIDE = (1.0, 0.001, 0.0), 0.25
 
 _MARK = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -35,7 +40,7 @@ BLOCK = {
     "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav",
     "ol", "option", "p", "pre", "section", "select", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
-DROP = {"head", "nav", "aside", "footer", "form", "button", "select", "menu", "dialog", "input", "label", "fieldset"}
+FURNITURE = {"head", "nav", "aside", "footer", "form", "button", "select", "menu", "dialog", "input", "label", "fieldset"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar", "toolbar"}
 NAMES = {
     "ad", "ads", "advert", "adverts", "advertisement", "banner", "sponsor", "sponsored", "promo", "promotion", "cookie", "cookies", "consent", "gdpr", "notice",
@@ -48,43 +53,50 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 FENCE = {"ul", "ol", "dl", "table", "select", "article", "main", "section", "div", "body", "aside", "nav"}
 
 
+CONTAINERS = {"article", "main", "div", "section", "td", "th", "body", "header", "footer", "nav", "aside", "form", "details", "center", "dialog"}
+
+
 @dataclass
 class Line:
     text: str
-    weight: int
+    letters: int  # outside links, or all in an article's lines of links only
     article: int  # 0 outside articles, else which one
+    marked: int  # furniture by the page's structure, see MARKED
+    group: int  # container; an article's unmarked lines are one
 
 
-def _dropped(name: str, attrs: str, inside_article: bool) -> bool:
-    if name in DROP or name == "header" and not inside_article:
-        return True
+def _marked(name: str, attrs: str, inside_article: bool) -> int:
+    """2 if the tag or a role says that this is furniture, or that it is hidden; 1 if a class or an id does; else 0."""
+    if name in FURNITURE or name == "header" and not inside_article:
+        return 2
     if not attrs.strip() or name in ("html", "body", "main"):
-        return False
+        return 0
+    found = 0
     for key, value in _ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-            return True
+            return 2
         if key == "role" and value.lower() in ROLES:
-            return True
+            return 2
         if key in ("class", "id") and {w.lower() for w in _WORD.findall(value)} & NAMES:
-            return True
-    return False
+            found = 1
+    return found
 
 
 def page_lines(page: str) -> list[Line]:
-    """Blocks of text in page order, those of dropped parts with weight 0."""
+    """Blocks of text in page order."""
     lines: list[Line] = []
-    stack: list[tuple[str, bool, int]] = []  # name, dropped, article
+    stack: list[tuple[str, int, int, int]] = []  # name, marked, article, container
     text: list[str] = []
     linked = 0
-    at, articles = 0, 0
+    at, articles, containers = 0, 0, 0
 
     def flush() -> None:
         nonlocal linked
         joined = " ".join("".join(text).split())
         if joined:
-            dropped, article = stack[-1][1:] if stack else (False, 0)
-            lines.append(Line(joined, 0 if dropped else max(0, len(joined) - linked) or (len(joined) if article else 0), article))
+            marked, article, group = stack[-1][1:] if stack else (0, 0, 0)
+            lines.append(Line(joined, max(0, len(joined) - linked) or (len(joined) if article else 0), article, marked, -article if article and not marked else group))
         text.clear()
         linked = 0
 
@@ -98,8 +110,6 @@ def page_lines(page: str) -> list[Line]:
 
     def close(to: int) -> None:
         flush()
-        if any(s[2] != (stack[to - 1][2] if to else 0) for s in stack[to:]):
-            lines.append(Line("", 0, 0))
         del stack[to:]
 
     while m := _MARK.search(page, at):
@@ -137,42 +147,46 @@ def page_lines(page: str) -> list[Line]:
                     break
         if name in VOID:
             continue
-        dropped, article = stack[-1][1:] if stack else (False, 0)
-        if name in ("article", "main") and not article and not dropped and not _dropped(name, m[3], True):
+        marked, article, group = stack[-1][1:] if stack else (0, 0, 0)
+        own = _marked(name, m[3], article > 0 or name in ("article", "main"))
+        if name in ("article", "main") and not article and not marked and not own:
             articles += 1
             article = articles
-        stack.append((name, dropped or _dropped(name, m[3], article > 0), article))
+        if name in CONTAINERS or own > marked:
+            containers += 1
+            group = containers
+        stack.append((name, max(marked, own), article, group))
     add(page[at:] if not page[at:].lstrip().startswith("<") else "")
     flush()
     return lines
 
 
 def main_text(page: str | None, window: int = WINDOW, share: float = SHARE) -> str:
-    """The article's blocks joined by one space; empty if there is none."""
-    if not page:
-        return ""
-    lines = page_lines(page)
-    scoped = any(x.article and x.weight for x in lines)
-    weights = [0 if scoped and not x.article else x.weight for x in lines]
-    sums = [sum(weights[i : i + window]) for i in range(len(weights))]
-    blocks, start = [], None
-    for i, s in enumerate([*sums, 0]):
-        if s and start is None:
-            start = i  # surge
-        elif not s and start is not None:
-            blocks.append((start, i))  # dive
-            start = None
-    if not blocks:
+    """The article's blocks joined by one space; empty if there is none.
+
+    ``window`` lines are summed; a window of at least ``share`` of the highest is a surge.
+    """
+    lines = page_lines(page) if page else []
+    scoped = any(x.article and x.letters and not x.marked for x in lines)
+    weights = [x.letters * MARKED[x.marked] * (OUTSIDE if scoped and not x.article else 1) for x in lines]
+    groups: dict[int, list[int]] = {}
+    for i, x in enumerate(lines):
+        groups.setdefault(x.group, []).append(i)
+    peaks = {g: max(sum(weights[i] for i in at[k : k + window]) for k in range(max(1, len(at) - window + 1))) for g, at in groups.items()}
+    top = max(peaks.values(), default=0)
+    if not top:
         return ""
-    heavy = max(sum(weights[a:b]) for a, b in blocks)
-    kept = [(a, b) for a, b in blocks if scoped or sum(weights[a:b]) >= share * heavy]
-    return " ".join(x.text for a, b in kept for x, w in zip(lines[a:b], weights[a:b], strict=True) if w and x.text)
+    dense = {g for g, peak in peaks.items() if peak >= share * top}
+    surge, dive = min(groups[g][0] for g in dense), max(groups[g][-1] for g in dense)
+    return " ".join(x.text for x in lines[surge : dive + 1] if x.letters and (x.group in dense or not (x.marked or scoped)))
 
 
 def extract_main_text(pages: DataFrame, html: str = "html") -> DataFrame:
     """``pages`` without its html, with ``text`` and ``n_chars``; a null or empty page gives an empty text.
 
-    The text is never cut.  Input columns named ``text`` or ``n_chars`` are replaced.
+    Pages of any length are read whole and their text is never cut.  Repeated rows and null
+    ids are rows like others; an empty table gives no rows.  Input columns named ``text`` or
+    ``n_chars`` are replaced.
     """
     bounded_batches(pages.sparkSession)
     keep = [c for c in pages.columns if c not in (html, "text", "n_chars")]

@@ -130,9 +130,36 @@ def test_page():
     assert htmltext.main_text(PAGE) == "Head & line First boldtext, with white space inside. Second paragraph. one two Last."
 
 
-def test_page_without_landmarks():
-    page = "<div class=menu><a href=x>Home</a> <a href=y>About us and more</a></div><div><p>A first long paragraph of the text.</p><p>And a second one, as long as that.</p></div><div id=footer>copyright notice 2020</div>"
-    assert htmltext.main_text(page) == "A first long paragraph of the text. And a second one, as long as that."
+BARE = [
+    ("<div class=menu><a href=x>Home</a> <a href=y>About us and more</a></div><div><p>A first long paragraph of the text.</p><p>And a second one, as long as that.</p></div><div id=footer>copyright notice 2020</div>",
+     "A first long paragraph of the text. And a second one, as long as that."),
+    ("<div>Home News About</div><div><div><p>The first paragraph stands in a division of its own, as some pages have it.</p></div><div><p>Short.</p></div><div><p>The last paragraph is a long one again, and ends the text of the page.</p></div></div><div>All rights reserved</div>",
+     "The first paragraph stands in a division of its own, as some pages have it. Short. The last paragraph is a long one again, and ends the text of the page."),
+    ("<div><a href=1>One</a><a href=2>Two</a></div><table><tr><td>Log in</td><td><h2>A title</h2><p>Text in a table's cell, on a page laid out by tables, with a link <a href=3>inside</a> of it.<p>More of it.</td><td>Weather: fine</td></tr></table>",
+     "A title Text in a table's cell, on a page laid out by tables, with a link inside of it. More of it."),
+    ("<div class=sidebar-page><p>All of this page stands in a container with the name of a sidebar.</p><p>It is read all the same.</p></div>", "All of this page stands in a container with the name of a sidebar. It is read all the same."),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), BARE)
+def test_page_without_landmarks(page, text):
+    assert htmltext.main_text(page) == text
+
+
+def test_surge_and_dive_decide(spark):
+    """Pages stripped of article, nav, footer and names; with no threshold for a surge every page has its furniture."""
+    rows = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    bare = [re.sub(r"<(/?)(?:article|nav|footer)>", r"<\1div>", h).replace(' class="ad"', "") for h in rows]
+    want = [htmltext.main_text(h) for h in rows]
+    assert np.mean([htmltext.main_text(h) == w for h, w in zip(bare, want, strict=True)]) > 0.93
+    assert all(htmltext.main_text(h, share=0) != w for h, w in zip(bare, want, strict=True))
+    assert all(htmltext.main_text(h, share=0) != w for h, w in zip(rows, want, strict=True))
+
+
+def test_light_blocks_of_an_article_stay():
+    page = "<article><p>A long first paragraph, which has most of the article's text in it.</p><div class=notice><p>One.</p><p>Two.</p></div><section><p>End.</p></section></article><div>Other words.</div>"
+    assert htmltext.main_text(page) == "A long first paragraph, which has most of the article's text in it. End."
+    assert len(htmltext.main_text(f"<article>{'<p>' + 'word ' * 30}" * 3000)) == 3000 * 150 - 1
 
 
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<!--", "<article></article>", "<nav>menu</nav>", "<script>x", '<p title="'])
