@@ -95,6 +95,23 @@ def unpack_texts(z: list[bytes | None]) -> list[bytes | None]:
     return [None if x is None else open_(x) for x in z]
 
 
+#: a vertex with fewer edges than this is never hot
+HOT_EDGES = 100_000
+
+
+def _least_of(edges: DataFrame, key: str, least: DataFrame, total: int) -> DataFrame:
+    """``edges(u, v)`` with ``m`` of ``least(key, m, degree)`` by their ``key``.
+
+    Vertices with so many edges that there can be at most ``HOT_EDGES`` of them are
+    broadcast, so that no task has all edges of a hub; the others are joined.
+    """
+    bound = max(HOT_EDGES, -(-2 * total // HOT_EDGES))
+    hot = F.broadcast(least.where(F.col("degree") >= bound).select(key, F.col("m").alias("_hot")))
+    rest = least.where(F.col("degree") < bound).select(key, "m")
+    marked = edges.join(hot, key, "left")
+    return marked.where("_hot is not null").select("u", "v", F.col("_hot").alias("m")).unionByName(marked.where("_hot is null").join(rest, key).select("u", "v", "m"))
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)`` as ``(id, component)``.
 
@@ -104,24 +121,23 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     groupings over edges; only a changed-or-not sum reaches the driver.  The
     component is the least id reachable.  An empty input gives an empty output.
     """
-    spark = edges.sparkSession
     e = edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u <> v").distinct()
     e = materialize(e, "cc-edges")
     before = None
+    total = e.count()
     for _ in range(max_rounds):
-        # large star: every neighbour above u goes to u's least neighbour (or u)
+        # large star: every neighbour u above v goes to v's least neighbour (or v)
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = large.distinct()
+        least = both.groupBy(F.col("u").alias("v")).agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("degree"))
+        large = _least_of(e.select("u", "v"), "v", least, total).select("u", F.col("m").alias("v")).where("u <> v").distinct()
         # small star: every neighbour not above u, and u, go to the least of them
-        small_min = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_min, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small_min = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+        small = _least_of(large, "u", small_min, total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = materialize(small.unionByName(small_min.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "cc-edges")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        before, total = now, now[0]
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()

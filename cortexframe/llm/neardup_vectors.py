@@ -7,14 +7,20 @@ probability set beforehand, and the number of directions that catch it is
 binomial: both the window and the count a pair must reach are calibrated from
 the recall asked for.  Pairs that reach the count are verified in double precision.
 
-To count only where it can matter, a few leading directions deal vectors into
-cells as wide as the window; a query visits the cells that its window touches, and
-some independent groups of leading directions bring the recall back up.  In a cell
-candidates come from the sorted first direction.  A pair met under several groups
-counts under the first that catches it, which either side can tell from its
-projections, so link counts need no exchange of pairs.  Equal vectors are folded
-into one beforehand, large cells are split, and only counts and spanning edges
-leave a cell.
+A window on one direction catches a third of all vectors, so collisions are counted
+within cells.  A cell is named by further projections: of each of some sets of
+directions, the one with the longest projection and its sign.  The number and size of
+these sets grow with the number of vectors, so that a cell holds about ``CELL_ROWS``
+of them at every size; independent groups of sets, as many as the recall asks for
+under the chance (by simulation) that a pair at the threshold shares a cell, bring
+the recall back up.  A vector is in one cell a group.
+
+In a cell vectors are sorted by the first direction; each is a query to those after
+it in its window.  A pair that shares the cells of several groups counts under the
+first, which either side's cell names tell, so link counts need no exchange of
+pairs.  Equal vectors are folded into one beforehand, cells of over ``SPLIT_ROWS``
+are split into parts whose pairs are tasks, and only counts and spanning edges leave
+a task.
 """
 
 from __future__ import annotations
@@ -29,19 +35,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from .common import components, frugal, materialize
+from .common import bounded_batches, components, frugal, materialize
 
 COSINE = 0.95
 DIRECTIONS = 24
 CATCH = 0.97
-CELL_ROWS = 3000
+CELL_ROWS, SPLIT_ROWS = 500, 4000
+SET = 64  # directions in a set at most
+#: a table of split cells is broadcast up to so many rows of three numbers
+FEW_CELLS = 100_000
 
 
 @dataclass(frozen=True)
 class Plan:
     """What is fixed before any vector is compared."""
 
-    lead: int  # leading directions in a group
+    sets: tuple[int, ...]  # directions in each set that names a cell
     groups: int
     catch: float = CATCH
     directions: int = DIRECTIONS
@@ -62,15 +71,49 @@ class Plan:
         return n
 
     def matrix(self, dim: int) -> np.ndarray:
-        m = np.random.default_rng(self.seed + dim).normal(size=(dim, self.directions))
-        return m / np.linalg.norm(m, axis=0)
-
-
-def plan_for(rows: int, recall: float = 0.99, cosine: float = COSINE) -> Plan:
-    """Leading directions so that cells stay near ``CELL_ROWS`` rows, groups so that ``recall`` is met."""
-    lead = min(6, max(1, math.ceil(math.log(max(1.0, rows / CELL_ROWS)) / math.log(2.6))))
-    groups = max(1, math.ceil(math.log(1 - recall) / math.log(1 - CATCH**lead)))
-    return Plan(lead, min(groups, DIRECTIONS // lead), cosine=cosine)
+        return _directions(dim, self.directions, self.seed)
+
+    def cells(self, x: np.ndarray) -> np.ndarray:
+        """Names of the cells of unit vectors, a column a group."""
+        dim = x.shape[1]
+        out = np.empty((len(x), self.groups), np.int64)
+        with np.errstate(over="ignore"):
+            for g in range(self.groups):
+                y = x @ _directions(dim, max(1, sum(self.sets)), self.seed + 1000 * (g + 1))
+                h, at = np.full(len(x), dim, np.uint64), 0
+                for size in self.sets:
+                    own = y[:, at : at + size]
+                    longest = np.abs(own).argmax(1)
+                    sign = np.take_along_axis(own, longest[:, None], 1)[:, 0] > 0
+                    h = (h ^ (2 * longest + sign).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+                    h ^= h >> np.uint64(29)
+                    at += size
+                out[:, g] = h.view(np.int64)
+        return out
+
+
+def _directions(dim: int, n: int, seed: int) -> np.ndarray:
+    m = np.random.default_rng(seed + dim).normal(size=(dim, n))
+    return m / np.linalg.norm(m, axis=0)
+
+
+def plan_for(rows: int, recall: float = 0.99, cosine: float = COSINE, dim: int = 64) -> Plan:
+    """Sets so that cells stay near ``CELL_ROWS`` of ``rows`` vectors, groups so that ``recall`` is met at the threshold."""
+    sets, cells = [], rows / CELL_ROWS
+    while cells > 1:
+        sets.append(min(SET, math.ceil(cells / 2)))
+        cells /= 2 * sets[-1]
+    rng = np.random.default_rng(5)
+    x, z = _unit(rng.normal(size=(2000, dim))), rng.normal(size=(2000, dim))
+    z = _unit(z - (z * x).sum(1, keepdims=True) * x) if dim > 1 else x
+    y = cosine * x + math.sqrt(1 - cosine**2) * z
+    trial = Plan(tuple(sets), 8, cosine=cosine)
+    p = min(0.999, max(0.001, float((trial.cells(x) == trial.cells(y)).mean())))
+    return Plan(tuple(sets), max(1, math.ceil(math.log(1 - recall) / math.log(1 - p))) if sets else 1, cosine=cosine)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _normal_quantile(p: float) -> float:
@@ -81,116 +124,100 @@ def _normal_quantile(p: float) -> float:
     return low
 
 
-def _cell_keys(cells: np.ndarray, group: int) -> np.ndarray:
-    h = np.full(len(cells), group * 2 + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(cells.shape[1]):
-            h = (h ^ cells[:, k].astype(np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-    return h.view(np.int64)
-
-
 def _matrix(column: pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def deal(vectors: DataFrame, plan: Plan, content: bool = True) -> DataFrame:
-    """``grp, cell, query, id, copies`` (and ``v``): each vector in its own cell, and as a query in all cells its windows touch."""
+def cell_names(vectors: DataFrame, plan: Plan) -> DataFrame:
+    """``id, copies, v`` with ``cells``, a name for each group."""
+    bounded_batches(vectors.sparkSession)
     kind = vectors.schema["v"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                sizes = part.column(2).value_lengths().to_numpy()
-                for dim in np.unique(sizes):
-                    yield from one(part.filter(pa.array(sizes == dim)), int(dim))
-
-    def one(part: pa.RecordBatch, dim: int) -> Iterator[pa.RecordBatch]:
-        x = _matrix(part.column(2))
-        y = x / np.linalg.norm(x, axis=1, keepdims=True) @ plan.matrix(dim)
-        w = plan.width(dim)
-        for g in range(plan.groups):
-            lead = y[:, g * plan.lead : (g + 1) * plan.lead]
-            for corner in range(-1, 1 << plan.lead):
-                side = np.zeros(plan.lead) if corner < 0 else np.array([1 if corner >> k & 1 else -1 for k in range(plan.lead)])
-                cell = _cell_keys(np.floor((lead + side * w) / (2 * w)).astype(np.int64), g * 4096 + dim)
-                n = len(x)
-                cols = [pa.array(np.full(n, g, np.int32)), pa.array(cell), pa.array(np.full(n, corner >= 0)), part.column(0), part.column(1)]
-                yield pa.RecordBatch.from_arrays([*cols, *([part.column(2)] if content else [])], names=["grp", "cell", "query", "id", "copies", *["v"] * content])
-
-    return vectors.select("id", "copies", "v").mapInArrow(frugal(run), "grp int, cell long, query boolean, id long, copies long" + f", v {kind}" * content)
+            sizes = batch.column(2).value_lengths().to_numpy()
+            for dim in np.unique(sizes):
+                part = batch.filter(pa.array(sizes == dim))
+                cells = plan.cells(_unit(_matrix(part.column(2)).astype(np.float64)))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, cells.size + 1, plan.groups), pa.int32()), pa.array(cells.ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=["id", "copies", "v", "cells"])
+
+    return vectors.select("id", "copies", "v").mapInArrow(frugal(run), f"id long, copies long, v {kind}, cells array<long>")
+
+
+def _unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Roots after uniting the trees of ``i`` and ``j``; every label is a root before and after."""
+    while True:
+        a, b = label[i], label[j]
+        open_ = a != b
+        if not open_.any():
+            return label
+        i, j, a, b = i[open_], j[open_], a[open_], b[open_]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label = label[label]
 
 
 def _links(table: pa.Table, plan: Plan) -> pa.Table:
-    """Links of a cell's queries with its data: a row (id, links, root) for each query that has any."""
+    """Links within a part of a cell, or between two: a row (id, links, root) for each vector that has any."""
     group = table.column("grp")[0].as_py()
-    is_query = table.column("query").to_numpy()
-    ids, copies = table.column("id").to_numpy(), table.column("copies").to_numpy()
-    x = _matrix(table.column("v"))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = table.column("own").to_numpy()
+    ids, copies, cells = table.column("id").to_numpy(), table.column("copies").to_numpy(), _matrix(table.column("cells"))
+    x = _unit(_matrix(table.column("v")).astype(np.float64))
     dim = x.shape[1]
-    y, w, need = (x @ plan.matrix(dim)).astype(np.float32), np.float32(plan.width(dim)), plan.count()
-    first = group * plan.lead
-    q, d = np.flatnonzero(is_query), np.flatnonzero(~is_query)
-    q, d = q[np.argsort(y[q, first], kind="stable")], d[np.argsort(y[d, first], kind="stable")]
-    yd, xd = y[d], x[d]
-    found_q, found_d = [], []
-    for at in range(0, len(q), 256):
-        part = q[at : at + 256]
-        low, high = np.searchsorted(yd[:, first], [y[part[0], first] - w, y[part[-1], first] + w])
-        if low >= high:
-            continue
-        near = np.ones((len(part), high - low), bool)
-        for k in range(first, first + plan.lead):
-            near &= np.abs(y[part, k][:, None] - yd[low:high, k][None, :]) <= w
-        i, j = np.nonzero(near)
-        gap = np.abs(y[part[i]] - yd[low + j]) <= w
-        ok = gap.sum(1) >= need
+    y = (x @ plan.matrix(dim)).astype(np.float32)
+    order = np.argsort(y[:, 0], kind="stable")
+    side, ids, copies, x, cells, y = side[order], ids[order], copies[order], x[order], cells[order].T.copy(), y[order].T.copy()
+    w, most = np.float32(plan.width(dim)), plan.directions - plan.count()
+    two = table.column("pa")[0].as_py() != table.column("pb")[0].as_py()
+    n = len(ids)
+    links, label = np.zeros(n, np.int64), np.arange(n)
+    for at in range(0, n, 128):
+        stop = min(n, at + 128)
+        high = int(np.searchsorted(y[0], y[0, stop - 1] + w, side="right"))
+        near = np.abs(y[0, at:stop, None] - y[0, at:high]) <= w
+        near &= np.arange(at, stop)[:, None] < np.arange(at, high)
+        if two:
+            near &= side[at:stop, None] != side[at:high]
         for g in range(group):  # counted under an earlier group
-            ok &= ~gap[:, g * plan.lead : (g + 1) * plan.lead].all(1)
-        i, j = part[i[ok]], low + j[ok]
-        other = ids[i] != ids[d[j]]
-        i, j = i[other], j[other]
-        ok = np.einsum("ij,ij->i", x[i], xd[j]) >= plan.cosine
-        found_q.append(i[ok]), found_d.append(d[j[ok]])
-    i = np.concatenate(found_q) if found_q else np.zeros(0, np.int64)
-    j = np.concatenate(found_d) if found_d else np.zeros(0, np.int64)
-    who, at = np.unique(i, return_inverse=True)
-    links = np.bincount(at, copies[j], minlength=len(who)).astype(np.int64)
-    # least id each can reach inside the cell; ids stand for their rows on either side
-    names, code = np.unique(ids, return_inverse=True)
-    a, b, label = code[i], code[j], np.arange(len(names))
-    while len(a):
-        least = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, a, least), np.minimum.at(label, b, least)
-        label = label[label]
-        if (label == before).all():
-            break
-    return pa.table({"id": pa.array(ids[who], pa.int64()), "links": pa.array(links), "root": pa.array(names[label[code[who]]].astype(np.int64)) if len(who) else pa.array([], pa.int64())})
-
-
-def vector_links(vectors: DataFrame, plan: Plan, cell_rows: int = 2 * CELL_ROWS) -> DataFrame:
+            near &= cells[g, at:stop, None] != cells[g, at:high]
+        i, j = np.nonzero(near)
+        i, j = i + at, j + at
+        missed = np.zeros(len(i), np.int8)
+        for k in range(1, plan.directions):
+            missed += np.abs(y[k, i] - y[k, j]) > w
+            if k % 4 == 0:
+                some = missed <= most
+                i, j, missed = i[some], j[some], missed[some]
+        some = missed <= most
+        i, j = i[some], j[some]
+        for low in range(0, len(i), 100_000):
+            a, b = i[low : low + 100_000], j[low : low + 100_000]
+            ok = np.einsum("ij,ij->i", x[a], x[b]) >= plan.cosine
+            a, b = a[ok], b[ok]
+            links += np.bincount(a, copies[b], minlength=n).astype(np.int64) + np.bincount(b, copies[a], minlength=n).astype(np.int64)
+            label = _unite(label, a, b)
+    least = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(least, label, ids)
+    who = np.flatnonzero(links)
+    return pa.table({"id": pa.array(ids[who]), "links": pa.array(links[who]), "root": pa.array(least[label[who]])})
+
+
+def vector_links(vectors: DataFrame, plan: Plan, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """``id, links, root`` rows of distinct ``vectors(id, copies, v)``; sum ``links`` by id.
 
-    Cells of more than ``cell_rows`` data rows, or eight times as many queries, are split;
-    every query part meets every data part.
+    Cells of more than ``split_rows`` are split; every two parts meet in a task of their own.
     """
-    sizes = deal(vectors, plan, content=False).groupBy("cell").agg(
-        F.ceil(F.count(F.when(~F.col("query"), 1)) / F.lit(cell_rows)).alias("kd"), F.ceil(F.count(F.when(F.col("query"), 1)) / F.lit(8 * cell_rows)).alias("kq")
-    )
-    large = sizes.where("kd > 1 or kq > 1")
-    rows = deal(vectors, plan).join(large, "cell", "left")
-    kd, kq = F.greatest(F.coalesce("kd", F.lit(1)), F.lit(1)), F.greatest(F.coalesce("kq", F.lit(1)), F.lit(1))
-    own_d, own_q = F.pmod(F.xxhash64("id"), kd), F.pmod(F.xxhash64("id"), kq)
-    all_of = lambda k: F.sequence(F.lit(0).cast("long"), (k - 1).cast("long"))
-    rows = rows.withColumn("pd", F.explode(F.when(F.col("query"), all_of(kd)).otherwise(F.array(own_d))))
-    rows = rows.withColumn("pq", F.explode(F.when(F.col("query"), F.array(own_q)).otherwise(all_of(kq))))
-    rows = rows.select("grp", "cell", "pd", "pq", "query", "id", "copies", "v")
+    named = materialize(cell_names(vectors, plan), "vec-cells")
+    dealt = named.select("id", "copies", "v", "cells", F.posexplode("cells").alias("grp", "cell"))
+    large = named.select(F.posexplode("cells").alias("grp", "cell")).groupBy("grp", "cell").agg(F.ceil(F.count("*") / F.lit(split_rows)).alias("k")).where("k > 1")
+    large = materialize(large, "vec-large-cells")
+    rows = dealt.join(F.broadcast(large) if large.count() <= FEW_CELLS else large, ["grp", "cell"], "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("k"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    rows = rows.select("grp", "cell", F.least("own", "other").alias("pa"), F.greatest("own", "other").alias("pb"), "own", "id", "copies", "cells", "v")
     schema = StructType().add("id", LongType()).add("links", LongType()).add("root", LongType())
-    return rows.groupBy("cell", "pd", "pq").applyInArrow(lambda t: _links(t, plan), schema)
+    return rows.repartition("grp", "cell", "pa", "pb").groupBy("grp", "cell", "pa", "pb").applyInArrow(lambda t: _links(t, plan), schema)
 
 
 def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = 0.99) -> DataFrame:
@@ -198,7 +225,9 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, recall: f
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with
     nothing, nor do rows with a null vec_id; vectors of different lengths never link.
-    Equal vectors link with each other.  No pair below ``cosine`` is linked.
+    Equal vectors link with each other.  No pair below ``cosine`` is linked.  Rows that
+    repeat a vec_id are vectors of their own; other columns are left out; an empty table
+    gives no rows.
     """
     good = F.expr(
         "vec_id is not null and embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('Infinity'))"
@@ -207,7 +236,8 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, recall: f
     marked = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").withColumn("_good", F.coalesce(good, F.lit(False)))
     usable = marked.where("_good").select("vec_id", F.col("embedding").alias("v"))
     distinct = materialize(usable.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "vec-distinct")
-    plan = plan_for(distinct.count(), recall, cosine)
+    sizes = distinct.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
+    plan = plan_for(distinct.count(), recall, cosine, sizes["dim"] if sizes else 1)
     found = materialize(vector_links(distinct, plan), "vec-links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))

@@ -168,16 +168,16 @@ def links_by_brute_force(x, least=0.95):
         label = new
 
 
-@pytest.mark.parametrize("rows", [6000, 50])
-def test_vectors_match_brute_force(spark, rows):
-    """Cells whole and split."""
+@pytest.mark.parametrize(("rows", "planned"), [(6000, 1500), (50, 1500), (6000, 5_000_000), (50, 200_000_000)])
+def test_vectors_match_brute_force(spark, rows, planned):
+    """Cells whole and split, and named as they are among more vectors."""
     rng = np.random.default_rng(6)
     x = rng.normal(size=(1500, 64))
     x[300:600] = x[rng.integers(0, 50, 300)] + rng.normal(0, 0.12, (300, 64))
     x[600:640] = x[0]
     x = x.astype(np.float32)
     frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    plan = neardup_vectors.plan_for(30_000)
+    plan = neardup_vectors.plan_for(planned)
     distinct = frame.groupBy(neardup_vectors.F.col("embedding").alias("v")).agg(neardup_vectors.F.min("vec_id").alias("id"), neardup_vectors.F.count("*").alias("copies"))
     found = neardup_vectors.vector_links(distinct, plan, rows).groupBy("id").agg(neardup_vectors.F.sum("links").alias("n")).collect()
     degree, label = links_by_brute_force(x.astype(np.float64))
@@ -192,6 +192,44 @@ def test_vectors_match_brute_force(spark, rows):
     assert all(out[i]["n_links"] >= 39 for i in range(600, 640))
 
 
+@pytest.mark.parametrize("planned", [10_000, 100_000_000])
+def test_pairs_at_the_threshold_are_caught(spark, planned):
+    """The worst case: all pairs have a cosine just above 0.95."""
+    rng = np.random.default_rng(8)
+    x, z = rng.normal(size=(600, 64)), rng.normal(size=(600, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    y = 0.9501 * x + np.sqrt(1 - 0.9501**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    rows = [(i, 1, v.tolist()) for i, v in enumerate(np.concatenate([x, y]))]
+    found = neardup_vectors.vector_links(spark.createDataFrame(rows, "id long, copies long, v array<double>"), neardup_vectors.plan_for(planned))
+    assert found.count() >= 0.96 * 1200
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    """Hubs of least, middle and greatest id, joined, and broadcast."""
+    from cortexframe.llm import common
+
+    rng = random.Random(4)
+    edges = [(0, i) for i in range(1, 300)] + [(1500, i) for i in range(1000, 2000) if i != 1500] + [(9000, i) for i in range(3000, 3300)]
+    edges += [(i, i + 1) for i in range(4000, 4200)] + [(rng.randrange(5000, 5400), rng.randrange(5000, 5400)) for _ in range(150)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    want = {x: find(x) for e in edges if e[0] != e[1] for x in e}
+    frame = spark.createDataFrame(edges, "a long, b long")
+    for hot in (100_000, 60):
+        monkeypatch.setattr(common, "HOT_EDGES", hot)
+        got = {r["id"]: r["component"] for r in common.components(frame).collect()}
+        assert got == want
+
+
 def test_vectors_odd_inputs(spark):
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, [1.0, 2.0]), (8, [2.0, 4.0]), (9, [1.0, 2.0]), (9, [1.0, 2.0]), (10, [1.0, 2.0, 0.0]), (None, [1.0, 2.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", neardup_vectors.F.lit(0)).withColumn("v", neardup_vectors.F.lit(0))
