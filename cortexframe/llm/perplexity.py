@@ -1,22 +1,26 @@
 """Document quality by perplexity under an interpolated modified Kneser-Ney model.
 
 The model is over characters (lower case, digits as 0, white space as one space),
-order 5, one for each language, trained on all trusted text.  A 5-gram is packed
-into one 64-bit number, so contexts and shorter n-grams are bit operations and
-everything from raw counts to probabilities is groupings and joins of count
-tables, sharded by n-gram: counts and continuation counts, discounts from counts
-of counts, context totals, and the interpolation from one order to the next.
-Probabilities are computed for the distinct 5-grams of the whole corpus, seen or
-not.  Texts are then scored by looking theirs up: from a broadcast table while that
-has at most ``broadcast_rows`` rows, else by joining each document's 5-gram counts.
-
-Thresholds come from quantiles of the trusted documents of a language that the model
-was not trained on: the median and ``spread`` times the way from it to ``quantile``,
-so that clean documents of any length stay.
+order 5, one for each language, trained on all trusted text.  The 4,095 most
+frequent characters of the corpus are symbols of their own, rarer ones share one.  A
+5-gram is packed into one 64-bit number, so contexts and shorter n-grams are bit
+operations and everything from raw counts to probabilities is groupings and joins of
+count tables, sharded by n-gram: counts and continuation counts, discounts from
+counts of counts, context totals, and the interpolation from one order to the next.
+Probabilities are computed for the distinct 5-grams of the whole corpus, seen or not.
+
+Documents' counts meet the table of log-probabilities in shards of at most
+``shard_rows`` rows, one after the other: each is broadcast, every document's 5-grams
+that fall into it are weighed by their counts, and the partial sums are added by
+document.  Sums are of whole numbers, so the number of shards doesn't change them.
+
+The threshold of a language is a quantile of the trusted documents that the model was
+not trained on.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -24,36 +28,62 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructType
 
-from .common import bounded_batches, crc_mod, documents, frugal, materialize, pack_texts, unpack_texts
+from .common import bounded_batches, crc_mod, discard, documents, frugal, materialize, pack_texts, unpack_texts
 
 ORDER = 5
 SYMBOL = 12  # bits of a character
 CLASSES = 1 << SYMBOL
-BROADCAST_ROWS = 6_000_000
-QUANTILE, SPREAD = 0.99, 5.0
+SHARD_ROWS = 4_000_000  # of a language, a 5-gram and its log-probability: 24 bytes or less
+UNIT = 1 << 30  # log-probabilities are whole numbers of 1 / UNIT
+QUANTILE = 0.998
 _DIGIT, _SPACE = re.compile(r"\d"), re.compile(r"\s+")
 
 
-def symbols(text: str | None) -> np.ndarray:
-    """Character codes of the normalized text after ORDER - 1 spaces; beyond U+07FF they share 2048 classes."""
-    t = _SPACE.sub(" ", _DIGIT.sub("0", (text or "").lower())).strip()
-    codes = np.frombuffer((" " * (ORDER - 1) + t).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    return np.where(codes < CLASSES // 2, codes, CLASSES // 2 + codes % (CLASSES // 2))
+def normalized(text: str | None) -> str:
+    return _SPACE.sub(" ", _DIGIT.sub("0", (text or "").lower())).strip()
 
 
-def grams(text: str | None) -> np.ndarray:
-    """Packed 5-grams, one for each character of the normalized text."""
-    c = symbols(text)
-    n = len(c) - ORDER + 1
-    out = np.zeros(max(0, n), np.int64)
-    for k in range(ORDER):
-        out = (out << SYMBOL) | c[k : k + n]
-    return out
+class Alphabet:
+    """Symbols of characters: 1 is the space, 0 any character that isn't listed."""
 
+    def __init__(self, codes: list[int]):
+        self.codes = np.array([32, *(c for c in codes if c != 32)][: CLASSES - 1], np.uint32)
+        self._table: np.ndarray | None = None
 
-def corpus_grams(docs: DataFrame) -> DataFrame:
+    def __getstate__(self) -> dict:
+        return {"codes": self.codes, "_table": None}
+
+    def grams(self, text: str | None) -> np.ndarray:
+        """Packed 5-grams, one for each character of the normalized text, which follows ORDER - 1 spaces."""
+        if self._table is None:
+            self._table = np.zeros(0x110000, np.int64)
+            self._table[self.codes] = np.arange(1, len(self.codes) + 1)
+        t = normalized(text)
+        c = self._table[np.frombuffer((" " * (ORDER - 1) + t).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        out = np.zeros(len(t), np.int64)
+        for k in range(ORDER):
+            out = (out << SYMBOL) | c[k : k + len(t)]
+        return out
+
+
+def alphabet(docs: DataFrame) -> Alphabet:
+    """The most frequent characters of all texts; at most ``CLASSES - 1`` numbers reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0x110000, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                whole = "".join(t.lower() for t in batch.column(0).slice(at, 256).to_pylist() if t)
+                total += np.bincount(np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32), minlength=len(total))
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["code", "n"])
+
+    counts = docs.select("text").mapInArrow(frugal(run), "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return Alphabet([r["code"] for r in counts.orderBy(F.desc("n"), "code").limit(CLASSES - 1).collect()])
+
+
+def corpus_grams(docs: DataFrame, letters: Alphabet) -> DataFrame:
     """``lang, g, c``: distinct 5-grams of ``docs(z, lang, trusted)``, whose texts are packed, and their count in trusted text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,7 +94,7 @@ def corpus_grams(docs: DataFrame) -> DataFrame:
                 part = batch.slice(at, 256)
                 texts = unpack_texts(part.column(0).to_pylist())
                 for t, lang, trusted in zip(texts, part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    g = grams(None if t is None else t.decode("utf-8", "surrogatepass"))
+                    g = letters.grams(None if t is None else t.decode("utf-8", "surrogatepass"))
                     by.setdefault(lang, []).append((g, bool(trusted)))
                     held += len(g)
                     if held > 4_000_000:
@@ -89,7 +119,7 @@ def _low(g, order: int):
 
 
 def kneser_ney(corpus: DataFrame) -> DataFrame:
-    """``lang, g, logp`` for all rows of ``corpus(lang, g, c)``: natural logarithm of each 5-gram's interpolated probability.
+    """``lang, g, logp`` for all rows of ``corpus(lang, g, c)``: natural logarithm of each 5-gram's interpolated probability, in parts of ``UNIT``.
 
     A language without trusted text gets uniform probabilities.
     """
@@ -119,93 +149,87 @@ def kneser_ney(corpus: DataFrame) -> DataFrame:
         else:
             rows = rows.withColumn("suffix", _low(F.col("g"), n - 1)).join(below.withColumnRenamed("g", "suffix"), ["lang", "suffix"])
         p = F.coalesce(F.col("own") / F.col("total"), F.lit(0.0)) + F.coalesce(F.col("held") / F.col("total"), F.lit(1.0)) * F.col("low")
+        used = [below] if below is not None else []
         below = materialize(rows.select("lang", "g", p.alias("low")), f"kn-p{n}")
-    return below.select("lang", "g", F.log("low").alias("logp"))
-
+        discard(*used)
+    discard(*(table[n] for table in (counts, asked) for n in range(1, ORDER)))
+    return below.select("lang", "g", F.round(F.log("low") * UNIT).cast("long").alias("logp"))
 
-def score_by_lookup(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """``docs(doc_id, text, lang, ...)`` with ``_logp`` (a sum) and ``_chars``; the model is broadcast."""
-    tables: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    table = model.orderBy("lang", "g").toArrow()
-    langs = table.column("lang").to_numpy(zero_copy_only=False)
-    g, logp = table.column("g").to_numpy(), table.column("logp").to_numpy()
-    for lang in dict.fromkeys(langs.tolist()):
-        at = langs == lang
-        tables[lang] = (g[at], logp[at])
-    shared = docs.sparkSession.sparkContext.broadcast(tables)
-    schema = StructType([*docs.schema.fields]).add("_logp", DoubleType()).add("_chars", LongType())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                texts = part.column(part.schema.get_field_index("text")).to_pylist()
-                got, sizes = [], []
-                for t, lang in zip(texts, part.column(part.schema.get_field_index("lang")).to_pylist(), strict=True):
-                    keys, values = shared.value.get(lang or "", (np.zeros(0, np.int64), np.zeros(0)))
-                    seen, times = np.unique(grams(t), return_counts=True)
-                    at = np.searchsorted(keys, seen)
-                    got.append(float((values[at] * times).sum()) if len(seen) else 0.0)
-                    sizes.append(int(times.sum()))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.float64()), pa.array(sizes, pa.int64())], names=schema.names)
-
-    return docs.mapInArrow(frugal(run), schema)
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, lang, text)`` with ``_k1`` and ``_k2``, hashes of the three; equal rows have equal keys."""
+    parts = [F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), F.coalesce("lang", F.lit("")), F.coalesce("text", F.lit(""))]
+    return docs.withColumn("_k1", F.xxhash64(*parts)).withColumn("_k2", F.xxhash64(F.lit(1), *parts))
 
 
-def score_by_join(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """The same by a join of each text's 5-gram counts with the model's shards.
-
-    Rows are keyed by hashes of doc_id, lang and text; equal rows are scored once.
-    """
-    parts = [F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), F.coalesce("lang", F.lit("")), F.coalesce("text", F.lit(""))]
-    keyed = docs.withColumn("_k1", F.xxhash64(*parts)).withColumn("_k2", F.xxhash64(F.lit(1), *parts))
-    once = pack_texts(keyed, ["_k1", "_k2", "lang"]).dropDuplicates(["_k1", "_k2"])
-    names = ["_k1", "_k2", "lang", "g", "c"]
+def weigh(rows: DataFrame, letters: Alphabet, shard: dict[str, tuple[np.ndarray, np.ndarray]], number: int) -> DataFrame:
+    """``_k1, _k2, shard, logp, chars``: of each row of ``rows`` what its 5-grams in one shard of the model sum to."""
+    shared = rows.sparkSession.sparkContext.broadcast(shard)
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                k1, k2, langs, z = (part.column(i).to_pylist() for i in range(4))
-                g, c = [], []
-                for t in unpack_texts(z):
-                    seen, times = np.unique(grams(None if t is None else t.decode("utf-8", "surrogatepass")), return_counts=True)
-                    g.append(seen), c.append(times.astype(np.int64))
-                if g:
-                    sizes = [len(x) for x in g]
-                    which = pa.array(np.repeat(np.arange(len(g)), sizes))
-                    cols = [pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array([x or "" for x in langs], pa.string())]
-                    yield pa.RecordBatch.from_arrays([*(x.take(which) for x in cols), pa.array(np.concatenate(g)), pa.array(np.concatenate(c))], names=names)
-
-    rows = once.mapInArrow(frugal(run), "_k1 long, _k2 long, lang string, g long, c long")
-    sums = rows.join(model, ["lang", "g"]).groupBy("_k1", "_k2").agg(F.sum(F.col("c") * F.col("logp")).alias("_logp"), F.sum("c").alias("_chars"))
-    joined = keyed.join(sums, ["_k1", "_k2"], "left").drop("_k1", "_k2")
-    return joined.withColumn("_logp", F.coalesce("_logp", F.lit(0.0))).withColumn("_chars", F.coalesce("_chars", F.lit(0).cast("long")))
-
-
-def perplexities(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, spread: float = SPREAD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+                sums, sizes = [], []
+                for t, lang in zip(part.column(3).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    keys, values = shared.value.get(lang or "", none)
+                    seen, times = np.unique(letters.grams(t), return_counts=True)
+                    at = np.searchsorted(keys, seen)
+                    inside = at < len(keys)
+                    inside[inside] = keys[at[inside]] == seen[inside]
+                    sums.append(int((values[at[inside]] * times[inside]).sum())), sizes.append(int(times[inside].sum()))
+                cols = [part.column(0), part.column(1), pa.array([number] * len(sums), pa.int32()), pa.array(sums, pa.int64()), pa.array(sizes, pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, names=["_k1", "_k2", "shard", "logp", "chars"])
+
+    return rows.select("_k1", "_k2", "lang", "text").mapInArrow(frugal(run), "_k1 long, _k2 long, shard int, logp long, chars long")
+
+
+def document_sums(docs: DataFrame, letters: Alphabet, model: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Rows of ``docs(doc_id, lang, text)`` without their text, with ``logp`` (in parts of ``UNIT``) and ``chars``."""
+    rows = keyed(docs)
+    # hashes deal shards evenly; a tenth is left for chance
+    shards = max(1, math.ceil(model.count() / (0.9 * shard_rows)))
+    sums = None
+    for k in range(shards):
+        table = model.where(F.pmod(F.xxhash64("g", "lang"), F.lit(shards)) == k).orderBy("lang", "g").toArrow()
+        langs = table.column("lang").dictionary_encode().combine_chunks()
+        code, g, logp = langs.indices.to_numpy(), table.column("g").to_numpy(), table.column("logp").to_numpy()
+        shard = {lang: (g[code == i], logp[code == i]) for i, lang in enumerate(langs.dictionary.to_pylist())}
+        part = materialize(weigh(rows, letters, shard, k), "kn-sums")
+        sums = part if sums is None else sums.unionByName(part)
+    # equal rows have equal sums, and count once a shard
+    once = sums.groupBy("_k1", "_k2", "shard").agg(F.max("logp").alias("logp"), F.max("chars").alias("chars"))
+    total = once.groupBy("_k1", "_k2").agg(F.sum("logp").alias("logp"), F.sum("chars").alias("chars"))
+    return rows.drop("text").join(total, ["_k1", "_k2"]).drop("_k1", "_k2")
+
+
+def perplexities(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Per row of ``docs(doc_id, text, lang)``: ``doc_id, lang, n_scored, perplexity, threshold, kept``.
 
     Trusted are rows with quality 1 in ``labels(doc_id, quality)``; those whose crc32(doc_id)
     mod 4 is 3 set the thresholds, the others train the model.  Texts without characters
     have a null perplexity and are kept, as are languages (null is one) without trusted
-    rows to set a threshold.  Empty tables give empty results.
+    rows to set a threshold.  Rows with a null or repeated doc_id are scored each by its own
+    text; texts of any length are scored whole; other columns are left out.  Empty tables
+    give empty results.
     """
     bounded_batches(docs.sparkSession)
     marks = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max((F.col("quality") == 1).cast("int")).alias("good"))
     base = docs.select("doc_id", "text", "lang")
+    letters = alphabet(base)
     # labels are two numbers a row; texts meet them by doc_id without being collected
     ids = base.select("doc_id").distinct().join(marks, "doc_id").where("good = 1").select(F.col("doc_id").alias("_id"))
     trusted = pack_texts(base, ["doc_id", "lang"]).hint("merge").join(ids, F.col("doc_id") == F.col("_id"), "left")
     trusted = trusted.withColumn("trusted", F.col("_id").isNotNull() & (crc_mod("doc_id", 4) != 3))
-    corpus = materialize(corpus_grams(trusted), "kn-corpus")
+    corpus = materialize(corpus_grams(trusted, letters), "kn-corpus")
     model = kneser_ney(corpus)
-    score = score_by_lookup if corpus.count() <= broadcast_rows else score_by_join
-    scored = score(base, model).select("doc_id", "lang", F.col("_chars").alias("n_scored"), F.when(F.col("_chars") > 0, F.exp(-F.col("_logp") / F.col("_chars"))).alias("perplexity"))
+    discard(corpus)
+    sums = document_sums(base, letters, model, shard_rows)
+    scored = sums.select("doc_id", "lang", F.col("chars").alias("n_scored"), F.when(F.col("chars") > 0, F.exp(-F.col("logp") / F.lit(UNIT) / F.col("chars"))).alias("perplexity"))
     scored = materialize(scored, "kn-scored")
     held = scored.join(ids, F.col("doc_id") == F.col("_id")).where(crc_mod("doc_id", 4) == 3)
-    limits = held.groupBy(F.col("lang").alias("_lang")).agg(F.percentile_approx("perplexity", [0.5, quantile], 10_000).alias("q"))
-    limits = limits.select("_lang", (F.col("q")[0] + F.lit(spread) * (F.col("q")[1] - F.col("q")[0])).alias("threshold"))
+    limits = held.groupBy(F.col("lang").alias("_lang")).agg(F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)).alias("threshold"))
     out = scored.join(F.broadcast(limits), F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")  # limits: a row a language
     return out.withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
 

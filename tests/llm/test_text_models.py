@@ -124,37 +124,40 @@ def small(spark):
     return texts, docs, labels, train
 
 
-@pytest.mark.parametrize("bound", [10_000, 0])
-def test_perplexity_is_kneser_ney(spark, small, bound):
-    """By the broadcast table and by the join."""
+@pytest.mark.parametrize("rows", [10_000, 40])
+def test_perplexity_is_kneser_ney(spark, small, rows):
+    """With the table of probabilities in one shard and in several."""
     texts, docs, labels, train = small
-    out = perplexity.perplexities(docs, labels, broadcast_rows=bound).orderBy("doc_id").collect()
+    out = perplexity.perplexities(docs, labels, shard_rows=rows).orderBy("doc_id").collect()
     assert np.allclose([r["perplexity"] for r in out], brute_kneser_ney(train, texts), rtol=1e-5)
 
 
 def test_perplexity_odd_inputs(spark):
-    labels = spark.createDataFrame([(1, 1), (4, 1), (None, 1), (2, 0), (2, None)], "doc_id long, quality int")
-    out = perplexity.perplexities(odd(spark), labels).collect()
-    assert len(out) == 7 and all(r["kept"] for r in out if r["n_scored"] == 0)
-    assert perplexity.perplexities(odd(spark).limit(0), labels).count() == 0
-
-
-def test_perplexity_odd_inputs_by_the_join(spark):
-    """Nulls, repeats and one doc_id with several texts score as by the broadcast table."""
+    """Nulls, repeats and one doc_id with several texts; alike whatever the number of shards."""
     labels = spark.createDataFrame([(1, 1), (4, 1), (None, 1), (2, 0), (2, None)], "doc_id long, quality int")
     more = [(None, "other text of no number", "en"), (None, "abab", "de"), (4, "quite different words", "en"), (4, "ab ab ab", "de"), (0, "some words here", "en")]
-    docs = odd(spark).select("doc_id", "text", "lang").unionByName(spark.createDataFrame(more, "doc_id long, text string, lang string"))
+    docs = odd(spark).select("doc_id", "text", "lang", "z").unionByName(spark.createDataFrame(more, "doc_id long, text string, lang string").withColumn("z", F.lit("y")))
 
     def rows(bound):
-        out = [r.asDict() for r in perplexity.perplexities(docs, labels, broadcast_rows=bound).collect()]
+        out = [r.asDict() for r in perplexity.perplexities(docs, labels, shard_rows=bound).collect()]
         return sorted(out, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["n_scored"], r["lang"] or ""))
 
-    lookup, join = rows(10_000), rows(0)
-    assert len(join) == 12 and [r["n_scored"] for r in join if r["doc_id"] == 4] == [8, 21, 89_999, 89_999]
-    for x, y in zip(lookup, join, strict=True):
-        assert {k: v for k, v in x.items() if k not in ("perplexity", "threshold")} == {k: v for k, v in y.items() if k not in ("perplexity", "threshold")}
-        assert y["perplexity"] == (None if x["perplexity"] is None else pytest.approx(x["perplexity"], rel=1e-12))
-    assert perplexity.perplexities(docs.limit(0), labels, broadcast_rows=0).count() == 0
+    one, several = rows(10_000), rows(20)
+    assert len(one) == 12 and [r["n_scored"] for r in one if r["doc_id"] == 4] == [8, 21, 89_999, 89_999]
+    assert all(r["kept"] and r["perplexity"] is None for r in one if r["n_scored"] == 0)
+    assert one == several
+    assert perplexity.perplexities(docs.limit(0), labels).count() == 0
+
+
+def test_symbols_of_large_alphabets_differ(spark):
+    """Frequent Han characters have symbols of their own, those beyond the last symbol share one."""
+    frequent = [chr(0x4E00 + i) for i in range(4000)]
+    docs = spark.createDataFrame([(1, "".join(frequent) * 2), (2, "".join(chr(0xAC00 + i) for i in range(3000)))], "doc_id long, text string")
+    letters = perplexity.alphabet(docs)
+    got = letters.grams("".join(frequent)) & (perplexity.CLASSES - 1)
+    assert len(set(got.tolist())) == 4000 and 0 not in got
+    rare = letters.grams("".join(chr(0xAC00 + i) for i in range(3000))) & (perplexity.CLASSES - 1)
+    assert (rare == 0).sum() > 2000
 
 
 def test_junk_scores_high(spark):
