@@ -2,25 +2,27 @@
 
 A byte is removed when a string of ``min_bytes`` bytes around it also starts in a
 document with a smaller doc_id.  Positions are suffixes, sorted only as deep as
-that length, in three refinements that use bucket identifiers instead of text:
-
-1. Buckets of q-grams (q just over half the length).  Of the q-grams inside a
-   window of ``min_bytes`` only the one with the least hash names the window, so
-   equal windows fall in equal buckets and one position in thirteen is looked at.
-   Buckets of a single document are final: nothing in them repeats.
-2. The rest is refined by what follows and precedes up to the next bucket's
-   suffixes: runs of windows with one name and equal content form one
-   sub-bucket, whose least document settles all other members at once.
-3. Where one bucket has several sub-buckets, its windows are refined by the
-   bucket identifiers of their q-gram and of the q-gram ``min_bytes - q`` later,
-   which together cover the window.
+that length:
+
+1. Initial buckets of q-grams over the whole corpus (q just over half the length).  Of
+   the q-grams inside a window of ``min_bytes`` only the one with the least hash names
+   the window, so equal windows fall in equal buckets and one position in thirteen is
+   looked at.  Buckets of a single document are final: nothing in them repeats.
+2. In buckets that are left, runs of windows with one name whose text is equal are
+   folded into one run of the least document, which settles all other members.
+3. What is left of a bucket is refined by bucket pointers (:func:`bucket_pointers`):
+   positions are sorted by their first eight bytes, a bucket's pointer being its place
+   in that order; then each bucket is sorted by the pointers of the positions ``d``
+   later, which makes buckets of depth ``2 d``, whose pointers are used in the next
+   round, up to ``min_bytes``.  Buckets of one document take no part in later rounds.
 
 Level 1 exchanges sorted, packed blocks of (bucket, document).  A bucket shared
 inside one task's block is settled there and sent on as one summary, so a line that
 a third of all documents share costs one entry a block; runs equal within a block of
-level 2 are settled likewise.  Levels 2 and 3 are groupings and joins; buckets with
-very many sub-buckets are refined row by row over the cluster instead of within one
-task.  Texts are compressed and shuffled once, by doc_id; every step that needs them
+level 2 are settled likewise.  Levels 2 and 3 are groupings and joins.  In buckets with
+very many runs, which no task could sort, windows are rows grouped over the cluster by
+the identifiers of the q-gram they start with and of the one ``min_bytes - q`` later.
+Texts are compressed and shuffled once, by doc_id; every step that needs them
 reads that exchange, and whole copies leave before the first.
 """
 
@@ -183,26 +185,26 @@ def shared_names(base: DataFrame, length: int, total_bytes: int) -> DataFrame:
 
 
 def segments(named: DataFrame, length: int) -> DataFrame:
-    """Runs of windows with one shared name: ``key, ctx, doc_id, s, n, settled``.
+    """Runs of windows with one shared name: ``key, ctx, doc_id, v, s, n, settled`` from ``named(doc_id, v, z, keys)``.
 
     ``settled`` runs are equal to one of a smaller document in the same block; those that
     follow each other are one row.
     """
     w = length - gram(length) + 1
-    names = ["key", "ctx", "doc_id", "s", "n", "settled"]
+    names = ["key", "ctx", "doc_id", "v", "s", "n", "settled"]
 
     def block(parts: list[tuple]) -> pa.RecordBatch:
-        key, ctx, d, s, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        key, ctx, d, v, s, n = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((d, ctx, key))
         k, c, o = key[order], ctx[order], d[order]
         first = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])))
         settled = np.empty(len(k), bool)
         settled[order] = o != np.repeat(o[first], np.diff(np.append(first, len(k))))
         # runs come in text order
-        follows = settled[1:] & settled[:-1] & (d[1:] == d[:-1]) & (s[1:] == s[:-1] + n[:-1])
+        follows = settled[1:] & settled[:-1] & (d[1:] == d[:-1]) & (v[1:] == v[:-1]) & (s[1:] == s[:-1] + n[:-1])
         head = np.flatnonzero(np.append(True, ~follows))
         n = np.add.reduceat(n, head)
-        return pa.RecordBatch.from_arrays([pa.array(x[head]) for x in (key, ctx, d, s.astype(np.int32))] + [pa.array(n.astype(np.int32)), pa.array(settled[head])], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(x[head]) for x in (key, ctx, d, v, s.astype(np.int32))] + [pa.array(n.astype(np.int32)), pa.array(settled[head])], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []
@@ -210,7 +212,7 @@ def segments(named: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                for d, data, wanted in zip(part.column(0).to_pylist(), _unpacked(part.column(1).to_pylist()), part.column(2), strict=True):
+                for d, v, data, wanted in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), _unpacked(part.column(2).to_pylist()), part.column(3), strict=True):
                     if len(data) < length:
                         continue
                     with np.errstate(over="ignore"):
@@ -227,7 +229,7 @@ def segments(named: DataFrame, length: int) -> DataFrame:
                         stay = np.isin(key, wanted.values.to_numpy())
                         s, n, key = edge[stay], sizes[stay], key[stay]
                         ctx = range_hash(sums, s, s + n + length - 1).view(np.int64)
-                    parts.append((key, ctx, np.full(len(s), d, np.int64), s, n))
+                    parts.append((key, ctx, np.full(len(s), d, np.int64), np.full(len(s), v, np.int64), s, n))
                     held += len(s)
                 if held > 150_000:
                     yield block(parts)
@@ -235,24 +237,68 @@ def segments(named: DataFrame, length: int) -> DataFrame:
         if held:
             yield block(parts)
 
-    return named.select("doc_id", "z", "keys").mapInArrow(frugal(run), "key long, ctx long, doc_id long, s int, n int, settled boolean")
+    return named.select("doc_id", "v", "z", "keys").mapInArrow(frugal(run), "key long, ctx long, doc_id long, v long, s int, n int, settled boolean")
 
 
 def contents(wanted: DataFrame, length: int) -> DataFrame:
-    """``key, ctx, m, bytes`` of the runs listed in ``wanted(doc_id, z, runs)``."""
+    """``key, ctx, m, bytes`` of the runs listed in ``wanted(doc_id, v, z, runs)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 rows = []
-                for d, data, runs in zip(part.column(0).to_pylist(), _unpacked(part.column(1).to_pylist()), part.column(2).to_pylist(), strict=True):
+                for d, v, data, runs in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), _unpacked(part.column(2).to_pylist()), part.column(3).to_pylist(), strict=True):
                     raw = data.tobytes()
-                    rows += [(r["key"], r["ctx"], d, raw[r["s"] : r["s"] + r["n"] + length - 1]) for r in runs]
+                    rows += [(r["key"], r["ctx"], d, raw[r["s"] : r["s"] + r["n"] + length - 1]) for r in runs if r["v"] == v and r["s"] + r["n"] + length - 1 <= len(raw)]  # a null text may stand beside
                 cols = list(zip(*rows, strict=True)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.binary())], names=["key", "ctx", "m", "bytes"])
 
-    return wanted.select("doc_id", "z", "runs").mapInArrow(frugal(run), "key long, ctx long, m long, bytes binary")
+    return wanted.select("doc_id", "v", "z", "runs").mapInArrow(frugal(run), "key long, ctx long, m long, bytes binary")
+
+
+def bucket_pointers(blobs: list[bytes], docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of several runs: owner, place in it, and the pointer of the window's bucket.
+
+    Windows have one pointer if they are equal; those that no other document's window
+    equals may have one in common with others of their document.
+    """
+    data = np.frombuffer(b"".join(blobs), np.uint8)
+    sizes = np.array([len(b) for b in blobs], np.int64)
+    owner = np.repeat(np.arange(len(blobs)), sizes)
+    room = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(data))  # bytes to the run's end
+    doc = docs[owner]
+    depth = min(8, length)
+    value = np.zeros(len(data), np.uint64)
+    for k in range(depth):
+        value[: len(data) - k] |= data[k:].astype(np.uint64) << np.uint64(8 * (depth - 1 - k))
+    at = np.flatnonzero(room >= depth)
+    key, bucket = value[at], np.zeros(len(at), np.int64)
+    pointer = np.zeros(len(data), np.int64)
+    while True:
+        order = np.argsort(key, kind="stable")
+        at, key, bucket = at[order], key[order], bucket[order]
+        first, n = _runs(key)
+        # the bucket's place in the order before this round, and the sub-bucket's within it
+        within = np.repeat(*_runs(bucket))
+        pointer[at] = bucket + np.repeat(first, n) - within
+        low, high = np.minimum.reduceat(doc[at], first), np.maximum.reduceat(doc[at], first)
+        open_ = np.repeat(low < high, n)
+        step = min(depth, length - depth)
+        at = at[open_ & (room[at] >= depth + step)]
+        if not step or not len(at):
+            break
+        bucket = pointer[at]
+        key = bucket.astype(np.uint64) << np.uint64(32) | pointer[at + step].astype(np.uint64)
+        depth += step
+    window = np.flatnonzero(room >= length)
+    return owner[window], window - (np.cumsum(sizes) - sizes)[owner[window]], pointer[window]
+
+
+def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of one value start, and how long they are."""
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    return first, np.diff(np.append(first, len(ordered)))
 
 
 def _windows(blobs: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -281,13 +327,13 @@ def refine_sorted(length: int):
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
         key, ctx, least, blobs = zip(*rows, strict=True)
-        owner, place, one, two = _windows(list(blobs), length)
-        k, m = np.array(key, np.int64)[owner], np.array(least, np.int64)[owner]
-        order = np.lexsort((m, two, one, k))
-        k, m, one, two = k[order], m[order], one[order], two[order]
-        first = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
-        beaten = m > np.repeat(m[first], np.diff(np.append(first, len(m))))
-        own, at = owner[order][beaten], place[order][beaten]
+        docs = np.array(least, np.int64)
+        owner, place, pointer = bucket_pointers(list(blobs), docs, length)
+        m = docs[owner]
+        best = np.full(int(pointer.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(best, pointer, m)
+        beaten = m > best[pointer]
+        own, at = owner[beaten], place[beaten]
         by = np.lexsort((at, own))
         own, at = own[by], at[by]
         cut = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
@@ -380,37 +426,43 @@ def repeated_passages(docs: DataFrame, min_bytes: int = MIN_BYTES, hot_bucket: i
     ``with_text`` adds ``text_sha256`` of the input and ``kept_text``, whose characters are
     whole: one of which some bytes are covered stays.
 
-    Null and empty texts and texts under ``min_bytes`` lose nothing.  Rows with a null
-    doc_id neither remove nor lose anything; rows repeating one doc_id do not remove from
-    each other, and share what is removed if their texts are equal.  Whole texts that a
-    smaller doc_id has too go whole.  An empty table gives an empty result.
+    Null and empty texts and texts under ``min_bytes`` (8 at least) lose nothing; texts of
+    any length are read whole.  Rows with a null doc_id neither remove nor lose anything;
+    rows repeating one doc_id do not remove from each other, and each loses what its own
+    text shares with smaller doc_ids.  Whole texts that a smaller doc_id has too go whole.
+    Other columns are left out.  An empty table gives an empty result.
     """
     bounded_batches(docs.sparkSession)
     length = min_bytes
+    hashed = F.xxhash64("text").alias("h")
     known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sizes = known.select(
-        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text"), 256).alias("sha")
-    ).where(F.octet_length("text") >= length)
-    sizes = materialize(sizes, "suffix-sizes")
+    sizes = materialize(known.select("doc_id", hashed, F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text"), 256).alias("sha")), "suffix-sizes")
     total = sizes.agg(F.sum("n_bytes")).first()[0] or 0
+    # texts of a doc_id that has several are told apart by v, a hash; for all others v is 0
+    several = sizes.groupBy("doc_id").agg(F.min("sha").alias("lo"), F.max("sha").alias("hi")).where("lo <> hi").select("doc_id", F.lit(True).alias("several"))
+    several = materialize(several, "suffix-several")
+    v = F.when(F.col("several"), F.col("h").bitwiseOR(F.lit(1))).otherwise(F.lit(0)).cast("long").alias("v")
+    sizes = sizes.where(F.col("n_bytes") >= length)
     firsts = sizes.groupBy("sha").agg(F.min("doc_id").alias("first"))
-    copies = materialize(sizes.hint("merge").join(firsts, "sha").where("doc_id > first").select("doc_id", "n_bytes"), "suffix-copies")
-    # one exchange of all texts; the filters keep its plan the same wherever it is read
-    texts = pack_texts(known, ["doc_id"]).where("doc_id is not null").repartition("doc_id")
+    copies = sizes.hint("merge").join(firsts, "sha").where("doc_id > first").hint("merge").join(several, "doc_id", "left").select("doc_id", v, "n_bytes")
+    copies = materialize(copies, "suffix-copies")
+    # one exchange of all texts; the filters keep its plan the same wherever it is read, and all joins are by doc_id alone
+    packed = pack_texts(known.select("*", hashed), ["doc_id", "h"]).where("doc_id is not null").repartition("doc_id")
+    texts = packed.hint("merge").join(several, "doc_id", "left").select("doc_id", v, "z")
     # not an anti-join, which would be pushed below the exchange and make it another one
-    marked = texts.hint("merge").join(copies.groupBy("doc_id").agg(F.lit(True).alias("copy")), "doc_id", "left")
-    shared = shared_names(marked.where("copy is null"), length, total)
+    marked = texts.hint("merge").join(copies.groupBy("doc_id").agg(F.collect_set("v").alias("copied")), "doc_id", "left")
+    shared = shared_names(marked.where(F.coalesce(~F.array_contains("copied", F.col("v")), F.lit(True))), length, total)
     runs = segments(texts.hint("merge").join(shared, "doc_id"), length)
     # the filters that later joins would push down are written here, so that all read one exchange
     present = "key is not null and ctx is not null and doc_id is not null"
-    open_ = runs.where(f"not settled and {present}").select("key", "ctx", "doc_id", "s", "n").repartition("key", "ctx")
-    subs = open_.groupBy("key", "ctx").agg(F.min(F.struct("doc_id", "s", "n")).alias("f"))
+    open_ = runs.where(f"not settled and {present}").select("key", "ctx", "doc_id", "v", "s", "n").repartition("key", "ctx")
+    subs = open_.groupBy("key", "ctx").agg(F.min(F.struct("doc_id", "v", "s", "n")).alias("f"))
     # counting f keeps all columns below, and with them one exchange of the runs
     counts = subs.groupBy("key").agg(F.count("f").alias("subs")).where("subs > 1")
-    mixed = subs.hint("merge").join(counts, "key").select("key", "ctx", "subs", "f.doc_id", "f.s", "f.n")
+    mixed = subs.hint("merge").join(counts, "key").select("key", "ctx", "subs", "f.doc_id", "f.v", "f.s", "f.n")
 
     def bytes_of(part: DataFrame) -> DataFrame:
-        lists = part.groupBy("doc_id").agg(F.collect_list(F.struct("key", "ctx", "s", "n")).alias("runs"))
+        lists = part.groupBy("doc_id").agg(F.collect_list(F.struct("key", "ctx", "v", "s", "n")).alias("runs"))
         return contents(texts.hint("merge").join(lists, "doc_id"), length)
 
     plain = bytes_of(mixed.where(F.col("subs") <= hot_bucket)).repartition("key").sortWithinPartitions("key")
@@ -421,12 +473,15 @@ def repeated_passages(docs: DataFrame, min_bytes: int = MIN_BYTES, hot_bucket: i
     whole = (F.col("s").cast("long") * F.lit(1 << 32) + F.col("n")).alias("run")
     no_run, no_hits = F.lit(None).cast("long").alias("run"), F.lit(None).cast("struct<s:int,hits:binary>").alias("hit")
     found = found.select(
-        "doc_id", F.when(F.col("doc_id") > F.col("m"), whole).alias("run"), F.when(F.col("doc_id") == F.col("m"), F.struct("s", "hits")).alias("hit")
+        "doc_id", "v", F.when(F.col("doc_id") > F.col("m"), whole).alias("run"), F.when(F.col("doc_id") == F.col("m"), F.struct("s", "hits")).alias("hit")
     )
-    found = found.unionByName(runs.where("settled").select("doc_id", whole, no_hits))
-    found = found.unionByName(copies.select("doc_id", (F.col("n_bytes") - length + 1).alias("run"), no_hits))
-    spans = found.groupBy("doc_id").agg(F.collect_list("run").alias("runs"), F.collect_list("hit").alias("hits"))
-    joined = texts.hint("merge").join(spans, "doc_id", "left").select("doc_id", "z", "runs", "hits")
+    found = found.unionByName(runs.where("settled").select("doc_id", "v", whole, no_hits))
+    found = found.unionByName(copies.select("doc_id", "v", (F.col("n_bytes") - length + 1).alias("run"), no_hits))
+    one = F.col("v") == 0
+    spans = found.groupBy("doc_id").agg(
+        F.collect_list(F.when(one, F.col("run"))).alias("runs"), F.collect_list(F.when(one, F.col("hit"))).alias("hits"), F.collect_list(F.when(~one, F.struct("v", "run", "hit"))).alias("others")
+    )
+    joined = texts.hint("merge").join(spans, "doc_id", "left").select("doc_id", "v", "z", "runs", "hits", "others")
     nameless = pack_texts(docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), "text"), ["doc_id"])
     joined = joined.unionByName(nameless, allowMissingColumns=True)
 
@@ -435,9 +490,14 @@ def repeated_passages(docs: DataFrame, min_bytes: int = MIN_BYTES, hot_bucket: i
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 rows = []
-                z = part.column(1).to_pylist()
-                for t, data, whole_runs, hit_runs in zip(z, _unpacked(z), part.column(2), part.column(3).to_pylist(), strict=True):
-                    gone = covered(len(data), whole_runs.values, hit_runs, length)
+                z = part.column(2).to_pylist()
+                for version, t, data, whole_runs, hit_runs, others in zip(part.column(1).to_pylist(), z, _unpacked(z), part.column(3), part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True):
+                    whole_runs = whole_runs.values
+                    if version:
+                        own = [x for x in others or () if x["v"] == version]
+                        whole_runs = pa.array([x["run"] for x in own if x["run"] is not None], pa.int64())
+                        hit_runs = [x["hit"] for x in own if x["hit"] is not None]
+                    gone = covered(len(data), whole_runs, hit_runs, length)
                     rises = int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum())
                     rows.append((len(data), int(gone.sum()), rises, hashlib.sha256(data[~gone].tobytes()).hexdigest(), *((hashlib.sha256(data.tobytes()).hexdigest(), None if t is None else kept_text(data, gone)) if with_text else ())))
                 cols = list(zip(*rows, strict=True))

@@ -135,6 +135,46 @@ def test_passages_match_brute_force(spark, length, hot):
     assert got == removed_by_brute_force(rows, length)
 
 
+@pytest.mark.parametrize("length", [50, 33, 20, 9, 8])
+def test_pointers_are_equal_where_windows_are(length):
+    """For windows of several documents; a bucket of several texts has one document only."""
+    rng = random.Random(length)
+    phrases = ["".join(rng.choice("ab") for _ in range(70)) for _ in range(5)]
+    texts = [rng.choice(phrases)[rng.randrange(10) :] if rng.random() < 0.7 else "".join(rng.choice("abc") for _ in range(length + rng.randrange(30))) for _ in range(300)]
+    docs = np.array([rng.randrange(40) for _ in texts])
+    owner, place, pointer = suffixes.bucket_pointers([t.encode() for t in texts], docs, length)
+    assert len(owner) == sum(max(0, len(t) - length + 1) for t in texts)
+    by_text, by_pointer = {}, {}
+    for i, k, p in zip(owner.tolist(), place.tolist(), pointer.tolist(), strict=True):
+        window = texts[i][k : k + length]
+        by_text.setdefault(window, set()).add((int(docs[i]), p))
+        by_pointer.setdefault(p, set()).add((int(docs[i]), window))
+    assert all(len({p for _, p in of}) == 1 for of in by_text.values() if len({d for d, _ in of}) > 1)
+    assert all(len({d for d, _ in of}) == 1 for of in by_pointer.values() if len({w for _, w in of}) > 1)
+
+
+@pytest.mark.parametrize("hot", [5000, 1])
+def test_passages_of_repeated_ids_match_brute_force(spark, hot):
+    """Rows of one doc_id with different texts: each loses what its own text shares with smaller ids."""
+    rng = random.Random(5)
+    part = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    a, b, tail = part(70), part(70), part(20)
+    rows = [(1, a), (2, a + tail), (2, b + tail), (2, "short"), (3, b), (3, b), (3, part(30) + tail + b), (4, a + b), (4, b + part(90)), (4, ""), (5, None), (5, tail + a)]
+    phrases = [part(rng.randint(20, 100)) for _ in range(8)]
+    rows += [(rng.randrange(10, 20), "".join(rng.choice(phrases) + part(rng.randint(0, 9)) for _ in range(rng.randint(1, 6)))) for _ in range(40)]
+    want = []
+    for d, t in rows:
+        lower = {x[i : i + 50] for e, y in rows if e < d for x in [(y or "").encode()] for i in range(len(x) - 49)}
+        text = (t or "").encode()
+        gone = np.zeros(len(text), bool)
+        for i in range(len(text) - 49):
+            if text[i : i + 50] in lower:
+                gone[i : i + 50] = True
+        want.append((d, len(text), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum()), hashlib.sha256(np.frombuffer(text, np.uint8)[~gone].tobytes()).hexdigest()))
+    got = suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 50, hot).collect()
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
 def test_passages_odd_inputs(spark):
     long = "word " * 20_000
     rows = [(None, long), (1, long), (1, long), (2, long), (3, None), (4, "é" * 30), (5, "x" + "é" * 30)]
