@@ -102,11 +102,31 @@ def reflect_pad(x: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([zeros, left, x, right, zeros])
 
 
+def fast_length(n: int) -> int:
+    """Least product of powers of 2, 3 and 5 that is at least ``n``: lengths that transform fast."""
+    best, five = 1 << max(0, n - 1).bit_length(), 1
+    while five < best:
+        three = five
+        while three < best:
+            best = min(best, three << max(0, (-(-n // three) - 1).bit_length()))
+            three *= 3
+        five *= 5
+    return best
+
+
+def convolve_valid(x: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """``np.convolve(x, h, "valid")`` for ``len(x) >= len(h)``, by transforms where the kernel is long."""
+    if len(h) < 64:
+        return np.convolve(x, h, mode="valid")
+    size = fast_length(len(x))
+    return np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(h, size), size)[len(h) - 1 : len(x)]
+
+
 def fir_apply(x: np.ndarray, h: np.ndarray, zero_phase: bool = True) -> np.ndarray:
     """Convolution with reflected edges; the output is as long as ``x``, without delay if asked."""
     edge = max(min(len(h), len(x)) - 1, 0)
     padded = reflect_pad(x, edge)
-    size = 1 << (len(padded) + len(h) - 2).bit_length()
+    size = fast_length(len(padded) + len(h) - 1)
     full = np.fft.irfft(np.fft.rfft(padded, size) * np.fft.rfft(h, size), size)
     shift = edge + ((len(h) - 1) // 2 if zero_phase else 0)
     return full[shift : shift + len(x)]
@@ -128,50 +148,67 @@ def butter_lowpass(order: int, cutoff: float) -> list[tuple[np.ndarray, np.ndarr
     return sections
 
 
-def section_filter(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """One second-order section over ``x``, started in the steady state of its first value.
+class Section:
+    """A second-order section with its responses, laid out once for blocks of ``size`` samples.
 
-    The recursion is run over blocks: within a block it is a product with the section's
-    impulse responses, and only two state values pass from block to block.
+    Within a block the recursion is a product with the section's impulse responses, and
+    only two state values pass from block to block.
     """
-    block = 256
-    gain = b.sum() / a.sum()
-    z2 = (b[2] - a[2] * gain) * x[0]
-    z1 = (b[1] - a[1] * gain) * x[0] + z2
-    impulse = np.zeros((3, block))  # responses to an input, to z1 and to z2
-    for r, (u, s1, s2) in enumerate(((1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0))):
-        for i in range(block):
-            v = u if i == 0 else 0.0
-            y = b[0] * v + s1
-            s1, s2 = b[1] * v - a[1] * y + s2, b[2] * v - a[2] * y
-            impulse[r, i] = y
-    lag = np.subtract.outer(np.arange(block), np.arange(block))
-    toeplitz = np.where(lag >= 0, impulse[0][np.maximum(lag, 0)], 0.0)
-    out = np.empty(len(x))
-    for at in range(0, len(x), block):
-        u = x[at : at + block]
-        n = len(u)
-        y = toeplitz[:n, :n] @ u + z1 * impulse[1, :n] + z2 * impulse[2, :n]
-        out[at : at + n] = y
-        # states after the block follow from its last two inputs and outputs
-        if n >= 2:
-            t2 = b[2] * u[-2] - a[2] * y[-2]
-            z1 = b[1] * u[-1] - a[1] * y[-1] + t2
-        else:
-            z1 = b[1] * u[-1] - a[1] * y[-1] + z2
-        z2 = b[2] * u[-1] - a[2] * y[-1]
-    return out
-
-
-def filtfilt(sections: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray) -> np.ndarray:
+
+    size = 256
+
+    def __init__(self, b: np.ndarray, a: np.ndarray):
+        self.b, self.a = b, a
+        impulse = np.zeros((3, self.size))  # responses to an input, to either state
+        for r, (v, s1, s2) in enumerate(((1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0))):
+            for i in range(self.size):
+                y = b[0] * v + s1
+                s1, s2 = b[1] * v - a[1] * y + s2, b[2] * v - a[2] * y
+                impulse[r, i], v = y, 0.0
+        lag = np.subtract.outer(np.arange(self.size), np.arange(self.size))
+        self.own = np.where(lag >= 0, impulse[0][np.maximum(lag, 0)], 0.0)
+        self.states = impulse[1:]
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        """``x`` filtered, started in the steady state of its first value."""
+        b, a, size = self.b, self.a, self.size
+        gain = b.sum() / a.sum()
+        z2 = (b[2] - a[2] * gain) * x[0]
+        z1 = (b[1] - a[1] * gain) * x[0] + z2
+        whole = len(x) // size * size
+        # all blocks' own parts in one product; states are added block by block
+        out = np.empty(len(x))
+        out[:whole] = (x[:whole].reshape(-1, size) @ self.own.T).ravel()
+        out[whole:] = self.own[: len(x) - whole, : len(x) - whole] @ x[whole:]
+        for at in range(0, len(x), size):
+            u, y = x[at : at + size], out[at : at + size]
+            y += z1 * self.states[0, : len(u)] + z2 * self.states[1, : len(u)]
+            # states after the block follow from its last two inputs and outputs
+            before = b[2] * u[-2] - a[2] * y[-2] if len(u) > 1 else z2
+            z1, z2 = b[1] * u[-1] - a[1] * y[-1] + before, b[2] * u[-1] - a[2] * y[-1]
+        return out
+
+
+def settling(sections: list[tuple[np.ndarray, np.ndarray]], least: float = 1e-18) -> int:
+    """Samples after which what came before has faded to ``least`` of it, in all sections together."""
+    slowest = max(max(abs(np.roots(a))) for _, a in sections)
+    return math.ceil(math.log(least) / math.log(slowest)) + 2 * len(sections)
+
+
+def edge_length(n_sections: int) -> int:
+    """Samples by which a signal is reflected at its ends before it is filtered both ways."""
+    return 3 * (2 * n_sections + 1)
+
+
+def filtfilt(sections: list[Section], x: np.ndarray) -> np.ndarray:
     """Forward and backward through all sections, with odd reflection at the edges."""
     if len(x) < 2:
         return x.copy()
-    pad = min(len(x) - 1, 3 * (2 * len(sections) + 1))
+    pad = min(len(x) - 1, edge_length(len(sections)))
     y = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
     for _ in range(2):
-        for b, a in sections:
-            y = section_filter(b, a, y)
+        for section in sections:
+            y = section(y)
         y = y[::-1]
     return y[pad : pad + len(x)]
 

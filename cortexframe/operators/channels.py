@@ -91,13 +91,99 @@ ACCESSORIES = {
     "Resp": "Respiration", "Plet": "Plethysmograph", "Temp": "Temperature", "Status": "Status/Metadata",
 }
 EXTERNAL_KINDS = ["External", "GSR", "Ergo/AUX", "Respiration", "Plethysmograph", "Temperature"]
-#: an original port name in parentheses, as renaming leaves it
+# Names of positions, in the order of the tables above.
+POSITION_NAMES = {
+    "Fp1": "Prefrontal left",
+    "AF7": "Anterior frontal left",
+    "AF3": "Anterior frontal left-center",
+    "F1": "Frontal left-midline",
+    "F3": "Frontal left",
+    "F5": "Frontal left-center",
+    "F7": "Frontal left temporal",
+    "FT7": "Fronto-temporal left",
+    "FC5": "Fronto-central left",
+    "FC3": "Fronto-central left-center",
+    "FC1": "Fronto-central left-midline",
+    "C1": "Central left-midline",
+    "C3": "Central left",
+    "C5": "Central left",
+    "T7": "Temporal left",
+    "TP7": "Centro-temporal left",
+    "CP5": "Centro-parietal left",
+    "CP3": "Centro-parietal left-center",
+    "CP1": "Centro-parietal left-midline",
+    "P1": "Parietal left-midline",
+    "P3": "Parietal left",
+    "P5": "Parietal left-center",
+    "P7": "Parietal left temporal",
+    "P9": "Parietal left ear",
+    "PO7": "Parieto-occipital left",
+    "PO3": "Parieto-occipital left-center",
+    "O1": "Occipital left",
+    "Iz": "Inion",
+    "Oz": "Occipital midline",
+    "POz": "Parieto-occipital midline",
+    "Pz": "Parietal midline",
+    "CPz": "Centro-parietal midline",
+    "Fpz": "Prefrontal midline",
+    "Fp2": "Prefrontal right",
+    "AF8": "Anterior frontal right",
+    "AF4": "Anterior frontal right-center",
+    "AFz": "Anterior frontal midline",
+    "Fz": "Frontal midline",
+    "F2": "Frontal right-midline",
+    "F4": "Frontal right",
+    "F6": "Frontal right-center",
+    "F8": "Frontal right temporal",
+    "FT8": "Fronto-temporal right",
+    "FC6": "Fronto-central right",
+    "FC4": "Fronto-central right-center",
+    "FC2": "Fronto-central right-midline",
+    "FCz": "Fronto-central midline",
+    "Cz": "Central midline",
+    "C2": "Central right-midline",
+    "C4": "Central right",
+    "C6": "Central right",
+    "T8": "Temporal right",
+    "TP8": "Centro-temporal right",
+    "CP6": "Centro-parietal right",
+    "CP4": "Centro-parietal right-center",
+    "CP2": "Centro-parietal right-midline",
+    "P2": "Parietal right-midline",
+    "P4": "Parietal right",
+    "P6": "Parietal right-center",
+    "P8": "Parietal right temporal",
+    "P10": "Parietal right ear",
+    "PO8": "Parieto-occipital right",
+    "PO4": "Parieto-occipital right-center",
+    "O2": "Occipital right",
+    "EXG1": "External electrode 1 (EOG/ECG/EMG/GSR)",
+    "EXG2": "External electrode 2 (EOG/ECG/EMG/GSR)",
+    "EXG3": "External electrode 3 (EOG/ECG/EMG/GSR)",
+    "EXG4": "External electrode 4 (EOG/ECG/EMG/GSR)",
+    "EXG5": "External electrode 5 (EOG/ECG/EMG/GSR)",
+    "EXG6": "External electrode 6 (EOG/ECG/EMG/GSR)",
+    "EXG7": "External electrode 7 (EOG/ECG/EMG/GSR)",
+    "EXG8": "External electrode 8 (EOG/ECG/EMG/GSR)",
+    "GSR1": "Galvanic skin response channel 1 (electrodermal activity/arousal)",
+    "GSR2": "Galvanic skin response channel 2 (electrodermal activity/arousal)",
+    "Erg1": "Ergo/AUX input 1 (Response Switch/Photocell/Microphone)",
+    "Erg2": "Ergo/AUX input 2 (Response Switch/Photocell/Microphone)",
+    "Resp": "Respiration belt (breathing rate/pattern measurement)",
+    "Plet": "Plethysmograph (blood volume/pulse measurement)",
+    "Temp": "Temperature sensor (body temperature measurement)",
+    "Status": "Status channel (event markers/triggers)",
+}
+# An original port name in parentheses, as renaming leaves it.
 PORT = r"(?i)\((EXG[1-8]|GSR[1-2]|Plet|Temp|Resp|Erg[1-2])\)"
-#: later rules win
+# Regions by the start of a name; later rules win.
 REGIONS = [
-    (r"^(Fp|AF|F[^CT])", "Frontal"), (r"^(C|FC)", "Central"), (r"^(P[^O]|CP)", "Parietal"), (r"^(O|PO|Iz)", "Occipital"), (r"^(T[0-9]|FT|TP)", "Temporal"),
+    (r"^Fp|^AF|^F[^CT]", "Frontal"),
+    (r"^C|^FC", "Central"),
+    (r"^P[^O]|^CP", "Parietal"),
+    (r"^O|^PO|^Iz", "Occipital"),
+    (r"^T[0-9]|^FT|^TP", "Temporal"),
 ]
-_SUFFIX = {1: "-midline", 3: "", 5: "", 7: "", 9: " ear"}
 
 
 def region(name: str) -> str:
@@ -105,26 +191,6 @@ def region(name: str) -> str:
     return found[-1] if found else "Other"
 
 
-def _position_name(name: str) -> str:
-    """Words for a position, built from the name's letters and number."""
-    letters, number = re.fullmatch(r"([A-Za-z]+?)(z|\d+)", name).groups()
-    kind = KINDS[letters].capitalize() if letters != "I" else "Inion"
-    if letters == "I":
-        return kind
-    if number == "z":
-        return f"{kind} midline"
-    odd = int(number) - (int(number) % 2 == 0)
-    side = "left" if int(number) % 2 else "right"
-    more = dict(_SUFFIX)
-    if letters in ("F", "P"):
-        more |= {5: "-center", 7: " temporal"}
-    elif letters in ("AF", "FC", "CP", "PO"):
-        more |= {3: "-center"}
-    elif letters not in ("C",):
-        more |= {1: ""}
-    return f"{kind} {side}{more[odd]}"
-
-
 def electrode_rows() -> list[tuple]:
     """All electrodes and accessories, one row each; coordinates follow from the angles."""
     rows = []
@@ -135,10 +201,10 @@ def electrode_rows() -> list[tuple]:
         xyz = [float(round(v)) + 0.0 for v in (HEAD_RADIUS * math.sin(a) * math.cos(b), HEAD_RADIUS * math.sin(a) * math.sin(b), HEAD_RADIUS * math.cos(a))]
         kind = KINDS[re.match(r"[A-Za-z]+?(?=z|\d)", name)[0]]
         system = "10-20" if name in TEN_TWENTY else "10-10"
-        rows.append((name, f"{'AB'[i // 32]}{i % 32 + 1}", _position_name(name), kind, region(name), system, *xyz, theta, phi, HEAD_RADIUS))
+        rows.append((name, f"{'AB'[i // 32]}{i % 32 + 1}", POSITION_NAMES[name], kind, region(name), system, *xyz, theta, phi, HEAD_RADIUS))
     for name, kind in ACCESSORIES.items():
         where = "Metadata" if name == "Status" else "External"
-        rows.append((name, None, f"{kind} input {name}", kind, where, "BioSemi", *[None] * 6))
+        rows.append((name, None, POSITION_NAMES[name], kind, where, "BioSemi", *[None] * 6))
     return rows
 
 
@@ -272,7 +338,12 @@ def create_montage(channels: DataFrame, name: str = "channel") -> DataFrame:
 
 def set_montage(channels: DataFrame, montage: DataFrame) -> DataFrame:
     """EEG channels of ``channels(channel, channel_type, ...)`` with their positions; others are left out."""
-    return channels.where("channel_type = 'eeg'").join(F.broadcast(montage), "channel")  # a montage has at most some hundred rows
+    return channels.where("channel_type = 'eeg'").join(montage, "channel")
+
+
+def unplaced_channels(values: DataFrame, montage: DataFrame, by: str = "channel") -> DataFrame:
+    """Channels of ``values`` that the montage has no position for, once each, with how many rows each has."""
+    return values.join(montage.select(F.col("channel").alias(by)), by, "left_anti").groupBy(by).agg(F.count("*").alias("n_values"))
 
 
 def spherical_to_cartesian(angles: DataFrame, radius: float = HEAD_RADIUS) -> DataFrame:

@@ -161,6 +161,13 @@ def epoch_recording(
     return Epochs(data, numbered, rejection_log(trials, failed), geometry)
 
 
+def condition_order(events: DataFrame) -> DataFrame:
+    """``recording_id, type, position``: types numbered from 1 in the order in which they first occur."""
+    firsts = events.groupBy("recording_id", "type").agg(F.min(F.struct("onset", "event_seq")).alias("_first"))
+    order = Window.partitionBy("recording_id").orderBy("_first")
+    return firsts.select("recording_id", "type", F.row_number().over(order).alias("position"))
+
+
 def _renumber(trials: DataFrame) -> DataFrame:
     order = Window.partitionBy("recording_id").orderBy("event_seq")
     return trials.withColumnRenamed("epoch_id", "candidate_id").withColumn("epoch_id", F.row_number().over(order).cast("long")).drop("inside")

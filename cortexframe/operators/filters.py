@@ -32,13 +32,18 @@ def notch_taps(rate: float, freqs: list[float], widths: list[float] | None = Non
     return kernels.fir_taps(n, *kernels.notch_edges(freqs, list(widths), rate, transition), window)
 
 
-def fir_filter(signal: DataFrame, taps: np.ndarray, channels: list[str] | None = None, zero_phase: bool = True, block: int | None = None) -> DataFrame:
+#: samples of a block, unless the kernel is longer
+BLOCK = 65_536
+
+
+def fir_filter(signal: DataFrame, taps: np.ndarray, channels: list[str] | None = None, zero_phase: bool = True, block: int | str | None = "auto") -> DataFrame:
     """Filter chosen channels, leave the others; each channel's samples run from 1 without gaps.
 
-    A channel is filtered as a whole, or with ``block`` in blocks of that many samples, each
-    with the samples around it that its outputs need, so that a channel of any length spreads
-    over tasks.  Both give the same values.
+    A channel is filtered in blocks of ``block`` samples, each with the samples around it
+    that its outputs need, so that a channel of any length spreads over tasks; "auto" takes
+    ``BLOCK`` or four kernels, None whole channels.  All give the same values.
     """
+    block = max(BLOCK, 4 * len(taps)) if block == "auto" else block
     chosen = F.col("channel").isin(channels) if channels is not None else F.lit(True)
     names = ["recording_id", "ch_idx", "channel", "sample_idx", "t", "value"]
     picked = signal.where(chosen).select(names)
@@ -87,16 +92,18 @@ def _in_blocks(picked: DataFrame, taps: np.ndarray, zero_phase: bool, block: int
                 y[side] = np.where(ok, 2 * x[end - idx[0]] - x[np.clip(mirror - idx[0], 0, len(x) - 1)], 0.0)
                 if (ok & ~reach).any():
                     raise ValueError("a block lacks samples that its edge reflects")
-        out = np.convolve(y, taps, mode="valid")
+        out = kernels.convolve_valid(y, taps)
         own = part[part["_own"] == part["_block"]]
         return own.assign(value=out[own["sample_idx"].to_numpy() - first])[names]
 
     return dealt.groupBy("recording_id", "ch_idx", "_block").applyInPandas(one, picked.schema)
 
 
-def bandpass(signal: DataFrame, rate: float, low: float | None = None, high: float | None = None, channels: list[str] | None = None, **design) -> DataFrame:
-    return fir_filter(signal, bandpass_taps(rate, low, high, **design), channels)
+def bandpass(
+    signal: DataFrame, rate: float, low: float | None = None, high: float | None = None, channels: list[str] | None = None, zero_phase: bool = True, block: int | str | None = "auto", **design
+) -> DataFrame:
+    return fir_filter(signal, bandpass_taps(rate, low, high, **design), channels, zero_phase, block)
 
 
-def notch(signal: DataFrame, rate: float, freqs: list[float], channels: list[str] | None = None, **design) -> DataFrame:
-    return fir_filter(signal, notch_taps(rate, freqs, **design), channels)
+def notch(signal: DataFrame, rate: float, freqs: list[float], channels: list[str] | None = None, zero_phase: bool = True, block: int | str | None = "auto", **design) -> DataFrame:
+    return fir_filter(signal, notch_taps(rate, freqs, **design), channels, zero_phase, block)

@@ -111,15 +111,23 @@ def _sums(vectors: DataFrame, make, size: int) -> np.ndarray:
 
 def fit_ica(
     signal: DataFrame, channels: list[str], types: list[str] | None = None, n_components: int | float | None = None, fun: str = "logcosh", alpha: float = 1.0,
-    max_iter: int = 1000, tol: float = 1e-4, w_init: np.ndarray | None = None, seed: int = 0,
+    max_iter: int = 1000, tol: float = 1e-4, w_init: np.ndarray | None = None, seed: int = 0, algorithm: str = "parallel", method: str = "fastica", noise_cov: np.ndarray | None = None,
 ) -> ICA:
-    """Fit by pooled scaling, principal components, and the symmetric fixed point, each a pass over samples.
+    """Fit by pooled scaling, principal components, and a fixed point, each a pass over samples.
+
+    ``algorithm``: "parallel" turns all directions at once and makes them orthonormal together;
+    "deflation" finds one after the other, each kept orthogonal to those before.  Whitening by
+    ``noise_cov`` and other methods than "fastica" are not supported and are an error.
 
     ``types`` pools the scaling by kind of channel.  ``n_components``: None keeps the share
     0.999999 of the variance, a float that share, an int that many.
     """
     if len(channels) < 2:
         raise ValueError("at least two channels are needed")
+    if algorithm not in ("parallel", "deflation") or fun not in ("logcosh", "exp", "cube") or tol < 0 or max_iter < 1:
+        raise ValueError("unknown algorithm or contrast function, or a bound out of range")
+    if method != "fastica" or noise_cov is not None:
+        raise NotImplementedError("only fastica with pooled scaling is supported")
     d = len(channels)
     vectors = sample_vectors(signal, channels).persist()
     try:
@@ -156,27 +164,49 @@ def fit_ica(
                     g, slope = y**3, 3 * y**2
                 return np.concatenate([(g.T @ z).ravel(), slope.sum(0)])
 
-            s = _sums(vectors, make, k * k + k)
-            return s[: k * k].reshape(k, k) / n, s[k * k :] / n
+            rows = len(w)
+            s = _sums(vectors, make, rows * k + rows)
+            return s[: rows * k].reshape(rows, k) / n, s[rows * k :] / n
 
-        w = decorrelate(np.random.default_rng(seed).normal(size=(k, k)) if w_init is None else np.asarray(w_init, float))
-        done = 0
-        for done in range(1, max_iter + 1):
-            gz, slope = moments(w)
-            new = decorrelate(gz - slope[:, None] * w)
-            moved = np.abs(np.abs(np.einsum("ij,ij->i", new, w)) - 1).max()
-            w = new
-            if moved < tol:
-                break
-        else:
-            import warnings
-
-            warnings.warn("the rotation did not converge", stacklevel=2)
+        begin = np.random.default_rng(seed).normal(size=(k, k)) if w_init is None else np.asarray(w_init, float)
+        w, done = (turn_together if algorithm == "parallel" else turn_in_sequence)(moments, begin, max_iter, tol)
     finally:
         vectors.unpersist()
     return ICA(channels, scale, mean, rows, values, w, (), done)
 
 
+def turn_together(moments, begin: np.ndarray, max_iter: int, tol: float) -> tuple[np.ndarray, int]:
+    """All directions, orthonormal after each step; ``moments(w)`` gives mean g(wz) z and mean g'(wz)."""
+    w = decorrelate(begin)
+    for done in range(1, max_iter + 1):
+        gz, slope = moments(w)
+        new = decorrelate(gz - slope[:, None] * w)
+        moved = np.abs(np.abs(np.einsum("ij,ij->i", new, w)) - 1).max()
+        w = new
+        if moved < tol:
+            return w, done
+    import warnings
+
+    warnings.warn("the rotation did not converge", stacklevel=3)
+    return w, done
+
+
+def turn_in_sequence(moments, begin: np.ndarray, max_iter: int, tol: float) -> tuple[np.ndarray, int]:
+    """One direction after the other; the count of steps is that of the slowest."""
+    found, most = np.zeros((0, begin.shape[1])), 0
+    for start in begin:
+        w = start / np.linalg.norm(start)
+        for done in range(1, max_iter + 1):
+            gz, slope = moments(w[None])
+            new = gram_schmidt(gz[0] - slope[0] * w, found)
+            new /= np.linalg.norm(new)
+            moved, w = abs(abs(new @ w) - 1), new
+            if moved < tol:
+                break
+        found, most = np.vstack([found, w]), max(most, done)
+    return found, most
+
+
 def decorrelate(w: np.ndarray) -> np.ndarray:
     """Nearest orthonormal matrix."""
     u, _, v = np.linalg.svd(w, full_matrices=False)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import butter_lowpass, filtfilt
+from ..functions.kernels import Section, butter_lowpass, filtfilt, settling
 
 
 def factor_for(sampling_rate: float, target: float) -> int:
@@ -39,23 +39,30 @@ def keep_every(signal: DataFrame, factor: int, sampling_rate: float) -> DataFram
     return kept.withColumn("sample_idx", new).withColumn("t", (F.col("sample_idx") - 1) / F.lit(sampling_rate / factor))
 
 
-def decimate(signal: DataFrame, factor: int, sampling_rate: float, order: int = 8, cutoff_ratio: float = 0.9) -> DataFrame:
+def decimate(signal: DataFrame, factor: int, sampling_rate: float, order: int = 8, cutoff_ratio: float = 0.9, block: int = 65_536) -> DataFrame:
     """Low-pass each channel forward and backward, then keep every ``factor``-th sample.
 
-    The filter runs over a whole channel at once, as its state does.
+    A channel is filtered in blocks of ``block`` samples, each with as many samples on
+    either side as the filter takes to forget where it began (to 1e-18), so that a channel
+    of any length spreads over tasks.  Missing or infinite values are an error.
     """
-    sections = butter_lowpass(order, cutoff_ratio / factor)
+    design = butter_lowpass(order, cutoff_ratio / factor)
+    sections, reach = [Section(b, a) for b, a in design], 2 * settling(design)
+    block = max(block, reach)
+    first = F.col("sample_idx") - 1
+    low, high = F.floor((first - reach) / F.lit(block)), F.floor((first + reach) / F.lit(block))
+    smooth = signal.select("recording_id", "ch_idx", "channel", "sample_idx", "t", "value")
+    dealt = smooth.withColumn("_block", F.explode(F.sequence(F.greatest(low, F.lit(0)), high)))
 
-    def one(channel: pd.DataFrame) -> pd.DataFrame:
-        channel = channel.sort_values("sample_idx")
-        value = channel["value"].to_numpy(np.float64)
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("sample_idx")
+        value = part["value"].to_numpy(np.float64)
         if not np.isfinite(value).all():
             raise ValueError("signals with missing or infinite values can't be filtered")
-        channel["value"] = filtfilt(sections, value)
-        return channel[channel["sample_idx"].sub(1).mod(factor).eq(0)]
+        own = part["sample_idx"].sub(1).floordiv(block).eq(part["_block"]) & part["sample_idx"].sub(1).mod(factor).eq(0)
+        return part.assign(value=filtfilt(sections, value))[own].drop(columns="_block")
 
-    smooth = signal.select("recording_id", "ch_idx", "channel", "sample_idx", "t", "value")
-    return keep_every(smooth.groupBy("recording_id", "ch_idx").applyInPandas(one, smooth.schema), factor, sampling_rate)
+    return keep_every(dealt.groupBy("recording_id", "ch_idx", "_block").applyInPandas(one, smooth.schema), factor, sampling_rate)
 
 
 def remap_events(events: DataFrame, factor: int, sampling_rate: float, n_samples: DataFrame, strategy: str = "round", remove_outside: bool = True) -> DataFrame:

@@ -13,11 +13,11 @@ from .channels import project_2d
 def scalp_map(values: DataFrame, montage: DataFrame, resolution: int = 100, by: str = "recording_id") -> DataFrame:
     """``by, gx, gy, x, y, value`` on a grid over the head, null outside it.
 
-    ``values(by, channel, value)`` meet their positions; fewer than three, or positions on
-    a line, are an error.  The surface is a thin-plate spline through the electrodes; a
+    ``values(by, channel, value)`` meet their positions (``unplaced_channels`` names those
+    without one); fewer than three, or positions on a line, are an error.  The surface is a thin-plate spline through the electrodes; a
     map has as many equations as channels and is solved in one task.
     """
-    placed = values.join(F.broadcast(project_2d(montage)), "channel").select(by, "x2d", "y2d", "value")
+    placed = values.join(project_2d(montage), "channel").select(by, "x2d", "y2d", "value")
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
         part = part.groupby([by, "x2d", "y2d"], as_index=False)["value"].mean()

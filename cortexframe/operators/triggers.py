@@ -16,20 +16,23 @@ def _in_order():
     return Window.partitionBy("recording_id").orderBy("event_seq")
 
 
-def decode_triggers(status: DataFrame, sampling_rate: float) -> DataFrame:
+def decode_triggers(status: DataFrame, sampling_rate: float | None = None) -> DataFrame:
     """Events of ``status(recording_id, sample_idx, raw)``: where the low 16 bits change to something not zero.
 
+    Without a ``sampling_rate`` each recording's own is read from the column of that name.
+
     A code that is on at the first sample is no change and gives no event.
     """
     order = Window.partitionBy("recording_id").orderBy("sample_idx")
     code = F.col("raw").cast("int").bitwiseAND(TRIGGER_BITS)
-    coded = status.select("recording_id", "sample_idx", code.alias("type"))
+    rate = F.col("sampling_rate") if sampling_rate is None else F.lit(float(sampling_rate))
+    coded = status.select("recording_id", "sample_idx", code.alias("type"), rate.alias("_rate"))
     changed = coded.withColumn("before", F.lag("type").over(order)).where("type <> 0 and before is not null and type <> before")
     return changed.select(
         "recording_id",
         F.row_number().over(order).cast("long").alias("event_seq"),
         F.col("sample_idx").alias("onset"),
-        ((F.col("sample_idx") - 1) / F.lit(float(sampling_rate))).alias("onset_time"),
+        ((F.col("sample_idx") - 1) / F.col("_rate")).alias("onset_time"),
         "type",
         F.concat(F.lit("Trigger: "), F.col("type")).alias("description"),
     )

@@ -22,8 +22,10 @@ def _fft(**options):
 
 
 def _phase(spark, sf):
-    out = spectra.fft_spectrum(_E(spark, sf), KEYS, "rel_idx", A.EPOCH_RATE, N, window="hamming").where("amplitude > 1e-3 and abs(phase) < 3.14")
-    return _r(out.select("epoch_id", "freq_idx", "phase"), "phase", digits=5)
+    out = spectra.fft_spectrum(_E(spark, sf), KEYS, "rel_idx", A.EPOCH_RATE, N, window="hamming")
+    # an angle says nothing of a bin without amplitude and jumps at its ends, so it is compared as a vector
+    both = out.select("epoch_id", "freq_idx", (F.col("amplitude") * F.cos("phase")).alias("in_phase"), (F.col("amplitude") * F.sin("phase")).alias("quadrature"))
+    return _r(both, "in_phase", "quadrature", digits=7)
 
 
 def _per_epoch(spark, sf):
@@ -111,7 +113,7 @@ _TAPS = {
 _LINE_TAPS = filters.bandpass_taps(A.LINE_RATE, None, 40.0)
 
 
-def _fir(taps: np.ndarray, block: int | None = None):
+def _fir(taps: np.ndarray, block: int | str = "auto"):
     return lambda s, d: _r(filters.fir_filter(A.signal_from_events(s, d), taps, block=block).select("recording_id", "sample_idx", "value"), "value")
 
 
@@ -131,7 +133,7 @@ def _fir_sql(taps: np.ndarray, sig: str = SIG_E, where: str = "true", extra: str
 
 def _fir_subset(spark, sf):
     """One channel filtered, the others as they were."""
-    out = filters.fir_filter(A.signal_from_lineitem(spark, sf), _LINE_TAPS, ["Cz"]).where("channel = 'Cz'")
+    out = filters.fir_filter(A.signal_from_lineitem(spark, sf), _LINE_TAPS, ["Cz"])
     return _r(out.select("recording_id", "channel", "sample_idx", "value"), "value")
 
 
@@ -152,6 +154,13 @@ _SRC = (
 )
 
 
+# the columns of a line are the channels of a sample, so each cleaned channel is an expression of one row
+_CLEANED_SQL = " union all ".join(
+    [f"select recording_id, '{o}' channel, sample_idx, " + " + ".join(f"cast({c} as double) * {float(_CLEAN[i, j])!r}" for j, c in enumerate(("l_quantity", "l_extendedprice", "l_discount"))) + f" + {float(_CLEAN_O[i])!r} as value from li" for i, o in enumerate(MODEL.channels)]
+    + ["select recording_id, 'EXG1', sample_idx, cast(l_tax as double) from li"]
+)
+
+
 def _sources(spark, sf):
     return _r(ica.get_sources(MODEL, A.signal_from_lineitem(spark, sf)), "value")
 
@@ -176,9 +185,14 @@ def _whitener(spark, sf):
     return _r(ica.pre_whitener(A.signal_from_lineitem(spark, sf), typed), "sd")
 
 
+_SIZES = {"Cz": 10.0, "Pz": 20000.0, "Oz": 0.03, "EXG1": 0.03}
+
+
 def _covariance(spark, sf):
+    """Of channels brought to like sizes, as pre-whitening does."""
+    scale = F.create_map(*[F.lit(v) for pair in _SIZES.items() for v in pair])
     s = A.signal_from_lineitem(spark, sf)
-    return _r(ica.covariance(s.where("channel <> 'Pz'")), "cov", digits=6)
+    return _r(ica.covariance(s.withColumn("value", F.col("value") / scale[F.col("channel")])), "cov", digits=6)
 
 
 def _fitted(spark, sf):
@@ -193,7 +207,7 @@ def _stacked(spark, sf):
 
 def _overlay(spark, sf):
     s = A.signal_from_lineitem(spark, sf)
-    return _r(views.overlay(s, ica.apply_ica(MODEL, s)).where("channel = 'Cz'"), "before", "after")
+    return _r(views.overlay(s, ica.apply_ica(MODEL, s)), "before", "after")
 
 
 def _surface(spark, sf):
@@ -223,7 +237,7 @@ QUERIES = {
     "fft_phase": (
         _phase,
         f"""with {EMB}, x as (select epoch_id, rel_idx, (value - avg(value) over (partition by epoch_id)) * (0.54 - 0.46 * cos(2 * {PI} * rel_idx / 63)) v from emb), f as {_dft('x', 'epoch_id', 64, 33)}
-        select epoch_id, cast(k as integer) freq_idx, round(atan2(im, re), 5) + 0.0 phase from f where {_amp(64)} > 1e-3 and abs(atan2(im, re)) < 3.14""",
+        select epoch_id, cast(k as integer) freq_idx, round({_amp(64)} * coalesce(re / nullif(sqrt(re * re + im * im), 0), 1), 7) + 0.0 in_phase, round({_amp(64)} * coalesce(im / nullif(sqrt(re * re + im * im), 0), 0), 7) + 0.0 quadrature from f""",
     ),
     "fft_per_epoch": (_per_epoch, f"with {_X}, f as {_dft('x', 'epoch_id', 64, 33)} select cast(k as integer) freq_idx, round(k * 1.0, 8) + 0.0 frequency, round(avg(pow({_amp(64)}, 2)), 8) + 0.0 power, round(avg({_amp(64)}), 8) + 0.0 amplitude from f group by 1, 2"),
     "fft_epoch_average": (
@@ -247,16 +261,11 @@ QUERIES = {
     "band_power_table": (_band_wide, f"with z as ({_band_sql([('alpha', 8.0, 13.0), ('beta', 13.0, 30.0)])}) select epoch_id, max(power) filter (band = 'alpha') alpha, max(power) filter (band = 'beta') beta from z group by 1"),
     **{name: (_fir(taps), _fir_sql(taps)) for name, taps in _TAPS.items()},
     "fir_blocks": (_fir(_TAPS["fir_notch"], 4096), _fir_sql(_TAPS["fir_notch"])),
-    "fir_channel_subset": (_fir_subset, _fir_sql(_LINE_TAPS, SIG_L, "channel = 'Cz'", "'Cz' channel, ")),
+    "fir_channel_subset": (_fir_subset, _fir_sql(_LINE_TAPS, SIG_L, "channel = 'Cz'", "'Cz' channel, ") + " union all select recording_id, channel, sample_idx, round(value, 4) + 0.0 from sig where channel <> 'Cz'"),
     "ica_prewhiten": (_whitener, f"with {SIG_L} select recording_id, case when channel = 'EXG1' then 'external' else 'eeg' end channel_type, round(stddev_pop(value), 4) + 0.0 sd from sig group by 1, 2"),
-    "ica_pca_cov": (_covariance, f"with {SIG_L}, s as (select * from sig where channel <> 'Pz') select a.recording_id, a.ch_idx ch_a, b.ch_idx ch_b, round(covar_samp(a.value, b.value), 6) + 0.0 cov from s a join s b on a.recording_id = b.recording_id and a.sample_idx = b.sample_idx and a.ch_idx <= b.ch_idx group by 1, 2, 3"),
+    "ica_pca_cov": (_covariance, f"with {SIG_L}, {values(list(_SIZES.items()), 'sz', 'channel, size')}, s as (select recording_id, ch_idx, sample_idx, value / size as value from sig join sz using (channel)) select a.recording_id, a.ch_idx ch_a, b.ch_idx ch_b, round(covar_samp(a.value, b.value), 6) + 0.0 cov from s a join s b on a.recording_id = b.recording_id and a.sample_idx = b.sample_idx and a.ch_idx <= b.ch_idx group by 1, 2, 3"),
     "ica_sources": (_sources, f"with {_SRC} select recording_id, sample_idx, component, round(value, 4) + 0.0 as value from src"),
-    "ica_apply": (
-        _applied,
-        f"""with {SIG_L}, {values([(o, c, float(_CLEAN[i, j])) for i, o in enumerate(MODEL.channels) for j, c in enumerate(MODEL.channels)], 'wt', 'target, channel, w')}, {values([(o, float(_CLEAN_O[i])) for i, o in enumerate(MODEL.channels)], 'off', 'target, o')},
-        c as (select recording_id, sample_idx, target channel, sum(value * w) + max(o) as value from sig join wt using (channel) join off using (target) group by 1, 2, 3)
-        select recording_id, channel, sample_idx, round(value, 4) + 0.0 as value from (select recording_id, channel, sample_idx, value from c union all select recording_id, channel, sample_idx, value from sig where channel = 'EXG1')""",
-    ),
+    "ica_apply": (_applied, f"with {SIG_L} select recording_id, channel, sample_idx, round(value, 4) + 0.0 as value from ({_CLEANED_SQL})"),
     "ica_summary": (
         _summary,
         f"""with {_SRC}, {values([(f'IC{k}', float((MODEL.topography(k) ** 2).sum())) for k in (1, 2, 3)], 'pw', 'component, p')}, tv as (select recording_id, sum(v) tot from (select recording_id, channel, var_samp(value) v from sig where channel <> 'EXG1' group by 1, 2) group by 1),
@@ -276,8 +285,7 @@ QUERIES = {
     ),
     "view_overlay": (
         _overlay,
-        f"""with {SIG_L}, {values([(c, float(_CLEAN[0, j])) for j, c in enumerate(MODEL.channels)], 'wt', 'channel, w')}, c as (select recording_id, sample_idx, sum(value * w) + {float(_CLEAN_O[0])!r} x from sig join wt using (channel) group by 1, 2)
-        select recording_id, channel, sample_idx, round(value, 4) + 0.0 as before, round(x, 4) + 0.0 as after from sig join c using (recording_id, sample_idx) where channel = 'Cz'""",
+        f"with {SIG_L}, c as ({_CLEANED_SQL}) select recording_id, channel, sample_idx, round(sig.value, 4) + 0.0 as before, round(c.value, 4) + 0.0 as after from sig join c using (recording_id, sample_idx, channel)",
     ),
     "view_electrodes": (
         _electrode_view,

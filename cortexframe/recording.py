@@ -50,13 +50,30 @@ class Recording:
 
     @classmethod
     def from_bdf(cls, spark: SparkSession, path: str, channels: list[str] | None = None) -> Recording:
-        from .sources.bdf import read_bdf, read_bdf_header, status_of
+        """Files of one sampling rate; events come from each file's status line, whatever ``channels`` are read.
 
-        rate = read_bdf_header(spark, path).agg(F.max("sampling_rate")).first()[0]
-        signal = read_bdf(spark, path, channels)
-        status = status_of(signal)
-        only_status = F.lower(F.trim("channel")) == "status"
-        return cls.from_signal(signal.where(~only_status), rate, triggers.decode_triggers(status, rate), reference="CMS/DRL", history=("imported",))
+        Files with different rates are an error: read them with :meth:`from_bdf_by_rate`.
+        """
+        found = cls.from_bdf_by_rate(spark, path, channels)
+        if len(found) != 1:
+            raise ValueError(f"the files have sampling rates {sorted(found)}; from_bdf_by_rate gives a recording for each")
+        return next(iter(found.values()))
+
+    @classmethod
+    def from_bdf_by_rate(cls, spark: SparkSession, path: str, channels: list[str] | None = None) -> dict[float, Recording]:
+        """A handle for the recordings of each sampling rate (that of a file's fastest channel but the status line)."""
+        from .sources.bdf import read_bdf, read_bdf_header, read_status, status_channels
+
+        header = read_bdf_header(spark, path)
+        status = status_channels(header)
+        rates = header.join(status, ["recording_id", "ch_idx"], "left_anti").groupBy("recording_id").agg(F.max("sampling_rate").alias("_rate"))
+        signal = read_bdf(spark, path, channels).join(status, ["recording_id", "ch_idx"], "left_anti")
+        events = triggers.decode_triggers(read_status(spark, path))
+        out = {}
+        for (rate,) in sorted(rates.select("_rate").distinct().collect()):  # as many as kinds of devices
+            own = rates.where(F.col("_rate") == rate).select("recording_id")
+            out[rate] = cls.from_signal(signal.join(own, "recording_id"), rate, events.join(own, "recording_id"), reference="CMS/DRL", history=("imported",))
+        return out
 
     def _then(self, note: str, **changes) -> Recording:
         return replace(self, history=(*self.history, note), **changes)
@@ -65,6 +82,7 @@ class Recording:
         return self.signal.groupBy("recording_id").agg(F.max("sample_idx").alias("n_samples"))
 
     def filter(self, low: float | None = None, high: float | None = None, **design) -> Recording:
+        """``design`` are the kernel's options, and ``block`` samples a task filters at once."""
         return self._then(f"band-pass {low} to {high} Hz", signal=filters.bandpass(self.signal, self.sampling_rate, low, high, **design))
 
     def notch(self, freqs: list[float], **design) -> Recording:

@@ -1,7 +1,7 @@
 """Reading 24-bit recordings as a Spark data source.
 
-A file's records have one size, so each partition reads a range of records by its
-offset.  Files are reached through ``pyarrow.fs``, by path or URI of a store that
+The driver only lists files with their sizes.  A file's records have one size, so each
+partition reads the header and a range of records by its offset.  Files are reached through ``pyarrow.fs``, by path or URI of a store that
 executors can reach too.
 """
 
@@ -19,6 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.bdf_format import digital_to_physical, parse_header, unpack_int24
 
+PARTITION_BYTES = 32 << 20
 SIGNAL_BLOCKS = "recording_id string, record_no bigint, ch_idx int, channel string, sampling_rate double, first_sample bigint, values array<double>"
 HEADER = (
     "recording_id string, ch_idx int, channel string, transducer string, unit string, physical_min double, physical_max double, digital_min double, digital_max double, "
@@ -33,6 +34,10 @@ def _open(path: str):
 
 def list_files(path: str) -> list[str]:
     """The ``.bdf`` files a path names: itself, or those in a directory."""
+    return [f for f, _ in sized_files(path)]
+
+
+def sized_files(path: str) -> list[tuple[str, int]]:
     filesystem, inner = _open(path)
     info = filesystem.get_file_info(inner)
     if info.type == fs.FileType.NotFound:
@@ -40,9 +45,9 @@ def list_files(path: str) -> list[str]:
     if info.type == fs.FileType.File:
         if not inner.lower().endswith(".bdf"):
             raise ValueError(f"{path} isn't a .bdf file")
-        return [path]
+        return [(path, info.size)]
     prefix = path[: len(path) - len(inner)] if "://" in path else ""
-    return sorted(prefix + f.path for f in filesystem.get_file_info(fs.FileSelector(inner)) if f.path.lower().endswith(".bdf"))
+    return sorted((prefix + f.path, f.size) for f in filesystem.get_file_info(fs.FileSelector(inner)) if f.path.lower().endswith(".bdf"))
 
 
 def read_header(path: str) -> dict:
@@ -64,13 +69,21 @@ def recording_name(path: str) -> str:
     return path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
 
 
+def status_index(labels: list[str]) -> int:
+    """Which channel is the status line: the one named so, else the last."""
+    named = [i for i, label in enumerate(labels) if label.strip().lower() == "status"]
+    return named[0] if named else len(labels) - 1
+
+
 class Range(InputPartition):
-    def __init__(self, path: str, first: int, stop: int):
-        self.path, self.first, self.stop = path, first, stop
+    """The ``part``-th of ``parts`` equal shares of a file's records."""
+
+    def __init__(self, path: str, part: int, parts: int):
+        self.path, self.part, self.parts = path, part, parts
 
 
 class BdfSource(DataSource):
-    """``format("bdf")``; options ``path``, ``chunk_records``, ``channels`` (a JSON list, read only those)."""
+    """``format("bdf")``; options ``path``, ``partition_bytes``, ``chunk_records``, ``channels`` (a JSON list, read only those), ``status`` (true: only the status line)."""
 
     @classmethod
     def name(cls) -> str:
@@ -86,41 +99,51 @@ class BdfSource(DataSource):
 class BdfReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
+        self.bytes = int(options.get("partition_bytes", PARTITION_BYTES))
         self.chunk = int(options.get("chunk_records", 100))
         self.channels = json.loads(options["channels"]) if options.get("channels") else None
+        self.status = options.get("status", "false").lower() == "true"
 
     def partitions(self) -> list[Range]:
         out = []
-        for path in list_files(self.path):
-            n = read_header(path)["records"]
-            out += [Range(path, a, min(n, a + self.chunk)) for a in range(0, n, self.chunk)]
+        for path, size in sized_files(self.path):
+            parts = max(1, -(-size // self.bytes))
+            out += [Range(path, k, parts) for k in range(parts)]
         return out
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+        """A batch for each ``chunk_records`` records; samples that a cut file lacks are null.
+
+        The status line is read with its bits, not scaled, whether or not it is named so.
+        """
         head = read_header(part.path)
+        first, stop = (head["records"] * k // part.parts for k in (part.part, part.part + 1))
+        listed = head["channel_list"]
+        at_status = status_index([c["label"] for c in listed])
+        wanted = [i for i, c in enumerate(listed) if i == at_status] if self.status else [i for i, c in enumerate(listed) if self.channels is None or c["label"] in self.channels]
+        starts = np.cumsum([0, *(c["samples"] for c in listed)])
         filesystem, inner = _open(part.path)
         with filesystem.open_input_file(inner) as f:
-            f.seek(head["header_bytes"] + part.first * head["record_bytes"])
-            data = f.read((part.stop - part.first) * head["record_bytes"])
-        columns: list[list] = [[] for _ in range(7)]
-        for r in range(part.first, part.stop):
-            at = (r - part.first) * head["record_bytes"]
-            for i, c in enumerate(head["channel_list"]):
-                size = 3 * c["samples"]
-                raw, at = data[at : at + size], at + size
-                if self.channels is not None and c["label"] not in self.channels:
-                    continue
-                digital = unpack_int24(raw)
-                # the status line keeps its bits; samples that a cut file lacks are null
-                status = c["label"].lower() == "status"
-                value = digital.astype(np.float64) if status else digital_to_physical(digital.astype(np.float64), c["digital_min"], c["physical_min"], c["physical_max"])
-                samples = value.tolist() + [None] * (c["samples"] - len(value))
-                row = (recording_name(part.path), r, i + 1, c["label"], c["samples"] / head["duration"], r * c["samples"] + 1, samples)
-                for column, v in zip(columns, row, strict=True):
-                    column.append(v)
-        types = (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.int64(), pa.list_(pa.float64()))
-        names = ["recording_id", "record_no", "ch_idx", "channel", "sampling_rate", "first_sample", "values"]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+            for a in range(first, stop, self.chunk):
+                n = min(self.chunk, stop - a)
+                f.seek(head["header_bytes"] + a * head["record_bytes"])
+                digital = unpack_int24(f.read(n * head["record_bytes"]))
+                have = len(digital)
+                grid = np.zeros(n * starts[-1], np.int32)
+                grid[:have] = digital
+                grid = grid.reshape(n, -1)
+                missing = (np.arange(grid.size) >= have).reshape(grid.shape)
+                for i in wanted:
+                    c = listed[i]
+                    own = grid[:, starts[i] : starts[i + 1]].astype(np.float64)
+                    own = own if i == at_status else digital_to_physical(own, c["digital_min"], c["physical_min"], c["physical_max"])
+                    values = pa.array(own.ravel(), mask=missing[:, starts[i] : starts[i + 1]].ravel())
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * c["samples"], pa.int32()), values)
+                    fixed = (recording_name(part.path), i + 1, c["label"], c["samples"] / head["duration"])
+                    name, index, label, rate = (pa.repeat(pa.scalar(v, t), n) for v, t in zip(fixed, (pa.string(), pa.int32(), pa.string(), pa.float64()), strict=True))
+                    record = np.arange(a, a + n)
+                    cols = [name, pa.array(record), index, label, rate, pa.array(record * c["samples"] + 1), lists]
+                    yield pa.RecordBatch.from_arrays(cols, names=["recording_id", "record_no", "ch_idx", "channel", "sampling_rate", "first_sample", "values"])
 
 
 class BdfHeaderSource(DataSource):
@@ -142,7 +165,7 @@ class BdfHeaderReader(DataSourceReader):
         self.path = options["path"]
 
     def partitions(self) -> list[Range]:
-        return [Range(p, 0, 0) for p in list_files(self.path)]
+        return [Range(p, 0, 1) for p in list_files(self.path)]
 
     def read(self, part: Range) -> Iterator[tuple]:
         head = read_header(part.path)
@@ -158,16 +181,35 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(BdfHeaderSource)
 
 
-def read_bdf(spark: SparkSession, path: str, channels: list[str] | None = None, chunk_records: int = 100) -> DataFrame:
-    """The signal table of a file or a directory of files; each channel keeps its own rate."""
+def read_bdf(spark: SparkSession, path: str, channels: list[str] | None = None, chunk_records: int = 100, status: bool = False) -> DataFrame:
+    """The signal table of a file or a directory of files; each channel keeps its own rate.
+
+    ``status`` reads only each file's status line; it is found in the header, so it
+    does not matter which channels are asked for.
+    """
     register(spark)
-    reader = spark.read.format("bdf").option("path", path).option("chunk_records", chunk_records)
+    reader = spark.read.format("bdf").option("path", path).option("chunk_records", chunk_records).option("status", str(status).lower())
     blocks = (reader.option("channels", json.dumps(channels)) if channels is not None else reader).load()
     laid = blocks.select("recording_id", "ch_idx", "channel", "sampling_rate", "first_sample", F.posexplode("values").alias("_i", "value"))
     idx = F.col("first_sample") + F.col("_i")
     return laid.select("recording_id", "ch_idx", "channel", idx.alias("sample_idx"), ((idx - 1) / F.col("sampling_rate")).alias("t"), "value")
 
 
+def read_status(spark: SparkSession, path: str) -> DataFrame:
+    """``recording_id, sample_idx, raw, sampling_rate`` of each file's status line."""
+    register(spark)
+    blocks = spark.read.format("bdf").option("path", path).option("status", "true").load()
+    laid = blocks.select("recording_id", "sampling_rate", "first_sample", F.posexplode("values").alias("_i", "value")).where("value is not null")
+    return laid.select("recording_id", (F.col("first_sample") + F.col("_i")).alias("sample_idx"), F.col("value").cast("long").alias("raw"), "sampling_rate")
+
+
+def status_channels(header: DataFrame) -> DataFrame:
+    """``recording_id, ch_idx`` of each recording's status line, from the header table."""
+    named = F.lower(F.trim("channel")) == "status"
+    rank = F.struct(named.cast("int"), F.when(named, -F.col("ch_idx")).otherwise(F.col("ch_idx")))
+    return header.groupBy("recording_id").agg(F.max_by("ch_idx", rank).alias("ch_idx"))
+
+
 def read_bdf_header(spark: SparkSession, path: str) -> DataFrame:
     register(spark)
     return spark.read.format("bdf_header").option("path", path).load()
@@ -181,12 +223,5 @@ def scan_channels(spark: SparkSession, path: str) -> DataFrame:
     return found.select("recording_id", "ch_idx", "channel", "sampling_rate", "position_type", "region", "standard_system")
 
 
-def status_of(signal: DataFrame) -> DataFrame:
-    """The status line: the channel named so, else the last of each recording."""
-    rank = F.struct((F.lower(F.trim("channel")) == "status").cast("int"), F.col("ch_idx"))
-    chosen = signal.groupBy("recording_id").agg(F.max_by("ch_idx", rank).alias("_status"))
-    return signal.join(chosen, "recording_id").where("ch_idx = _status").select("recording_id", "sample_idx", F.col("value").cast("long").alias("raw"))
-
-
 def write_events_csv(events: DataFrame, path: str) -> None:
     events.write.mode("overwrite").option("header", True).csv(path)

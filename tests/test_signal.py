@@ -117,13 +117,56 @@ def test_butterworth():
             v = b[0] * u + z1
             z1, z2 = b[1] * u - a[1] * v + z2, b[2] * u - a[2] * v
             y.append(v)
-        assert np.allclose(kernels.section_filter(b, a, x), y)
+        assert np.allclose(kernels.Section(b, a)(x), y)
+    sections = [kernels.Section(b, a) for b, a in sections]
     t = np.arange(2000) / 100
     slow, fast = np.sin(2 * np.pi * 2 * t), np.sin(2 * np.pi * 30 * t)
     assert np.abs(kernels.filtfilt(sections, slow + fast) - slow)[100:-100].max() < 0.05
     assert np.allclose(kernels.filtfilt(sections, np.full(50, 3.0)), 3.0)
 
 
+@pytest.mark.parametrize("factor", [4, 16])
+def test_decimate_matches_the_plain_recursion(spark, factor):
+    """Whole and in blocks, against each section run sample by sample, both ways, over the reflected signal."""
+    x = np.cumsum(np.random.default_rng(factor).normal(size=9000))
+    design = kernels.butter_lowpass(8, 0.9 / factor)
+    pad = kernels.edge_length(len(design))
+    y = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]]).tolist()
+    for _ in range(2):
+        for b, a in design:
+            gain = b.sum() / a.sum()
+            z2 = (b[2] - a[2] * gain) * y[0]
+            z1 = (b[1] - a[1] * gain) * y[0] + z2
+            for i, u in enumerate(y):
+                v = b[0] * u + z1
+                z1, z2, y[i] = b[1] * u - a[1] * v + z2, b[2] * u - a[2] * v, v
+        y = y[::-1]
+    want = np.array(y[pad : pad + len(x)])[::factor]
+    s = signal_of(spark, {"Cz": x}, 512)
+    for block in (65_536, 1):  # the least block is the filter's memory
+        assert np.allclose(values_of(resample.decimate(s, factor, 512.0, block=block), "Cz"), want, atol=1e-9)
+
+
+def test_transform_lengths_and_convolution():
+    for n in (1, 2, 7, 11, 97, 1025, 65_537):
+        m, rest = kernels.fast_length(n), kernels.fast_length(n)
+        for p in (2, 3, 5):
+            while rest % p == 0:
+                rest //= p
+        assert rest == 1 and m >= n and not any(_smooth(k) for k in range(n, m))
+    rng = np.random.default_rng(0)
+    for n in (3, 101):
+        x, h = rng.normal(size=1000), rng.normal(size=n)
+        assert np.allclose(kernels.convolve_valid(x, h), np.convolve(x, h, mode="valid"))
+
+
+def _smooth(n: int) -> bool:
+    for p in (2, 3, 5):
+        while n % p == 0:
+            n //= p
+    return n == 1
+
+
 def test_decimate_keeps_slow_waves(spark):
     t = np.arange(1024) / 512
     s = signal_of(spark, {"Cz": np.sin(2 * np.pi * 5 * t) + np.sin(2 * np.pi * 200 * t)}, 512)
@@ -181,6 +224,39 @@ def test_ica_recovers_sources(spark):
     assert (np.abs(np.corrcoef(np.vstack([src, found]))[:2, 2:]).max(1) > 0.9).all()
 
 
+def test_ica_by_deflation(spark):
+    """Directions one after the other recover the sources too, and are orthonormal."""
+    src, s = mixed(spark)
+    model = ica.fit_ica(s, ["Fp1", "Fp2", "Cz"], n_components=2, max_iter=60, algorithm="deflation")
+    assert np.allclose(model.unmixing @ model.unmixing.T, np.eye(2), atol=1e-9) and 1 <= model.n_iter <= 60
+    found = np.stack([[r["value"] for r in ica.get_sources(model, s).where(F.col("component") == c).orderBy("sample_idx").collect()] for c in ("IC1", "IC2")])
+    assert (np.abs(np.corrcoef(np.vstack([src, found]))[:2, 2:]).max(1) > 0.9).all()
+
+
+def test_deflation_finds_the_known_rotation():
+    """On exact moments of independent sources, each direction is one source, in order of its start."""
+    rng = np.random.default_rng(3)
+    z = rng.uniform(-np.sqrt(3), np.sqrt(3), (40_000, 3)) @ (turn := ica.decorrelate(rng.normal(size=(3, 3)))).T
+    z = (z - z.mean(0)) @ np.linalg.inv(np.linalg.cholesky(np.cov(z.T))).T
+
+    def moments(w):
+        g = np.tanh(z @ w.T)
+        return g.T @ z / len(z), (1 - g**2).mean(0)
+
+    w, steps = ica.turn_in_sequence(moments, rng.normal(size=(3, 3)), 200, 1e-8)
+    assert (np.abs(w @ turn).max(1) > 0.99).all() and sorted(np.abs(w @ turn).argmax(1)) == [0, 1, 2] and steps < 200
+
+
+def test_ica_settings_are_checked(spark):
+    s = signal_of(spark, {"Cz": [1, 2, 3], "Pz": [3, 1, 2]})
+    for wrong in ({"algorithm": "both"}, {"fun": "sine"}, {"tol": -1.0}, {"max_iter": 0}):
+        with pytest.raises(ValueError):
+            ica.fit_ica(s, ["Cz", "Pz"], **wrong)
+    for absent in ({"noise_cov": np.eye(2)}, {"method": "infomax"}):
+        with pytest.raises(NotImplementedError):
+            ica.fit_ica(s, ["Cz", "Pz"], **absent)
+
+
 def test_ica_fit_query_is_converged(spark, monkeypatch):
     """The query's maps on a small mixture against a fixed point of numpy run to 1e-12."""
     from cortexframe.plans import spectral_queries
@@ -255,6 +331,63 @@ def test_bdf_round_trip(spark, tmp_path):
         bdf.list_files(__file__)
 
 
+def test_bdf_events_come_from_the_status_line(spark, tmp_path):
+    """With other channels chosen, and where no channel is named Status: the last one is read unscaled."""
+    from cortexframe.sources import bdf
+
+    rng = np.random.default_rng(7)
+    code = [np.array([0, 0, 3, 3, 0, 0, 65536 + 9, 9])] * 3
+    records = [[rng.integers(-9999, 9999, 8), c] for c in code]
+    for name, labels in (("a", ["Cz", "Status"]), ("b", ["Cz", "Trig"]), ("c", ["status", "Cz"])):
+        (tmp_path / name).mkdir()
+        rows = [r[::-1] for r in records] if name == "c" else records
+        (tmp_path / name / "x.bdf").write_bytes(bdf_format.build_file(labels, rows, [8, 8]))
+        for chosen in (None, ["Cz"]):
+            r = Recording.from_bdf(spark, str(tmp_path / name), chosen)
+            assert [(e["onset"], e["type"]) for e in r.events.orderBy("onset").collect()] == [(k * 8 + i, t) for k in range(3) for i, t in ((3, 3), (7, 9))]
+            assert [c["channel"] for c in r.channels.collect()] == ["Cz"]
+        assert [s["raw"] for s in bdf.read_status(spark, str(tmp_path / name)).orderBy("sample_idx").limit(8).collect()] == code[0].tolist()
+
+
+def test_bdf_rates_differ_by_file(spark, tmp_path):
+    ramp = lambda n: [[np.arange(n), np.array([0] * (n // 2) + [5] * (n // 2))] for _ in range(2)]
+    (tmp_path / "slow.bdf").write_bytes(bdf_format.build_file(["Cz", "Status"], ramp(8), [8, 8]))
+    (tmp_path / "fast.bdf").write_bytes(bdf_format.build_file(["Cz", "Status"], ramp(16), [16, 16]))
+    with pytest.raises(ValueError):
+        Recording.from_bdf(spark, str(tmp_path))
+    found = Recording.from_bdf_by_rate(spark, str(tmp_path))
+    assert sorted(found) == [8.0, 16.0]
+    for rate, r in found.items():
+        assert [(e["onset_time"], e["recording_id"]) for e in r.events.orderBy("onset").collect()] == [(k + 0.5, "slow" if rate == 8 else "fast") for k in range(2)]
+        assert r.signal.agg(F.max("t")).first()[0] == pytest.approx(2 - 1 / rate)
+
+
+def test_bdf_cut_file_and_partitions(spark, tmp_path):
+    """Samples that a cut file lacks are null; shares of a file's records make its whole."""
+    from cortexframe.sources import bdf
+
+    records = [[np.arange(4) + 10 * r, np.zeros(4, int)] for r in range(7)]
+    raw = bdf_format.build_file(["Cz", "Status"], records, [4, 4])
+    (tmp_path / "x.bdf").write_bytes(raw[:-18])
+    got = bdf.read_bdf(spark, str(tmp_path), ["Cz"])
+    assert got.count() == 28 and got.where("value is null").count() == 2
+    bdf.register(spark)
+    small = spark.read.format("bdf").option("path", str(tmp_path)).option("partition_bytes", 60).option("chunk_records", 2).load()
+    assert small.rdd.getNumPartitions() > 5
+    assert [r["record_no"] for r in small.where("channel = 'Cz'").orderBy("record_no").collect()] == list(range(7))
+
+
+def test_conditions_in_order_of_appearance(spark):
+    e = events_of(spark, [7, 3, 7, 5, 3], [10, 20, 30, 40, 50], 10)
+    assert [(r["type"], r["position"]) for r in epochs.condition_order(e).orderBy("position").collect()] == [(7, 1), (3, 2), (5, 3)]
+
+
+def test_channels_without_a_position_are_named(spark):
+    s = signal_of(spark, {"Cz": [1, 2], "Q1": [3, 4]})
+    montage = channels.create_montage(s.select("channel").distinct())
+    assert [tuple(r) for r in channels.unplaced_channels(s, montage).collect()] == [("Q1", 2)]
+
+
 def test_recording_chain(spark):
     x = np.random.default_rng(5).normal(size=512)
     s = signal_of(spark, {"Cz": x, "Pz": -x, "EXG1": x * 2}, 128)
