@@ -116,7 +116,7 @@ def build(texts: dict[str, list[str]]) -> LanguageFilters:
             np.bitwise_or.at(table[:, k // 64], s, bit)
         fill = float(((table[:, k // 64] & bit) != 0).mean())
         rates.append(min(0.9, fill**2))
-        inside = [np.isin(o, seen).mean() for o in own[:50] if len(o)]
+        inside = [(seen[np.minimum(np.searchsorted(seen, o), len(seen) - 1)] == o).mean() for o in own if len(o) and len(seen)]
         hit.append(max(0.05, float(np.mean(inside)) if inside else 1.0))
     return LanguageFilters(languages, table, np.array(rates), np.array(hit))
 
@@ -142,10 +142,14 @@ def fit_languages(docs: DataFrame, per_language: int = 300) -> LanguageFilters:
 
 
 def identify(docs: DataFrame, model: LanguageFilters) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``lang_score`` appended.
+    """``docs`` with ``lang_pred`` and ``lang_score`` appended, instead of columns of these names if it has them.
 
-    A null text and one without a letter give ``und`` and 0; ties go to the first language by name.
+    A null text and one without a letter (so an empty one) give ``und`` and 0; ties go to the
+    first language by name.  Texts of any length are read whole, in slices; repeated rows and
+    null ids are rows like others; an empty table gives no rows; without a learned language
+    all are ``und``.
     """
+    docs = docs.drop("lang_pred", "lang_score")
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = StructType([*docs.schema.fields]).add("lang_pred", StringType()).add("lang_score", DoubleType())

@@ -4,7 +4,9 @@ A media column holds whole files as binary values.  ``media_features`` decodes
 each to a numpy array, resizes it by integral images (every output cell is the
 exact mean of the area it covers, fractions of pixels included), and writes the
 result as an NPY tile with horizontal and vertical difference hashes.  One pass,
-no shuffle; memory is that of one Arrow batch.
+no shuffle; memory is that of one Arrow batch.  ``text_as_media`` makes such files of
+texts; the query writes them as a table and computes all its columns from the bytes
+read back.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, documents, frugal
+from .common import bounded_batches, documents, frugal, materialize
 
 WIDTH = 24
 UNIT = 576  # bytes; a whole number of rows of WIDTH samples
@@ -171,9 +173,12 @@ def media_features(df: DataFrame, media: str, keep: list[str], side: int = 32) -
 
     Adds ``height, width, channels, tile`` (NPY, ``side`` x ``side``), ``dhash``, digests of
     the decoded samples and of the stored file, and ``error``.  A null or broken file
-    gives nulls and says why in ``error``; equal files give equal values.
+    gives nulls and says why in ``error``; equal files give equal values; files of any
+    size are decoded whole; an empty table gives no rows.  Columns of ``keep`` with a name
+    that is added are left out.
     """
     bounded_batches(df.sparkSession)
+    keep = [k for k in keep if k not in {n for n, _ in FIELDS}]
     narrow = df.select(*keep, F.col(media).alias("_media"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,18 +193,32 @@ def media_features(df: DataFrame, media: str, keep: list[str], side: int = 32) -
     return narrow.mapInArrow(frugal(run), f"{kept}, {DDL}")
 
 
-def text_as_pgm(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, media``: each text's UTF-8 bytes, padded with 255, as the samples of a P5 file of 24 columns."""
-    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    n = F.octet_length(raw).cast("long")
-    padded = (F.greatest(F.ceil(n / F.lit(UNIT)), F.lit(1)) * UNIT).cast("int")
-    header = F.concat(F.lit(f"P5\n{WIDTH} "), (padded / F.lit(WIDTH)).cast("int").cast("string"), F.lit("\n255\n")).cast("binary")
-    return docs.select("doc_id", n.alias("n_bytes"), F.concat(header, F.rpad(raw, padded, F.lit(b"\xff"))).alias("media"))
+def stored_form(raw: bytes) -> bytes:
+    """A file that holds ``raw``, padded with 255 to a positive multiple of ``UNIT``, as samples in rows of 24: P5 or BMP, by its checksum."""
+    padded = raw.ljust(max(1, -(-len(raw) // UNIT)) * UNIT, b"\xff")
+    samples = np.frombuffer(padded, np.uint8).reshape(-1, WIDTH)
+    return encode_bmp(samples) if zlib.crc32(raw) & 1 else encode_pgm(samples)
+
+
+def text_as_media(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_bytes, media`` of ``docs(doc_id, text)``: UTF-8 bytes as files of 8-bit samples; null is empty."""
+    bounded_batches(docs.sparkSession)
+    narrow = docs.select("doc_id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                raw = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
+                cols = [part.column(0), pa.array([len(r) for r in raw], pa.int64()), pa.array([stored_form(r) for r in raw], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "media"])
+
+    return narrow.mapInArrow(frugal(run), f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = text_as_pgm(documents(spark, sf_dir).select("doc_id", "text"))
-    return media_features(stored, "media", ["doc_id", "n_bytes"]).select(
+    stored = materialize(text_as_media(documents(spark, sf_dir)), "media-stored", "zstd")
+    return media_features(stored, "media", ["doc_id", "n_bytes"], side=16).select(
         "doc_id",
         "n_bytes",
         F.col("samples_bytes").alias("payload_bytes"),
@@ -208,4 +227,6 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         "media_bytes",
         "media_sha256",
         F.col("dhash").alias("feature"),
+        "height",
+        "tile",
     )

@@ -167,10 +167,11 @@ def candidate_pairs(classes: DataFrame, similarity: float = SIMILARITY, group: i
 def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Pairs ``(a, b, similarity)`` of ``pairs`` whose alignment reaches ``similarity``.
 
-    Texts of documents in pairs are shuffled by doc_id once and then meet each pair.
+    Texts of documents in pairs are shuffled by doc_id once and then meet each pair.  A
+    doc_id that repeats with several texts is linked if any of them is alike.
     """
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col("doc_id").alias("id"), "text").hint("merge").join(ids, "id", "left_semi").dropDuplicates(["id"])
+    texts = docs.select(F.col("doc_id").alias("id"), "text").hint("merge").join(ids, "id", "left_semi").withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "h"])
     both = (
         pairs.hint("merge").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
         .hint("merge").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")

@@ -206,7 +206,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out: int | None = 2, m
     """Train on at most ``max_docs`` labelled documents of ``docs(doc_id, text)``.
 
     Rows of ``labels(doc_id, toxic)`` whose crc32(doc_id) mod 4 is ``held_out`` are not
-    looked at.  Null labels and ids are left out.
+    looked at.  Null labels and ids are left out; of a doc_id's several labels the highest
+    counts, and of its several texts the last in order.  Without both labels the model
+    scores everything by their share.
     """
     known = labels.where("doc_id is not null and toxic in (0, 1)")
     if held_out is not None:
@@ -224,10 +226,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out: int | None = 2, m
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """``docs`` with ``_toxicity`` double appended; null and wordless texts score 0.
+    """``docs`` with ``_toxicity`` double appended, instead of a column of that name; null and wordless texts score 0.
 
-    The model has a fixed size (one float for each of 2^18 buckets) and is broadcast.
+    Texts of any length are read whole; repeated rows and null ids are rows like others; an
+    empty table gives no rows.  The model has a fixed size (one float for each of 2^18 buckets) and is broadcast.
     """
+    docs = docs.drop("_toxicity")
     bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)

@@ -98,17 +98,35 @@ def test_area_resize_is_exact():
     assert np.allclose(media.area_resize(image, 4, 3), want)
 
 
+def area_means(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """By the share of each pixel that each cell covers."""
+
+    def shares(n, out):
+        edge = np.arange(out + 1) * n / out
+        return np.clip(np.minimum(edge[1:, None], np.arange(1, n + 1)) - np.maximum(edge[:-1, None], np.arange(n)), 0, None) / (n / out)
+
+    return shares(image.shape[0], height) @ image @ shares(image.shape[1], width).T
+
+
 def test_media_query(spark):
     texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     out = media.op3_media_columns(spark, DATA).collect()
     assert len(out) == len(texts)
+    kinds = set()
     for r in out:
         raw = texts[r["doc_id"]]
         padded = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
-        stored = media.encode_pgm(np.frombuffer(padded, np.uint8).reshape(-1, 24))
+        image = np.frombuffer(padded, np.uint8).reshape(-1, 24)
+        stored = (media.encode_bmp if zlib.crc32(raw) % 2 else media.encode_pgm)(image)
+        kinds.add(stored[:2])
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest())
         assert r["tail_crc32"] == zlib.crc32(padded[-32:]) and r["media_sha256"] == hashlib.sha256(stored).hexdigest() and r["media_bytes"] == len(stored)
-        assert len(r["feature"]) == 32
+        across, down = np.round(area_means(image, 8, 9), 6), np.round(area_means(image, 9, 8), 6)
+        bits = [*(across[:, 1:] > across[:, :-1]).ravel(), *(down[1:] > down[:-1]).ravel()]
+        assert r["feature"] == f"{int(''.join('01'[int(b)] for b in bits), 2):032x}"
+        tile = np.load(__import__("io").BytesIO(r["tile"]))
+        assert tile.shape == (16, 16) and np.abs(tile - area_means(image, 16, 16)).max() <= 0.5 + 1e-9
+    assert kinds == {b"P5", b"BM"}
 
 
 def test_media_odd_inputs(spark):
@@ -116,8 +134,13 @@ def test_media_odd_inputs(spark):
     out = {r["doc_id"]: r for r in media.media_features(spark.createDataFrame(rows, "doc_id long, m binary").withColumn("tile", F.lit(1)), "m", ["doc_id"]).collect()}
     assert out[1]["error"] == "null" and out[4]["dhash"] is None and out[3]["error"] is None and out[2]["media_bytes"] == 0
     assert np.load(__import__("io").BytesIO(out[3]["tile"])).tolist() == [[7] * 32] * 32
-    empty = media.text_as_pgm(spark.createDataFrame([(1, None), (None, "")], "doc_id long, text string"))
-    assert [len(r["media"]) for r in empty.collect()] == [576 + 13] * 2
+    long = "é" * 300_000
+    rows = [(1, None), (None, ""), (2, long), (2, long), (2, "other")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("media", F.lit(1)).withColumn("n_bytes", F.lit("x"))
+    stored = media.text_as_media(docs).collect()
+    assert [len(r["media"]) for r in stored[:2]] == [576 + 13] * 2 and [r["n_bytes"] for r in stored] == [0, 0, 600_000, 600_000, 5]
+    assert stored[2]["media"] == stored[3]["media"] and media.decode(stored[2]["media"]).tobytes()[:600_000] == long.encode()
+    assert media.text_as_media(docs.limit(0)).count() == 0
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="has-sidebar"><div id="header">Site name</div><nav><a href=1>Home</a></nav>
