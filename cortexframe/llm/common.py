@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -63,16 +64,21 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(name, str(bound))
 
 
+def give_back() -> None:
+    """Return unused memory of this process to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not on every platform
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def frugal(run):
-    """A task that gives memory back to the system when it ends, as Python workers live on between tasks."""
+    """A task that gives memory back when it ends, as Python workers live on between tasks."""
 
     def task(batches: Iterator) -> Iterator:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # not on every platform
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            give_back()
 
     return task
 
@@ -92,7 +98,7 @@ def pack_texts(docs: DataFrame, keep: list[str], to: str = "z") -> DataFrame:
     schema = StructType([narrow.schema[c] for c in keep]).add(to, BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3).compress
+        squeeze = zstandard.ZstdCompressor(level=5).compress
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
@@ -102,6 +108,51 @@ def pack_texts(docs: DataFrame, keep: list[str], to: str = "z") -> DataFrame:
     return narrow.mapInArrow(frugal(run), schema)
 
 
+#: bits of a filter of ids at most: 32 MB are broadcast
+FILTER_BITS = 28
+
+
+def id_filter(ids: DataFrame) -> tuple[np.ndarray, int]:
+    """A Bloom filter of ``ids(id)`` as words of 64 bits, and the power of two of its bits: 16 an id, ``2**FILTER_BITS`` at most."""
+    bits = min(FILTER_BITS, max(10, (16 * ids.count()).bit_length()))
+    places = ids.select(F.explode(F.array(*_places("id", bits))).alias("p"))
+    set_ = places.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toArrow()
+    words = np.zeros(1 << (bits - 6), np.uint64)
+    words[set_.column("word").to_numpy()] = set_.column("bits").to_numpy().view(np.uint64)
+    return words, bits
+
+
+def _places(column: str, bits: int) -> list:
+    return [F.pmod(F.xxhash64(column, F.lit(seed)), F.lit(1 << bits)) for seed in (1, 2)]
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id, h, z`` of the rows of ``docs(doc_id, text)`` whose doc_id is in ``ids(id)``, one for each text of an id.
+
+    ``z`` is the text as a Zstandard frame, ``h`` its hash.  A Bloom filter of the ids, of
+    bounded size, keeps nearly all other texts out of the shuffle; the join is exact.
+    """
+    ids = materialize(ids, "wanted-ids")
+    words, bits = id_filter(ids)
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+    named = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
+    narrow = named.select("id", F.xxhash64("text").alias("h"), *[p.alias(f"p{i}") for i, p in enumerate(_places("id", bits))], "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=5).compress
+        for batch in batches:
+            maybe = np.ones(batch.num_rows, bool)
+            for k in (2, 3):
+                p = batch.column(k).to_numpy()
+                maybe &= (shared.value[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            part = batch.filter(pa.array(maybe))
+            z = [squeeze(t.encode("utf-8", "surrogatepass")) for t in part.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(z, pa.binary())], names=["id", "h", "z"])
+
+    bounded_batches(docs.sparkSession)
+    return narrow.mapInArrow(frugal(run), "id long, h long, z binary").hint("merge").join(ids, "id", "left_semi").dropDuplicates(["id", "h"])
+
+
 def unpack_texts(z: list[bytes | None]) -> list[bytes | None]:
     open_ = zstandard.ZstdDecompressor().decompress
     return [None if x is None else open_(x) for x in z]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from .common import bounded_batches, crc_mod, documents, frugal
+from .common import bounded_batches, crc_mod, documents, frugal, give_back
 
 GRAMS = (2, 3, 4, 5)
 BITS = 22
@@ -138,7 +138,10 @@ def fit_languages(docs: DataFrame, per_language: int = 300) -> LanguageFilters:
     texts: dict[str, list[tuple]] = {}
     for r in rows.toLocalIterator():
         texts.setdefault(r["lang"], []).append((r["doc_id"], r["text"]))
-    return build({k: [t for _, t in sorted(v, key=lambda x: (x[0] is None, x[0], x[1]))] for k, v in texts.items()})
+    model = build({k: [t for _, t in sorted(v, key=lambda x: (x[0] is None, x[0], x[1]))] for k, v in texts.items()})
+    del texts
+    give_back()
+    return model
 
 
 def identify(docs: DataFrame, model: LanguageFilters) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
-from .common import bounded_batches, components, documents, frugal, materialize, pack_texts, unpack_texts
+from .common import bounded_batches, components, documents, frugal, materialize, texts_of, unpack_texts
 
 SHINGLE = 5
 BANDS, ROWS = 16, 2
@@ -167,25 +167,26 @@ def candidate_pairs(classes: DataFrame, similarity: float = SIMILARITY, group: i
 def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Pairs ``(a, b, similarity)`` of ``pairs`` whose alignment reaches ``similarity``.
 
-    Texts of documents in pairs are shuffled by doc_id once and then meet each pair.  A
+    Texts of documents in pairs, and few others, are shuffled by doc_id and meet each pair.  A
     doc_id that repeats with several texts is linked if any of them is alike.
     """
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col("doc_id").alias("id"), "text").hint("merge").join(ids, "id", "left_semi").withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "h"])
+    texts = texts_of(docs, ids)
     both = (
-        pairs.hint("merge").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-        .hint("merge").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-        .select("a", "b", "ta", "tb")
+        pairs.hint("merge").join(texts.select(F.col("id").alias("a"), F.col("z").alias("za")), "a")
+        .hint("merge").join(texts.select(F.col("id").alias("b"), F.col("z").alias("zb")), "b")
+        .select("a", "b", "za", "zb")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = part.column(2).to_pylist() + part.column(3).to_pylist()
-                distinct = list(dict.fromkeys(texts))
-                known = dict(zip(distinct, map(labelled_shingles, word_hashes(distinct)), strict=True))
-                got = [aligned_similarity(known[x], known[y], similarity) for x, y in zip(texts[: part.num_rows], texts[part.num_rows :], strict=True)]
+                packed = part.column(2).to_pylist() + part.column(3).to_pylist()
+                distinct = list(dict.fromkeys(packed))
+                texts = [t.decode("utf-8", "surrogatepass") for t in unpack_texts(distinct)]
+                known = dict(zip(distinct, map(labelled_shingles, word_hashes(texts)), strict=True))
+                got = [aligned_similarity(known[x], known[y], similarity) for x, y in zip(packed[: part.num_rows], packed[part.num_rows :], strict=True)]
                 out = pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(got, pa.float64())], names=["a", "b", "similarity"])
                 yield out.filter(pa.array([g > 0 for g in got], pa.bool_()))
 
@@ -256,7 +257,7 @@ def open_links(classes: DataFrame, groups: DataFrame, docs: DataFrame, similarit
     both = both.withColumn("task", F.xxhash64("x", "y"))
     uses = both.select("band", "task", F.col("x").alias("block"), F.lit(0).alias("side")).unionByName(both.where("x <> y").select("band", "task", F.col("y").alias("block"), F.lit(1).alias("side")))
     ids = placed.select(F.col("rep").alias("id")).distinct()
-    texts = pack_texts(docs, ["doc_id"]).withColumnRenamed("doc_id", "id").hint("merge").join(ids, "id", "left_semi").dropDuplicates(["id"])
+    texts = texts_of(docs, ids).groupBy("id").agg(F.min_by("z", "h").alias("z"))
     texts = texts.hint("merge").join(classes.select(F.col("rep").alias("id"), "bands").dropDuplicates(["id"]), "id")
     seats = placed.join(uses, ["band", "block"]).select("band", "task", "side", F.col("rep").alias("id"), "n", "comp").dropDuplicates(["band", "task", "id"])
     names = ["id", "n", "comp", "side", "bands", "z"]

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, crc_mod, discard, documents, frugal, materialize, pack_texts, unpack_texts
+from .common import bounded_batches, crc_mod, discard, documents, frugal, give_back, materialize, pack_texts, unpack_texts
 
 ORDER = 5
 SYMBOL = 12  # bits of a character
@@ -198,6 +198,8 @@ def document_sums(docs: DataFrame, letters: Alphabet, model: DataFrame, shard_ro
         shard = {lang: (g[code == i], logp[code == i]) for i, lang in enumerate(langs.dictionary.to_pylist())}
         part = materialize(weigh(rows, letters, shard, k), "kn-sums")
         sums = part if sums is None else sums.unionByName(part)
+        del table, langs, code, g, logp, shard
+        give_back()
     # equal rows have equal sums, and count once a shard
     once = sums.groupBy("_k1", "_k2", "shard").agg(F.max("logp").alias("logp"), F.max("chars").alias("chars"))
     total = once.groupBy("_k1", "_k2").agg(F.sum("logp").alias("logp"), F.sum("chars").alias("chars"))

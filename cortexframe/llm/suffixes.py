@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -420,11 +421,12 @@ def kept_text(data: np.ndarray, gone: np.ndarray) -> str:
     return data[~np.repeat(whole, np.diff(np.append(start, len(data))))].tobytes().decode("utf-8", "surrogatepass")
 
 
-def repeated_passages(docs: DataFrame, min_bytes: int = MIN_BYTES, hot_bucket: int = 5000, with_text: bool = False) -> DataFrame:
+def repeated_passages(docs: DataFrame, min_bytes: int = MIN_BYTES, hot_bucket: int = 5000, with_text: bool = False, packed: bool = False) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``.
 
     ``with_text`` adds ``text_sha256`` of the input and ``kept_text``, whose characters are
-    whole: one of which some bytes are covered stays.
+    whole: one of which some bytes are covered stays.  With ``packed`` that is ``kept_z``, a
+    Zstandard frame, to be shuffled.  Both are null for a null text.
 
     Null and empty texts and texts under ``min_bytes`` (8 at least) lose nothing; texts of
     any length are read whole.  Rows with a null doc_id neither remove nor lose anything;
@@ -436,7 +438,7 @@ def repeated_passages(docs: DataFrame, min_bytes: int = MIN_BYTES, hot_bucket: i
     length = min_bytes
     hashed = F.xxhash64("text").alias("h")
     known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sizes = materialize(known.select("doc_id", hashed, F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text"), 256).alias("sha")), "suffix-sizes")
+    sizes = materialize(known.select("doc_id", hashed, F.octet_length("text").cast("long").alias("n_bytes"), F.substring(F.unhex(F.sha2(F.col("text"), 256)), 1, 16).alias("sha")), "suffix-sizes")
     total = sizes.agg(F.sum("n_bytes")).first()[0] or 0
     # texts of a doc_id that has several are told apart by v, a hash; for all others v is 0
     several = sizes.groupBy("doc_id").agg(F.min("sha").alias("lo"), F.max("sha").alias("hi")).where("lo <> hi").select("doc_id", F.lit(True).alias("several"))
@@ -447,8 +449,8 @@ def repeated_passages(docs: DataFrame, min_bytes: int = MIN_BYTES, hot_bucket: i
     copies = sizes.hint("merge").join(firsts, "sha").where("doc_id > first").hint("merge").join(several, "doc_id", "left").select("doc_id", v, "n_bytes")
     copies = materialize(copies, "suffix-copies")
     # one exchange of all texts; the filters keep its plan the same wherever it is read, and all joins are by doc_id alone
-    packed = pack_texts(known.select("*", hashed), ["doc_id", "h"]).where("doc_id is not null").repartition("doc_id")
-    texts = packed.hint("merge").join(several, "doc_id", "left").select("doc_id", v, "z")
+    exchanged = pack_texts(known.select("*", hashed), ["doc_id", "h"]).where("doc_id is not null").repartition("doc_id")
+    texts = exchanged.hint("merge").join(several, "doc_id", "left").select("doc_id", v, "z")
     # not an anti-join, which would be pushed below the exchange and make it another one
     marked = texts.hint("merge").join(copies.groupBy("doc_id").agg(F.collect_set("v").alias("copied")), "doc_id", "left")
     shared = shared_names(marked.where(F.coalesce(~F.array_contains("copied", F.col("v")), F.lit(True))), length, total)
@@ -485,6 +487,16 @@ def repeated_passages(docs: DataFrame, min_bytes: int = MIN_BYTES, hot_bucket: i
     nameless = pack_texts(docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), "text"), ["doc_id"])
     joined = joined.unionByName(nameless, allowMissingColumns=True)
 
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["text_sha256", "kept_z" if packed else "kept_text"] if with_text else [])]
+
+    def texts_left(t: bytes | None, data: np.ndarray, gone: np.ndarray) -> tuple:
+        if t is None:
+            return None, None
+        sha = hashlib.sha256(data.tobytes()).hexdigest()
+        if packed:
+            return sha, t if not gone.any() else zstandard.compress(kept_text(data, gone).encode("utf-8", "surrogatepass"), 5)
+        return sha, kept_text(data, gone)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -499,14 +511,12 @@ def repeated_passages(docs: DataFrame, min_bytes: int = MIN_BYTES, hot_bucket: i
                         hit_runs = [x["hit"] for x in own if x["hit"] is not None]
                     gone = covered(len(data), whole_runs, hit_runs, length)
                     rises = int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum())
-                    rows.append((len(data), int(gone.sum()), rises, hashlib.sha256(data[~gone].tobytes()).hexdigest(), *((hashlib.sha256(data.tobytes()).hexdigest(), None if t is None else kept_text(data, gone)) if with_text else ())))
-                cols = list(zip(*rows, strict=True))
-                made = [*[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string()), *[pa.array(c, pa.string()) for c in cols[4:]]]
-                yield pa.RecordBatch.from_arrays([part.column(0), *made], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["text_sha256", "kept_text"] * with_text])
+                    rows.append((len(data), int(gone.sum()), rises, hashlib.sha256(data[~gone].tobytes()).hexdigest(), *(texts_left(t, data, gone) if with_text else ())))
+                kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.binary() if packed else pa.string()]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False))], names=names)
 
-    return joined.mapInArrow(
-        frugal(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text_sha256 string, kept_text string" * with_text
-    )
+    kinds = ["long"] * 4 + ["string"] * 2 + ["binary" if packed else "string"]
+    return joined.mapInArrow(frugal(run), ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=False)))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

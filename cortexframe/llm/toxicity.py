@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, crc_mod, documents, frugal
+from .common import bounded_batches, crc_mod, documents, frugal, give_back
 
 WORDS = re.compile(r"\w+")
 N_MIN, N_MAX = 3, 6
@@ -129,22 +129,32 @@ def train(pairs: Iterable[tuple[set[str], int]], prior: float = 0.1, dim: int =
     b = np.zeros(2, dtype=np.float32)
     seen_e, seen_w, seen_b = np.full(len(e), 1e-4, np.float32), np.full_like(w, 1e-3), np.full_like(b, 1e-3)
 
+    def grams_of(types: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """Ranges of ``types``, their n-grams' rows one word after the other, and how many each word has."""
+        for at in range(0, len(types), 20_000):
+            n = counts[types[at : at + 20_000]]
+            flat = np.repeat(starts[types[at : at + 20_000]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            yield slice(at, at + 20_000), buckets[flat], n
+
     def step(types: np.ndarray, good: np.ndarray, bad: np.ndarray, rate: float) -> None:
         """One AdaGrad step of the cross-entropy; good and bad weigh the two labels of each word."""
         nonlocal w, b
-        n = counts[types]
-        flat_at = np.repeat(starts[types] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        rows = buckets[flat_at]
-        v = _means(e[rows], n)
+        v = np.empty((len(types), dim), np.float32)
+        for part, rows, n in grams_of(types):
+            v[part] = _means(e[rows], n)
         z = v @ w + b
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         total = (good + bad)[:, None]
         g = (p * total - np.stack([good, bad], 1)).astype(np.float32) / np.float32(total.sum())
-        gv = (g @ w.T) / n[:, None].astype(np.float32)
+        gv = (g @ w.T) / counts[types][:, None].astype(np.float32)
         gw, gb = v.T @ g, g.sum(0)
-        share = np.repeat(gv, n, axis=0)
-        ge = np.stack([np.bincount(rows, share[:, k], minlength=len(e)) for k in range(dim)], 1).astype(np.float32)
+        sums = np.zeros((dim, len(e)))
+        for part, rows, n in grams_of(types):
+            share = np.repeat(gv[part], n, axis=0)
+            for k in range(dim):
+                sums[k] += np.bincount(rows, share[:, k], minlength=len(e))
+        ge = sums.T.astype(np.float32)
         seen_e[:] += (ge**2).mean(1) * len(types)
         seen_w[:] += gw**2
         seen_b[:] += gb**2
@@ -222,7 +232,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, held_out: int | None = 2, m
         picks = some if picks is None else picks.unionByName(some)
     # bounded by max_docs rows of two numbers
     rows = docs.select("doc_id", "text").join(F.broadcast(picks), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
-    return train(((words_of(r["text"]), r["toxic"]) for r in rows.orderBy("doc_id").toLocalIterator()), prior)
+    model = train(((words_of(r["text"]), r["toxic"]) for r in rows.orderBy("doc_id").toLocalIterator()), prior)
+    give_back()
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:

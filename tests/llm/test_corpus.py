@@ -334,6 +334,11 @@ def test_pipeline_stages_keep_odd_rows(spark):
 
     rows = [(None, "some text", "en", None, 9), (1, None, None, "a", 0), (2, "", "en", "a", 0), (3, "hello there", "en", "b", 11), (3, "hello there", "en", "b", 11)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    shared = "a passage of more than fifty bytes that two of the documents have"
+    more = spark.createDataFrame([(7, shared, "en", "a", len(shared)), (8, f"own words, {shared}é", "de", "b", 0), (9, shared, "en", "a", 0), (9, shared, "en", "a", 0), (None, shared, "fr", None, 3)], docs.schema)
+    kept = p.drop_repeated_passages(spark, docs.unionByName(more), DATA)
+    assert sorted(map(tuple, kept.where("length(text) > 20 or lang = 'de'").collect()), key=str) == sorted([(7, shared, "en", "a", len(shared)), (8, "own words, é", "de", "b", 12), (None, shared, "fr", None, 3)], key=str)
+    assert kept.count() == 8
     for stage, n in ((p.drop_toxic, 5), (p.drop_near_duplicates, 4), (p.drop_repeated_passages, 5)):
         assert stage(spark, docs, DATA).count() == n
     for _, stage in p.STAGES:

@@ -95,6 +95,28 @@ def test_common_shingles_are_counted():
     assert (minhash.common_shingles(sets) == [[len(np.intersect1d(a, b)) if i != j else (np.isin(a, np.concatenate(sets[:i] + sets[i + 1 :]))).sum() for j, b in enumerate(sets)] for i, a in enumerate(sets)]).all()
 
 
+def test_texts_of_ids(spark, monkeypatch):
+    """Just the ids asked for, each with all its texts, through a filter of ample size and a full one."""
+    from cortexframe.llm import common
+
+    rows = [(i, f"text {i}") for i in range(400)] + [(5, "another"), (5, "another"), (7, None), (None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = spark.createDataFrame([(i,) for i in [*range(0, 400, 7), 5, 999]], "id long")
+    for bits in (28, 6):
+        monkeypatch.setattr(common, "FILTER_BITS", bits)
+        got = sorted((r["id"], t.decode()) for r in common.texts_of(docs, ids).collect() for t in common.unpack_texts([r["z"]]))
+        assert got == sorted([(i, f"text {i}") for i in [*range(0, 400, 7), 5]] + [(5, "another")])
+
+
+def test_near_duplicates_of_a_repeated_id(spark):
+    """Any text of a doc_id links it."""
+    rng = random.Random(9)
+    one, two = ([f"{k}{rng.randrange(500)}" for _ in range(80)] for k in "ab")
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (2, " ".join([*one[:-1], "x"])), (3, " ".join([*two[:-1], "y"])), (4, "alone")]
+    got = {(r["doc_id"], r["class_id"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
 def test_near_duplicates_odd_inputs(spark):
     rows = [(None, "a b c d e f"), (1, None), (2, ""), (3, "  "), (4, "a b"), (5, "A  b"), (6, "x y z u v w " * 5000), (7, "x y z u v w " * 5000), (7, "x y z u v w " * 5000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", minhash.F.lit(1)).withColumn("band", minhash.F.lit(2))
