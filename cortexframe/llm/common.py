@@ -169,6 +169,8 @@ def _least_of(edges: DataFrame, key: str, least: DataFrame, total: int) -> DataF
     broadcast, so that no task has all edges of a hub; the others are joined.
     """
     bound = max(HOT_EDGES, -(-2 * total // HOT_EDGES))
+    if 2 * total < bound:  # no vertex can have so many
+        return edges.join(least.select(key, "m"), key).select("u", "v", "m")
     hot = F.broadcast(least.where(F.col("degree") >= bound).select(key, F.col("m").alias("_hot")))
     rest = least.where(F.col("degree") < bound).select(key, "m")
     marked = edges.join(hot, key, "left")
