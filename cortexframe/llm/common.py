@@ -52,14 +52,17 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: rows of an Arrow batch, so that long texts don't add up
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+#: rows of an Arrow batch and of a vector read from Parquet, so that long texts don't add up
+BATCH_ROWS, BATCH_BYTES, VECTOR_ROWS = 500, 16 << 20, 512
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches to ``BATCH_ROWS`` rows and ``BATCH_BYTES``, unless the session sets its own bounds."""
-    for key, bound in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        name = f"spark.sql.execution.arrow.{key}"
+    """Keep Arrow batches to ``BATCH_ROWS`` rows and ``BATCH_BYTES``, vectors of the Parquet reader to ``VECTOR_ROWS``, unless the session sets its own bounds.
+
+    A vector of 4,096 texts is a single array of many megabytes for each task, which fragments an executor's heap.
+    """
+    arrow = "spark.sql.execution.arrow"
+    for name, bound in ((f"{arrow}.maxRecordsPerBatch", BATCH_ROWS), (f"{arrow}.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.parquet.columnarReaderBatchSize", VECTOR_ROWS)):
         if spark.conf.get(name, None) is None:  # not set by anyone
             spark.conf.set(name, str(bound))
 
