@@ -189,7 +189,10 @@ def segments(named: DataFrame, length: int) -> DataFrame:
     """Runs of windows with one shared name: ``key, ctx, doc_id, v, s, n, settled`` from ``named(doc_id, v, z, keys)``.
 
     ``settled`` runs are equal to one of a smaller document in the same block; those that
-    follow each other are one row.
+    follow each other are one row, and their key is their document's, a negative number, so
+    that they spread.  Which runs are settled depends on the blocks, and so on how rows were
+    dealt: open and settled runs must be taken from one evaluation.  The least document of a
+    key and ctx is open in any.
     """
     w = length - gram(length) + 1
     names = ["key", "ctx", "doc_id", "v", "s", "n", "settled"]
@@ -205,6 +208,7 @@ def segments(named: DataFrame, length: int) -> DataFrame:
         follows = settled[1:] & settled[:-1] & (d[1:] == d[:-1]) & (v[1:] == v[:-1]) & (s[1:] == s[:-1] + n[:-1])
         head = np.flatnonzero(np.append(True, ~follows))
         n = np.add.reduceat(n, head)
+        key, ctx = np.where(settled, -1 - (d & np.int64((1 << 62) - 1)), key), np.where(settled, 0, ctx)
         return pa.RecordBatch.from_arrays([pa.array(x[head]) for x in (key, ctx, d, v, s.astype(np.int32))] + [pa.array(n.astype(np.int32)), pa.array(settled[head])], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -457,9 +461,9 @@ def repeated_passages(docs: DataFrame, min_bytes: int = MIN_BYTES, hot_bucket: i
     runs = segments(texts.hint("merge").join(shared, "doc_id"), length)
     # the filters that later joins would push down are written here, so that all read one exchange
     present = "key is not null and ctx is not null and doc_id is not null"
-    open_ = runs.where(f"not settled and {present}").select("key", "ctx", "doc_id", "v", "s", "n").repartition("key", "ctx")
-    subs = open_.groupBy("key", "ctx").agg(F.min(F.struct("doc_id", "v", "s", "n")).alias("f"))
-    # counting f keeps all columns below, and with them one exchange of the runs
+    runs = runs.where(present).select("key", "ctx", "doc_id", "v", "s", "n", "settled").repartition("key", "ctx")
+    subs = runs.groupBy("key", "ctx").agg(F.min(F.when(~F.col("settled"), F.struct("doc_id", "v", "s", "n"))).alias("f"))
+    # counting f, which settled runs don't have, keeps all columns below, and with them one exchange of the runs
     counts = subs.groupBy("key").agg(F.count("f").alias("subs")).where("subs > 1")
     mixed = subs.hint("merge").join(counts, "key").select("key", "ctx", "subs", "f.doc_id", "f.v", "f.s", "f.n")
 
@@ -470,14 +474,14 @@ def repeated_passages(docs: DataFrame, min_bytes: int = MIN_BYTES, hot_bucket: i
     plain = bytes_of(mixed.where(F.col("subs") <= hot_bucket)).repartition("key").sortWithinPartitions("key")
     hits = plain.mapInArrow(frugal(refine_sorted(length)), "key long, ctx long, hits binary")
     hits = hits.unionByName(_refine_hot(bytes_of(mixed.where(F.col("subs") > hot_bucket)), length))
-    settled = subs.select("key", "ctx", F.col("f.doc_id").alias("m")).hint("merge").join(hits, ["key", "ctx"], "left")
-    found = open_.hint("merge").join(settled, ["key", "ctx"]).where("doc_id > m or hits is not null")
+    judged = subs.select("key", "ctx", F.col("f.doc_id").alias("m")).hint("merge").join(hits, ["key", "ctx"], "left")
+    whole_run = "settled or doc_id > m"
+    found = runs.hint("merge").join(judged, ["key", "ctx"], "left").where(f"{whole_run} or hits is not null")
     whole = (F.col("s").cast("long") * F.lit(1 << 32) + F.col("n")).alias("run")
-    no_run, no_hits = F.lit(None).cast("long").alias("run"), F.lit(None).cast("struct<s:int,hits:binary>").alias("hit")
+    no_hits = F.lit(None).cast("struct<s:int,hits:binary>").alias("hit")
     found = found.select(
-        "doc_id", "v", F.when(F.col("doc_id") > F.col("m"), whole).alias("run"), F.when(F.col("doc_id") == F.col("m"), F.struct("s", "hits")).alias("hit")
+        "doc_id", "v", F.when(F.expr(whole_run), whole).alias("run"), F.when(F.col("doc_id") == F.col("m"), F.struct("s", "hits")).alias("hit")
     )
-    found = found.unionByName(runs.where("settled").select("doc_id", "v", whole, no_hits))
     found = found.unionByName(copies.select("doc_id", "v", (F.col("n_bytes") - length + 1).alias("run"), no_hits))
     one = F.col("v") == 0
     spans = found.groupBy("doc_id").agg(
