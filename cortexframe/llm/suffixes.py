@@ -34,9 +34,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructType
 
 from .common import bounded_batches, documents, frugal, materialize, pack_texts, unpack_texts
 
@@ -117,8 +117,13 @@ def decode_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.cumsum(_unplanes(raw[: 6 * n], 6)), _unplanes(raw[6 * n : 14 * n], 8).astype(np.int64) + base, raw[14 * n :].astype(bool)
 
 
-def _unpacked(z: list[bytes | None]) -> list[np.ndarray]:
-    return [np.frombuffer(x or b"", np.uint8) for x in unpack_texts(z)]
+def _frames(z: pa.Array) -> pa.Array:
+    """The packed texts of a column, beside which rows may be carried."""
+    return z.field(0) if pa.types.is_struct(z.type) else z
+
+
+def _unpacked(z: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x or b"", np.uint8) for x in unpack_texts(_frames(z).to_pylist())]
 
 
 def shared_names(base: DataFrame, length: int, total_bytes: int) -> DataFrame:
@@ -133,7 +138,7 @@ def shared_names(base: DataFrame, length: int, total_bytes: int) -> DataFrame:
     def emit(ids: list[int], texts: list[bytes | None]) -> Iterator[pa.RecordBatch]:
         keys, docs = [], []
         with np.errstate(over="ignore"):
-            for d, data in zip(ids, _unpacked(texts), strict=True):
+            for d, data in zip(ids, _unpacked(pa.array(texts, pa.binary())), strict=True):
                 names = window_names(data, length)
                 if len(names):
                     k = np.unique(names[np.append(True, names[1:] != names[:-1])] >> np.uint64(64 - KEY_BITS))
@@ -159,7 +164,7 @@ def shared_names(base: DataFrame, length: int, total_bytes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, held = [], [], 0
         for batch in batches:
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for d, t in zip(batch.column(0).to_pylist(), _frames(batch.column(1)).to_pylist(), strict=True):
                 ids.append(d), texts.append(t)
                 held += len(t or b"")
                 if held > 2_000_000:
@@ -217,7 +222,7 @@ def segments(named: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                for d, v, data, wanted in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), _unpacked(part.column(2).to_pylist()), part.column(3), strict=True):
+                for d, v, data, wanted in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), _unpacked(part.column(2)), part.column(3), strict=True):
                     if len(data) < length:
                         continue
                     with np.errstate(over="ignore"):
@@ -253,7 +258,7 @@ def contents(wanted: DataFrame, length: int) -> DataFrame:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 rows = []
-                for d, v, data, runs in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), _unpacked(part.column(2).to_pylist()), part.column(3).to_pylist(), strict=True):
+                for d, v, data, runs in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), _unpacked(part.column(2)), part.column(3).to_pylist(), strict=True):
                     raw = data.tobytes()
                     rows += [(r["key"], r["ctx"], d, raw[r["s"] : r["s"] + r["n"] + length - 1]) for r in runs if r["v"] == v and r["s"] + r["n"] + length - 1 <= len(raw)]  # a null text may stand beside
                 cols = list(zip(*rows, strict=True)) or [[]] * 4
@@ -425,12 +430,12 @@ def kept_text(data: np.ndarray, gone: np.ndarray) -> str:
     return data[~np.repeat(whole, np.diff(np.append(start, len(data))))].tobytes().decode("utf-8", "surrogatepass")
 
 
-def repeated_passages(docs: DataFrame, min_bytes: int = MIN_BYTES, hot_bucket: int = 5000, with_text: bool = False, packed: bool = False) -> DataFrame:
+def repeated_passages(docs: DataFrame, min_bytes: int = MIN_BYTES, hot_bucket: int = 5000, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``.
 
-    ``with_text`` adds ``text_sha256`` of the input and ``kept_text``, whose characters are
-    whole: one of which some bytes are covered stays.  With ``packed`` that is ``kept_z``, a
-    Zstandard frame, to be shuffled.  Both are null for a null text.
+    ``with_text`` adds ``kept_text``, whose characters are whole: one of which some bytes are
+    covered stays; null for a null text.  Columns named in ``carry`` go along with the texts
+    and come back in the struct ``row``, so that no join has to bring them to their text again.
 
     Null and empty texts and texts under ``min_bytes`` (8 at least) lose nothing; texts of
     any length are read whole.  Rows with a null doc_id neither remove nor lose anything;
@@ -441,7 +446,9 @@ def repeated_passages(docs: DataFrame, min_bytes: int = MIN_BYTES, hot_bucket: i
     bounded_batches(docs.sparkSession)
     length = min_bytes
     hashed = F.xxhash64("text").alias("h")
-    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    row = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *row)
+    known = docs.where("doc_id is not null")
     sizes = materialize(known.select("doc_id", hashed, F.octet_length("text").cast("long").alias("n_bytes"), F.substring(F.unhex(F.sha2(F.col("text"), 256)), 1, 16).alias("sha")), "suffix-sizes")
     total = sizes.agg(F.sum("n_bytes")).first()[0] or 0
     # texts of a doc_id that has several are told apart by v, a hash; for all others v is 0
@@ -453,7 +460,11 @@ def repeated_passages(docs: DataFrame, min_bytes: int = MIN_BYTES, hot_bucket: i
     copies = sizes.hint("merge").join(firsts, "sha").where("doc_id > first").hint("merge").join(several, "doc_id", "left").select("doc_id", v, "n_bytes")
     copies = materialize(copies, "suffix-copies")
     # one exchange of all texts; the filters keep its plan the same wherever it is read, and all joins are by doc_id alone
-    exchanged = pack_texts(known.select("*", hashed), ["doc_id", "h"]).where("doc_id is not null").repartition("doc_id")
+    # rows carried along are in one struct with the text, which Python alone opens: nothing prunes them below the exchange
+    z = F.struct("z", "row").alias("z") if carry else F.col("z")
+    also = ["row"] if carry else []
+    packed = pack_texts(known.select("*", hashed), ["doc_id", "h", *also]).select("doc_id", "h", z)
+    exchanged = packed.where("doc_id is not null").repartition("doc_id")
     texts = exchanged.hint("merge").join(several, "doc_id", "left").select("doc_id", v, "z")
     # not an anti-join, which would be pushed below the exchange and make it another one
     marked = texts.hint("merge").join(copies.groupBy("doc_id").agg(F.collect_set("v").alias("copied")), "doc_id", "left")
@@ -488,26 +499,25 @@ def repeated_passages(docs: DataFrame, min_bytes: int = MIN_BYTES, hot_bucket: i
         F.collect_list(F.when(one, F.col("run"))).alias("runs"), F.collect_list(F.when(one, F.col("hit"))).alias("hits"), F.collect_list(F.when(~one, F.struct("v", "run", "hit"))).alias("others")
     )
     joined = texts.hint("merge").join(spans, "doc_id", "left").select("doc_id", "v", "z", "runs", "hits", "others")
-    nameless = pack_texts(docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), "text"), ["doc_id"])
+    nameless = pack_texts(docs.where("doc_id is null"), ["doc_id", *also]).select("doc_id", z)
     joined = joined.unionByName(nameless, allowMissingColumns=True)
 
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["text_sha256", "kept_z" if packed else "kept_text"] if with_text else [])]
-
-    def texts_left(t: bytes | None, data: np.ndarray, gone: np.ndarray) -> tuple:
-        if t is None:
-            return None, None
-        sha = hashlib.sha256(data.tobytes()).hexdigest()
-        if packed:
-            return sha, t if not gone.any() else zstandard.compress(kept_text(data, gone).encode("utf-8", "surrogatepass"), 5)
-        return sha, kept_text(data, gone)
+    schema = StructType()
+    for name in ("doc_id", "n_bytes", "n_removed", "n_spans"):
+        schema = schema.add(name, LongType())
+    schema = schema.add("kept_sha256", StringType())
+    if with_text:
+        schema = schema.add("kept_text", StringType())
+    if carry:
+        schema = schema.add("row", docs.schema["row"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                rows = []
-                z = part.column(2).to_pylist()
-                for version, t, data, whole_runs, hit_runs, others in zip(part.column(1).to_pylist(), z, _unpacked(z), part.column(3), part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True):
+                rows, left = [], []
+                packed_ = _frames(part.column(2))
+                for version, known_, data, whole_runs, hit_runs, others in zip(part.column(1).to_pylist(), packed_.is_valid().to_pylist(), _unpacked(packed_), part.column(3), part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True):
                     whole_runs = whole_runs.values
                     if version:
                         own = [x for x in others or () if x["v"] == version]
@@ -515,12 +525,15 @@ def repeated_passages(docs: DataFrame, min_bytes: int = MIN_BYTES, hot_bucket: i
                         hit_runs = [x["hit"] for x in own if x["hit"] is not None]
                     gone = covered(len(data), whole_runs, hit_runs, length)
                     rises = int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum())
-                    rows.append((len(data), int(gone.sum()), rises, hashlib.sha256(data[~gone].tobytes()).hexdigest(), *(texts_left(t, data, gone) if with_text else ())))
-                kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.binary() if packed else pa.string()]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False))], names=names)
-
-    kinds = ["long"] * 4 + ["string"] * 2 + ["binary" if packed else "string"]
-    return joined.mapInArrow(frugal(run), ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=False)))
+                    rows.append((len(data), int(gone.sum()), rises, hashlib.sha256(data[~gone].tobytes()).hexdigest()))
+                    if with_text:
+                        left.append(kept_text(data, gone) if known_ else None)
+                columns = [part.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int64()] * 3 + [pa.string()], strict=True))]
+                columns += [pa.array(left, pa.string())] if with_text else []
+                columns += [part.column(2).field(1)] if carry else []
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return joined.mapInArrow(frugal(run), schema)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -301,3 +301,32 @@ def test_vectors_odd_inputs(spark):
         1: (0, 1, True), 2: (0, 2, True), 3: (0, 3, True), 4: (0, 4, True), 5: (0, 5, True), 6: (0, 6, True), 7: (3, 7, True), 8: (3, 7, False), 9: (3, 7, False), 10: (0, 10, True), None: (0, None, True)
     }
     assert neardup_vectors.near_duplicate_vectors(frame.limit(0)).count() == 0
+
+
+def test_passages_of_a_whole_table(spark):
+    """Many blocks of runs, dealt by adaptive plans: all bytes of 20 MB of texts against brute force, with columns carried along."""
+    docs = spark.read.parquet(f"{DATA.replace('sf0.01', 'sf0.1')}/documents.parquet").select("doc_id", "text", "source")
+    again = docs.where("doc_id % 50 = 0").withColumn("doc_id", suffixes.F.col("doc_id") - 7).withColumn("source", suffixes.F.lit("again"))
+    docs = docs.unionByName(again)
+    rows = docs.collect()
+    texts = [np.frombuffer((r["text"] or "").encode(), np.uint8) for r in rows]
+    names = []
+    with np.errstate(over="ignore"):
+        for data in texts:
+            start = np.arange(max(0, len(data) - 49))
+            names.append(suffixes.range_hash(suffixes.prefix_sums(data), start, start + 50))
+    who = np.repeat([r["doc_id"] for r in rows], [len(n) for n in names])
+    every = np.concatenate(names)
+    order = np.lexsort((who, every))
+    first = np.flatnonzero(np.append(True, every[order][1:] != every[order][:-1]))
+    known, least = every[order][first], who[order][first]
+    want = []
+    for r, data, own in zip(rows, texts, names, strict=True):
+        edge = np.zeros(len(data) + 51, np.int64)
+        at = np.flatnonzero(least[np.searchsorted(known, own)] < r["doc_id"])
+        edge[at] += 1
+        edge[at + 50] -= 1
+        gone = np.cumsum(edge)[: len(data)] > 0
+        want.append((r["doc_id"], r["source"], len(data), int(gone.sum()), hashlib.sha256(data[~gone].tobytes()).hexdigest()))
+    got = suffixes.repeated_passages(docs, carry=("source",)).select("doc_id", "row.source", "n_bytes", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
