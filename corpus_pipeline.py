@@ -8,14 +8,11 @@ them again, so a lost executor costs the stage it was working on.
 
 from __future__ import annotations
 
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from cortexframe.llm import minhash, mixing, packing, suffixes, toxicity
-from cortexframe.llm.common import documents, frugal, materialize, unpack_texts
+from cortexframe.llm.common import documents, materialize
 
 TOXIC = 0.3
 
@@ -37,29 +34,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that a smaller doc_id has; documents of which nothing is left go."""
-    found = suffixes.repeated_passages(docs.select("doc_id", "text"), with_text=True, packed=True)
-    found = found.select(F.col("doc_id").alias("_id"), F.unhex(F.coalesce("text_sha256", F.lit(""))).alias("_sha"), "n_removed", "kept_z").dropDuplicates(["_id", "_sha"])
-    rest = [c for c in docs.columns if c != "text"]
-    # texts come back from the operator; only the other columns are brought to them
-    named = docs.select(*[f"`{c}`" for c in rest], F.unhex(F.coalesce(F.sha2("text", 256), F.lit(""))).alias("_own"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha"))
-    joined = named.hint("merge").join(found, same).select(*[f"`{c}`" for c in rest], "n_removed", "kept_z")
-    sized = rest.index("n_chars") if "n_chars" in rest else None
-
-    def unpack(batches):
-        for batch in batches:
-            cut = pc.greater(batch.column(len(rest)), 0)
-            raw = unpack_texts(batch.column(len(rest) + 1).to_pylist())
-            texts = [None if t is None else t.decode("utf-8", "surrogatepass") for t in raw]
-            columns = list(batch.columns[: len(rest)])
-            if sized is not None:
-                lengths = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(columns[sized].type)
-                columns[sized] = pc.if_else(cut, lengths, columns[sized])
-            stay = [not c or bool(t.strip(" ")) for c, t in zip(cut.to_pylist(), texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], names=[*rest, "text"]).filter(pa.array(stay, pa.bool_()))
-
-    schema = StructType([*(docs.schema[c] for c in rest), docs.schema["text"]])
-    return joined.mapInArrow(frugal(unpack), schema).select(*[f"`{c}`" for c in docs.columns])
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    left = suffixes.repeated_passages(docs, with_text=True, carry=tuple(rest))
+    cut = F.col("n_removed") > 0
+    of = {c: F.col("row").getField(c) for c in rest}
+    of |= {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("kept_text")}
+    if "n_chars" in of:
+        of["n_chars"] = F.when(cut, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(of["n_chars"])
+    stays = ~cut | (F.trim("kept_text") != "")
+    return left.where(stays).select(*[of[c].alias(c) for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
