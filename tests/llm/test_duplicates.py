@@ -305,7 +305,7 @@ def test_vectors_odd_inputs(spark):
 
 def test_passages_of_a_whole_table(spark):
     """Many blocks of runs, dealt by adaptive plans: all bytes of 20 MB of texts against brute force, with columns carried along."""
-    docs = spark.read.parquet(f"{DATA.replace('sf0.01', 'sf0.1')}/documents.parquet").select("doc_id", "text", "source")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "source")
     again = docs.where("doc_id % 50 = 0").withColumn("doc_id", suffixes.F.col("doc_id") - 7).withColumn("source", suffixes.F.lit("again"))
     docs = docs.unionByName(again)
     rows = docs.collect()
