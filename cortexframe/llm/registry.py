@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import htmltext, langid, media, minhash, mixing, neardup_vectors, packing, perplexity, suffixes, toxicity
+from . import collocations, htmltext, langid, media, minhash, mixing, neardup_vectors, packing, perplexity, pii, resampling, suffixes, toxicity
 
 
 def queries() -> dict:
@@ -17,8 +17,15 @@ def queries() -> dict:
         "op8_order_minhash": minhash.op8_order_minhash,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
         "op10_kneser_ney": perplexity.op10_kneser_ney,
+        "op11_collocations": collocations.op11_collocations,
+        "op12_target_resampling": resampling.op12_target_resampling,
+        "op13_personal_data": pii.op13_personal_data,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op11_collocations": collocations.SQL,
+        "op12_target_resampling": resampling.SQL,
+        "op13_personal_data": pii.SQL,
+    }
