@@ -213,19 +213,80 @@ def filtfilt(sections: list[Section], x: np.ndarray) -> np.ndarray:
     return y[pad : pad + len(x)]
 
 
+def top_eigenvalues(diag: np.ndarray, off: np.ndarray, k: int, points: int = 64) -> np.ndarray:
+    """The ``k`` largest eigenvalues of a symmetric tridiagonal matrix, largest first.
+
+    Each eigenvalue's interval is cut at ``points`` places at once; the signs of the pivots
+    of ``T - x`` count the eigenvalues below each place.
+    """
+    n, squares = len(diag), np.concatenate([[0.0], off**2])
+    reach = np.concatenate([np.abs(off), [0.0]]) + np.concatenate([[0.0], np.abs(off)])
+    low, high = np.full(k, (diag - reach).min()), np.full(k, (diag + reach).max())
+    tiny = np.finfo(float).tiny / np.finfo(float).eps * max(1.0, squares.max())
+    wanted = n - np.arange(k)  # so many are below or at it
+    while ((high - low) > 4 * np.finfo(float).eps * np.maximum(np.abs(low), np.abs(high))).any():
+        at = low[:, None] + (high - low)[:, None] * np.arange(1, points + 1) / (points + 1)
+        pivot, below = np.ones_like(at), np.zeros(at.shape, np.int64)
+        for d, s in zip(diag, squares, strict=True):
+            pivot = d - at - s / pivot
+            pivot[np.abs(pivot) < tiny] = -tiny
+            below += pivot < 0
+        over = below >= wanted[:, None]
+        first = np.where(over.any(1), over.argmax(1), points)
+        row = np.arange(k)
+        new_high = np.where(first < points, at[row, np.minimum(first, points - 1)], high)
+        new_low = np.where(first > 0, at[row, np.maximum(first - 1, 0)], low)
+        if (new_high - new_low >= high - low).all():
+            break
+        low, high = new_low, new_high
+    return (low + high) / 2
+
+
+def _solve_tridiagonal(diag: np.ndarray, off: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Solution of a symmetric tridiagonal system by elimination with row exchanges; a pivot of 0 becomes tiny."""
+    n = len(diag)
+    d, up, up2, y = diag.tolist(), [*off.tolist(), 0.0], [0.0] * n, x.tolist()
+    down = off.tolist()
+    tiny = np.finfo(float).eps * float(np.abs(diag).max() or 1.0)
+    for i in range(n - 1):
+        if abs(d[i]) >= abs(down[i]):
+            m = down[i] / d[i] if d[i] else 0.0
+            d[i + 1] -= m * up[i]
+            y[i + 1] -= m * y[i]
+        else:
+            m = d[i] / down[i]
+            d[i], up[i], d[i + 1], up[i + 1], up2[i] = down[i], d[i + 1], up[i] - m * d[i + 1], -m * up[i + 1], up[i + 1]
+            y[i], y[i + 1] = y[i + 1], y[i] - m * y[i + 1]
+    for i in range(n - 1, -1, -1):
+        rest = (up[i] * y[i + 1] if i + 1 < n else 0.0) + (up2[i] * y[i + 2] if i + 2 < n else 0.0)
+        y[i] = (y[i] - rest) / (d[i] if abs(d[i]) > tiny else tiny)
+    return np.array(y)
+
+
 def dpss(n: int, nw: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """``k`` Slepian tapers (rows, unit energy, first value positive) and their concentrations."""
+    """``k`` Slepian tapers (rows, unit energy, first value positive) and their concentrations.
+
+    Eigenvalues by bisection, tapers by inverse iteration, concentrations from the tapers'
+    correlations: memory and time grow with ``n * k``.
+    """
     i = np.arange(n)
-    w = nw / n
+    w, k = nw / n, min(k, n)
     diag = ((n - 1 - 2 * i) / 2.0) ** 2 * np.cos(2 * np.pi * w)
     off = i[1:] * (n - i[1:]) / 2.0
-    _, vectors = np.linalg.eigh(np.diag(diag) + np.diag(off, 1) + np.diag(off, -1))
-    v = vectors[:, ::-1][:, :k].T
+    v = np.zeros((k, n))
+    for j, value in enumerate(top_eigenvalues(diag, off, k)):
+        # tapers are even and odd by turns; a start of the right symmetry has no part of the neighbours
+        x = np.cos(np.pi * j * (i + 0.5) / n)
+        for _ in range(3):
+            x = _solve_tridiagonal(diag - value, off, x / np.linalg.norm(x))
+            x = (x + (-1) ** j * x[::-1]) / 2
+            x -= v[:j].T @ (v[:j] @ x)
+        v[j] = x / np.linalg.norm(x)
     v = v * np.where(v[:, :1] < 0, -1, 1)
-    lag = np.subtract.outer(i, i)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        kernel = np.where(lag == 0, 2 * w, np.sin(2 * np.pi * w * lag) / (np.pi * np.where(lag == 0, 1, lag)))
-    return v, np.minimum(1.0, np.einsum("ij,jk,ik->i", v, kernel, v))
+    size = fast_length(2 * n)
+    lags = np.fft.irfft(np.abs(np.fft.rfft(v, size)) ** 2, size)[:, :n]
+    kernel = np.concatenate([[2 * w], 2 * np.sin(2 * np.pi * w * i[1:]) / (np.pi * i[1:])])
+    return v, np.minimum(1.0, lags @ kernel)
 
 
 def median_bias(n: int) -> float:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,42 +64,59 @@ def fir_filter(signal: DataFrame, taps: np.ndarray, channels: list[str] | None =
 
 
 def _in_blocks(picked: DataFrame, taps: np.ndarray, zero_phase: bool, block: int) -> DataFrame:
-    """Samples go to their block and to the neighbours whose outputs they reach."""
+    """Samples go to their block, those at its edges also to the neighbours whose outputs they reach.
+
+    A block that lacks samples on one side is at that end of its channel, so no length has to be looked up.
+    """
     n = len(taps)
     half = (n - 1) // 2
     before, after = (half, half) if zero_phase else (n - 1, 0)
     if block < max(before, after) + 1:
         raise ValueError("a block must be longer than the kernel's reach")
-    at = F.floor((F.col("sample_idx") - 1) / F.lit(block))
-    low, high = F.floor((F.col("sample_idx") - 1 - after) / F.lit(block)), F.floor((F.col("sample_idx") - 1 + before) / F.lit(block))
-    ends = picked.groupBy("recording_id", "ch_idx").agg(F.max("sample_idx").alias("_n"))
-    dealt = picked.join(ends, ["recording_id", "ch_idx"]).withColumn("_own", at).withColumn("_block", F.explode(F.sequence(F.greatest(low, F.lit(0)), high)))
-    dealt = dealt.where(F.col("_block") * block < F.col("_n"))
-
-    names = list(picked.columns)
-
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("sample_idx")
-        idx, x, size = part["sample_idx"].to_numpy(), part["value"].to_numpy(np.float64), int(part["_n"].iloc[0])
-        first = int(part["_block"].iloc[0]) * block + 1
-        last = min(first + block - 1, size)
+    zero = F.col("sample_idx") - 1
+    low, high = F.greatest(F.floor((zero - after) / F.lit(block)), F.lit(0)), F.floor((zero + before) / F.lit(block))
+    dealt = picked.withColumn("_block", F.explode(F.sequence(low, high)))
+    keys = ["recording_id", "ch_idx", "channel"]
+    sample = F.struct(F.col("sample_idx").cast("long").alias("i"), F.col("t").cast("double").alias("t"), F.col("value").cast("double").alias("v"))
+    gathered = dealt.groupBy(*keys, "_block").agg(F.collect_list(sample).alias("x"))
+
+    def filtered(first: int, idx: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Outputs from sample ``first`` on, of samples ``idx`` in order."""
+        last, size = min(first + block - 1, int(idx[-1])), int(idx[-1])
         wanted = np.arange(first - before, last + after + 1)
         edge = max(min(n, size) - 1, 0)
-        inside = np.clip(wanted, idx[0], idx[-1]) - idx[0]
-        y = x[inside]
+        y = x[np.clip(wanted, idx[0], size) - idx[0]]
         for side, end in ((wanted < 1, 1), (wanted > size, size)):
             if side.any():
                 mirror = 2 * end - wanted[side]
                 ok = (np.abs(end - wanted[side]) <= edge) & (mirror >= 1) & (mirror <= size)
-                reach = ok & (mirror >= idx[0]) & (mirror <= idx[-1])
-                y[side] = np.where(ok, 2 * x[end - idx[0]] - x[np.clip(mirror - idx[0], 0, len(x) - 1)], 0.0)
-                if (ok & ~reach).any():
+                if (ok & (mirror < idx[0])).any():
                     raise ValueError("a block lacks samples that its edge reflects")
-        out = kernels.convolve_valid(y, taps)
-        own = part[part["_own"] == part["_block"]]
-        return own.assign(value=out[own["sample_idx"].to_numpy() - first])[names]
-
-    return dealt.groupBy("recording_id", "ch_idx", "_block").applyInPandas(one, picked.schema)
+                y[side] = np.where(ok, 2 * x[end - idx[0]] - x[np.clip(mirror - idx[0], 0, len(x) - 1)], 0.0)
+        return kernels.convolve_valid(y, taps)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(4)
+            cuts, flat = lists.offsets.to_numpy(), lists.values
+            idx, t, x = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            sizes, outs = [], []
+            for b, low, high in zip(batch.column(3).to_pylist(), cuts[:-1], cuts[1:], strict=True):
+                order = np.argsort(idx[low:high])
+                i, first = idx[low:high][order], b * block + 1
+                own = (i >= first) & (i < first + block)
+                if own.any():  # else the channel ends before the block
+                    y = filtered(first, i, x[low:high][order].astype(np.float64))
+                    outs.append((i[own], t[low:high][order][own], y[i[own] - first]))
+                sizes.append(int(own.sum()))
+            i, t, y = (np.concatenate(c) for c in zip(*outs, strict=True)) if outs else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+            rows = pa.StructArray.from_arrays([pa.array(i), pa.array(t), pa.array(y)], names=["sample_idx", "t", "value"])
+            done = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], done], names=[*keys, "y"])
+
+    kinds = [f"{k} {picked.schema[k].dataType.simpleString()}" for k in keys]
+    done = gathered.select(*keys, "_block", "x").mapInArrow(run, ", ".join(kinds) + ", y array<struct<sample_idx:bigint,t:double,value:double>>")
+    return done.select(*keys, F.inline("y")).select(*[F.col(c).cast(picked.schema[c].dataType) for c in picked.columns])
 
 
 def bandpass(

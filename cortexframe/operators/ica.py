@@ -12,7 +12,8 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -74,12 +75,50 @@ def pre_whitener(signal: DataFrame, channels: DataFrame) -> DataFrame:
     return typed.groupBy("recording_id", "channel_type").agg(F.stddev_pop("value").alias("sd"))
 
 
-def covariance(signal: DataFrame) -> DataFrame:
-    """``recording_id, ch_a, ch_b, cov`` of all channel pairs (a <= b), from samples gathered as rows of channels."""
-    # a sample has one value a channel: the pairs are as many as channels squared, not rows
-    rows = signal.groupBy("recording_id", "sample_idx").agg(F.sort_array(F.collect_list(F.struct("ch_idx", "value"))).alias("x"))
-    pairs = rows.select("recording_id", F.explode("x").alias("a"), "x").select("recording_id", "a", F.explode("x").alias("b")).where("a.ch_idx <= b.ch_idx")
-    return pairs.groupBy("recording_id", F.col("a.ch_idx").alias("ch_a"), F.col("b.ch_idx").alias("ch_b")).agg(F.covar_samp("a.value", "b.value").alias("cov"))
+#: samples whose channels meet in one matrix
+COV_BLOCK = 4_096
+
+
+def covariance(signal: DataFrame, block: int = COV_BLOCK) -> DataFrame:
+    """``recording_id, ch_a, ch_b, cov`` of all channel pairs (a <= b) over the samples that have both.
+
+    Blocks of samples are gathered once as matrices; each gives the pairs' counts, sums and
+    centred products, and only these, channels squared a block, are added up.
+    """
+    values = signal.where("value is not null").groupBy("recording_id", F.floor(F.col("sample_idx") / F.lit(block)).alias("_block"))
+    gathered = values.agg(F.collect_list(F.struct(F.col("ch_idx").cast("int").alias("c"), F.col("sample_idx").cast("long").alias("i"), F.col("value").cast("double").alias("v"))).alias("x"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            cuts, flat = lists.offsets.to_numpy(), lists.values
+            every = [flat.field(k).to_numpy(zero_copy_only=False) for k in range(3)]
+            ids, out = [], []
+            for row, (low, high) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                c, i, v = (x[low:high] for x in every)
+                chans, at_c = np.unique(c, return_inverse=True)
+                samples, at_i = np.unique(i, return_inverse=True)
+                m, have = np.zeros((len(chans), len(samples))), np.zeros((len(chans), len(samples)))
+                m[at_c, at_i], have[at_c, at_i] = v, 1.0
+                middle = m.sum(1, keepdims=True) / have.sum(1, keepdims=True)
+                m = (m - middle) * have  # near 0, so that products don't cancel
+                n, own, both = have @ have.T, m @ have.T, m @ m.T
+                a, b = np.triu_indices(len(chans))
+                k = n[a, b] > 0
+                a, b = a[k], b[k]
+                ids.append(np.full(len(a), row))
+                count, of_a, of_b = n[a, b], own[a, b], own[b, a]
+                out.append((chans[a], chans[b], count, of_a + count * middle[a, 0], of_b + count * middle[b, 0], both[a, b] - of_a * of_b / count))
+            if out:
+                cols = [np.concatenate(x) for x in zip(*out, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(ids))), *[pa.array(x) for x in cols]], names=["recording_id", "ch_a", "ch_b", "n", "a", "b", "ab"])
+
+    parts = gathered.select("recording_id", "x").mapInArrow(run, f"recording_id {signal.schema['recording_id'].dataType.simpleString()}, ch_a int, ch_b int, n double, a double, b double, ab double")
+    # deviations from the means over all blocks, which share the grouping's exchange; sums of large products would cancel
+    pair = Window.partitionBy("recording_id", "ch_a", "ch_b")
+    off = lambda c: F.col(c) / F.col("n") - F.sum(c).over(pair) / F.sum("n").over(pair)
+    centred = parts.withColumn("product", F.col("ab") + F.col("n") * off("a") * off("b"))
+    return centred.groupBy("recording_id", "ch_a", "ch_b").agg(F.when(F.sum("n") > 1, F.sum("product") / (F.sum("n") - 1)).alias("cov"))
 
 
 def sample_vectors(signal: DataFrame, channels: list[str]) -> DataFrame:

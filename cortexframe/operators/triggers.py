@@ -16,18 +16,28 @@ def _in_order():
     return Window.partitionBy("recording_id").orderBy("event_seq")
 
 
-def decode_triggers(status: DataFrame, sampling_rate: float | None = None) -> DataFrame:
+#: samples of a block of the status line
+STATUS_BLOCK = 65_536
+
+
+def decode_triggers(status: DataFrame, sampling_rate: float | None = None, block: int = STATUS_BLOCK) -> DataFrame:
     """Events of ``status(recording_id, sample_idx, raw)``: where the low 16 bits change to something not zero.
 
     Without a ``sampling_rate`` each recording's own is read from the column of that name.
 
-    A code that is on at the first sample is no change and gives no event.
+    A code that is on at the first sample is no change and gives no event.  Each block of
+    ``block`` samples is looked through by itself and leaves its first and last sample and
+    those whose code changes; only these meet by recording, where changes at the seams
+    show too, so a recording of any length spreads over tasks.
     """
     order = Window.partitionBy("recording_id").orderBy("sample_idx")
+    inner = Window.partitionBy("recording_id", "_block").orderBy("sample_idx")
     code = F.col("raw").cast("int").bitwiseAND(TRIGGER_BITS)
     rate = F.col("sampling_rate") if sampling_rate is None else F.lit(float(sampling_rate))
-    coded = status.select("recording_id", "sample_idx", code.alias("type"), rate.alias("_rate"))
-    changed = coded.withColumn("before", F.lag("type").over(order)).where("type <> 0 and before is not null and type <> before")
+    coded = status.select("recording_id", "sample_idx", code.alias("type"), rate.alias("_rate"), F.floor(F.col("sample_idx") / F.lit(block)).alias("_block"))
+    near = coded.withColumn("before", F.lag("type").over(inner)).withColumn("after", F.lead("type").over(inner))
+    told = near.where("before is null or after is null or type <> before").select("recording_id", "sample_idx", "type", "_rate")
+    changed = told.withColumn("before", F.lag("type").over(order)).where("type <> 0 and before is not null and type <> before")
     return changed.select(
         "recording_id",
         F.row_number().over(order).cast("long").alias("event_seq"),

@@ -15,11 +15,15 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from ..functions.bdf_format import digital_to_physical, parse_header, unpack_int24
 
 PARTITION_BYTES = 32 << 20
+SAMPLES = "recording_id string, ch_idx int, channel string, sampling_rate double, sample_idx bigint, t double, value double"
+PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
+#: channels are read one by one where they are less than this share of a record
+SPARSE = 0.25
 SIGNAL_BLOCKS = "recording_id string, record_no bigint, ch_idx int, channel string, sampling_rate double, first_sample bigint, values array<double>"
 HEADER = (
     "recording_id string, ch_idx int, channel string, transducer string, unit string, physical_min double, physical_max double, digital_min double, digital_max double, "
@@ -111,39 +115,124 @@ class BdfReader(DataSourceReader):
             out += [Range(path, k, parts) for k in range(parts)]
         return out
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
-        """A batch for each ``chunk_records`` records; samples that a cut file lacks are null.
+    def wanted(self, head: dict) -> tuple[list[int], int]:
+        """Places of the channels to read, and of the status line."""
+        listed = head["channel_list"]
+        at_status = status_index([c["label"] for c in listed])
+        if self.status:
+            return [at_status], at_status
+        return [i for i, c in enumerate(listed) if self.channels is None or c["label"] in self.channels], at_status
+
+    def blocks(self, path: str, head: dict, first: int, stop: int, wanted: list[int], at_status: int) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+        """``record, records, channel, values, missing`` for each ``chunk_records`` records and wanted channel; samples that a cut file lacks are missing.
 
         The status line is read with its bits, not scaled, whether or not it is named so.
         """
-        head = read_header(part.path)
-        first, stop = (head["records"] * k // part.parts for k in (part.part, part.part + 1))
         listed = head["channel_list"]
-        at_status = status_index([c["label"] for c in listed])
-        wanted = [i for i, c in enumerate(listed) if i == at_status] if self.status else [i for i, c in enumerate(listed) if self.channels is None or c["label"] in self.channels]
         starts = np.cumsum([0, *(c["samples"] for c in listed)])
-        filesystem, inner = _open(part.path)
+        few = sum(listed[i]["samples"] for i in wanted) < SPARSE * starts[-1]
+        filesystem, inner = _open(path)
         with filesystem.open_input_file(inner) as f:
             for a in range(first, stop, self.chunk):
                 n = min(self.chunk, stop - a)
-                f.seek(head["header_bytes"] + a * head["record_bytes"])
-                digital = unpack_int24(f.read(n * head["record_bytes"]))
-                have = len(digital)
-                grid = np.zeros(n * starts[-1], np.int32)
-                grid[:have] = digital
-                grid = grid.reshape(n, -1)
-                missing = (np.arange(grid.size) >= have).reshape(grid.shape)
+                at = head["header_bytes"] + a * head["record_bytes"]
+                grid, missing = np.zeros((n, starts[-1]), np.int32), np.ones((n, starts[-1]), bool)
+                if few:
+                    for r in range(n):
+                        for i in wanted:
+                            own = unpack_int24(_read_at(f, at + r * head["record_bytes"] + 3 * int(starts[i]), 3 * listed[i]["samples"]))
+                            grid[r, starts[i] : starts[i] + len(own)], missing[r, starts[i] : starts[i] + len(own)] = own, False
+                else:
+                    digital = unpack_int24(_read_at(f, at, n * head["record_bytes"]))
+                    grid.ravel()[: len(digital)], missing.ravel()[: len(digital)] = digital, False
                 for i in wanted:
                     c = listed[i]
                     own = grid[:, starts[i] : starts[i + 1]].astype(np.float64)
                     own = own if i == at_status else digital_to_physical(own, c["digital_min"], c["physical_min"], c["physical_max"])
-                    values = pa.array(own.ravel(), mask=missing[:, starts[i] : starts[i + 1]].ravel())
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * c["samples"], pa.int32()), values)
-                    fixed = (recording_name(part.path), i + 1, c["label"], c["samples"] / head["duration"])
-                    name, index, label, rate = (pa.repeat(pa.scalar(v, t), n) for v, t in zip(fixed, (pa.string(), pa.int32(), pa.string(), pa.float64()), strict=True))
-                    record = np.arange(a, a + n)
-                    cols = [name, pa.array(record), index, label, rate, pa.array(record * c["samples"] + 1), lists]
-                    yield pa.RecordBatch.from_arrays(cols, names=["recording_id", "record_no", "ch_idx", "channel", "sampling_rate", "first_sample", "values"])
+                    yield a, n, i, own.ravel(), missing[:, starts[i] : starts[i + 1]].ravel()
+
+    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+        """A batch for each ``chunk_records`` records and channel."""
+        head = read_header(part.path)
+        first, stop = (head["records"] * k // part.parts for k in (part.part, part.part + 1))
+        for a, n, i, own, missing in self.blocks(part.path, head, first, stop, *self.wanted(head)):
+            c = head["channel_list"][i]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * c["samples"], pa.int32()), pa.array(own, mask=missing))
+            fixed = (recording_name(part.path), i + 1, c["label"], c["samples"] / head["duration"])
+            name, index, label, rate = (pa.repeat(pa.scalar(v, t), n) for v, t in zip(fixed, (pa.string(), pa.int32(), pa.string(), pa.float64()), strict=True))
+            record = np.arange(a, a + n)
+            cols = [name, pa.array(record), index, label, rate, pa.array(record * c["samples"] + 1), lists]
+            yield pa.RecordBatch.from_arrays(cols, names=["recording_id", "record_no", "ch_idx", "channel", "sampling_rate", "first_sample", "values"])
+
+
+def _read_at(f, offset: int, size: int) -> bytes:
+    f.seek(offset)
+    return f.read(size)
+
+
+class BdfSampleSource(DataSource):
+    """``format("bdf_samples")``: a row a sample, with the options of ``bdf``.
+
+    Comparisons of ``channel`` and ``recording_id`` with values, and of ``sample_idx`` with
+    bounds, reach the reader: files, channels and records that can't match aren't read.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "bdf_samples"
+
+    def schema(self) -> str:
+        return SAMPLES
+
+    def reader(self, schema) -> DataSourceReader:
+        return BdfSampleReader(self.options)
+
+
+class BdfSampleReader(BdfReader):
+    def __init__(self, options):
+        super().__init__(options)
+        self.sets: dict[str, set] = {}
+        self.low, self.high = 1, None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        for f in filters:
+            name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            if name in ("channel", "recording_id") and isinstance(f, EqualTo | In):
+                values = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.sets[name] = self.sets.get(name, values) & values
+            elif name == "sample_idx" and isinstance(f, EqualTo | GreaterThan | GreaterThanOrEqual | LessThan | LessThanOrEqual):
+                if isinstance(f, EqualTo | GreaterThan | GreaterThanOrEqual):
+                    self.low = max(self.low, f.value + isinstance(f, GreaterThan))
+                if isinstance(f, EqualTo | LessThan | LessThanOrEqual):
+                    top = f.value - isinstance(f, LessThan)
+                    self.high = top if self.high is None else min(self.high, top)
+            else:
+                yield f
+
+    def partitions(self) -> list[Range]:
+        named = self.sets.get("recording_id")
+        return [p for p in super().partitions() if named is None or recording_name(p.path) in named]
+
+    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+        """A batch for each ``chunk_records`` records and channel, of the samples asked for."""
+        head = read_header(part.path)
+        listed, named = head["channel_list"], self.sets.get("channel")
+        wanted, at_status = self.wanted(head)
+        wanted = [i for i in wanted if named is None or listed[i]["label"] in named]
+        if not wanted:
+            return
+        first, stop = (head["records"] * k // part.parts for k in (part.part, part.part + 1))
+        first = max(first, min((self.low - 1) // listed[i]["samples"] for i in wanted))
+        if self.high is not None:
+            stop = min(stop, max((self.high - 1) // listed[i]["samples"] for i in wanted) + 1)
+        for a, _, i, own, missing in self.blocks(part.path, head, first, stop, wanted, at_status):
+            c = listed[i]
+            idx = a * c["samples"] + 1 + np.arange(len(own))
+            keep = (idx >= self.low) & (idx <= (self.high if self.high is not None else idx[-1]))
+            idx, values, rate = idx[keep], pa.array(own[keep], mask=missing[keep]), c["samples"] / head["duration"]
+            fixed = ((recording_name(part.path), pa.string()), (i + 1, pa.int32()), (c["label"], pa.string()), (rate, pa.float64()))
+            cols = [*[pa.repeat(pa.scalar(v, t), len(idx)) for v, t in fixed], pa.array(idx), pa.array((idx - 1) / rate), values]
+            yield pa.RecordBatch.from_arrays(cols, names=["recording_id", "ch_idx", "channel", "sampling_rate", "sample_idx", "t", "value"])
 
 
 class BdfHeaderSource(DataSource):
@@ -177,22 +266,30 @@ class BdfHeaderReader(DataSourceReader):
 
 
 def register(spark: SparkSession) -> None:
+    """The formats ``bdf``, ``bdf_samples`` and ``bdf_header``.
+
+    Filters reach sources written in Python only where the session allows it, which this
+    turns on; no other kind of source is touched by it.
+    """
+    if spark.conf.get(PUSHDOWN, "false") != "true":
+        spark.conf.set(PUSHDOWN, "true")
     spark.dataSource.register(BdfSource)
+    spark.dataSource.register(BdfSampleSource)
     spark.dataSource.register(BdfHeaderSource)
 
 
 def read_bdf(spark: SparkSession, path: str, channels: list[str] | None = None, chunk_records: int = 100, status: bool = False) -> DataFrame:
     """The signal table of a file or a directory of files; each channel keeps its own rate.
 
+    Filters of ``channel``, ``recording_id`` and ``sample_idx`` on it reach the files.
+
     ``status`` reads only each file's status line; it is found in the header, so it
     does not matter which channels are asked for.
     """
     register(spark)
-    reader = spark.read.format("bdf").option("path", path).option("chunk_records", chunk_records).option("status", str(status).lower())
-    blocks = (reader.option("channels", json.dumps(channels)) if channels is not None else reader).load()
-    laid = blocks.select("recording_id", "ch_idx", "channel", "sampling_rate", "first_sample", F.posexplode("values").alias("_i", "value"))
-    idx = F.col("first_sample") + F.col("_i")
-    return laid.select("recording_id", "ch_idx", "channel", idx.alias("sample_idx"), ((idx - 1) / F.col("sampling_rate")).alias("t"), "value")
+    reader = spark.read.format("bdf_samples").option("path", path).option("chunk_records", chunk_records).option("status", str(status).lower())
+    samples = (reader.option("channels", json.dumps(channels)) if channels is not None else reader).load()
+    return samples.select("recording_id", "ch_idx", "channel", "sample_idx", "t", "value")
 
 
 def read_status(spark: SparkSession, path: str) -> DataFrame:

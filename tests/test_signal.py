@@ -434,3 +434,132 @@ def test_stream_decodes_across_batches(spark, tmp_path):
     q = decode_stream(files, 1.0).writeStream.format("memory").queryName("decoded").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {r["type"] for r in spark.table("decoded").collect()} <= {10, 20, 30} and spark.table("decoded").count() == 3
+
+
+def write_bdf(path, labels, values, per_record):
+    records = [list(values[:, a : a + per_record]) for a in range(0, values.shape[1], per_record)]
+    path.write_bytes(bdf_format.build_file(labels, records, [per_record] * len(labels)))
+    return path
+
+
+def pushed_reader(path, *filters):
+    from cortexframe.sources import bdf
+
+    reader = bdf.BdfSampleReader({"path": str(path), "chunk_records": "4"})
+    return reader, list(reader.pushFilters(list(filters)))
+
+
+def test_filters_reach_the_recording_file(spark, tmp_path, monkeypatch):
+    """Fewer bytes are read for one channel and a range of samples, and the rows are the same."""
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, IsNotNull, LessThan
+
+    from cortexframe.sources import bdf
+
+    rng = np.random.default_rng(0)
+    labels = ["Fz", "Cz", "Pz", "Oz", "C3", "C4", "Status"]
+    path = write_bdf(tmp_path / "r.bdf", labels, rng.integers(-1000, 1000, (len(labels), 40 * 16)), 16)
+    write_bdf(tmp_path / "other.bdf", labels, rng.integers(-1000, 1000, (len(labels), 40 * 16)), 16)
+    read = []
+    plain = bdf._read_at
+    monkeypatch.setattr(bdf, "_read_at", lambda f, offset, size: read.append(size) or plain(f, offset, size))
+
+    def rows(*filters):
+        reader, left = pushed_reader(path, *filters)
+        read.clear()
+        out = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+        return out, sum(read), left
+
+    whole, all_bytes, _ = rows()
+    chosen, some_bytes, left = rows(EqualTo(("channel",), "Cz"), GreaterThanOrEqual(("sample_idx",), 100), LessThan(("sample_idx",), 200), IsNotNull(("value",)))
+    assert chosen == [r for r in whole if r["channel"] == "Cz" and 100 <= r["sample_idx"] < 200] and len(chosen) == 100
+    assert some_bytes * 30 < all_bytes and [type(f) for f in left] == [IsNotNull]
+    assert rows(EqualTo(("channel",), "none"))[:2] == ([], 0)
+    frame = bdf.read_bdf(spark, str(tmp_path)).where("channel = 'Cz' and recording_id = 'r' and sample_idx between 100 and 199")
+    assert sorted(r["value"] for r in frame.collect()) == sorted(r["value"] for r in chosen)
+
+
+def test_long_channels_in_chunks_of_segments(spark):
+    """Means and medians over chunks equal those of whole traces; also with values missing."""
+    n = 20_000
+    x = np.random.default_rng(4).normal(size=n)
+    rows = spark.range(n).select(F.lit("r").alias("recording_id"), (F.col("id") + 501).alias("sample_idx"), F.get(F.array(*[F.lit(float(v)) for v in x[:500]]), (F.col("id") % 500).cast("int")).alias("v"), F.col("id"))
+    rows = rows.select("recording_id", "sample_idx", (F.col("v") + F.sin(F.col("id") * 0.3)).alias("value"))
+    for make in (
+        lambda **o: spectra.welch_psd(rows, ["recording_id"], "sample_idx", 256, n, 0.5, **o),
+        lambda **o: spectra.welch_psd(rows, ["recording_id"], "sample_idx", 256, n, 0.5, 0.3, average="median", **o),
+        lambda **o: spectra.multitaper_psd(rows, ["recording_id"], "sample_idx", 256, n, segment_length=1.0, **o),
+    ):
+        whole = {r["freq_idx"]: r["power"] for r in make().collect()}
+        for options in ({"chunk": 1000}, {"chunk": 3333, "start": 501}):
+            parts = {r["freq_idx"]: r["power"] for r in make(**options).collect()}
+            assert whole.keys() == parts.keys() and all(abs(parts[k] - whole[k]) < 1e-12 + 1e-9 * whole[k] for k in whole)
+    rows = rows.withColumn("value", F.when(F.col("sample_idx") != 9000, F.col("value")))
+    assert {r["power"] for r in spectra.welch_psd(rows, ["recording_id"], "sample_idx", 256, n, 0.5, chunk=1000).collect()} == {None}
+
+
+def test_a_ten_million_sample_channel_spreads_over_tasks(spark):
+    n = 10_000_000
+    rows = spark.range(n).select(F.lit("r").alias("recording_id"), (F.col("id") + 1).alias("sample_idx"), F.sin(F.col("id") * (2 * np.pi * 32 / 256)).alias("value"))
+    out = spectra.welch_psd(rows, ["recording_id"], "sample_idx", 256, n, 2.0, start=1).collect()
+    assert len(out) == 257 and max(out, key=lambda r: r["power"])["frequency"] == 32.0
+    chunks = spectra.hopping_chunks(rows.where("sample_idx <= 200000"), ["recording_id"], "sample_idx", 512, 256, 255, 1)
+    assert sorted(r["n"] for r in chunks.select(F.size("x").alias("n")).collect())[-1] == 254 * 256 + 512
+
+
+def test_segment_rows(spark):
+    rows = spark.range(10).select(F.lit(1).alias("k"), F.col("id").alias("i"), F.col("id").cast("double").alias("value"))
+    got = {r["chunk"]: r["x"] for r in spectra.hopping_chunks(rows, ["k"], "i", 4, 2).collect()}
+    assert [got[s] for s in range(4)] == [[s * 2.0 + j for j in range(4)] for s in range(4)]
+    gaps = {r["chunk"]: r["x"] for r in spectra.hopping_chunks(rows, ["k"], "i", 2, 3).collect()}
+    assert gaps == {0: [0.0, 1.0], 1: [3.0, 4.0], 2: [6.0, 7.0], 3: [9.0]}
+
+
+@pytest.mark.parametrize("block", [1, 3, 7, 65_536])
+def test_triggers_across_blocks(spark, block):
+    raw = np.random.default_rng(block).choice([0, 0, 3, 5, 65_536 + 5], 400)
+    status = spark.createDataFrame([(f"r{i // 200}", i % 200 + 1, int(v)) for i, v in enumerate(raw)], "recording_id string, sample_idx long, raw long")
+    got = [(r["recording_id"], r["event_seq"], r["onset"], r["type"]) for r in triggers.decode_triggers(status, 64, block).orderBy("recording_id", "onset").collect()]
+    want = []
+    for rec in (0, 1):
+        code = raw[rec * 200 : rec * 200 + 200] & 0xFFFF
+        at = [i for i in range(1, 200) if code[i] and code[i] != code[i - 1]]
+        want += [(f"r{rec}", k, i + 1, int(code[i])) for k, i in enumerate(at, 1)]
+    assert got == want
+
+
+@pytest.mark.parametrize("block", [16, 4096])
+def test_covariance_of_blocks(spark, block):
+    """Against numpy, with large offsets, and with samples that lack a channel."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(4, 150)) @ np.diag(np.ones(150)) + np.array([[1e5], [0], [-3e4], [7]])
+    rows = [("r", c + 1, i + 1, float(x[c, i])) for c in range(4) for i in range(150) if not (c == 3 and i % 5 == 0)]
+    got = {(r["ch_a"], r["ch_b"]): r["cov"] for r in ica.covariance(spark.createDataFrame(rows, "recording_id string, ch_idx int, sample_idx long, value double"), block).collect()}
+    assert len(got) == 10
+    for (a, b), v in got.items():
+        use = [i for i in range(150) if not (4 in (a, b) and i % 5 == 0)]
+        assert abs(v - np.cov(x[a - 1, use], x[b - 1, use])[0, 1]) < 1e-6
+
+
+def test_fir_blocks_need_no_lengths(spark):
+    """Two exchanges at most, and every block size and end gives the whole channel's values."""
+    rng = np.random.default_rng(6)
+    taps = filters.bandpass_taps(64.0, 4.0, 16.0)
+    half = len(taps)
+    sizes = [5, half, 2 * half, 2 * half + 1, 4 * half + half // 2 - 1, 6 * half]
+    rows = [(f"r{k}", 1, "Cz", i + 1, i / 64, float(v)) for k, n in enumerate(sizes) for i, v in enumerate(rng.normal(size=n))]
+    s = spark.createDataFrame(rows, "recording_id string, ch_idx int, channel string, sample_idx long, t double, value double")
+    for zero in (True, False):
+        whole = {(r[0], r[1]): r[2] for r in filters.fir_filter(s, taps, zero_phase=zero, block=None).select("recording_id", "sample_idx", "value").collect()}
+        done = filters.fir_filter(s, taps, zero_phase=zero, block=2 * half)
+        parts = {(r[0], r[1]): r[2] for r in done.select("recording_id", "sample_idx", "value").collect()}
+        assert whole.keys() == parts.keys() and max(abs(whole[k] - parts[k]) for k in whole) < 1e-9
+        assert done._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 2
+
+
+def test_tapers_of_a_long_trace():
+    v, c = kernels.dpss(4096, 4, 7)
+    assert np.abs(v @ v.T - np.eye(7)).max() < 1e-12 and (np.diff(c) < 0).all() and c[0] > 0.9999999
+    i = np.arange(4096)
+    one = np.sin(2 * np.pi * 4 / 4096 * np.subtract.outer(i[::512], i)) / (np.pi * np.where(np.subtract.outer(i[::512], i) == 0, 1, np.subtract.outer(i[::512], i)))
+    one[np.subtract.outer(i[::512], i) == 0] = 8 / 4096
+    assert np.abs(one @ v.T - c * v[:, ::512].T).max() < 1e-9  # rows of the concentration kernel
