@@ -1,5 +1,6 @@
 """Mixing, media, pages, packing and the pipeline."""
 
+import collections
 import hashlib
 import itertools
 import re
@@ -72,6 +73,23 @@ def test_mix_odd_inputs(spark):
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
+def test_repeated_rows_meet_their_target(spark):
+    """One row of 100 words fifty times beside ten small ones; the rows that are written follow the decisions."""
+    rows = [(1, " ".join(["w"] * 100), "a", 7)] * 50 + [(i, "x y z", "a", 7) for i in range(10, 20)] + [(i, "w " * 500, s, 7) for i, s in enumerate(["b", "c"] * 5, 100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n int")
+    out = mixing.mix_sources(docs).collect()
+    for source in "abc":
+        own = [r for r in out if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own)
+        assert all(r["taken"] <= 2 * r["size"] for r in own)
+    assert len(out) == len(rows)
+    taken = mixing.take_copies(docs).groupBy("doc_id").count().collect()
+    want = collections.Counter()
+    for r in out:
+        want[r["doc_id"]] += r["copies"]
+    assert {r["doc_id"]: r["count"] for r in taken} == {k: v for k, v in want.items() if v}
+
+
 def test_images_round_trip():
     rng = np.random.default_rng(0)
     for shape in ((5, 7), (3, 4, 3), (1, 1), (9, 3, 3)):
