@@ -15,8 +15,9 @@ of them at every size; independent groups of sets, as many as the recall asks fo
 under the chance (by simulation) that a pair at the threshold shares a cell, bring
 the recall back up.  A vector is in one cell a group.
 
-In a cell vectors are sorted by the first direction; each is a query to those after
-it in its window.  A pair that shares the cells of several groups counts under the
+In a cell vectors are sorted by the first direction; each is a query to those after it
+in a window so wide (``SURE``) that a partner at the threshold is outside it once in a
+million, and whether it collides on that direction is then counted as on the others.  A pair that shares the cells of several groups counts under the
 first, which either side's cell names tell, so link counts need no exchange of
 pairs.  Equal vectors are folded into one beforehand, cells of over ``SPLIT_ROWS``
 are split into parts whose pairs are tasks, and only counts and spanning edges leave
@@ -41,6 +42,7 @@ COSINE = 0.95
 DIRECTIONS = 24
 CATCH = 0.97
 CELL_ROWS, SPLIT_ROWS = 500, 4000
+SURE = 1 - 1e-6  # chance that the window of the sorted direction holds a partner at the threshold
 SET = 64  # directions in a set at most
 #: a table of split cells is broadcast up to so many rows of three numbers
 FEW_CELLS = 100_000
@@ -57,11 +59,12 @@ class Plan:
     cosine: float = COSINE
     seed: int = 31
 
-    def width(self, dim: int) -> float:
+    def width(self, dim: int, catch: float | None = None) -> float:
         """Half-width that catches a partner at the threshold with probability ``catch`` on one direction."""
-        return _normal_quantile((1 + self.catch) / 2) * math.sqrt((2 - 2 * self.cosine) / dim)
+        # projections can't differ by more than the vectors do
+        return min(_normal_quantile((1 + (catch or self.catch)) / 2) / math.sqrt(dim), 1.0) * math.sqrt(2 - 2 * self.cosine)
 
-    def count(self, miss: float = 0.005) -> int:
+    def count(self, miss: float = 0.003) -> int:
         """Greatest count that a partner at the threshold reaches but for a chance of ``miss``."""
         total, n, p = 0.0, self.directions, self.catch
         for k in range(n + 1):
@@ -98,7 +101,7 @@ def _directions(dim: int, n: int, seed: int) -> np.ndarray:
 
 
 def plan_for(rows: int, recall: float = 0.99, cosine: float = COSINE, dim: int = 64) -> Plan:
-    """Sets so that cells stay near ``CELL_ROWS`` of ``rows`` vectors, groups so that ``recall`` is met at the threshold."""
+    """Sets so that cells stay near ``CELL_ROWS`` of ``rows`` vectors, groups so that ``recall`` is met at the threshold; counting takes a third of the misses, cells the rest at most."""
     sets, cells = [], rows / CELL_ROWS
     while cells > 1:
         sets.append(min(SET, math.ceil(cells / 2)))
@@ -109,7 +112,7 @@ def plan_for(rows: int, recall: float = 0.99, cosine: float = COSINE, dim: int =
     y = cosine * x + math.sqrt(1 - cosine**2) * z
     trial = Plan(tuple(sets), 8, cosine=cosine)
     p = min(0.999, max(0.001, float((trial.cells(x) == trial.cells(y)).mean())))
-    return Plan(tuple(sets), max(1, math.ceil(math.log(1 - recall) / math.log(1 - p))) if sets else 1, cosine=cosine)
+    return Plan(tuple(sets), max(1, math.ceil(math.log((1 - recall) / 2) / math.log(1 - p))) if sets else 1, cosine=cosine)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -170,13 +173,14 @@ def _links(table: pa.Table, plan: Plan) -> pa.Table:
     order = np.argsort(y[:, 0], kind="stable")
     side, ids, copies, x, cells, y = side[order], ids[order], copies[order], x[order], cells[order].T.copy(), y[order].T.copy()
     w, most = np.float32(plan.width(dim)), plan.directions - plan.count()
+    wide = np.float32(plan.width(dim, SURE)) + np.float32(1e-6)
     two = table.column("pa")[0].as_py() != table.column("pb")[0].as_py()
     n = len(ids)
     links, label = np.zeros(n, np.int64), np.arange(n)
     for at in range(0, n, 128):
         stop = min(n, at + 128)
-        high = int(np.searchsorted(y[0], y[0, stop - 1] + w, side="right"))
-        near = np.abs(y[0, at:stop, None] - y[0, at:high]) <= w
+        high = int(np.searchsorted(y[0], y[0, stop - 1] + wide, side="right"))
+        near = np.abs(y[0, at:stop, None] - y[0, at:high]) <= wide
         near &= np.arange(at, stop)[:, None] < np.arange(at, high)
         if two:
             near &= side[at:stop, None] != side[at:high]
@@ -185,7 +189,7 @@ def _links(table: pa.Table, plan: Plan) -> pa.Table:
         i, j = np.nonzero(near)
         i, j = i + at, j + at
         missed = np.zeros(len(i), np.int8)
-        for k in range(1, plan.directions):
+        for k in range(plan.directions):
             missed += np.abs(y[k, i] - y[k, j]) > w
             if k % 4 == 0:
                 some = missed <= most
@@ -235,15 +239,20 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, recall: f
     )
     marked = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").withColumn("_good", F.coalesce(good, F.lit(False)))
     usable = marked.where("_good").select("vec_id", F.col("embedding").alias("v"))
-    distinct = materialize(usable.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "vec-distinct")
+    # a number of its own for each vector, fixed once the table is written; vec_ids only label
+    distinct = usable.groupBy("v").agg(F.min("vec_id").alias("label"), F.count("*").alias("copies")).withColumn("id", F.monotonically_increasing_id())
+    distinct = materialize(distinct.select("v", "id", "label", "copies"), "vec-distinct")
     sizes = distinct.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     plan = plan_for(distinct.count(), recall, cosine, sizes["dim"] if sizes else 1)
     found = materialize(vector_links(distinct, plan), "vec-links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    named = groups.join(distinct.select("id", "label"), "id")
+    least = named.groupBy("component").agg(F.min("label").alias("component_id"))
+    of = named.select("id", "component").join(least, "component").select("id", "component_id")
     per = (
-        distinct.join(links, "id", "left").join(groups, "id", "left")
-        .select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+        distinct.join(links, "id", "left").join(of, "id", "left")
+        .select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "label").alias("component_id"))
     )
     linked = usable.join(per, "v").select("vec_id", "n_links", "component_id")
     alone = marked.where(~F.col("_good")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

@@ -330,3 +330,28 @@ def test_passages_of_a_whole_table(spark):
         want.append((r["doc_id"], r["source"], len(data), int(gone.sum()), hashlib.sha256(data[~gone].tobytes()).hexdigest()))
     got = suffixes.repeated_passages(docs, carry=("source",)).select("doc_id", "row.source", "n_bytes", "n_removed", "kept_sha256").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_vectors_under_one_id_are_kept_apart(spark):
+    """Two vectors of vec_id 1, one with one link and one with two."""
+    rng = np.random.default_rng(8)
+    a, b, c = np.linalg.qr(rng.normal(size=(16, 3)))[0].T
+    near = lambda x, e: (x + e * c).tolist()
+    rows = [(1, a.tolist()), (1, b.tolist()), (2, near(a, 0.01)), (3, near(b, 0.01)), (4, near(b, 0.02)), (9, c.tolist())]
+    out = neardup_vectors.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in out) == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (4, 2, 1), (9, 0, 9)]
+
+
+@pytest.mark.parametrize("planned", [400, 10_000, 1_000_000, 100_000_000])
+def test_pairs_at_the_threshold_are_caught(spark, planned):
+    """The worst case, cosine 0.9502, under plans for other numbers of vectors than there are."""
+    rng = np.random.default_rng(planned)
+    x, z = rng.normal(size=(2, 1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    y = 0.9502 * x + np.sqrt(1 - 0.9502**2) * z
+    rows = [(i, 1, v.tolist()) for i, v in enumerate(np.concatenate([x, y]))]
+    found = neardup_vectors.vector_links(spark.createDataFrame(rows, "id long, copies long, v array<double>"), neardup_vectors.plan_for(planned))
+    caught = {r["id"] % 1500 for r in found.collect()}
+    assert len(caught) >= 0.99 * 1500
