@@ -42,6 +42,8 @@ from .common import bounded_batches, documents, frugal, materialize, pack_texts,
 
 MIN_BYTES = 50
 KEY_BITS = 48
+#: window names that a task settles together, about; bytes of packed texts that it names together
+PART_NAMES, NAMED_BYTES = 250_000, 1_000_000
 P = np.uint64(0x9E3779B97F4A7C15)
 P_INV = np.uint64(pow(int(P), -1, 1 << 64))
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -132,7 +134,7 @@ def shared_names(base: DataFrame, length: int, total_bytes: int) -> DataFrame:
     ``base(doc_id, z)`` holds no two copies of a text.
     """
     q = gram(length)
-    bits = max(8, math.ceil(math.log2(max(1, total_bytes / (length - q + 1) * 2 / 1_000_000))))  # about a million names in a part
+    bits = max(8, math.ceil(math.log2(max(1, total_bytes / (length - q + 1) * 2 / PART_NAMES))))
     parts = 1 << bits
 
     def emit(ids: list[int], texts: list[bytes | None]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +169,7 @@ def shared_names(base: DataFrame, length: int, total_bytes: int) -> DataFrame:
             for d, t in zip(batch.column(0).to_pylist(), _frames(batch.column(1)).to_pylist(), strict=True):
                 ids.append(d), texts.append(t)
                 held += len(t or b"")
-                if held > 2_000_000:
+                if held > NAMED_BYTES:
                     yield from emit(ids, texts)
                     ids, texts, held = [], [], 0
         if ids:
