@@ -90,6 +90,12 @@ def page_lines(page: str) -> list[Line]:
     text: list[str] = []
     linked = 0
     at, articles, containers = 0, 0, 0
+    # where each name is open, and how many blocks are, so that nothing has to look through the stack
+    places: dict[str, list[int]] = {}
+    blocks = [0]  # in the first so many elements
+
+    def last(name: str) -> int:
+        return places[name][-1] if places.get(name) else -1
 
     def flush() -> None:
         nonlocal linked
@@ -105,12 +111,17 @@ def page_lines(page: str) -> list[Line]:
         if piece:
             piece = entities.unescape(piece)
             text.append(piece)
-            if any(s[0] == "a" for s in stack):
+            if places.get("a"):
                 linked += len(" ".join(piece.split()))
 
+    def pop(to: int) -> None:
+        while len(stack) > to:
+            places[stack.pop()[0]].pop()
+            blocks.pop()
+
     def close(to: int) -> None:
         flush()
-        del stack[to:]
+        pop(to)
 
     while m := _MARK.search(page, at):
         add(page[at : m.start()])
@@ -119,17 +130,17 @@ def page_lines(page: str) -> list[Line]:
         if not name:
             continue
         if m[1]:
-            if name == "p" and all(s[0] != "p" for s in stack):
-                flush()
-            found = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if found is None:
+            found = last(name)
+            if found < 0:
+                if name == "p":
+                    flush()
                 continue
-            if name in BLOCK or any(s[0] in BLOCK for s in stack[found:]):
+            if name in BLOCK or blocks[-1] > blocks[found]:
                 if name not in BLOCK:
                     continue  # an inline end tag does not end blocks
                 close(found)
             else:
-                del stack[found:]
+                pop(found)
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
@@ -139,12 +150,9 @@ def page_lines(page: str) -> list[Line]:
         if name in BLOCK:
             flush()
             ends = ENDS.get(name, set()) | ({"p"} if name not in ("br", "option") else set())
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ends:
-                    close(i)
-                    break
-                if stack[i][0] in FENCE:
-                    break
+            nearest = max((last(x) for x in ends), default=-1)
+            if nearest > max(last(x) for x in FENCE):
+                close(nearest)
         if name in VOID:
             continue
         marked, article, group = stack[-1][1:] if stack else (0, 0, 0)
@@ -155,6 +163,8 @@ def page_lines(page: str) -> list[Line]:
         if name in CONTAINERS or own > marked:
             containers += 1
             group = containers
+        places.setdefault(name, []).append(len(stack))
+        blocks.append(blocks[-1] + (name in BLOCK))
         stack.append((name, max(marked, own), article, group))
     add(page[at:] if not page[at:].lstrip().startswith("<") else "")
     flush()
@@ -178,7 +188,24 @@ def main_text(page: str | None, window: int = WINDOW, share: float = SHARE) -> s
         return ""
     dense = {g for g, peak in peaks.items() if peak >= share * top}
     surge, dive = min(groups[g][0] for g in dense), max(groups[g][-1] for g in dense)
-    return " ".join(x.text for x in lines[surge : dive + 1] if x.letters and (x.group in dense or not (x.marked or scoped)))
+    linked = _links_in_text(lines, groups, dense, window)
+    return " ".join(x.text for i, x in enumerate(lines) if surge <= i <= dive and (x.letters and (x.group in dense or not (x.marked or scoped)) or i in linked))
+
+
+def _links_in_text(lines: list[Line], groups: dict[int, list[int]], dense: set[int], window: int) -> set[int]:
+    """Lines of links only that are text: fewer than ``window`` of them between lines of text in a dense container."""
+    out: set[int] = set()
+    for g in dense:
+        run: list[int] | None = None  # none before the first line of text
+        for i in groups[g]:
+            if not lines[i].letters:
+                if run is not None:
+                    run.append(i)
+                continue
+            if run and len(run) < window and not lines[i].marked:
+                out.update(run)
+            run = None if lines[i].marked else []
+    return out
 
 
 def extract_main_text(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import re
+import time
 import zlib
 
 import numpy as np
@@ -73,6 +74,22 @@ def test_mix_odd_inputs(spark):
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
+def test_open_tags_take_linear_time():
+    """A hundred thousand elements that are never closed, and as many blocks below them."""
+    n = 100_000
+    for page, length in (("<b>x " * n, 2 * n - 1), ("<b>" * n + "<p>x</p>" * n, 2 * n - 1), ("<i>" * n + "</u>x " * n, 2 * n - 1), ("<p><b>x " * n, 2 * n - 1)):
+        began = time.perf_counter()
+        assert len(htmltext.main_text(page)) == length
+        assert time.perf_counter() - began < 5
+
+
+def test_paragraphs_of_links_stay_and_menus_go():
+    text = "<p>" + "Some words of the text, and more of them. " * 4 + "</p>"
+    page = f"<div>{text}<p><a href=x>A paragraph that is a link</a></p>{text}<p><a>one</a></p><p><a>two</a></p><p><a>three</a></p>{text}</div>"
+    got = htmltext.main_text(page)
+    assert "A paragraph that is a link" in got and "three" not in got
+
+
 def test_repeated_rows_meet_their_target(spark):
     """One row of 100 words fifty times beside ten small ones; the rows that are written follow the decisions."""
     rows = [(1, " ".join(["w"] * 100), "a", 7)] * 50 + [(i, "x y z", "a", 7) for i in range(10, 20)] + [(i, "w " * 500, s, 7) for i, s in enumerate(["b", "c"] * 5, 100)]
