@@ -361,6 +361,30 @@ def region_of(name: Column) -> Column:
     return out
 
 
+SCALP_REGIONS = ("Parietal", "Frontal", "Central", "Temporal", "Occipital")
+
+
+def channel_report(found: DataFrame, order: str) -> DataFrame:
+    """The header report of recordings, from ``found(recording_id, channel, position_type, region, standard_system, order)``.
+
+    ``recording_id, section, item, n, n_eeg, n_external, n_reference, n_status, names``: a row
+    for the recording (section ``total``), for each region and for each position type, in
+    one pass over grouping sets; names are in order of the channels.
+    """
+    count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    sets = [["recording_id", "region"], ["recording_id", "position_type"], ["recording_id"]]
+    kinds = found.select(*["recording_id", "channel", order], *[F.coalesce(c, F.lit("Unknown")).alias(c) for c in ("position_type", "region", "standard_system")])
+    kinds = kinds.withColumn("_region", F.col("region"))  # grouping sets blank the column that they group by
+    by = kinds.groupingSets(sets, "recording_id", "region", "position_type").agg(
+        F.grouping("region").alias("_no_region"), F.grouping("position_type").alias("_no_type"), F.count("*").alias("n"),
+        count(F.col("_region").isin(*SCALP_REGIONS)).alias("n_eeg"), count(F.col("_region") == "External").alias("n_external"),
+        count(F.col("_region") == "Reference").alias("n_reference"), count(F.col("standard_system") == "Status").alias("n_status"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "channel"))), lambda s: s["channel"]), ", ").alias("names"),
+    )
+    section = F.when(F.col("_no_region") == 0, "region").when(F.col("_no_type") == 0, "position_type").otherwise("total")
+    return by.select("recording_id", section.alias("section"), F.coalesce("region", "position_type", F.lit("all")).alias("item"), "n", "n_eeg", "n_external", "n_reference", "n_status", "names")
+
+
 def project_2d(montage: DataFrame) -> DataFrame:
     """Azimuthal-equidistant head positions: adds ``x2d, y2d``."""
     r = F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)

@@ -188,6 +188,13 @@ QUERIES = {
         lambda s, d: C.inspect_channels(customer_channels(s, d)).drop("names"),
         f"with {_CUST} select coalesce(position_type, 'Unknown') position_type, coalesce(region, 'Unknown') region, coalesce(standard_system, 'Unknown') standard_system, count(*) n from found group by 1, 2, 3",
     ),
+    "header_report": (
+        lambda s, d: C.channel_report(C.lookup_electrodes(customer_channels(s, d)), "c_custkey"),
+        f"""with {_CUST}, k as (select recording_id, c_custkey, channel, coalesce(position_type, 'Unknown') position_type, coalesce(region, 'Unknown') region, coalesce(standard_system, 'Unknown') standard_system from found),
+        s as (select *, 'region' section, region item from k union all select *, 'position_type', position_type from k union all select *, 'total', 'all' from k)
+        select recording_id, section, item, count(*) n, count(*) filter (region in {C.SCALP_REGIONS}) n_eeg, count(*) filter (region = 'External') n_external, count(*) filter (region = 'Reference') n_reference,
+        count(*) filter (standard_system = 'Status') n_status, string_agg(channel, ', ' order by c_custkey, channel) as names from s group by 1, 2, 3""",
+    ),
     "channel_classify": (_classified, f"with {_CUST} select recording_id, c_custkey, channel, {_TYPE} channel_type from found"),
     "external_detect": (lambda s, d: C.external_channels(customer_channels(s, d)), f"with {_CUST} select recording_id, c_custkey, channel, channel_type from (select *, {_TYPE} channel_type from found) where channel_type = 'external'"),
     "external_rename": (_renamed, f"with {SIG_L} select case channel when 'EXG1' then 'HEOG (EXG1)' else channel end as channel, count(*) n from sig group by 1"),

@@ -216,6 +216,27 @@ def _surface(spark, sf):
     return topography.scalp_map(means, C.create_montage(named), 40)
 
 
+# an embedding's values stand for those of 64 electrodes: one map a vector
+_SITES = list({(r[6], r[7], r[8]): r for r in C.electrode_rows() if r[6] is not None}.values())[:N]
+_GRID = 12
+
+
+def _maps(spark, sf):
+    names = F.array(*[F.lit(r[0]) for r in _SITES])
+    values_ = _E(spark, sf).select(F.col("epoch_id"), names[F.col("rel_idx")].alias("channel"), "value")
+    montage = spark.createDataFrame([(r[0], *map(float, r[6:9])) for r in _SITES], "channel string, x double, y double, z double")
+    return _r(topography.scalp_map(values_, montage, _GRID, "epoch_id").select("epoch_id", "gx", "gy", "value"), "value")
+
+
+def _maps_sql() -> str:
+    """Literal weights, times values."""
+    x, y, z = np.array([r[6:9] for r in _SITES], float).T
+    elevation, azimuth = np.arccos(np.clip(z / np.sqrt(x**2 + y**2 + z**2), -1, 1)), np.arctan2(y, x)
+    weights = topography.map_weights(np.column_stack([elevation * np.cos(azimuth), elevation * np.sin(azimuth)]), _GRID)
+    rows = [(g % _GRID, g // _GRID, i, float(w) if np.isfinite(w) else None) for g, ws in enumerate(weights) for i, w in enumerate(ws)]
+    return f"with {EMB}, {values(rows, 'wt', 'gx, gy, i, w')} select epoch_id, cast(gx as integer) gx, cast(gy as integer) gy, round(sum(value * w), 4) + 0.0 as value from emb join wt on i = rel_idx group by 1, 2, 3"
+
+
 def _electrode_view(spark, sf):
     return views.electrode_view(C.create_montage(customer_channels(spark, sf)), ["Cz", "Pz"]).select("channel", "region", "highlighted")
 
@@ -292,4 +313,5 @@ QUERIES = {
         f"with {_CUST} select distinct channel, {_REGION_SQL} region, channel in ('Cz', 'Pz') highlighted from found where x is not null",
     ),
     "topo_surface": (_surface, None),
+    "topo_maps": (_maps, _maps_sql()),
 }

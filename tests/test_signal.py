@@ -563,3 +563,24 @@ def test_tapers_of_a_long_trace():
     one = np.sin(2 * np.pi * 4 / 4096 * np.subtract.outer(i[::512], i)) / (np.pi * np.where(np.subtract.outer(i[::512], i) == 0, 1, np.subtract.outer(i[::512], i)))
     one[np.subtract.outer(i[::512], i) == 0] = 8 / 4096
     assert np.abs(one @ v.T - c * v[:, ::512].T).max() < 1e-9  # rows of the concentration kernel
+
+
+def test_maps_of_different_electrodes(spark):
+    """Rows that lack a channel get their own weights; both equal a spline solved for that row alone."""
+    names = ["Cz", "Fz", "Pz", "Oz", "T7", "T8"]
+    m = channels.create_montage(spark.createDataFrame([(n,) for n in names], "channel string"))
+    rows = [(k, n, float(i * k)) for k in (1, 2, 3) for i, n in enumerate(names)] + [(9, n, float(i)) for i, n in enumerate(names[:5])] + [(9, "T8", None)]
+    out = topography.scalp_map(spark.createDataFrame(rows, "k int, channel string, value double"), m, 9, "k").toPandas().set_index(["k", "gx", "gy"])["value"]
+    assert len(out) == 4 * 81 and np.allclose(out[2].fillna(0), 2 * out[1].fillna(0)) and not np.allclose(out[9].fillna(0), out[1].fillna(0))
+    at = {r["channel"]: (r["x2d"], r["y2d"]) for r in channels.project_2d(m).collect()}
+    weights = topography.map_weights(np.array([at[n] for n in names[:5]]), 9)
+    assert np.allclose(weights @ np.arange(5), [out[(9, g % 9, g // 9)] for g in range(81)], equal_nan=True)
+
+
+def test_header_report(spark):
+    found = channels.lookup_electrodes(spark.createDataFrame([("r", n, i) for i, n in enumerate(["Cz", "Pz", "EXG1", "Status", "what"])], "recording_id string, channel string, ch_idx int"))
+    out = {(r["section"], r["item"]): r for r in channels.channel_report(found, "ch_idx").collect()}
+    total = out[("total", "all")]
+    # the status line's system is the amplifier's, so it isn't counted as one; as before
+    assert (total["n"], total["n_eeg"], total["n_external"], total["n_status"], total["names"]) == (5, 2, 1, 0, "Cz, Pz, EXG1, Status, what")
+    assert out[("region", "Unknown")]["names"] == "what" and {k for k, _ in out} == {"total", "region", "position_type"}
