@@ -4,9 +4,10 @@ A document is its sequence of five-word shingles (lower case, cut at white space
 a shorter text is one shingle), each labelled with how often it occurred before.
 A sketch takes the two labelled shingles of least hash and keeps their order in
 the text, so it is sensitive to edit similarity and not to shared words alone.
-Bands of two sketches name buckets.  In a bucket each text is compared with the
-bucket's first and with its neighbour by length, which links groups of copies with
-rows linear in the bucket's size.  Where a bucket then still holds several components,
+Bands of two sketches name buckets.  In a bucket each text is compared with
+its subgroup's first and with its neighbour by length, and the subgroups' firsts with the
+bucket's first, which links groups of copies with rows linear in the bucket's size and
+gives no text more than a subgroup's partners and one a subgroup.  Where a bucket then still holds several components,
 all pairs of its members from different components are compared, in pairs of blocks
 over the cluster.  Candidates are verified exactly:
 the longest common subsequence of the labelled shingle sequences, within the
@@ -124,15 +125,15 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY)
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id, k1, k2, n, bands``: a 128-bit key of the words, the number of shingles, the bands (null without words)."""
-    schema = StructType([docs.schema["doc_id"]]).add("k1", LongType()).add("k2", LongType()).add("n", IntegerType()).add("bands", ArrayType(LongType()))
+    """``doc_id, h, k1, k2, n, bands``: hash of the text, a 128-bit key of the words, the number of shingles, the bands (null without words)."""
+    schema = StructType([docs.schema["doc_id"]]).add("h", LongType()).add("k1", LongType()).add("k2", LongType()).add("n", IntegerType()).add("bands", ArrayType(LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 k1, k2, ns, bs = [], [], [], []
-                for words in word_hashes(part.column(1).to_pylist()):
+                for words in word_hashes(part.column(2).to_pylist()):
                     s = labelled_shingles(words)
                     if len(s):
                         place = mix(words + np.arange(len(words), dtype=np.uint64) * _M2)
@@ -141,25 +142,29 @@ def sketches(docs: DataFrame) -> DataFrame:
                     else:
                         k1.append(None), k2.append(None), bs.append(None)
                     ns.append(len(s))
-                cols = [part.column(0), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(ns, pa.int32()), pa.array(bs, pa.list_(pa.int64()))]
+                cols = [part.column(0), part.column(1), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(ns, pa.int32()), pa.array(bs, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(frugal(run), schema)
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(frugal(run), schema)
 
 
 def candidate_pairs(classes: DataFrame, similarity: float = SIMILARITY, group: int = 500) -> DataFrame:
     """Pairs ``(a, b)`` of class representatives to verify, from ``classes(rep, n, bands)``.
 
     Two rows at most for each member of a bucket.  The bucket's first member comes from
-    a grouping that combines before its shuffle; neighbours are taken in subgroups of
-    about ``group`` members, so no task holds a whole hot bucket.
+    a grouping that combines before its shuffle; a bucket's members are dealt to subgroups of
+    about ``group``, so no task holds a whole hot bucket.  A member meets its neighbour by
+    length and the first of its subgroup, and these meet the bucket's first: a text is wanted
+    by a subgroup's members and one row a subgroup at most, not by the whole bucket.
     """
     members = materialize(classes.select("rep", "n", F.explode("bands").alias("band")), "minhash-members")
     heads = members.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("head"), F.count("*").alias("size")).where("size > 1")
     near = members.join(heads, "band").withColumn("part", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / F.lit(group))))
     order = Window.partitionBy("band", "part").orderBy("n", "rep")
-    near = near.withColumn("before", F.lag(F.struct("rep", "n")).over(order))
-    pairs = near.select("rep", "n", F.explode(F.array("head", "before")).alias("o")).where("o is not null and o.rep <> rep")
+    first = F.min(F.struct("rep", "n")).over(Window.partitionBy("band", "part"))
+    near = near.withColumn("before", F.lag(F.struct("rep", "n")).over(order)).withColumn("first", first)
+    over = F.when(F.col("first.rep") == F.col("rep"), F.col("head")).otherwise(F.col("first"))
+    pairs = near.select("rep", "n", F.explode(F.array(over, "before")).alias("o")).where("o is not null and o.rep <> rep")
     alike = F.least("n", "o.n") >= F.lit(similarity) * F.greatest("n", "o.n")
     return pairs.where(alike).select(F.least("rep", "o.rep").alias("a"), F.greatest("rep", "o.rep").alias("b")).distinct()
 
@@ -194,6 +199,14 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY)
     return both.mapInArrow(frugal(run), schema)
 
 
+def shared_ids(marks: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges ``(a, b)`` from each doc_id that has several texts to the representatives of their classes."""
+    key = F.struct("k1", "k2")
+    several = marks.groupBy("doc_id").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo <> hi").select("doc_id")
+    texts = marks.join(several, "doc_id", "left_semi").select("doc_id", "k1", "k2").distinct()
+    return texts.join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+
+
 def common_shingles(shingles: list[np.ndarray]) -> np.ndarray:
     """Counts of labelled shingles that each two texts share, as a matrix."""
     out = np.zeros((len(shingles), len(shingles)), np.float32)
@@ -241,28 +254,28 @@ def open_links(classes: DataFrame, groups: DataFrame, docs: DataFrame, similarit
     and with components of half a block or more apart, which don't meet themselves.
     """
     comp = F.coalesce("component", "rep").alias("comp")
-    members = materialize(classes.join(groups, F.col("rep") == F.col("id"), "left").select("rep", "n", comp, F.explode("bands").alias("band")), "minhash-named")
+    members = materialize(classes.join(groups, F.col("rep") == F.col("id"), "left").select("rep", "h", "n", comp, F.explode("bands").alias("band")), "minhash-named")
     sizes = members.groupBy("band").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
     width = 1e-6 - math.log(similarity)
     stratum = F.when(F.col("size") > group, F.floor(F.log("n") / width)).otherwise(F.lit(0)).cast("long").alias("stratum")
-    left = materialize(members.join(sizes.select("band", "size"), "band").select("band", "rep", "n", "comp", "size", stratum), "minhash-open")
+    left = materialize(members.join(sizes.select("band", "size"), "band").select("band", "rep", "h", "n", "comp", "size", stratum), "minhash-open")
     own = left.where(F.col("size") > group).groupBy("band", "stratum", "comp").agg(F.count("*").alias("c")).where(F.col("c") >= group // 2)
     placed = left.join(own, ["band", "stratum", "comp"], "left").withColumn("pure", F.col("c").isNotNull()).withColumn("of", F.when(F.col("pure"), F.col("comp")).otherwise(F.lit(0).cast("long")))
     cells = placed.groupBy("band", "stratum", "pure", "of").agg(F.count("*").alias("cell"))
     part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("cell") / F.lit(group))).cast("long").alias("part")
-    placed = placed.join(cells, ["band", "stratum", "pure", "of"]).select("band", "rep", "n", "comp", F.struct("stratum", "pure", "of", part).alias("block"))
+    placed = placed.join(cells, ["band", "stratum", "pure", "of"]).select("band", "rep", "h", "n", "comp", F.struct("stratum", "pure", "of", part).alias("block"))
     placed = materialize(placed, "minhash-placed")
     blocks = placed.select("band", "block").distinct()
     both = blocks.withColumnRenamed("block", "x").join(blocks.withColumnRenamed("block", "y"), "band").where("x <= y and abs(x.stratum - y.stratum) <= 1 and not (x.pure and y.pure and x.of = y.of)")
     both = both.withColumn("task", F.xxhash64("x", "y"))
     uses = both.select("band", "task", F.col("x").alias("block"), F.lit(0).alias("side")).unionByName(both.where("x <> y").select("band", "task", F.col("y").alias("block"), F.lit(1).alias("side")))
     ids = placed.select(F.col("rep").alias("id")).distinct()
-    texts = texts_of(docs, ids).groupBy("id").agg(F.min_by("z", "h").alias("z"))
-    texts = texts.hint("merge").join(classes.select(F.col("rep").alias("id"), "bands").dropDuplicates(["id"]), "id")
-    seats = placed.join(uses, ["band", "block"]).select("band", "task", "side", F.col("rep").alias("id"), "n", "comp").dropDuplicates(["band", "task", "id"])
+    # an id can stand for several texts, so texts and seats are told apart by hash too
+    texts = texts_of(docs, ids).hint("merge").join(classes.select(F.col("rep").alias("id"), "h", "bands"), ["id", "h"])
+    seats = placed.join(uses, ["band", "block"]).select("band", "task", "side", F.col("rep").alias("id"), "h", "n", "comp").dropDuplicates(["band", "task", "id", "h"])
     names = ["id", "n", "comp", "side", "bands", "z"]
     # the count of partitions is given, as small blocks can be much work
-    rows = seats.hint("merge").join(texts, "id").select("band", "task", *names)
+    rows = seats.hint("merge").join(texts, ["id", "h"]).select("band", "task", *names)
     rows = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "band", "task").sortWithinPartitions("band", "task")
 
     def solve(key: tuple, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -297,18 +310,21 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     ``class_id`` is the least doc_id reachable by links of ``similarity`` or more;
     ``n_copies`` counts rows with the same words.  Texts without words (null, empty,
     white space) link with nothing and are kept, as are rows with a null doc_id.
-    Of rows repeated with one doc_id all have the same class.  No rows, no result.
+    Of rows repeated with one doc_id all have the same class, if their texts differ too: such
+    an id links its texts.  No rows, no result.
     """
     bounded_batches(docs.sparkSession)
     keyed = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marks = materialize(sketches(keyed), "minhash-sketches")
     classes = materialize(
-        marks.where("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("n_copies")),
+        marks.where("k1 is not null").groupBy("k1", "k2")
+        .agg(F.min(F.struct("doc_id", "h")).alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("n_copies"))
+        .select("k1", "k2", F.col("least.doc_id").alias("rep"), F.col("least.h").alias("h"), "n", "bands", "n_copies"),
         "minhash-classes",
     )
     pairs = materialize(candidate_pairs(classes, similarity), "minhash-pairs")
-    links = materialize(verified(pairs, keyed, similarity), "minhash-links")
-    groups = components(links.select("a", "b"))
+    links = verified(pairs, keyed, similarity).select("a", "b").unionByName(shared_ids(marks.where("k1 is not null"), classes))
+    groups = components(materialize(links, "minhash-links"))
     more = materialize(open_links(classes, groups, keyed, similarity), "minhash-open-links")
     groups = components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = classes.select("k1", "k2", "rep", "n_copies").join(groups, F.col("rep") == F.col("id"), "left")

@@ -117,6 +117,28 @@ def test_near_duplicates_of_a_repeated_id(spark):
     assert got == {(1, 1), (2, 1), (3, 1), (4, 4)}
 
 
+def test_texts_under_one_id_are_one_class(spark):
+    """An id with two texts joins both classes; of an id that stands for two texts, pairs within a bucket are looked for with each."""
+    x, y = (" ".join(f"{k}{i}" for i in range(40)) for k in "xy")
+    rows = [(3, x), (5, x), (5, y), (9, y), (12, "alone"), (12, None)]
+    got = {(r["doc_id"], r["class_id"], r["kept"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(3, 3, True), (5, 3, False), (9, 3, False), (12, 12, True)}
+    # each pair of a template's families under two ids that also have a text of their own
+    family = template_family(300)
+    rows = family + [(d, f"another text of {d}") for d, _ in family]
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == classes_by_brute_force(family) and len(set(got.values())) == 300
+
+
+def test_no_text_is_wanted_by_its_whole_bucket(spark):
+    """A bucket's first member meets its subgroup and the firsts of the other subgroups."""
+    classes = spark.range(5000).select(minhash.F.col("id").alias("rep"), minhash.F.lit(100).alias("n"), minhash.F.array(minhash.F.lit(7).cast("long")).alias("bands"))
+    pairs = minhash.candidate_pairs(classes, group=50)
+    ends = pairs.select(minhash.F.explode(minhash.F.array("a", "b")).alias("id")).groupBy("id").count()
+    assert ends.agg(minhash.F.max("count")).first()[0] < 300 and ends.count() == 5000
+    assert minhash.components(pairs).select("component").distinct().count() == 1
+
+
 def test_near_duplicates_odd_inputs(spark):
     rows = [(None, "a b c d e f"), (1, None), (2, ""), (3, "  "), (4, "a b"), (5, "A  b"), (6, "x y z u v w " * 5000), (7, "x y z u v w " * 5000), (7, "x y z u v w " * 5000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", minhash.F.lit(1)).withColumn("band", minhash.F.lit(2))
