@@ -7,6 +7,7 @@ are sums over channels.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
@@ -224,8 +225,6 @@ def turn_together(moments, begin: np.ndarray, max_iter: int, tol: float) -> tupl
         w = new
         if moved < tol:
             return w, done
-    import warnings
-
     warnings.warn("the rotation did not converge", stacklevel=3)
     return w, done
 
@@ -242,6 +241,8 @@ def turn_in_sequence(moments, begin: np.ndarray, max_iter: int, tol: float) -> t
             moved, w = abs(abs(new @ w) - 1), new
             if moved < tol:
                 break
+        else:
+            warnings.warn(f"direction {len(found) + 1} did not converge", stacklevel=3)
         found, most = np.vstack([found, w]), max(most, done)
     return found, most
 

@@ -1,6 +1,7 @@
 """Exact cases and properties of the signal operators."""
 
 import sys
+import warnings
 from pathlib import Path
 
 import numpy as np
@@ -584,3 +585,22 @@ def test_header_report(spark):
     # the status line's system is the amplifier's, so it isn't counted as one; as before
     assert (total["n"], total["n_eeg"], total["n_external"], total["n_status"], total["names"]) == (5, 2, 1, 0, "Cz, Pz, EXG1, Status, what")
     assert out[("region", "Unknown")]["names"] == "what" and {k for k, _ in out} == {"total", "region", "position_type"}
+
+
+def test_fixed_points_warn_when_they_stop_early():
+    rng = np.random.default_rng(4)
+    z = rng.laplace(size=(4000, 3))
+    z = (z - z.mean(0)) / z.std(0)
+
+    def moments(w):
+        g = np.tanh(z @ w.T)
+        return g.T @ z / len(z), (1 - g**2).mean(0)
+
+    begin = rng.normal(size=(3, 3))
+    for turn in (ica.turn_together, ica.turn_in_sequence):
+        with pytest.warns(UserWarning, match="did not converge"):
+            turn(moments, begin, 1, 1e-12)
+        with warnings.catch_warnings():
+            warnings.simplefilter("error")
+            w, rounds = turn(moments, begin, 500, 1e-4)
+        assert rounds < 500 and np.allclose(w @ w.T, np.eye(3))
