@@ -193,15 +193,7 @@ def fit_ica(
         def moments(w: np.ndarray):
             def make(x: np.ndarray) -> np.ndarray:
                 z = x @ z_map.T - z_off
-                y = z @ w.T
-                if fun == "logcosh":
-                    g = np.tanh(alpha * y)
-                    slope = alpha * (1 - g**2)
-                elif fun == "exp":
-                    e = np.exp(-(y**2) / 2)
-                    g, slope = y * e, (1 - y**2) * e
-                else:
-                    g, slope = y**3, 3 * y**2
+                g, slope = contrast(z @ w.T, fun, alpha)
                 return np.concatenate([(g.T @ z).ravel(), slope.sum(0)])
 
             rows = len(w)
@@ -215,6 +207,19 @@ def fit_ica(
     return ICA(channels, scale, mean, rows, values, w, (), done)
 
 
+def contrast(y: np.ndarray, fun: str, alpha: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """The contrast function's first derivative and that one's slope."""
+    if fun == "logcosh":
+        g = np.tanh(alpha * y)
+        return g, alpha * (1 - g**2)
+    if fun == "exp":
+        e = np.exp(-(y**2) / 2)
+        return y * e, (1 - y**2) * e
+    if fun == "cube":
+        return y**3, 3 * y**2
+    raise ValueError(f"unknown contrast function {fun!r}")
+
+
 def turn_together(moments, begin: np.ndarray, max_iter: int, tol: float) -> tuple[np.ndarray, int]:
     """All directions, orthonormal after each step; ``moments(w)`` gives mean g(wz) z and mean g'(wz)."""
     w = decorrelate(begin)
@@ -268,16 +273,80 @@ def resolve_components(asked: int | float | None, variance: np.ndarray) -> int:
     return min(usable, int(np.searchsorted(np.cumsum(variance) / variance.sum(), share) + 1))
 
 
+def fixed_point_terms(ica: ICA, signal: DataFrame, fun: str = "logcosh", alpha: float = 1.0) -> DataFrame:
+    """``recording_id, i, j, term``: mean of g(y_i) y_j, less the mean slope g'(y_i) where i = j, over sources y (from 1).
+
+    One step of the fixed point takes the rotation W to the nearest orthonormal matrix of
+    (term) W.  So a rotation found by turning all directions together has terms that are symmetric, one found
+    direction by direction has terms that vanish for j > i; how far they are from that tells how far a
+    fit is from its end, see :func:`fit_residual`.  Samples that lack a channel don't count.
+    Sums of a batch meet by recording, components squared each.
+    """
+    w, offset = ica.to_sources()
+    k = len(w)
+    contrast(np.zeros(1), fun, alpha)
+    vectors = sample_vectors(signal, ica.channels).where(~F.exists("x", lambda v: v.isNull() | F.isnan(v)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_i, at_j = (a.ravel() + 1 for a in np.indices((k, k)))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            y = _matrix(batch.column(1), len(ica.channels)) @ w.T + offset
+            g, slope = contrast(y, fun, alpha)
+            codes = batch.column(0).dictionary_encode()
+            of, ids = codes.indices.to_numpy(), codes.dictionary
+            rows, counts, sums = [], [], []
+            for r in range(len(ids)):
+                own = of == r
+                term = g[own].T @ y[own] - np.diag(slope[own].sum(0))
+                rows.append(np.full(k * k, r)), counts.append(np.full(k * k, int(own.sum()))), sums.append(term.ravel())
+            cols = [ids.take(pa.array(np.concatenate(rows))), *[pa.array(np.tile(a, len(ids)).astype(np.int32)) for a in (at_i, at_j)], pa.array(np.concatenate(counts)), pa.array(np.concatenate(sums))]
+            yield pa.RecordBatch.from_arrays(cols, names=["recording_id", "i", "j", "n", "s"])
+
+    parts = vectors.select("recording_id", "x").mapInArrow(run, f"recording_id {signal.schema['recording_id'].dataType.simpleString()}, i int, j int, n long, s double")
+    return parts.groupBy("recording_id", "i", "j").agg((F.sum("s") / F.sum("n")).alias("term"))
+
+
+def fit_residual(terms: DataFrame, algorithm: str = "parallel") -> DataFrame:
+    """``component, residual``: the greatest part of a component's terms that the fixed point would still turn, near 0 at its end.
+
+    ``terms`` of one recording, or of recordings fitted each by itself (then a row for each).
+    """
+    if algorithm not in ("parallel", "deflation"):
+        raise ValueError(f"unknown algorithm {algorithm!r}")
+    if algorithm == "deflation":
+        off = F.when(F.col("j") > F.col("i"), F.abs("term")).otherwise(0.0)
+        return terms.groupBy("recording_id", F.col("i").alias("component")).agg(F.max(off).alias("residual"))
+    # either order of a pair lands in one group, which holds two rows
+    pairs = terms.groupBy("recording_id", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg((F.max("term") - F.min("term")).alias("off"))
+    each = pairs.select("recording_id", F.explode(F.array_distinct(F.array("a", "b"))).alias("component"), "off")
+    return each.groupBy("recording_id", "component").agg(F.max("off").alias("residual"))
+
+
+def _matrix(lists: pa.ListArray, width: int) -> np.ndarray:
+    """A batch's arrays, all of ``width`` values, as a matrix; nulls are NaN."""
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, width)
+
+
 def _weighted(signal: DataFrame, channels: list[str], weights: np.ndarray, offsets: np.ndarray, names: list[str], out: str) -> DataFrame:
-    """Rows ``recording_id, sample_idx, out, value``: sums over channels, one grouping."""
-    picked = signal.where(F.col("channel").isin(channels))
-    sums = []
-    for name, row in zip(names, weights, strict=True):
-        table = F.create_map(*[F.lit(v) for c, x in zip(channels, row, strict=True) for v in (c, float(x))])
-        sums.append(F.sum(F.col("value") * table[F.col("channel")]).alias(name))
-    wide = picked.groupBy("recording_id", "sample_idx").agg(*sums)
-    pairs = F.array(*[F.struct(F.lit(n).alias(out), (F.col(f"`{n}`") + float(o)).alias("value")) for n, o in zip(names, offsets, strict=True)])
-    return wide.select("recording_id", "sample_idx", F.explode(pairs).alias("p")).select("recording_id", "sample_idx", "p.*")
+    """Rows ``recording_id, sample_idx, out, value``: samples' channels are gathered once and multiplied as matrices.
+
+    Missing values count as 0; samples that lack a channel's row, or every value, give no rows.
+    """
+    some = sample_vectors(signal, channels).where(F.exists("x", lambda v: v.isNotNull()))
+    filled = some.select("recording_id", "sample_idx", F.transform("x", lambda v: F.coalesce(v, F.lit(0.0))).alias("x"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = (_matrix(batch.column(2), len(channels)) @ weights.T + offsets).ravel()
+            cuts = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(names))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(cuts, pa.array(got))], names=["recording_id", "sample_idx", "y"])
+
+    kinds = [f"{c} {signal.schema[c].dataType.simpleString()}" for c in ("recording_id", "sample_idx")]
+    wide = filled.mapInArrow(run, f"{kinds[0]}, {kinds[1]}, y array<double>")
+    named = F.array(*[F.lit(n) for n in names])
+    return wide.select("recording_id", "sample_idx", F.posexplode("y").alias("_i", "value")).select("recording_id", "sample_idx", named[F.col("_i")].alias(out), "value")
 
 
 def get_sources(ica: ICA, signal: DataFrame) -> DataFrame:

@@ -56,11 +56,12 @@ def bad_channels(signal: DataFrame) -> DataFrame:
 def time_slice(signal: DataFrame, start_ms: float, stop_ms: float) -> DataFrame:
     """Samples between those nearest to the two times; of two equally near the earlier.
 
-    Times outside a recording are clipped to it.
+    Times outside a recording are clipped to it.  The two samples come from one grouping
+    that combines before its shuffle, a row a recording; channels repeat the grid and don't
+    change it.
     """
-    grid = signal.select("recording_id", "sample_idx", "t").distinct()
     near = lambda ms: F.min_by("sample_idx", F.struct(F.abs(F.col("t") * 1000 - F.lit(float(ms))), F.col("sample_idx")))
-    ends = grid.groupBy("recording_id").agg(near(start_ms).alias("_a"), near(stop_ms).alias("_b"))
+    ends = signal.groupBy("recording_id").agg(near(start_ms).alias("_a"), near(stop_ms).alias("_b"))
     return signal.join(ends, "recording_id").where("sample_idx between _a and _b").drop("_a", "_b")
 
 

@@ -181,18 +181,24 @@ def welch_setup(rate: float, n: int, window_length: float, overlap: float, n_fft
     return size, max(1, round(size * (1 - overlap))), max(n_fft or size, size)
 
 
-def welch_psd(
-    rows: DataFrame, keys: list[str], index: str, rate: float, n: int, window_length: float = 2.0, overlap: float = 0.5, window: str = "hann",
-    n_fft: int | None = None, fmin: float = 0.0, fmax: float | None = None, remove_dc: bool = True, average: str = "mean", start: int | None = None, chunk: int | None = None,
-) -> DataFrame:
-    """Power density per Hz averaged over overlapping segments; a median is corrected for its bias.  ``start`` and ``chunk`` as in :func:`segment_spectra`."""
-    size, step, points = welch_setup(rate, n, window_length, overlap, n_fft)
+def one_sided_power(rate: float, size: int, points: int, window: str = "hann", remove_dc: bool = True) -> Callable[[np.ndarray], np.ndarray]:
+    """Power density per Hz of segments of ``size`` samples, a row each, by transforms of ``points``."""
     w = taper(size, window)
 
     def periodograms(parts: np.ndarray) -> np.ndarray:
         s, weight = _one_sided((parts - parts.mean(1, keepdims=True) if remove_dc else parts) * w, points)
         return np.abs(s) ** 2 / (rate * (w**2).sum()) * weight
 
+    return periodograms
+
+
+def welch_psd(
+    rows: DataFrame, keys: list[str], index: str, rate: float, n: int, window_length: float = 2.0, overlap: float = 0.5, window: str = "hann",
+    n_fft: int | None = None, fmin: float = 0.0, fmax: float | None = None, remove_dc: bool = True, average: str = "mean", start: int | None = None, chunk: int | None = None,
+) -> DataFrame:
+    """Power density per Hz averaged over overlapping segments; a median is corrected for its bias.  ``start`` and ``chunk`` as in :func:`segment_spectra`."""
+    size, step, points = welch_setup(rate, n, window_length, overlap, n_fft)
+    periodograms = one_sided_power(rate, size, points, window, remove_dc)
     if average not in ("mean", "median"):
         raise ValueError(f"unknown average {average!r}")
     out = segment_spectra(rows, keys, index, n, size, step, periodograms, average, start, chunk)

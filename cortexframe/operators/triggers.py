@@ -148,6 +148,27 @@ def event_overview(events: DataFrame) -> DataFrame:
     return by.withColumn("rate_hz", F.when(F.col("mean_interval") > 0, 1 / F.col("mean_interval")))
 
 
+def import_table(events: DataFrame, lengths: DataFrame, sampling_rate: float) -> DataFrame:
+    """A row for each recording of ``lengths(recording_id, n_samples)``, with events or without.
+
+    ``sampling_rate, n_samples, duration_sec`` (the last sample's time), ``n_events, n_types, types`` (the codes
+    in order where there are ten at most, else the least and the greatest), ``first_time, last_time, mean_interval,
+    rate_hz`` (null with fewer than two events, the rate also where all fall together) and ``note`` (``no events``, else null).
+    """
+    codes = F.sort_array(F.collect_set("type"))
+    by = events.groupBy("recording_id").agg(
+        F.count("*").alias("n_events"), codes.alias("_codes"), F.min("onset_time").alias("first_time"), F.max("onset_time").alias("last_time")
+    )  # codes have 16 bits, which bounds the set
+    listed = F.when(F.col("_codes").isNull(), None).when(F.size("_codes") <= 10, F.array_join("_codes", ", ")).otherwise(F.concat_ws(" to ", F.array_min("_codes").cast("string"), F.array_max("_codes").cast("string")))
+    gap = F.when(F.col("n_events") > 1, (F.col("last_time") - F.col("first_time")) / (F.col("n_events") - 1))
+    joined = lengths.select("recording_id", F.col("n_samples").cast("long").alias("n_samples")).join(by, "recording_id", "left")
+    return joined.select(
+        "recording_id", F.lit(float(sampling_rate)).alias("sampling_rate"), "n_samples", ((F.col("n_samples") - 1) / F.lit(float(sampling_rate))).alias("duration_sec"),
+        F.coalesce("n_events", F.lit(0).cast("long")).alias("n_events"), F.coalesce(F.size("_codes"), F.lit(0)).cast("long").alias("n_types"), listed.alias("types"),
+        "first_time", "last_time", gap.alias("mean_interval"), F.when(gap > 0, 1 / gap).alias("rate_hz"), F.when(F.col("n_events").isNull(), F.lit("no events")).alias("note"),
+    )
+
+
 def validation_summary(events: DataFrame) -> DataFrame:
     """Per recording: interval statistics in milliseconds and their coefficient of variation."""
     gaps = events.withColumn("isi", (F.col("onset_time") - F.lag("onset_time").over(_in_order())) * 1000)

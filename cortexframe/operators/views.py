@@ -24,8 +24,9 @@ def first_trials(epochs: DataFrame, n: int) -> DataFrame:
 
 
 def sampled_trials(epochs: DataFrame, n: int, seed: int) -> DataFrame:
-    """``n`` trials of each recording, the same at every run of a seed."""
-    order = Window.partitionBy("recording_id").orderBy(F.xxhash64("epoch_id", F.lit(seed)), "epoch_id")
+    """``n`` trials of each recording, the same at every run of a seed: those whose ``<trial>:<seed>`` has the least MD5 digest."""
+    digest = F.md5(F.concat_ws(":", F.col("epoch_id").cast("string"), F.lit(str(seed))))
+    order = Window.partitionBy("recording_id").orderBy(digest, "epoch_id")
     ids = epochs.select("recording_id", "epoch_id").distinct().withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n).drop("_r")
     return epochs.join(ids, ["recording_id", "epoch_id"])
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.kernels import butter_lowpass, edge_length
 from ..operators import channels as C
 from ..operators import describe
 from ..operators import quality as Q
@@ -121,6 +122,35 @@ def _remap_sql(expression: str, remove: bool = True) -> str:
     select recording_id, event_seq, onset, round((onset - 1) / 16.0, 4) + 0.0 onset_time from r {"where onset between 1 and nn" if remove else ""}"""
 
 
+def _decimate_sql(factor: int = 4) -> str:
+    """The sections' recursions, sample by sample, forward and then backward over signals with reflected ends."""
+    design = butter_lowpass(8, 0.9 / factor)
+    pad = edge_length(len(design))
+    states = [f"z{j}{k}" for j in range(len(design)) for k in (1, 2)]
+
+    def start(x: str) -> str:  # the steady state of the first value, as every section's gain is 1
+        return ", ".join(f"{(float(b[1] - a[1]) + float(b[2] - a[2]))!r} * {x} z{j}1, {float(b[2] - a[2])!r} * {x} z{j}2" for j, (b, a) in enumerate(design))
+
+    def step(rows: str) -> str:
+        """``rows`` with ``y0``, the input, and all states; each section's output is the next one's input."""
+        for j, (b, a) in enumerate(design):
+            rows = f"select *, {float(b[0])!r} * y{j} + z{j}1 y{j + 1} from ({rows})"
+        new = [f"{float(b[1])!r} * y{j} - {float(a[1])!r} * y{j + 1} + z{j}2, {float(b[2])!r} * y{j} - {float(a[2])!r} * y{j + 1}" for j, (b, a) in enumerate(design)]
+        return f"select recording_id, i, y{len(design)}, {', '.join(new)} from ({rows})"
+
+    def way(name: str, source: str) -> str:
+        first = step(f"select recording_id, i, v y0, {start('v')} from {source} where i = 1")
+        then = step(f"select s.recording_id, s.i, v y0, {', '.join(states)} from {name} join {source} s on s.recording_id = {name}.recording_id and s.i = {name}.i + 1")
+        return f"{name}(recording_id, i, y, {', '.join(states)}) as ({first} union all {then})"
+
+    return f"""with recursive {SIG_E}, e as (select recording_id, n, least(n - 1, {pad}) pad, max(value) filter (sample_idx = 1) a, max(value) filter (sample_idx = n) z from sig join len using (recording_id) group by 1, 2),
+    p as (select recording_id, sample_idx + pad i, value v from sig join e using (recording_id) union all select recording_id, pad + 2 - sample_idx, 2 * a - value from sig join e using (recording_id) where sample_idx between 2 and pad + 1
+      union all select recording_id, pad + 2 * n - sample_idx, 2 * z - value from sig join e using (recording_id) where sample_idx between n - pad and n - 1),
+    {way("f", "p")}, r as (select f.recording_id, n + 2 * pad + 1 - i i, y v from f join e using (recording_id)), {way("g", "r")},
+    d as (select g.recording_id, n + pad + 1 - i s, y from g join e using (recording_id) where n + pad + 1 - i between 1 and n)
+    select recording_id, cast(1 as integer) ch_idx, 'Cz' channel, (s - 1) // {factor} + 1 sample_idx, ((s - 1) // {factor}) / ({A.EVENT_RATE} / {factor}) t, round(y, 4) + 0.0 as value from d where (s - 1) % {factor} = 0"""
+
+
 def _slice(spark, sf):
     cut = Q.demean(Q.time_slice(_L(spark, sf), 101.0, 345.0))
     return _r(cut.select("recording_id", "channel", "sample_idx", "value"), "value")
@@ -237,7 +267,7 @@ QUERIES = {
     "downsample_events_floor": (_remap("floor"), _remap_sql("floor(onset / 4.0)")),
     "downsample_events_ceiling": (_remap("ceiling"), _remap_sql("ceil(onset / 4.0)")),
     "downsample_events_clamp": (_remap("floor", False), _remap_sql("floor(onset / 4.0)", False)),
-    "downsample_decimate": (lambda s, d: _r(D.decimate(A.signal_from_events(s, d), 4, A.EVENT_RATE), "value"), None),
+    "downsample_decimate": (lambda s, d: _r(D.decimate(A.signal_from_events(s, d), 4, A.EVENT_RATE), "value"), _decimate_sql()),
     "signal_window_slice": (
         _slice,
         f"""with {SIG_L}, g as (select distinct recording_id, sample_idx, (sample_idx - 1) / 256.0 t from li),

@@ -132,5 +132,5 @@ QUERIES = {
         select recording_id, sample_idx, round(value - avg(value) over (partition by recording_id) + {NUDGE}, 4) + 0.0 as value from sig join e using (recording_id) where sample_idx between a and b""",
     ),
     "view_signal_events": (_signal_events, f"with {DECODED} select recording_id, count(*) n_events from trg where onset_time between 0.1 and 0.7 group by 1"),
-    "view_sampled_trials": (_sampled, None),
+    "view_sampled_trials": (_sampled, "select vec_id epoch_id from embeddings order by md5(concat(cast(vec_id as varchar), ':3')), vec_id limit 50"),
 }

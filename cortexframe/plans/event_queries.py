@@ -84,6 +84,13 @@ def overview(spark, sf):
     return _round(T.event_overview(_decoded(spark, sf)), "first_time", "last_time", "mean_interval", "rate_hz")
 
 
+def import_table(spark, sf):
+    """Of events before the last code's only, so that recordings without any are there too."""
+    early = _decoded(spark, sf).where(F.col("onset_time") < 0.03)
+    out = T.import_table(early, A.lengths(A.signal_from_events(spark, sf)), A.EVENT_RATE)
+    return _round(out, "duration_sec", "first_time", "last_time", "mean_interval", "rate_hz")
+
+
 def label_summary(spark, sf):
     return T.label_summary(_decoded(spark, sf)).withColumn("type", F.col("type").cast("long"))
 
@@ -118,6 +125,14 @@ QUERIES = {
         select recording_id, count(*) n_events, round(min(onset_time), 6) + 0.0 first_time, round(max(onset_time), 6) + 0.0 last_time, round(avg(gap), 6) + 0.0 mean_interval,
         round(case when avg(gap) > 0 then 1 / avg(gap) end, 6) + 0.0 rate_hz from g group by 1""",
     ),
+    "event_import": (
+        import_table,
+        f"""with {DECODED}, early as (select * from trg where onset_time < 0.03), b as (select recording_id, count(*) c, list_sort(list(distinct "type")) codes, min(onset_time) first_time, max(onset_time) last_time from early group by 1),
+        g as (select *, case when c > 1 then (last_time - first_time) / (c - 1) end gap from len left join b using (recording_id))
+        select recording_id, 64.0::double sampling_rate, n n_samples, round((n - 1) / 64.0, 6) + 0.0 duration_sec, coalesce(c, 0) n_events, coalesce(len(codes), 0) n_types,
+        case when len(codes) <= 10 then array_to_string(codes, ', ') when codes is not null then concat(codes[1], ' to ', codes[-1]) end as types, round(first_time, 6) + 0.0 first_time, round(last_time, 6) + 0.0 last_time,
+        round(gap, 6) + 0.0 mean_interval, round(case when gap > 0 then 1 / gap end, 6) + 0.0 rate_hz, case when c is null then 'no events' end note from g""",
+    ),
     "event_counts": (
         lambda s, d: _decoded(s, d).groupBy("recording_id", F.col("type").cast("long").alias("type")).agg(F.count("*").alias("n"), F.min("onset").alias("first_onset")),
         f'with {DECODED} select recording_id, "type", count(*) n, min(onset) first_onset from trg group by 1, 2',

@@ -195,6 +195,27 @@ def _covariance(spark, sf):
     return _r(ica.covariance(s.withColumn("value", F.col("value") / scale[F.col("channel")])), "cov", digits=6)
 
 
+_CONTRASTS = {
+    "logcosh": ("tanh(a.value)", "1 - pow(tanh(a.value), 2)"),
+    "exp": ("a.value * exp(-a.value * a.value / 2)", "(1 - a.value * a.value) * exp(-a.value * a.value / 2)"),
+    "cube": ("pow(a.value, 3)", "3 * a.value * a.value"),
+}
+
+
+def _terms(spark, sf):
+    s = A.signal_from_lineitem(spark, sf)
+    every = [ica.fixed_point_terms(MODEL, s, fun).withColumn("fun", F.lit(fun)) for fun in _CONTRASTS]
+    return _r(every[0].unionByName(every[1]).unionByName(every[2]), "term")
+
+
+def _terms_sql() -> str:
+    each = [
+        f"select '{fun}' fun, a.recording_id, cast(a.component[3:] as integer) i, cast(b.component[3:] as integer) j, round(avg({g} * b.value - case when a.component = b.component then {slope} else 0 end), 4) + 0.0 term from src a join src b using (recording_id, sample_idx) group by 1, 2, 3, 4"
+        for fun, (g, slope) in _CONTRASTS.items()
+    ]
+    return f"with {_SRC} " + " union all ".join(each)
+
+
 def _fitted(spark, sf):
     model = ica.fit_ica(A.signal_from_lineitem(spark, sf), ["Cz", "Pz", "Oz", "EXG1"], ["eeg", "eeg", "eeg", "external"])
     return ica.topographies(spark, model)
@@ -298,6 +319,7 @@ QUERIES = {
         f"""with {SIG_L}, {values([(f'IC{k}', c, float(v)) for k in (1, 2, 3) for c, v in zip(MODEL.channels, MODEL.topography(k), strict=True)], 'mp', 'component, channel, w')}, s as (select recording_id, channel, stddev_samp(value) sd from sig group by 1, 2)
         select recording_id, component, channel, round(w / sd, 4) + 0.0 scaled from s join mp using (channel)""",
     ),
+    "ica_fixed_point_terms": (_terms, _terms_sql()),
     "ica_fit": (_fitted, None),
     "view_stacked_sources": (
         _stacked,

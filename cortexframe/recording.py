@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,7 +73,8 @@ class Recording:
         out = {}
         for (rate,) in sorted(rates.select("_rate").distinct().collect()):  # as many as kinds of devices
             own = rates.where(F.col("_rate") == rate).select("recording_id")
-            out[rate] = cls.from_signal(signal.join(own, "recording_id"), rate, events.join(own, "recording_id"), reference="CMS/DRL", history=("imported",))
+            found = {"metadata": {"file_path": path}, "reference": "CMS/DRL", "history": ("imported",)}
+            out[rate] = cls.from_signal(signal.join(own, "recording_id"), rate, events.join(own, "recording_id"), **found)
         return out
 
     def _then(self, note: str, **changes) -> Recording:
@@ -81,6 +83,12 @@ class Recording:
     def lengths(self) -> DataFrame:
         return self.signal.groupBy("recording_id").agg(F.max("sample_idx").alias("n_samples"))
 
+    def import_table(self) -> DataFrame:
+        """What an import found, a row a recording, see :func:`.operators.triggers.import_table`; with where it came from."""
+        events = self.events if self.events is not None else self.signal.sparkSession.createDataFrame([], "recording_id string, onset_time double, type int")
+        out = triggers.import_table(events, self.lengths(), self.sampling_rate)
+        return out.withColumn("file_path", F.lit(self.metadata.get("file_path", "unknown")))
+
     def filter(self, low: float | None = None, high: float | None = None, **design) -> Recording:
         """``design`` are the kernel's options, and ``block`` samples a task filters at once."""
         return self._then(f"band-pass {low} to {high} Hz", signal=filters.bandpass(self.signal, self.sampling_rate, low, high, **design))
@@ -124,3 +132,32 @@ class Recording:
 
     def overview(self) -> DataFrame:
         return quality.recording_overview(self.signal, self.channels, self.sampling_rate)
+
+
+def events_of(source: str | Path | Recording | DataFrame, spark: SparkSession | None = None) -> DataFrame:
+    """Events of a recording file or a directory of files, of a :class:`Recording`, or a table of events itself.
+
+    Of files only the status lines are read.  A path to nothing is a FileNotFoundError, a
+    recording without a table of events a ValueError, and anything else, a table without ``onset``,
+    ``onset_time`` and ``type`` included, a TypeError.
+    """
+    if isinstance(source, Recording):
+        if source.events is None:
+            raise ValueError("the recording has no table of events")
+        return source.events
+    if isinstance(source, DataFrame):
+        missing = {"onset", "onset_time", "type"} - set(source.columns)
+        if missing:
+            raise TypeError(f"a table of events has columns {sorted(missing)} too")
+        return source
+    if isinstance(source, str | Path):
+        from .sources.bdf import list_files, read_status
+
+        path = str(source)
+        if not list_files(path):
+            raise FileNotFoundError(f"there is no recording file at {path}")
+        session = spark or SparkSession.getActiveSession()
+        if session is None:
+            raise ValueError("reading a file needs a session")
+        return triggers.decode_triggers(read_status(session, path))
+    raise TypeError(f"neither a path, a recording nor a table of events: {type(source).__name__}")

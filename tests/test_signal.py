@@ -604,3 +604,130 @@ def test_fixed_points_warn_when_they_stop_early():
             warnings.simplefilter("error")
             w, rounds = turn(moments, begin, 500, 1e-4)
         assert rounds < 500 and np.allclose(w @ w.T, np.eye(3))
+
+
+def test_time_slice_without_a_grid(spark):
+    s = signal_of(spark, {"Cz": range(10), "Pz": range(10)}, 1000.0).where("not (channel = 'Pz' and sample_idx = 4)")
+    cut = quality.time_slice(s, 2.5, 5.4)  # 2.5 is as near to 2 as to 3
+    assert sorted({r["sample_idx"] for r in cut.collect()}) == [3, 4, 5, 6] and cut.count() == 7
+    assert "distinct" not in (plan := s.sparkSession._jvm.PythonSQLUtils.explainString(cut._jdf.queryExecution(), "simple")) and plan.count("HashAggregate") <= 4
+
+
+@pytest.mark.parametrize("fun", ["logcosh", "exp", "cube"])
+def test_fixed_point_terms_tell_the_end_of_a_fit(spark, fun):
+    """Near 0 where a fit has ended, for both algorithms, and not where it was stopped."""
+    _, s = mixed(spark)
+    names = ["Fp1", "Fp2", "Cz"]
+    for algorithm in ("parallel", "deflation"):
+        done = ica.fit_ica(s, names, n_components=2, max_iter=500, tol=1e-13, fun=fun, algorithm=algorithm, seed=1)
+        terms = ica.fixed_point_terms(done, s, fun)
+        residual = {r["component"]: r["residual"] for r in ica.fit_residual(terms, algorithm).collect()}
+        assert set(residual) == {1, 2} and max(residual.values()) < 1e-5
+        turned = ica.replace(done, unmixing=np.array([[np.cos(0.4), -np.sin(0.4)], [np.sin(0.4), np.cos(0.4)]]) @ done.unmixing)
+        assert max(r["residual"] for r in ica.fit_residual(ica.fixed_point_terms(turned, s, fun), algorithm).collect()) > 1e-2
+    # against numpy
+    w, o = done.to_sources()
+    y = np.stack([values_of(s, c) for c in names], 1) @ w.T + o
+    g, slope = ica.contrast(y, fun)
+    want = g.T @ y / len(y) - np.diag(slope.mean(0))
+    assert all(abs(r["term"] - want[r["i"] - 1, r["j"] - 1]) < 1e-9 for r in terms.collect())
+    with pytest.raises(ValueError):
+        ica.fixed_point_terms(done, s, "tanh")
+
+
+def test_sources_of_samples_with_gaps(spark):
+    """A missing value counts as 0, a sample without a channel's row or without any value is left as it is."""
+    model = ica.ICA(["Cz", "Pz"], np.ones(2), np.zeros(2), np.eye(2), np.ones(2), np.eye(2), ())
+    s = signal_of(spark, {"Cz": [1, 2, None, 4], "Pz": [5, None, None, 8], "X": [1, 1, 1, 1]}).where("not (channel = 'Pz' and sample_idx = 4)")
+    got = {(r["sample_idx"], r["component"]): r["value"] for r in ica.get_sources(model, s).collect()}
+    assert got == {(1, "IC1"): 1, (1, "IC2"): 5, (2, "IC1"): 2, (2, "IC2"): 0}
+    kept = ica.apply_ica(model, s)
+    assert values_of(kept, "Cz") == [1, 2, None, 4] and values_of(kept, "X") == [1, 1, 1, 1]
+
+
+def test_decimation_of_short_signals(spark):
+    assert values_of(resample.decimate(signal_of(spark, {"Cz": [7.0]}), 2, 1.0), "Cz") == [7.0]
+
+
+def test_events_of_anything(spark, tmp_path):
+    from cortexframe.recording import events_of as found
+
+    labels = ["Cz", "Status"]
+    status = np.array([0, 0, 7, 7, 0, 9, 9, 0])
+    path = write_bdf(tmp_path / "r.bdf", labels, np.stack([np.arange(8), status]), 4)
+    want = [(3, 7), (6, 9)]
+    pairs = lambda df: sorted((r["onset"], r["type"]) for r in df.collect())
+    assert pairs(found(str(path), spark)) == pairs(found(path)) == pairs(found(str(tmp_path), spark)) == want
+    whole = Recording.from_bdf(spark, str(path))
+    assert pairs(found(whole)) == pairs(found(whole.events)) == want
+    r = whole.import_table().first()
+    assert (r["n_samples"], r["n_events"], r["types"], r["note"], r["file_path"]) == (8, 2, "7, 9", None, str(path))
+    assert r["duration_sec"] == 7 / whole.sampling_rate and r["mean_interval"] == 3 / whole.sampling_rate
+    for wrong in (123, None, {"a": 1}, spark.range(3)):
+        with pytest.raises(TypeError):
+            found(wrong, spark)
+    with pytest.raises(FileNotFoundError):
+        found(str(tmp_path / "nonexistent.bdf"), spark)
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(FileNotFoundError):
+        found(str(tmp_path / "empty"), spark)
+    with pytest.raises(ValueError):
+        found(Recording.from_signal(signal_of(spark, {"Cz": [1, 2]}), 1.0))
+
+
+def test_import_table_without_events(spark):
+    r = Recording.from_signal(signal_of(spark, {"Cz": range(2560)}, 256.0), 256.0).import_table().first()
+    assert (r["n_events"], r["n_types"], r["types"], r["note"], r["file_path"]) == (0, 0, None, "no events", "unknown")
+    assert r["first_time"] is None and r["rate_hz"] is None and r["duration_sec"] == 2559 / 256
+    one = events_of(spark, [1], [3], 256.0)
+    many = events_of(spark, range(1, 13), range(1, 13), 256.0)
+    lengths = spark.createDataFrame([("r", 100)], "recording_id string, n_samples long")
+    r = triggers.import_table(one, lengths, 256.0).first()
+    assert r["n_events"] == 1 and r["mean_interval"] is None and r["rate_hz"] is None and r["note"] is None
+    assert triggers.import_table(many, lengths, 256.0).first()["types"] == "1 to 12"
+
+
+def test_segments_of_samples_in_any_order():
+    from cortexframe.streaming.spectra import ready_segments
+
+    rng = np.random.default_rng(8)
+    for size, step, lag in ((8, 4, 500), (5, 7, 500), (6, 1, 30), (4, 4, 0)):
+        x = rng.normal(size=200)
+        order = np.argsort(np.arange(200) + rng.uniform(0, lag / 2, 200)) if lag else np.arange(200)
+        at, idx, values, got = 0, np.zeros(0, np.int64), np.zeros(0), {}
+        for part in np.array_split(order, 9):
+            again = part[:3]  # repeats of samples held or gone
+            at, idx, values, ks, rows = ready_segments(at, np.concatenate([idx, part, again]), np.concatenate([values, x[part], x[again] + 9]), size, step, lag)
+            assert not set(ks) & set(got) and len(idx) <= size + lag + len(part)
+            got |= dict(zip(ks, rows, strict=True))
+        want = {k: x[k * step : k * step + size] for k in range((200 - size) // step + 1)}
+        assert got.keys() == want.keys() and all((got[k] == want[k]).all() for k in want)
+    # a sample that never comes is waited for, then missing; empty segments are passed over
+    gap = np.r_[0:10, 11:20, 100:120]
+    at, idx, values, ks, rows = ready_segments(0, gap[:19], gap[:19] * 1.0, 4, 4, 12)
+    assert ks == [0, 1] and at == 2 and idx[0] == 8
+    at, idx, values, ks, rows = ready_segments(at, np.r_[idx, gap[19:]], np.r_[values, gap[19:]], 4, 4, 12)
+    assert ks == [2, 3, 4, *range(25, 30)] and np.isnan(rows[0]).tolist() == [False, False, True, False] and not len(idx)
+    assert ready_segments(at, np.r_[3], np.r_[1.0], 4, 4, 12)[3] == []  # too late
+
+
+def test_stream_of_welch_segments_equals_the_batch(spark, tmp_path):
+    from cortexframe.streaming.spectra import welch_segments
+
+    rng = np.random.default_rng(9)
+    schema = "recording_id string, channel string, sample_idx long, value double"
+    rows = [(r, c, i + 1, float(v)) for r in "ab" for c in ("Cz", "Pz") for i, v in enumerate(rng.normal(size=150))]
+    rows[200] = (*rows[200][:3], None)
+    for part in np.array_split(rng.permutation(len(rows)), 4):
+        spark.createDataFrame([rows[k] for k in part], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = welch_segments(files, 16.0).writeStream.format("memory").queryName("segments").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    segments = spark.table("segments")
+    assert segments.select("segment").distinct().count() == (150 - 32) // 16 + 1 and segments.count() == segments.dropDuplicates(["recording_id", "channel", "segment", "freq_idx"]).count()
+    lost = F.count("*") > F.count("power")
+    mean = segments.groupBy("recording_id", "channel", "freq_idx", "frequency").agg(F.when(~lost, F.avg("power")).alias("p"))
+    batch = spectra.welch_psd(spark.createDataFrame(rows, schema), ["recording_id", "channel"], "sample_idx", 16.0, 150)
+    both = batch.join(mean, ["recording_id", "channel", "freq_idx", "frequency"]).collect()
+    assert len(both) == 4 * 17 and sum(r["power"] is None for r in both) == 17
+    assert all((r["power"] is None) == (r["p"] is None) and (r["p"] is None or abs(r["power"] - r["p"]) < 1e-12) for r in both)
