@@ -377,3 +377,35 @@ def test_pairs_at_the_threshold_are_caught(spark, planned):
     found = neardup_vectors.vector_links(spark.createDataFrame(rows, "id long, copies long, v array<double>"), neardup_vectors.plan_for(planned))
     caught = {r["id"] % 1500 for r in found.collect()}
     assert len(caught) >= 0.99 * 1500
+
+
+def test_order_minhash_finds_every_link_of_a_table(spark):
+    """All pairs of different texts of sf0.01 by brute force: classes are the components of those at 0.8 or more."""
+    got = {r["doc_id"]: r["class_id"] for r in minhash.op8_order_minhash(spark, "/root/testdata/sf0.01").collect()}
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    same: dict[bytes, int] = {}
+    root = {d: d for d, _ in docs}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    kept = []
+    for d, w in sorted(zip([d for d, _ in docs], minhash.word_hashes([t for _, t in docs]), strict=True), key=lambda p: p[0]):
+        if len(w):
+            first = same.setdefault(w.tobytes(), d)
+            root[d] = first
+            if first == d:
+                kept.append((d, minhash.labelled_shingles(w)))
+    kept.sort(key=lambda p: len(p[1]))
+    links = 0
+    for i, (a, x) in enumerate(kept):
+        for b, y in kept[i + 1 :]:
+            if len(x) < 0.8 * len(y):
+                break
+            if minhash.aligned_similarity(x, y) > 0:
+                links += 1
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    assert links > 0 and all(got[d] == find(d) for d, _ in docs)
