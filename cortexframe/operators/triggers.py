@@ -169,10 +169,14 @@ def import_table(events: DataFrame, lengths: DataFrame, sampling_rate: float) ->
     )
 
 
+def _intervals(events: DataFrame) -> DataFrame:
+    """``events`` with ``isi``, the milliseconds since the event before."""
+    return events.withColumn("isi", (F.col("onset_time") - F.lag("onset_time").over(_in_order())) * 1000)
+
+
 def validation_summary(events: DataFrame) -> DataFrame:
     """Per recording: interval statistics in milliseconds and their coefficient of variation."""
-    gaps = events.withColumn("isi", (F.col("onset_time") - F.lag("onset_time").over(_in_order())) * 1000)
-    by = gaps.groupBy("recording_id").agg(
+    by = _intervals(events).groupBy("recording_id").agg(
         F.count("*").alias("n_events"),
         F.countDistinct("type").alias("n_types"),
         F.max("type").alias("max_type"),
@@ -184,10 +188,34 @@ def validation_summary(events: DataFrame) -> DataFrame:
     return by.withColumn("cv_isi", F.when(F.col("mean_isi") > 0, F.col("sd_isi") / F.col("mean_isi")))
 
 
+#: variation of intervals above which timing is irregular, and how near to it rounding can decide
+IRREGULAR, NEAR = 0.5, 1e-9
+
+
+def _variation_in_order(intervals: DataFrame) -> DataFrame:
+    """``recording_id, _cv``: coefficient of variation by Welford's recurrence over the intervals in order of events."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("event_seq", "isi"))), lambda x: x["isi"])
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("d"))
+
+    def add(a, x):
+        mean = a["mean"] + (x - a["mean"]) / (a["n"] + 1)
+        return F.struct((a["n"] + 1).alias("n"), mean.alias("mean"), (a["d"] + (x - mean) * (x - a["mean"])).alias("d"))
+
+    by = intervals.where("isi is not null").groupBy("recording_id").agg(ordered.alias("_x"), F.avg("isi").alias("_mean"))
+    return by.select("recording_id", F.aggregate("_x", zero, add, lambda a: F.sqrt(a["d"] / (a["n"] - 1)) / F.col("_mean")).alias("_cv"))
+
+
 def validation_issues(events: DataFrame) -> DataFrame:
-    """``recording_id, issue`` for each of the five checks that a recording fails."""
+    """``recording_id, issue`` for each of the five checks that a recording fails.
+
+    Where the variation of intervals is ``IRREGULAR`` to rounding, the order of additions decides;
+    these recordings alone are added up again in order of events, so that reruns agree.
+    """
     per = events.groupBy("recording_id", "type").agg(F.count("*").alias("n")).groupBy("recording_id").agg((F.max("n") / F.min("n")).alias("imbalance"))
-    joined = validation_summary(events).join(per, "recording_id")
+    summary = validation_summary(events)
+    near = summary.where(F.abs(F.col("cv_isi") - IRREGULAR) <= NEAR).select("recording_id")
+    settled = _variation_in_order(_intervals(events).join(near, "recording_id", "left_semi"))
+    joined = summary.join(per, "recording_id").join(settled, "recording_id", "left").withColumn("cv_isi", F.coalesce("_cv", "cv_isi"))
 
     def issue(condition: str, name: str) -> Column:
         return F.when(F.expr(condition), F.lit(name))
@@ -196,7 +224,7 @@ def validation_issues(events: DataFrame) -> DataFrame:
         issue("n_events < 10", "very_few_events"),
         issue("imbalance > 5", "imbalanced_conditions"),
         issue("min_isi < 50", "double_triggers"),
-        issue("cv_isi > 0.5", "irregular_timing"),
+        issue(f"cv_isi > {IRREGULAR}D", "irregular_timing"),
         issue("max_type > 255", "unusual_trigger_values"),
     )
     return joined.select("recording_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("issue"))

@@ -731,3 +731,10 @@ def test_stream_of_welch_segments_equals_the_batch(spark, tmp_path):
     both = batch.join(mean, ["recording_id", "channel", "freq_idx", "frequency"]).collect()
     assert len(both) == 4 * 17 and sum(r["power"] is None for r in both) == 17
     assert all((r["power"] is None) == (r["p"] is None) and (r["p"] is None or abs(r["power"] - r["p"]) < 1e-12) for r in both)
+
+
+def test_irregular_timing_at_its_limit(spark):
+    """Intervals whose variation is 0.5 but for rounding, which SQL's sum in order of events puts above."""
+    onsets = [3, 4, 6, 7, 11, 13, 15, 16, 19, 20, 21, 22, 26, 29, 31, 32, 35, 36, 38, 40, 41, 43, 45, 47, 49, 53]
+    found = triggers.validation_issues(events_of(spark, [1, 2] * 13, onsets, 64))
+    assert sorted(r["issue"] for r in found.collect()) == ["double_triggers", "irregular_timing"]
