@@ -738,3 +738,28 @@ def test_irregular_timing_at_its_limit(spark):
     onsets = [3, 4, 6, 7, 11, 13, 15, 16, 19, 20, 21, 22, 26, 29, 31, 32, 35, 36, 38, 40, 41, 43, 45, 47, 49, 53]
     found = triggers.validation_issues(events_of(spark, [1, 2] * 13, onsets, 64))
     assert sorted(r["issue"] for r in found.collect()) == ["double_triggers", "irregular_timing"]
+
+
+def test_epochs_are_cut_after_the_last_shuffle(spark):
+    """No join or exchange sees the samples of trials, of which there are many times those of the signal."""
+    s = signal_of(spark, {"Cz": list(range(40))}, 10)
+    lengths = s.groupBy("recording_id").agg(F.max("sample_idx").alias("n_samples"))
+    out = epochs.epoch_recording(s, events_of(spark, [1, 2], [10, 20], 10), lengths, epochs.Geometry(10, -0.5, 0.5), reject_threshold=50.0)
+    plan = out.data._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.split("Join")[0].count("Generate") == 2
+    failed = epochs.epoch_recording(s, events_of(spark, [1, 2], [10, 20], 10), lengths, epochs.Geometry(10, -0.5, 0.5), reject_threshold=5.0)
+    assert failed.data.count() == 0 and [r["code"] for r in failed.log.orderBy("epoch_id").collect()] == ["amplitude"] * 2
+
+
+def test_epochs_of_gaps_and_repeats(spark):
+    from cortexframe.operators import erp
+
+    s = signal_of(spark, {"Cz": [float(i) for i in range(300)], "Pz": [1.0] * 300}, 10)
+    s = s.where("not (channel = 'Cz' and sample_idx in (12, 131))").unionByName(s.where("channel = 'Pz' and sample_idx = 127"))
+    lengths = s.groupBy("recording_id").agg(F.max("sample_idx").alias("n_samples"))
+    out = epochs.epoch_recording(s, events_of(spark, [1, 1], [10, 125], 10), lengths, epochs.Geometry(10, -0.5, 0.8), baseline_window=(-0.5, -0.4))
+    got = out.data.where("channel = 'Cz' and epoch_id = 2").orderBy("rel_idx").collect()
+    assert [r["rel_idx"] for r in got] == [j for j in range(14) if j != 11] and [r["value"] for r in got] == [r["rel_idx"] - 0.5 for r in got]
+    assert out.data.where("channel = 'Pz' and epoch_id = 2").count() == 15
+    n = {(r["channel"], r["rel_idx"]): r["n_trials"] for r in erp.average_epochs(out.data).collect()}
+    assert n["Pz", 7] == 2 and n["Cz", 7] == 1 and n["Cz", 11] == 1 and n["Cz", 3] == 2
