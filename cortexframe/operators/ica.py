@@ -355,12 +355,38 @@ def get_sources(ica: ICA, signal: DataFrame) -> DataFrame:
     return _weighted(signal, ica.channels, w, offset, [f"IC{i + 1}" for i in range(len(w))], "component")
 
 
+def _cleaned(ica: ICA, signal: DataFrame, exclude: list[int] | None) -> DataFrame:
+    """``signal`` with ``_new``, values without the excluded sources, null where nothing changes; a sample's rows meet once, without a join."""
+    w, offset = ica.cleaning(None if exclude is None else tuple(exclude))
+    keys, width = ["recording_id", "sample_idx"], len(ica.channels)
+    place = F.create_map(*[F.lit(v) for i, c in enumerate(ica.channels) for v in (c, i)])
+    gathered = signal.groupBy(*keys).agg(F.collect_list(F.struct(*[c for c in signal.columns if c not in keys])).alias("rows"))
+    fitted = F.filter("rows", lambda r: r["channel"].isin(ica.channels))
+    known = gathered.withColumn("x", F.transform(F.sort_array(F.transform(fitted, lambda r: F.struct(place[r["channel"]].alias("i"), r["value"].cast("double").alias("v")))), lambda s: s["v"]))
+    whole = (F.size("x") == width) & F.exists("x", lambda v: v.isNotNull())
+    filled = known.withColumn("x", F.when(whole, F.transform("x", lambda v: F.coalesce(v, F.lit(0.0)))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(3)
+            y = (_matrix(x.drop_null(), width) @ w.T + offset).ravel()
+            cuts = np.concatenate([[0], np.cumsum(x.is_valid().to_numpy(zero_copy_only=False))]) * width
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(y, pa.float64()))], names=[*keys, "rows", "y"])
+
+    kinds = ", ".join(f"{c} {filled.schema[c].dataType.simpleString()}" for c in (*keys, "rows"))
+    rows = filled.mapInArrow(run, f"{kinds}, y array<double>").select(*keys, "y", F.inline("rows"))
+    named = [*keys, "channel", *[c for c in signal.columns if c not in (*keys, "channel")]]
+    return rows.select(*[F.col(c).cast(signal.schema[c].dataType) for c in named], F.get("y", place[F.col("channel")]).alias("_new"))
+
+
 def apply_ica(ica: ICA, signal: DataFrame, exclude: list[int] | None = None) -> DataFrame:
     """Signal without the excluded sources; channels that weren't fitted stay as they are."""
-    w, offset = ica.cleaning(None if exclude is None else tuple(exclude))
-    new = _weighted(signal, ica.channels, w, offset, ica.channels, "channel").withColumnRenamed("value", "_new")
-    joined = signal.join(new, ["recording_id", "sample_idx", "channel"], "left")
-    return joined.withColumn("value", F.coalesce("_new", "value")).drop("_new")
+    return _cleaned(ica, signal, exclude).withColumn("value", F.coalesce("_new", "value")).drop("_new")
+
+
+def before_and_after(ica: ICA, signal: DataFrame, exclude: list[int] | None = None) -> DataFrame:
+    """``recording_id, channel, sample_idx, before, after``: values with and without the excluded sources, which never part."""
+    return _cleaned(ica, signal, exclude).select("recording_id", "channel", "sample_idx", F.col("value").alias("before"), F.coalesce("_new", "value").alias("after"))
 
 
 def topographies(spark, ica: ICA) -> DataFrame:

@@ -227,8 +227,7 @@ def _stacked(spark, sf):
 
 
 def _overlay(spark, sf):
-    s = A.signal_from_lineitem(spark, sf)
-    return _r(views.overlay(s, ica.apply_ica(MODEL, s)), "before", "after")
+    return _r(ica.before_and_after(MODEL, A.signal_from_lineitem(spark, sf)), "before", "after")
 
 
 def _surface(spark, sf):

@@ -763,3 +763,13 @@ def test_epochs_of_gaps_and_repeats(spark):
     assert out.data.where("channel = 'Pz' and epoch_id = 2").count() == 15
     n = {(r["channel"], r["rel_idx"]): r["n_trials"] for r in erp.average_epochs(out.data).collect()}
     assert n["Pz", 7] == 2 and n["Cz", 7] == 1 and n["Cz", 11] == 1 and n["Cz", 3] == 2
+
+
+def test_cleaning_needs_no_join(spark):
+    model = ica.ICA(["Cz", "Pz"], np.ones(2), np.zeros(2), np.eye(2), np.ones(2), np.eye(2), (1,))
+    s = signal_of(spark, {"Cz": [1, 2, None, 4], "Pz": [5, None, None, 8], "X": [1, 1, 1, 1]}).where("not (channel = 'Pz' and sample_idx = 4)")
+    assert "Join" not in ica.apply_ica(model, s)._jdf.queryExecution().optimizedPlan().toString()
+    both = {(r["sample_idx"], r["channel"]): (r["before"], r["after"]) for r in ica.before_and_after(model, s).collect()}
+    kept = {(r["sample_idx"], r["channel"]): r["value"] for r in ica.apply_ica(model, s).collect()}
+    assert {k: a for k, (_, a) in both.items()} == kept and len(kept) == 11
+    assert both[2, "Cz"][0] == 2 and both[4, "Cz"] == (4, 4) and both[3, "Pz"] == (None, None) and both[1, "X"] == (1, 1)
