@@ -37,6 +37,18 @@ def notch_taps(rate: float, freqs: list[float], widths: list[float] | None = Non
 
 #: samples of a block, unless the kernel is longer
 BLOCK = 65_536
+#: bytes of an Arrow batch to Python, unless the session sets its own bound, and samples of one back, by whole blocks
+BATCH_BYTES, BATCH_SAMPLES = 16 << 20, 262_144
+
+
+def pieces(batch: pa.RecordBatch, column: int, most: int = BATCH_SAMPLES) -> Iterator[pa.RecordBatch]:
+    """Rows of ``batch`` in turn, whose lists of ``column`` hold about ``most`` values a piece, one row at least."""
+    ends = batch.column(column).offsets.to_numpy()
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
 def fir_filter(signal: DataFrame, taps: np.ndarray, channels: list[str] | None = None, zero_phase: bool = True, block: int | str | None = "auto") -> DataFrame:
@@ -96,9 +108,10 @@ def _in_blocks(picked: DataFrame, taps: np.ndarray, zero_phase: bool, block: int
         return kernels.convolve_valid(y, taps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole, 4)):
             lists = batch.column(4)
             cuts, flat = lists.offsets.to_numpy(), lists.values
+            flat, cuts = flat.slice(cuts[0], cuts[-1] - cuts[0]), cuts - cuts[0]
             idx, t, x = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
             sizes, outs = [], []
             for b, low, high in zip(batch.column(3).to_pylist(), cuts[:-1], cuts[1:], strict=True):
@@ -114,6 +127,9 @@ def _in_blocks(picked: DataFrame, taps: np.ndarray, zero_phase: bool, block: int
             done = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), rows)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], done], names=[*keys, "y"])
 
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if picked.sparkSession.conf.get(bound, None) is None:  # not set by anyone
+        picked.sparkSession.conf.set(bound, str(BATCH_BYTES))
     kinds = [f"{k} {picked.schema[k].dataType.simpleString()}" for k in keys]
     done = gathered.select(*keys, "_block", "x").mapInArrow(run, ", ".join(kinds) + ", y array<struct<sample_idx:bigint,t:double,value:double>>")
     return done.select(*keys, F.inline("y")).select(*[F.col(c).cast(picked.schema[c].dataType) for c in picked.columns])

@@ -773,3 +773,12 @@ def test_cleaning_needs_no_join(spark):
     kept = {(r["sample_idx"], r["channel"]): r["value"] for r in ica.apply_ica(model, s).collect()}
     assert {k: a for k, (_, a) in both.items()} == kept and len(kept) == 11
     assert both[2, "Cz"][0] == 2 and both[4, "Cz"] == (4, 4) and both[3, "Pz"] == (None, None) and both[1, "X"] == (1, 1)
+
+
+def test_filter_gives_batches_of_bounded_size():
+    import pyarrow as pa
+
+    lists = pa.array([[0] * n for n in (3, 4, 9, 1, 1, 1)], pa.list_(pa.int64()))
+    got = list(filters.pieces(pa.RecordBatch.from_arrays([lists], names=["x"]), 0, 7))
+    assert [[len(r) for r in g.column(0).to_pylist()] for g in got] == [[3, 4], [9], [1, 1, 1]]
+    assert list(filters.pieces(got[0].slice(0, 0), 0)) == []
