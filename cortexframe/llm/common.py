@@ -7,7 +7,7 @@ import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -74,10 +74,35 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def frugal(run):
-    """A task that gives memory back when it ends, as Python workers live on between tasks."""
+#: what tasks leave in this process for later tasks of their kind
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]):
+    """``make()``, held by this process until a task that doesn't keep ``name`` begins."""
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
+def let_go(keeps: str | None) -> None:
+    """Drop all that is kept under other names than ``keeps``."""
+    others = [name for name in _kept if name != keeps]
+    for name in others:
+        del _kept[name]
+    if others:
+        give_back()
+
+
+def frugal(run, keeps: str | None = None):
+    """A task that gives memory back when it ends, as Python workers live on between tasks.
+
+    Workers take turns, so what one kind of task keeps would soon be in all of them and
+    stay through later steps: when a task begins, all goes but what it ``keeps``.
+    """
 
     def task(batches: Iterator) -> Iterator:
+        let_go(keeps)
         try:
             yield from run(batches)
         finally:

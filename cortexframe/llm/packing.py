@@ -14,6 +14,7 @@ length is spread.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import bounded_batches, documents, frugal, materialize
+from .common import bounded_batches, documents, frugal, kept, materialize
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END = 2
@@ -36,7 +37,6 @@ OTHER = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u2010-\u202
 SPACE, LETTER, DIGIT, REST = range(4)
 CLASS = np.array([SPACE if chr(i).isspace() else LETTER if chr(i).isalpha() else DIGIT if chr(i).isdecimal() else REST for i in range(0x2028)], np.uint8)
 PRIME = np.uint64(0x9E3779B97F4A7C15)
-_state: dict = {}
 
 
 def piece_starts(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -94,8 +94,8 @@ class PieceTokenizer:
 
     def clear(self) -> None:
         size = 1 << self.known_bits
-        self.keys, self.at, self.size = np.zeros(size, np.uint64), np.zeros(size, np.int64), np.zeros(size, np.int64)
-        self.letters_at, self.n_letters = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        self.keys, self.at, self.size = np.zeros(size, np.uint64), np.zeros(size, np.int64), np.zeros(size, np.int32)
+        self.letters_at, self.n_letters = np.zeros(size, np.int64), np.zeros(size, np.int32)
         self.ids, self.used, self.entries = np.zeros(size, np.uint32), 0, 0
         self.letters, self.letters_used = np.zeros(4 * size, np.uint32), 0
 
@@ -166,8 +166,8 @@ class PieceTokenizer:
         # the hash has found a piece; the characters decide
         letters, length = self.letters_at[slot], stop - start
         same = self.n_letters[slot] == length
-        kept = self.letters[np.repeat(np.where(same, letters, 0) - start, length) + np.arange(len(codes))]
-        wrong = np.flatnonzero(~same | ~np.logical_and.reduceat(kept == codes, start) if len(start) else ~same)
+        known_letters = self.letters[np.repeat(np.where(same, letters, 0) - start, length) + np.arange(len(codes))]
+        wrong = np.flatnonzero(~same | ~np.logical_and.reduceat(known_letters == codes, start) if len(start) else ~same)
         size = self.size[slot]
         out = np.repeat(self.at[slot] - (np.cumsum(size) - size), size)
         ids = self.ids[out + np.arange(len(out))]
@@ -204,10 +204,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tokenizer(path: str) -> PieceTokenizer:
-    """One tokenizer for each Python worker."""
-    if path not in _state:
-        _state[path] = PieceTokenizer(path)
-    return _state[path]
+    """One tokenizer for each Python worker, until it gets a task of another kind.
+
+    A task has one core, so the library starts no threads of its own, whose memory would stay.
+    """
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    return kept(path, lambda: PieceTokenizer(path))
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -243,7 +245,7 @@ def token_pieces(docs: DataFrame, capacity: int = 1024, end: int = END, path: st
                 arrays = [part.column(0).take(pa.array(which, pa.int64())), pa.array(piece, pa.int32()), *[pa.array(x, pa.int64()) for x in (start, length, crc)]]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(frugal(run), schema)
+    return docs.select("doc_id", "text").mapInArrow(frugal(run, keeps=path), schema)
 
 
 class SumIndex:

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import re
 import time
+import weakref
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cortexframe.llm import htmltext, media, mixing, packing
+from cortexframe.llm import common, htmltext, media, mixing, packing
 
 DATA = "/root/testdata/sf0.001"
 
@@ -257,6 +258,15 @@ def test_tokenizer_gives_the_librarys_ids(known_bits):
         assert [np.frombuffer(x, "<u4").tolist() for x in tok.encode_batch(texts)] == want
 
 
+def test_tokenizer_goes_when_its_worker_gets_another_kind_of_task():
+    """Workers take turns, so a tokenizer left in each stayed through all later steps."""
+    held = weakref.ref(packing.tokenizer(packing.TOKENIZER))
+    assert list(common.frugal(lambda batches: batches, keeps=packing.TOKENIZER)(iter([1]))) == [1]
+    assert held() is packing.tokenizer(packing.TOKENIZER)
+    assert list(common.frugal(lambda batches: batches)(iter([1]))) == [1]
+    assert held() is None
+
+
 def test_tokenizer_ends_on_more_distinct_pieces_than_it_keeps():
     rng = np.random.default_rng(4)
     long = " ".join(f"{x:x}" for x in rng.integers(0, 1 << 40, 700_000).tolist())
