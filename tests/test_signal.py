@@ -751,6 +751,34 @@ def test_epochs_are_cut_after_the_last_shuffle(spark):
     assert failed.data.count() == 0 and [r["code"] for r in failed.log.orderBy("epoch_id").collect()] == ["amplitude"] * 2
 
 
+#: values of a trial whose peak to peak is 150 or 60 but for rounding: added up backwards, the baseline's mean gives the other verdict
+AT_LIMIT = {
+    "high": ([67.89, 20.99, 134.23, 2.8, 19.62, 118.11, 43.03, 8.42, 52.76, 25.69, 0.3, 49.71, 61.2, 150.3, 14.73, 27.64, 73.25], {"reject_threshold": 150.0}, ["amplitude"]),
+    "kept": ([132.51, 9.41, 11.36, 16.76, 34.66, 30.4, 0.86, 36.25, 45.32, 24.61, 11.31, 5.57, 68.15, 126.65, 150.86, 16.5, 4.97], {"reject_threshold": 150.0}, []),
+}
+
+
+@pytest.mark.parametrize("case", sorted(AT_LIMIT))
+def test_trials_at_the_limit(spark, case):
+    """Sums follow the samples, whatever the order of the rows."""
+    x, options, codes = AT_LIMIT[case]
+    span = (3, 10) if "reject_window" in options else (0, 16)
+
+    def fails(first: list[float]) -> bool:
+        total = 0.0
+        for v in first:
+            total += v
+        p2p = (max(x[span[0] : span[1] + 1]) - total / 4) - (min(x[span[0] : span[1] + 1]) - total / 4)
+        return p2p > options["reject_threshold"] if "reject_threshold" in options else p2p < options["flat_threshold"]
+
+    assert fails(x[:4]) == bool(codes) and fails(x[3::-1]) != bool(codes)
+    s = signal_of(spark, {"Cz": x}, 64)
+    lengths = s.groupBy("recording_id").agg(F.max("sample_idx").alias("n_samples"))
+    for rows in (s, s.orderBy(F.desc("sample_idx")), s.repartition(5, "value")):
+        out = epochs.epoch_recording(rows, events_of(spark, [1], [4], 64), lengths, epochs.Geometry(64, -0.05, 0.2), baseline_window=(-0.05, 0.0), **options)
+        assert [r["code"] for r in out.log.collect()] == codes and out.data.count() == (0 if codes else 17)
+
+
 def test_epochs_of_gaps_and_repeats(spark):
     from cortexframe.operators import erp
 
