@@ -756,6 +756,7 @@ AT_LIMIT = {
     "high": ([67.89, 20.99, 134.23, 2.8, 19.62, 118.11, 43.03, 8.42, 52.76, 25.69, 0.3, 49.71, 61.2, 150.3, 14.73, 27.64, 73.25], {"reject_threshold": 150.0}, ["amplitude"]),
     "kept": ([132.51, 9.41, 11.36, 16.76, 34.66, 30.4, 0.86, 36.25, 45.32, 24.61, 11.31, 5.57, 68.15, 126.65, 150.86, 16.5, 4.97], {"reject_threshold": 150.0}, []),
     "window": ([19.62, 118.11, 43.03, 8.42, 52.76, 25.69, 0.3, 49.71, 61.2, 150.3, 14.73, 27.64, 73.25, 9.97, 9.57, 62.0, 16.11], {"reject_threshold": 150.0, "reject_window": (0.0, 0.1)}, ["amplitude"]),
+    "flat": ([14.59, 5.97, 21.46, 48.78, 16.63, 53.21, 40.44, 6.15, 35.41, 32.49, 4.03, 27.4, 63.19, 45.1, 42.48, 46.07, 3.19], {"flat_threshold": 60.0}, ["flat"]),
 }
 
 
